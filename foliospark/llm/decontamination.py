@@ -283,13 +283,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a benchmark window, all columns."""
+    """The rows of docs without a benchmark window, all columns: a pass for each block of the
+    benchmark, without a shuffle. A shard is a batch of rows."""
     ship_package(docs.sparkSession)
-    names = docs.columns
-    packed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")).withColumn("row", F.monotonically_increasing_id()))
-    found = hits(packed.select(F.col("row").alias("doc_id"), F.col("r.text").alias("text")), benchmark, window)
-    bad = found.where(F.octet_length("spans") > 0).select(F.col("doc_id").alias("row"))
-    return packed.join(bad, "row", "left_anti").select("r.*")
+    at = docs.columns.index("text")
+    for block in benchmark_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = Matcher(shared.value, window)
+            for b in batches:
+                texts = [words(t) for t in b.column(at).to_pylist()]
+                starts = np.cumsum([0] + [len(w) + 1 for w in texts])
+                clean = np.ones(len(texts), bool)
+                for _, _, places in m.shard(texts):
+                    clean[np.searchsorted(starts, places, side="right") - 1] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op7_suffix_array_decontamination(spark, sf_dir: str) -> DataFrame:

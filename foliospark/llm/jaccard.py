@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.session import materialize, ship_package
+from foliospark.session import materialize, release, ship_package
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # the threshold as a fraction
@@ -51,6 +51,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[1])
 
 
+_NONE = np.empty(0, np.int64)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -130,7 +133,7 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
             mark = _mix(salt[j : j + 1] + np.full(1, i + 1, np.uint64) * _M3)
             part = value[order[edge[j] : edge[j + 1]]]
             variants = np.concatenate([[sums[j]], sums[j] - part])
-            sizes = np.concatenate([[counts[j]], np.full(len(part), counts[j] - np.uint64(1))]).astype(np.uint64)
+            sizes = np.array([len(part)] + [len(part) - 1] * len(part), np.uint64)
             out.append(_mix(variants + mark + sizes))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
@@ -139,18 +142,20 @@ ROWS = "doc_id long, text_hash long, n_shingles long, node binary, entries array
 
 
 def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """ROWS for every row of docs: its set's size, name (128 bits of its hashes) and index entries."""
+    """ROWS for every row of docs: its set's size, name (128 bits of its hashes) and index
+    entries; of equal sets in a task only the first has entries."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, seen = Bands(num, den), set()
         for b in batches:
             sizes, nodes, entries = [], [], []
             for text in b.column("text").to_pylist():
                 h = shingle_hashes(text, words)
                 sizes.append(len(h))
                 nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                entries.append(signatures(h, bands))
+                entries.append(_NONE if nodes[-1] in seen else signatures(h, bands))
+                seen.add(nodes[-1])
             flat = np.concatenate(entries) if entries else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(e) for e in entries]), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "text_hash", "n_shingles", "node", "entries"])
@@ -208,49 +213,65 @@ def link_nodes(buckets: DataFrame, texts: DataFrame, **kind) -> DataFrame | None
     return roots
 
 
+def _salted(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """nodes with a 64-bit number `id` of the 128-bit name, under a salt for which no two names share one."""
+    for salt in range(64):
+        out = nodes.withColumn("id", F.xxhash64("node", F.lit(salt)))
+        if not out.groupBy("id").count().where("count > 1").head(1):
+            return out, salt
+    raise ValueError("no salt without collisions")
+
+
 def near_duplicate_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """A row for every row of docs: doc_id, text_hash, n_shingles, component_id, node, root (rid)."""
-    rows = materialize(index_rows(docs, words, num, den).withColumn("rid", F.monotonically_increasing_id()))
-    nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least")))
-    first = rows.where("node is not null and size(entries) > 0").join(nodes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    """A row for every row of docs: doc_id, text_hash, n_shingles, component_id, root (a node of the
+    component, the same for all of it; null without shingles)."""
+    indexed = materialize(index_rows(docs, words, num, den))
+    rows = materialize(indexed.drop("entries"))
+    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("place"))
+    nodes, salt = _salted(materialize(named))
     # one shuffle by entry, read by both sides
-    entries = first.select("rid", F.explode("entries").alias("entry")).repartition("entry")
+    entries = indexed.where("size(entries) > 0").select(F.xxhash64("node", F.lit(salt)).alias("rid"), F.explode("entries").alias("entry")).repartition("entry")
     shared = entries.groupBy("entry").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("entry")
-    buckets = materialize(entries.join(shared, "entry", "left_semi"))
-    wanted = buckets.select("rid").distinct()
-    place = rows.join(wanted, "rid", "left_semi").select("rid", F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    buckets = materialize(entries.join(shared, "entry", "left_semi").distinct())
+    release(indexed)
+    place = nodes.join(buckets.select(F.col("rid").alias("id")).distinct(), "id", "left_semi").select("id", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
     texts = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
         .withColumn("text_hash", F.xxhash64("text"))
         .join(place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-        .select("rid", F.col("text").cast("binary").alias("text"))
+        .select(F.col("id").alias("rid"), F.col("text").cast("binary").alias("text"))
     )
     texts = materialize(texts.dropDuplicates(["rid"]))
     roots = link_nodes(buckets, texts, words=words, num=num, den=den)
-    out = rows.select("rid", "doc_id", "text_hash", "n_shingles", "node").join(nodes, "node", "left")
+    labels = nodes.select("node", "id", "least")
     if roots is None:
-        return out.select("rid", "doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("rep", "rid").alias("root"))
-    named = roots.select(F.col("node").alias("rep"), "root").join(nodes.select("rep", "least"), "rep")
-    names = named.groupBy("root").agg(F.min("least").alias("name"))
-    labels = named.select("rep", "root").join(names, "root").select("rep", "root", "name")
-    return out.join(labels, "rep", "left").select(
-        "rid", "doc_id", "text_hash", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("name", "least")).alias("component_id"),
-        F.coalesce("root", "rep", "rid").alias("root"),
+        labels = labels.select("node", F.col("id").alias("root"), F.col("least").alias("name"))
+    else:
+        labels = labels.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        names = labels.groupBy("root").agg(F.min("least").alias("name"))
+        labels = labels.select("node", "root").join(names, "root")
+    return rows.join(labels, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "root"
     )
 
 
 def keep_one(docs: DataFrame, **kind) -> DataFrame:
-    """docs with one row of each component (the least doc_id, then text hash), all columns; rows
-    without shingles all stay, as they are linked with nothing."""
+    """docs with one row of each component (the least doc_id, nulls last, then text hash), all columns;
+    rows without shingles all stay, as they are linked with nothing."""
     names = docs.columns
-    table = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")).withColumn("row", F.monotonically_increasing_id()))
-    found = near_duplicate_components(table.select(F.col("row").alias("doc_id"), F.col("r.text").alias("text")), **kind)
-    # rows are numbered by doc_id here, so that repeated doc_ids stay apart
-    ids = table.select("row", F.col("r.doc_id").cast("long").alias("id"))
-    kept = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(ids, "row")
-    least = kept.groupBy("group").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("k")).select(F.col("k.row").alias("row"))
-    return table.join(least, "row", "left_semi").select("r.*")
+    found = near_duplicate_components(docs, **kind)
+    ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = materialize(found.where("root is not null").groupBy("root").agg(F.min(ranked).alias("k")).select("k.doc_id", "k.text_hash"))
+    # rows that share doc_id and text with a kept one are equal copies of it
+    again = materialize(found.where("root is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    empty = keyed.where(F.coalesce(F.length(F.regexp_replace(F.col("r.text").cast("string"), "[\\x20\\x09-\\x0D]+", "")), F.lit(0)) == 0)
+    same = lambda x: keyed.doc_id.eqNullSafe(x.doc_id) & (keyed.text_hash == x.text_hash)
+    full = keyed.join(kept, same(kept), "left_semi")
+    twice = lambda how: full.join(again, full.doc_id.eqNullSafe(again.doc_id) & (full.text_hash == again.text_hash), how)
+    if again.head(1):
+        full = twice("left_anti").unionByName(twice("left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return full.select("r.*").unionByName(empty.select("r.*"))
 
 
 def op8_pigeonhole_jaccard(spark, sf_dir: str) -> DataFrame:

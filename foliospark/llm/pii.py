@@ -140,7 +140,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 _MENTIONS = "array<struct<instance:string,kind:string,possible:array<string>,start:long,end:long,patterns:array<string>>>"
-FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,end:long,kind:string>>, mentions {_MENTIONS}"
+FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,end:long,kind:string>>, mentions {_MENTIONS}"
 
 
 def written(spans: list[Span]) -> str:
@@ -166,9 +166,10 @@ def find_base(docs: DataFrame) -> DataFrame:
             counts = [pa.array([sum(s[2] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in spans])
             listed = pa.array([[dict(start=a, end=e, kind=k) for a, e, k in x] for x in spans], span)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, sha, listed, pa.array(mentions, mention)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *counts, sha, listed, pa.array(mentions, mention)], names=["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, FOUND)
 
 
 def score_graph(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -238,11 +239,12 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with base and added spans of `text` masked; all rows and columns stay."""
+    """docs with base and added spans of `text` masked; all rows and columns stay. Base spans are found
+    again where the text is; only rows of texts with added spans meet something by join."""
     ship_package(docs.sparkSession)
     names = docs.columns
-    table = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")).withColumn("row", F.monotonically_increasing_id()))
-    found = materialize(find_base(table.select(F.col("row").alias("doc_id"), F.col("r.text").alias("text"))).select(F.col("doc_id").alias("row"), "mentions"))
+    found = materialize(find_base(docs).select("doc_id", "text_hash", "mentions").withColumn("row", F.monotonically_increasing_id()))
+    added = materialize(found.select("row", "doc_id", "text_hash").join(discover(found), "row").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.first("added").alias("added")))
 
     def mask(texts: pa.Array, added: pa.Array) -> pa.Array:
         out = []
@@ -252,7 +254,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return pa.array(out, pa.string())
 
     mask_udf = F.arrow_udf(mask, "string")
-    joined = table.join(discover(found), "row", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    joined = rows.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return joined.select(*[(mask_udf(F.col("r.text").cast("string"), F.col("added")) if c == "text" else F.col("r")[c]).alias(c) for c in names])
 
 

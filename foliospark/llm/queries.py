@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from foliospark.llm.decontamination import op7_suffix_array_decontamination
+from foliospark.llm.embeddings import op9_pruned_graph_embeddings
 from foliospark.llm.jaccard import op8_pigeonhole_jaccard
 from foliospark.llm.langid import op5_compression_langid
 from foliospark.llm.packing import op6_best_fit_packing
 from foliospark.llm.pages import op2_page_differencing
 from foliospark.llm.pii import op3_bootstrapped_pii
 from foliospark.llm.sharding import op10_feistel_sharding
+from foliospark.llm.suffix_tree_lm import op4_suffix_tree_lm
 from foliospark.llm.toxicity import op1_factorization_toxicity
 
 QUERIES = {
     "op1_factorization_toxicity": op1_factorization_toxicity,
     "op2_page_differencing": op2_page_differencing,
     "op3_bootstrapped_pii": op3_bootstrapped_pii,
+    "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_compression_langid": op5_compression_langid,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_array_decontamination": op7_suffix_array_decontamination,
     "op8_pigeonhole_jaccard": op8_pigeonhole_jaccard,
+    "op9_pruned_graph_embeddings": op9_pruned_graph_embeddings,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
