@@ -72,4 +72,13 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliospark_path = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will read again."""
+    spark = table.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._foliospark_path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
