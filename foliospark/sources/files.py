@@ -29,10 +29,11 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def read_articles(spark: SparkSession, path: str, schema: str = ARTICLE) -> tuple[DataFrame, DataFrame]:
     """(articles, malformed files) of a folder of indented .json files, each with file_name. The text,
-    which has several shapes, stays JSON: null where it is JSON null. One parse serves both frames."""
+    which has several shapes, stays JSON: null where it is JSON null. The id of a malformed file is what
+    could be read of it (Spark wants a parsed column beside the corrupt record)."""
     full = f"{schema}, _corrupt_record string"
     rows = spark.read.schema(full).json(path, multiLine=True, pathGlobFilter="*.json", mode="PERMISSIVE").select("*", F.col("_metadata.file_name").alias("file_name"))
-    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("file_name", F.col("_corrupt_record").alias("content"))
+    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("file_name", F.col("_corrupt_record").alias("content"), "id")
 
 
 def append_parquet(rows: DataFrame, path: str, schema: str = NOTES) -> None:
