@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foliospark.llm import oracle
 from foliospark.llm.decontamination import op7_suffix_array_decontamination
 from foliospark.llm.embeddings import op9_pruned_graph_embeddings
 from foliospark.llm.jaccard import op8_pigeonhole_jaccard
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_suffix_array_decontamination": oracle.OP7,
+    "op8_pigeonhole_jaccard": oracle.OP8,
+    "op9_pruned_graph_embeddings": oracle.OP9,
+}
