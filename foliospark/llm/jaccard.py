@@ -12,11 +12,12 @@ given no entry, and its unit of the pigeonhole goes to the next segment, which t
 one-deletion neighbourhood: the pair still can't differ in all of them (H_b + 1 units are met). Giving
 neighbourhoods to more segments would cost an entry for every shingle and save one for each segment.
 
-Buckets aren't expanded to all pairs. Each round compares every bucket's hub (its least node that was
-no hub yet) with its other members outside the hub's component, verifies these pairs exactly on the
-shingles of whole texts, and merges components; buckets within one component are done. When the pairs
-that are left are no more than a few for each entry they are verified at once. All pairs that could
-link two components are verified, so components are exact; only links inside a component are skipped.
+Buckets of up to FEW nodes give their pairs. Larger ones aren't expanded: those that share nodes are one
+group, a round compares its hub (the node that shares most entries) with all others, and what is left,
+pairs of others in different components, is indexed anew by the differences to the hub, where unlike
+sets rarely meet (difference_entries), and goes to the next round; what MOST_ROUNDS leave is compared by
+pairs. Verification is exact, on the shingles of whole texts. All pairs that could link two components
+are verified, so components are exact; only links inside a component are skipped.
 
 Defined cases: null or empty text has no shingles and is its own component; repeated rows and doc_ids
 are rows of one node or of two; a null doc_id takes part but never names a component unless all its
@@ -38,8 +39,8 @@ from foliospark.session import materialize, release, ship_package
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # the threshold as a fraction
-PAIRS_AN_ENTRY = 4
-MOST_HUB_ROUNDS = 6
+FEW = 6  # nodes of a bucket whose pairs are all compared
+MOST_ROUNDS = 5  # after which the pairs of what is left are all compared
 CACHED_WORDS = 400_000
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -185,31 +186,93 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS, num: int = NU
     return full.select("u", "v", test("a", "b").alias("linked")).where("linked").select("u", "v")
 
 
+def difference_entries(hub: np.ndarray, other: np.ndarray, name: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
+    """Index entries of a set among those compared with one hub, from its differences D to the hub.
+
+    For two such sets |i ^ j| = |D_i ^ D_j|, so a link needs |D_i & D_j| >= (|D_i| + |D_j| - H) / 2, which
+    is 1 or more unless both are linked to the hub. Sets are dealt to bands by |D|; for each band that a
+    partner can be in, the first |D| - t + 1 differences are entries, t the least overlap with such a
+    partner (prefix filtering). Shingles that the hub lacks come first, as they are the rare ones: with
+    narrow bands, shingles that many sets have lost are entries of a few borderline sets only. Two sets
+    that are both linked to the hub need no entry.
+    """
+    new = other[~np.isin(other, hub, assume_unique=True)]
+    lost = hub[~np.isin(hub, other, assume_unique=True)]
+    differences = np.concatenate([new, lost])
+    k = len(differences)
+    most = lambda n: (n + n * den // num) * (den - num) // (den + num)
+    h, width = most(len(other)), max(1, most(len(hub)) // 8)
+    # a set that isn't linked to the hub has more differences than this
+    linked = (len(hub) + len(hub) * num // den) * (den - num) // (den + num) - 1
+    own, out = k // width, []
+    value = _mix(differences * _M1 + np.full(1, name & (1 << 64) - 1, np.uint64))
+    for b in range(max(1, k - h) // width, (k + h) // width + 1):
+        if max(k, b * width + width - 1) < linked:
+            continue
+        t = max(1, -(-(k + max(1, b * width) - h) // 2))
+        if t <= k:
+            out.append(_mix(value[: k - t + 1] + np.full(1, min(own, b) * 1_000_003 + max(own, b), np.uint64) * _M3))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else _NONE
+
+
+def compare_with_hubs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """pairs (u a hub, v) to (u, v, linked, entries)."""
+    kind = pa.struct([("linked", pa.bool_()), ("entries", pa.list_(pa.int64()))])
+
+    def compare(u: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        linked, entries, last, x, hub = [], [], None, set(), _NONE
+        for name, s, t in zip(u, a, b):
+            name, t = name.as_py(), t.as_py()
+            if name != last:
+                s = s.as_py()
+                last, x, hub = name, shingle_set(s, words), shingle_hashes(s, words)
+            y = shingle_set(t, words)
+            both = len(x & y)
+            linked.append(den * both >= num * (len(x) + len(y) - both) > 0)
+            entries.append(difference_entries(hub, shingle_hashes(t, words), name, num, den))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(e) for e in entries]), pa.int32()), pa.array(np.concatenate([_NONE, *entries]), pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(linked, pa.bool_()), lists], fields=list(kind))
+
+    test = F.arrow_udf(compare, "struct<linked:boolean,entries:array<long>>")
+    full = (
+        pairs.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")), "v")
+        .join(texts.select(F.col("rid").alias("u"), F.col("text").alias("a")), "u")
+    )
+    return full.select("u", "v", test("u", "a", "b").alias("r")).select("u", "v", "r.linked", "r.entries")
+
+
 def link_nodes(buckets: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
     """buckets: (entry, rid) of entries with two nodes or more. (node, root) of all linked nodes, or None."""
     links, roots, rest, done = None, None, buckets, 0
-    while True:
+    while rest is not None:
         labelled = rest if roots is None else rest.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
         labelled = labelled.select("entry", "rid", (F.coalesce("root", "rid") if roots is not None else F.col("rid")).alias("root"))
-        mixed = labelled.groupBy("entry").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("rid", "root")).alias("hub"), F.count(F.lit(1)).alias("n")).where("a < b")
-        live = materialize(labelled.join(mixed.select("entry", "hub", "n"), "entry"))
-        size = live.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("pairs")).first()
-        if not size.rows:
+        mixed = labelled.groupBy("entry").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+        live = materialize(labelled.join(mixed.select("entry", "n"), "entry"))
+        if not live.head(1):
             break
-        last = size.pairs <= PAIRS_AN_ENTRY * size.rows or done >= MOST_HUB_ROUNDS
-        if last:
-            other = live.select("entry", F.col("rid").alias("v"), F.col("root").alias("root_v"))
-            pairs = live.select("entry", F.col("rid").alias("u"), "root").join(other, "entry").where("u < v and root != root_v")
-        else:
-            pairs = live.select(F.col("hub.rid").alias("u"), F.col("rid").alias("v"), "root", "hub").where("u < v and root != hub.root")
-        found = materialize(verify(pairs.select("u", "v").distinct(), texts, **kind))
+        done += 1
+        few = live if done > MOST_ROUNDS else live.where(F.col("n") <= FEW)
+        other = few.select("entry", F.col("rid").alias("v"), F.col("root").alias("root_v"))
+        pairs = few.select("entry", F.col("rid").alias("u"), "root").join(other, "entry").where("u < v and root != root_v")
+        found, rest = verify(pairs.select("u", "v").distinct(), texts, **kind), None
+        many = live.where(F.col("n") > FEW).select("entry", "rid", "n")
+        if done <= MOST_ROUNDS and many.head(1):
+            # Buckets that share nodes are one group, with one hub: the node that shares most entries,
+            # in a group of copies the one they are made from. So each node is compared once a round.
+            centre = many.groupBy("entry").agg(F.min("rid").alias("v"))
+            groups = components(many.join(centre, "entry").select(F.col("rid").alias("u"), "v").distinct())
+            weighed = materialize(many.groupBy("rid").agg(F.sum("n").alias("w")).join(groups.select(F.col("node").alias("rid"), F.col("root").alias("group")), "rid"))
+            hubs = weighed.groupBy("group").agg(F.max(F.struct("w", "rid")).alias("hub"))
+            star = weighed.join(hubs, "group").where("rid != hub.rid").select(F.col("hub.rid").alias("u"), F.col("rid").alias("v"))
+            compared = materialize(compare_with_hubs(star, texts, **kind))
+            found = found.unionByName(compared.where("linked").select("u", "v"))
+            rest = compared.select(F.explode("entries").alias("entry"), F.col("v").alias("rid"))
+        found = materialize(found)
         if found.head(1):
             links = found if links is None else links.unionByName(found)
             roots = materialize(components(links))
             links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u > v")
-        if last:
-            break
-        rest, done = live.where("rid != hub.rid").select("entry", "rid"), done + 1
     return roots
 
 
