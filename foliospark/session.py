@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -72,13 +73,11 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._foliospark_path = path
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(table: DataFrame) -> None:
-    """Delete a table of materialize() that nothing will read again."""
-    spark = table.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._foliospark_path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop_dead_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of frames that nothing refers to go when the driver's JVM collects garbage; ask
+    for that between steps that each move much."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
