@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.session import materialize, release, ship_package
+from foliospark.session import drop_dead_shuffles, materialize, ship_package
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # the threshold as a fraction
@@ -142,7 +142,7 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
 ROWS = "doc_id long, text_hash long, n_shingles long, node binary, entries array<long>"
 
 
-def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, entries: bool = True) -> DataFrame:
     """ROWS for every row of docs: its set's size, name (128 bits of its hashes) and index
     entries; of equal sets in a task only the first has entries."""
     ship_package(docs.sparkSession)
@@ -150,15 +150,18 @@ def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for b in batches:
-            sizes, nodes, entries = [], [], []
+            sizes, nodes, found = [], [], []
             for text in b.column("text").to_pylist():
                 h = shingle_hashes(text, words)
                 sizes.append(len(h))
                 nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                entries.append(_NONE if nodes[-1] in seen else signatures(h, bands))
-                seen.add(nodes[-1])
-            flat = np.concatenate(entries) if entries else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(e) for e in entries]), pa.int32()), pa.array(flat, pa.int64()))
+                if entries:
+                    found.append(_NONE if nodes[-1] in seen else signatures(h, bands))
+                    seen.add(nodes[-1])
+                else:
+                    found.append(_NONE)
+            flat = np.concatenate([_NONE, *found])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(e) for e in found]), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "text_hash", "n_shingles", "node", "entries"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, ROWS)
@@ -241,6 +244,14 @@ def compare_with_hubs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, nu
     return full.select("u", "v", test("u", "a", "b").alias("r")).select("u", "v", "r.linked", "r.entries")
 
 
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """A table of the rows (entry, rid) whose entry more than one node has. One shuffle serves both
+    sides of the join, and most entries, which one node has alone, end there."""
+    dealt = entries.select("entry", "rid").repartition("entry")
+    shared = dealt.groupBy("entry").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("entry")
+    return materialize(dealt.join(shared, "entry", "left_semi").distinct())
+
+
 def link_nodes(buckets: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
     """buckets: (entry, rid) of entries with two nodes or more. (node, root) of all linked nodes, or None."""
     links, roots, rest, done = None, None, buckets, 0
@@ -267,7 +278,7 @@ def link_nodes(buckets: DataFrame, texts: DataFrame, **kind) -> DataFrame | None
             star = weighed.join(hubs, "group").where("rid != hub.rid").select(F.col("hub.rid").alias("u"), F.col("rid").alias("v"))
             compared = materialize(compare_with_hubs(star, texts, **kind))
             found = found.unionByName(compared.where("linked").select("u", "v"))
-            rest = compared.select(F.explode("entries").alias("entry"), F.col("v").alias("rid"))
+            rest = shared_entries(compared.select(F.explode("entries").alias("entry"), F.col("v").alias("rid")))
         found = materialize(found)
         if found.head(1):
             links = found if links is None else links.unionByName(found)
@@ -288,15 +299,13 @@ def _salted(nodes: DataFrame) -> tuple[DataFrame, int]:
 def near_duplicate_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """A row for every row of docs: doc_id, text_hash, n_shingles, component_id, root (a node of the
     component, the same for all of it; null without shingles)."""
-    indexed = materialize(index_rows(docs, words, num, den))
-    rows = materialize(indexed.drop("entries"))
+    # entries aren't stored with the rows but made in a second pass, as they are half as many as shingles
+    indexed = index_rows(docs, words, num, den)
+    rows = materialize(index_rows(docs, words, num, den, entries=False).drop("entries"))
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("place"))
     nodes, salt = _salted(materialize(named))
-    # one shuffle by entry, read by both sides
-    entries = indexed.where("size(entries) > 0").select(F.xxhash64("node", F.lit(salt)).alias("rid"), F.explode("entries").alias("entry")).repartition("entry")
-    shared = entries.groupBy("entry").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("entry")
-    buckets = materialize(entries.join(shared, "entry", "left_semi").distinct())
-    release(indexed)
+    buckets = shared_entries(indexed.where("size(entries) > 0").select(F.xxhash64("node", F.lit(salt)).alias("rid"), F.explode("entries").alias("entry")))
+    drop_dead_shuffles(docs.sparkSession)
     place = nodes.join(buckets.select(F.col("rid").alias("id")).distinct(), "id", "left_semi").select("id", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
     texts = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
