@@ -299,9 +299,9 @@ def _salted(nodes: DataFrame) -> tuple[DataFrame, int]:
 def near_duplicate_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """A row for every row of docs: doc_id, text_hash, n_shingles, component_id, root (a node of the
     component, the same for all of it; null without shingles)."""
-    # entries aren't stored with the rows but made in a second pass, as they are half as many as shingles
-    indexed = index_rows(docs, words, num, den)
-    rows = materialize(index_rows(docs, words, num, den, entries=False).drop("entries"))
+    # stored, as Spark makes entries twice for the two sides of the join below where they come from Python
+    indexed = materialize(index_rows(docs, words, num, den))
+    rows = materialize(indexed.drop("entries"))
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("place"))
     nodes, salt = _salted(materialize(named))
     buckets = shared_entries(indexed.where("size(entries) > 0").select(F.xxhash64("node", F.lit(salt)).alias("rid"), F.explode("entries").alias("entry")))
