@@ -1,19 +1,25 @@
 """Operator 4: language-model scores by a probabilistic suffix tree.
 
-A text is its words (bytes, ASCII lower-cased) and one end. The tree predicts the next byte of a word,
-its terminator (a space) or, at a word's start, the end of the text (a newline), from the bytes before
-it back to the space before the word. Contexts of up to DEPTH bytes are counted over all training
-tokens (each distinct token once, weighted). A context is retained where its next-symbol distribution
-diverges from that of the context one byte shorter by more than its symbols cost: N * KL > SLACK * k/2 * ln N for
-N occurrences and k symbols. At a word's start whole tokens are symbols as well: the state's distribution
-over tokens is smoothed into the spelling by bytes, with as much weight for that as there are distinct
-tokens, so frequent words are scored as words and unseen ones by how they are spelled. Distributions are smoothed into that of the longest retained suffix
-(Witten and Bell), down to the uniform one, so every text has a probability; a position is scored by the longest retained suffix state.
-
-Token counts, which the base score needs too, cover all training documents and grow with them. The tree
-has at most STATES contexts (those of largest N * KL), its size bound in memory; DEPTH and the alphabet
-of 256 bound what can be counted. Texts are read once: tasks turn blocks of documents into postings
-(token, places), which meet the counts and tree scores by token and go back to their block.
+A text is its words (bytes, ASCII lower-cased) and one end. Each position (a word or the end) is predicted
+from the words before it: contexts of 1 to WORDS preceding words, text starts included, are counted over
+all training positions and retained where their next-word distribution diverges from that of the context
+one word shorter by more than its symbols cost: N * KL > k * (SLACK / 2 * ln N + ln(n + v)) for N
+occurrences and k symbols, where ln(n + v) names a symbol among n tokens of v kinds. (Without it every
+context that occurs once would pass, and cost half of each unseen word's probability.) Distributions are smoothed into that of the longest retained suffix (Witten and Bell), so a
+position is scored by the longest retained suffix state of the words before it.
+
+The state without words is the distribution over training tokens, smoothed into their spelling with as much
+weight for that as there are distinct tokens, so frequent words are scored as words and unseen ones by how
+they are spelled. Spelling is a second suffix tree, over bytes: it predicts the next byte of a word, its
+terminator (a space) or, at a word's start, the end of the text (a newline) from up to DEPTH bytes before
+it, back to the space before the word, counted over all training tokens (each distinct token once, weighted),
+retained where N * KL > SLACK * k/2 * ln N and smoothed alike, down to the uniform distribution, so every text has a probability.
+
+Token counts, which the base score needs too, and word contexts cover all training documents and grow with
+them; contexts are joined by key and never gathered. The byte tree has at most STATES contexts (those of
+largest N * KL), its size bound in memory. Texts are read once for tokens, contexts and postings each: tasks turn blocks of
+documents into postings (context and word, places), which meet the scores and go back to their block.
+Words and contexts are keyed by 64-bit hashes.
 
 Defined cases: null or empty text is the end alone; a null doc_id is a training row; repeated rows
 count and score one by one; an empty table gives no rows; without training rows the tree is uniform;
@@ -27,12 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.session import materialize, ship_package
 
+WORDS = 2
 DEPTH = 6
 STATES = 1 << 17
 SLACK = 1.0
@@ -41,7 +50,9 @@ CHUNK = 100_000  # distinct tokens worked on at once
 CHUNK_BYTES = 4_000_000
 END = b"\n"
 
-POSTINGS = "token binary, block long, train long, places binary, counts binary"
+TOKENS = "token binary, c long"
+GRAMS = f"gram long, {', '.join(f'c{d} long' for d in range(1, WORDS + 1))}, symbol long, n long"
+POSTINGS = "gram long, block long, places binary, counts binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,34 +64,43 @@ def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer((edges * data.itemsize).astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """POSTINGS by block; one row of each block has a null token and names its documents."""
-    ship_package(docs.sparkSession)
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers in all rows of bytes, one after the other."""
+    out = []
+    for chunk in column.chunks:
+        edges = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and edges[-1] > edges[0]:
+            out.append(np.frombuffer(chunk.buffers()[2], kind, int(edges[-1] - edges[0]) // np.dtype(kind).itemsize, int(edges[0])))
+    return np.concatenate(out) if out else np.empty(0, kind)
 
-    def block_rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in ids])
-        place = np.repeat(np.arange(len(ids)), sizes)
-        keys, counts = np.unique(np.concatenate(ids).astype(np.int64) * 65_536 + place, return_counts=True)
-        # a count over 255 is several entries
-        times = -(-counts // 255)
-        keys, last = np.repeat(keys, times), np.cumsum(times) - 1
-        small = np.full(len(keys), 255)
-        small[last] = counts - 255 * (times - 1)
-        counts, token, place = small, keys >> 16, keys & 65_535
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        learn = np.array([not h for _, h in docs])
-        train = np.add.reduceat(np.where(learn[place], counts, 0), edges[:-1])
-        names = np.array([0 if d is None else d for d, _ in docs], "<i8")
-        flags = np.array([(d is None) * 2 + bool(h) for d, h in docs], "<u1")
-        n = len(edges) - 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*vocabulary, None], pa.binary()), pa.array(np.full(n + 1, block)), pa.array([*train.tolist(), None], pa.int64()),
-                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([names.tobytes()], pa.binary())]),
-                pa.concat_arrays([_binary(counts.astype("<u1"), edges), pa.array([flags.tobytes()], pa.binary())]),
-            ],
-            names=["token", "block", "train", "places", "counts"],
-        )
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two 64-bit numbers, in this order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(k)
+    return x ^ (x >> np.uint64(31))
+
+
+def symbol_of(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def word_contexts(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The contexts of 1 to WORDS words before each of the symbols of texts of the given sizes."""
+    at = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out, context = [], np.zeros(len(symbols), np.uint64)
+    for d in range(1, WORDS + 1):
+        before = np.zeros(len(symbols), np.uint64)  # 0 stands before a text
+        before[d:] = symbols[:-d]
+        context = _mix(context, np.where(at >= d, before, np.uint64(0)))
+        out.append(context)
+    return out
+
+
+def _blocks(docs: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(block, docs, vocabulary, ids) of blocks of documents."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -96,17 +116,108 @@ def postings(docs: DataFrame) -> DataFrame:
                 words = text.lower().split() if text else []
                 words.append(END)
                 if state[0] and (state[3] + len(words) > BLOCK_WORDS or len(state[0]) >= BLOCK_DOCS):
-                    yield block_rows(block, *state[:3])
+                    yield rows_of(block, *state[:3])
                     block += 1
                     fresh()
                 state[0].append((d, held))
                 state[2].append(np.fromiter(map(state[1].__getitem__, words), np.int32, len(words)))
                 state[3] += len(words)
         if state[0]:
-            yield block_rows(block, *state[:3])
+            yield rows_of(block, *state[:3])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, POSTINGS)
+    return rows.mapInArrow(run, schema)
+
+
+def _learned(docs: list, ids: list[np.ndarray]) -> np.ndarray:
+    """1 for each position of a training document."""
+    return np.repeat(np.array([not h for _, h in docs]).astype(np.int64), [len(x) for x in ids])
+
+
+def _block_grams(vocabulary: dict, ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The gram (longest context and word), the contexts and the symbol of each position."""
+    symbols = symbol_of(list(vocabulary))[np.concatenate(ids)]
+    contexts = word_contexts(symbols, np.array([len(x) for x in ids]))
+    return _mix(contexts[-1], symbols), contexts, symbols
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """TOKENS: each token of a block with its count in training documents."""
+
+    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
+        c = np.bincount(np.concatenate(ids), _learned(docs, ids), len(vocabulary)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(vocabulary), pa.binary()), pa.array(c)], names=["token", "c"])
+
+    return _blocks(docs, rows, TOKENS)
+
+
+def grams_of(docs: DataFrame) -> DataFrame:
+    """GRAMS: each gram of a block with its contexts, its symbol and its count in training documents."""
+
+    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
+        gram, contexts, symbols = _block_grams(vocabulary, ids)
+        order = np.argsort(gram)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(gram[order])) + 1])
+        first = order[edge]
+        n = np.add.reduceat(_learned(docs, ids)[order], edge)
+        columns = [pa.array(x[first].view(np.int64)) for x in (gram, *contexts, symbols)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["gram", *[f"c{d}" for d in range(1, WORDS + 1)], "symbol", "n"])
+
+    return _blocks(docs, rows, GRAMS)
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """POSTINGS by block; one row of each block has a null gram and names its documents."""
+
+    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
+        gram = _block_grams(vocabulary, ids)[0]
+        place = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        order = np.lexsort((place, gram))
+        gram, place = gram[order], place[order]
+        edge = np.concatenate([[0], np.flatnonzero((np.diff(gram) != 0) | (np.diff(place) != 0)) + 1])
+        counts = np.diff(np.concatenate([edge, [len(gram)]]))
+        # a count over 255 is several entries
+        times = -(-counts // 255)
+        key, last = np.repeat(edge, times), np.cumsum(times) - 1
+        small = np.full(len(key), 255)
+        small[last] = counts - 255 * (times - 1)
+        gram, place = gram[key], place[key]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]])
+        names = np.array([0 if d is None else d for d, _ in docs], "<i8")
+        flags = np.array([(d is None) * 2 + bool(h) for d, h in docs], "<u1")
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(gram[edges[:-1]].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.full(len(edges), block)),
+                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([names.tobytes()], pa.binary())]),
+                pa.concat_arrays([_binary(small.astype("<u1"), edges), pa.array([flags.tobytes()], pa.binary())]),
+            ],
+            names=["gram", "block", "places", "counts"],
+        )
+
+    return _blocks(docs, rows, POSTINGS)
+
+
+def deepen(entries: DataFrame, shorter: DataFrame, naming: float = 0.0, slack: float = SLACK) -> DataFrame:
+    """entries (context, above, symbol, n, ...) of one depth with log_q, the log of the symbol's share in
+    the context, and lp, its log10 probability smoothed into those that shorter (context, symbol, log_q,
+    lp) gives for the contexts above; naming is the cost of each symbol of a context. Only contexts that pass the divergence test change lp."""
+    above = shorter.select(F.col("context").alias("above"), "symbol", F.col("log_q").alias("log_q0"), F.col("lp").alias("lp0"))
+    of = Window.partitionBy("context")
+    seen, n = F.col("n") > 0, F.col("n").cast("double")
+    totals = (
+        entries.join(above, ["above", "symbol"])
+        .withColumn("total", F.sum(n).over(of)).withColumn("k", F.sum(seen.cast("double")).over(of))
+        .withColumn("log_q", F.when(seen, F.log(n / F.col("total"))))
+        .withColumn("gain", F.sum(F.when(seen, n * (F.col("log_q") - F.col("log_q0")))).over(of))
+    )
+    kept = F.coalesce(F.col("gain") > F.col("k") * (slack * 0.5 * F.log("total") + naming), F.lit(False))
+    # an unseen symbol's is apart, as 10 ** lp0 of a long word is 0
+    lp = (
+        F.when(~kept, F.col("lp0"))
+        .when(seen, F.log10((n + F.col("k") * F.pow(F.lit(10.0), "lp0")) / (F.col("total") + F.col("k"))))
+        .otherwise(F.log10(F.col("k") / (F.col("total") + F.col("k"))) + F.col("lp0"))
+    )
+    return totals.withColumn("lp", lp).drop("above", "total", "k", "gain", "log_q0", "lp0")
 
 
 class Symbols:
@@ -250,8 +361,7 @@ def learn(tokens: DataFrame, states: int = STATES) -> SuffixTree:
 def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
-    blocks = materialize(postings(docs))
-    tokens = materialize(blocks.where("token is not null").groupBy("token").agg(F.sum("train").alias("c")))
+    tokens = materialize(words_of(docs).groupBy("token").agg(F.sum("c").alias("c")))
     size = tokens.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(size.n), int(size.v)
     shared = spark.sparkContext.broadcast(learn(tokens, states))
@@ -260,19 +370,15 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
         for words, counts in _chunks(batches):
             spelled = shared.value.score(words)
             lp = np.where(counts > 0, np.log10((counts + v * 10**spelled) / max(n + v, 1)), spelled + (np.log10(v / (n + v)) if n else 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts), pa.array(lp)], names=["token", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array(symbol_of(words).view(np.int64)), pa.array(counts), pa.array(lp)], names=["symbol", "c", "lp"])
 
     def total(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        c, lp, names = table.column("c").to_pylist(), table.column("lp").to_pylist(), table.column("token_is_null").to_pylist()
-        places, counts = table.column("places").to_pylist(), table.column("counts").to_pylist()
-        head = names.index(True)
-        ids, flags = np.frombuffer(places[head], "<i8"), np.frombuffer(counts[head], "<u1")
-        for x in (c, lp, places, counts):
-            del x[head]
-        of, times = np.frombuffer(b"".join(places), "<u2"), np.frombuffer(b"".join(counts), "<u1").astype(float)
-        row = np.repeat(np.arange(len(places)), [len(p) // 2 for p in places])
-        c, lp = np.array(c, float), np.array(lp, float)
+        is_head = table.column("is_head")
+        head, table = table.filter(is_head), table.filter(pc.invert(is_head)).combine_chunks()
+        ids, flags = np.frombuffer(head.column("places")[0].as_py(), "<i8"), np.frombuffer(head.column("counts")[0].as_py(), "<u1")
+        of, times = (_joined(table.column(k), t) for k, t in (("places", "<u2"), ("counts", "<u1")))
+        row = np.repeat(np.arange(len(table)), pc.binary_length(table.column("counts")).to_numpy())
+        c, lp = table.column("c").to_numpy().astype(float), table.column("lp").to_numpy()
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         sums = [np.bincount(of, times * x[row], len(ids)) for x in (np.ones(len(c)), c > 0, base, lp)]
         return pa.table({
@@ -281,11 +387,22 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
             "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3]),
         })
 
-    rated = tokens.select("token", "c").mapInArrow(rate, "token binary, c long, lp double")
-    joined = blocks.where("token is not null").select("token", "block", "places", "counts").join(rated, "token")
+    rated = materialize(tokens.mapInArrow(rate, "symbol long, c long, lp double"))
+    longest = [f"c{d}" for d in range(1, WORDS + 1)]
+    grams = materialize(grams_of(docs).groupBy("gram").agg(*[F.first(x).alias(x) for x in (*longest, "symbol")], F.sum("n").alias("n")))
+    scores = rated.select(F.lit(0).cast("long").alias("context"), "symbol", F.when(F.col("c") > 0, F.log(F.col("c") / F.lit(float(max(n, 1))))).alias("log_q"), "lp")
+    for d in range(1, WORDS):
+        above = F.col(f"c{d - 1}") if d > 1 else F.lit(0).cast("long")
+        entries = grams.select(F.col(f"c{d}").alias("context"), above.alias("above"), "symbol", "n").groupBy("context", "above", "symbol").agg(F.sum("n").alias("n"))
+        scores = materialize(deepen(entries, scores, float(np.log(max(n + v, 1)))).select("context", "symbol", "log_q", "lp"))
+    above = F.col(longest[-2]) if WORDS > 1 else F.lit(0).cast("long")
+    entries = grams.select("gram", F.col(longest[-1]).alias("context"), above.alias("above"), "symbol", "n")
+    scored = deepen(entries, scores, float(np.log(max(n + v, 1)))).select("gram", "symbol", "lp").join(rated.select("symbol", "c"), "symbol")
+    blocks = materialize(postings(docs))
+    joined = blocks.where("gram is not null").join(scored.select("gram", "c", "lp"), "gram")
     columns = ["block", "places", "counts", "c", "lp"]
-    heads = blocks.where("token is null").select("block", "places", "counts", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), F.lit(True).alias("token_is_null"))
-    rows = joined.select(*columns, F.lit(False).alias("token_is_null")).unionByName(heads)
+    heads = blocks.where("gram is null").select("block", "places", "counts", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), F.lit(True).alias("is_head"))
+    rows = joined.select(*columns, F.lit(False).alias("is_head")).unionByName(heads)
     return rows.groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -55,5 +55,52 @@ def test_unseen_words_cost_little_more_than_their_entropy(spark):
     assert 6 * math.log10(5) <= -got.s / got.n < 1.2 * 6 * math.log10(5)
 
 
+def test_the_order_of_words_counts(spark):
+    """Words follow one another in a ring; the same words in another order, and by brute force."""
+    ring = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(ring[(i + k) % 12] for k in range(40))) for i in range(300)]
+    held = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0)
+    text = rows[held][1].split()
+    rows += [(held, " ".join(text[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.score for r in L.score_documents(docs).where(f"doc_id = {held}").collect())
+    assert got[0] < 2 * got[1] and got[1] > -0.5 * len(text)
+
+
+def test_positions_are_scored_by_the_longest_retained_words(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(250):
+        words = ["a", "b"]
+        for _ in range(30):
+            words.append(str(rng.choice(["a", "b", "c", "d"], p=[0.85, 0.05, 0.05, 0.05] if words[-2:] == ["a", "b"] else [0.1, 0.5, 0.2, 0.2] if words[-1] == "a" else [0.4, 0.2, 0.2, 0.2])))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows + [(250, "a b zz a b")], "doc_id long, text string")
+    counts = [collections.defaultdict(collections.Counter) for _ in range(L.WORDS + 1)]
+    positions = {}
+    for i, text in rows + [(250, "a b zz a b")]:
+        t = [None] * L.WORDS + tokens(text)
+        positions[i] = [(tuple(t[k - L.WORDS : k]), t[k]) for k in range(L.WORDS, len(t))]
+        if zlib.crc32(str(i).encode()) % 10:
+            for c, w in positions[i]:
+                for d in range(L.WORDS + 1):
+                    counts[d][c[L.WORDS - d :]][w] += 1
+    root = counts[0][()]
+    tree = L.learn(spark.createDataFrame([(w, c) for w, c in root.items()], L.TOKENS))
+    n, v = sum(root.values()), len(root)
+    spelled = {w: 10 ** tree.score([w])[0] for _, w in {p for x in positions.values() for p in x}}
+
+    def p(c, w):
+        if not c:
+            return (root[w] + v * spelled[w]) / (n + v)
+        here, above = counts[len(c)].get(c, {}), counts[len(c) - 1].get(c[1:], {})
+        total, k = sum(here.values()), len(here)
+        gain = sum(m * math.log(m / total / (above[s] / sum(above.values()))) for s, m in here.items())
+        return (here.get(w, 0) + k * p(c[1:], w)) / (total + k) if total and gain > k * (0.5 * math.log(total) + math.log(n + v)) else p(c[1:], w)
+
+    got = {r.doc_id: r.score for r in L.score_documents(docs).collect()}
+    assert all(abs(got[i] - sum(math.log10(p(c, w)) for c, w in x)) < 1e-6 for i, x in positions.items())
+
+
 def test_empty_table(spark):
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
