@@ -4,8 +4,9 @@ A page becomes text lines, one a block, in page order; lines of menus, forms, sc
 out by their markup. Pages are ordered by URL path within each host and each is paired with its nearest
 neighbours. A pair's lines are aligned by longest common subsequence (of lines numbered by occurrence,
 so that the alignment is an increasing subsequence and takes n log n), and lines shared by both are the
-site's frame and are deleted. Lines inside the page's own article element are never frame: a paragraph
-that two articles quote stays. A neighbour that shares most of a page's lines is a copy of it and gives
+site's frame and are deleted, inside main elements and containers named as content too. Only lines inside
+an article element are never frame: a paragraph that two articles quote stays. On pages that have such
+elements or containers, lines outside all of them are no text. A neighbour that shares most of a page's lines is a copy of it and gives
 no evidence; equal pages of a host are one page in the ordering, so that a run of copies has real
 neighbours.
 
@@ -67,8 +68,9 @@ def _part(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     return False, int(tag in ("div", "section", "td") and bool(names & MAIN_NAMES))
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
-    """The lines of a page that its markup doesn't rule out, in order; True: within the article element."""
+def page_lines(html: str | None) -> list[tuple[str, int]]:
+    """The lines of a page that its markup doesn't rule out, in order, each with how surely it is the
+    article's: 3 in an article element, 2 in a main one, 1 in a container named as content, else 0."""
     if not html:
         return []
     out: list[tuple[str, int]] = []
@@ -125,8 +127,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
             dropped, level = dropped or part, max(level, surely)
             stack.append((tag, dropped, level))
     flush()
-    best = max((v for _, v in out), default=0)
-    return [(t, best > 0 and v >= best) for t, v in out]
+    return out
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -157,21 +158,21 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def frame_of(a: dict, b: dict) -> list[int]:
-    """The lines of page a that page b has too, in order, outside a's article; none if b is a copy."""
+    """The lines of page a that page b has too, in order, outside a's article elements; none if b is a copy."""
     pairs = shared_lines(a["hashes"], b["hashes"])
     size = sum(a["sizes"])
     if not size or sum(a["sizes"][i] for i, _ in pairs) >= COPY * size:
         return []
-    return [i for i, _ in pairs if not a["article"][i]]
+    return [i for i, _ in pairs if a["levels"][i] < 3]
 
 
-_LINES = "page_id long, url string, host string, path string, signature long, lines array<string>, hashes array<long>, sizes array<int>, article array<boolean>"
-_PAGE = "host string, path string, signature long, hashes array<long>, sizes array<int>, article array<boolean>"
+_LINES = "page_id long, url string, host string, path string, signature long, lines array<string>, hashes array<long>, sizes array<int>, levels array<int>"
+_PAGE = "host string, path string, signature long, hashes array<long>, sizes array<int>, levels array<int>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     ship_package(pages.sparkSession)
-    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     address = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +182,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 lines = page_lines(html)
                 m = address.match(url or "")
                 hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
-                article = [f for _, f in lines]
-                key = xxhash.xxh64_intdigest(repr((hashes, article))) - (1 << 63)
-                rows.append(((m[1].rpartition("@")[2].lower() if m else ""), (m[2].rstrip("/") if m else url or ""), key, [t for t, _ in lines], hashes, [len(t) for t, _ in lines], article))
+                levels = [v for _, v in lines]
+                key = xxhash.xxh64_intdigest(repr((hashes, levels))) - (1 << 63)
+                rows.append(((m[1].rpartition("@")[2].lower() if m else ""), (m[2].rstrip("/") if m else url or ""), key, [t for t, _ in lines], hashes, [len(t) for t, _ in lines], levels))
             cols = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["page_id", "url", "host", "path", "signature", "lines", "hashes", "sizes", "article"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["page_id", "url", "host", "path", "signature", "lines", "hashes", "sizes", "levels"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _LINES)
 
@@ -193,17 +194,17 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def frames(parsed: DataFrame) -> DataFrame:
     """(host, signature, frame): the line numbers that differencing deletes, of pages that lose any."""
     spark = parsed.sparkSession
-    distinct = parsed.groupBy("host", "signature").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("hashes", "sizes", "article")])
+    distinct = parsed.groupBy("host", "signature").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("hashes", "sizes", "levels")])
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = distinct.repartitionByRange(parts, "host", "path", "signature").sortWithinPartitions("host", "path", "signature")
 
     def deletions(a: dict, b: dict) -> Iterator[tuple[str, int, list[int]]]:
         if a["host"] == b["host"]:
             for x, y in ((a, b), (b, a)):
-                if not all(x["article"]) and (f := frame_of(x, y)):
+                if any(v < 3 for v in x["levels"]) and (f := frame_of(x, y)):
                     yield x["host"], x["signature"], f
 
-    page = pa.struct([("host", pa.string()), ("path", pa.string()), ("signature", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("article", pa.list_(pa.bool_()))])
+    page = pa.struct([("host", pa.string()), ("path", pa.string()), ("signature", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("levels", pa.list_(pa.int32()))])
 
     def batch(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
         cols = [[r[0] for r in rows] + [None] * len(edges), [r[1] for r in rows] + [None] * len(edges), [r[2] for r in rows] + [None] * len(edges), [None] * len(rows) + [e[0] for e in edges], [None] * len(rows) + [e[1] for e in edges]]
@@ -223,7 +224,7 @@ def frames(parsed: DataFrame) -> DataFrame:
         if first is not None:
             yield batch([], [(2 * part, first), (2 * part + 1, last)])
 
-    out = materialize(ordered.select("host", "path", "signature", "hashes", "sizes", "article").mapInArrow(run, f"host string, signature long, frame array<int>, place long, page struct<{_PAGE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>"))
+    out = materialize(ordered.select("host", "path", "signature", "hashes", "sizes", "levels").mapInArrow(run, f"host string, signature long, frame array<int>, place long, page struct<{_PAGE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>"))
     # The first and last page of each task; a border lies between a last and the next first. Two rows a task.
     edges = out.where("place is not null").select("place", "page").withColumn("next", F.lead("page").over(Window.orderBy("place"))).where("place % 2 = 1 and next is not null")
 
@@ -239,11 +240,11 @@ def frames(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_frame (lines deleted by differencing) for every row of pages."""
     parsed = materialize(parse_pages(pages))
-    has_article = F.exists("article", lambda a: a)
+    contained = F.exists("levels", lambda v: v > 0)
     kept = (
-        parsed.select("page_id", "url", "host", "signature", "lines", "article").join(frames(parsed), ["host", "signature"], "left")
+        parsed.select("page_id", "url", "host", "signature", "lines", "levels").join(frames(parsed), ["host", "signature"], "left")
         .withColumn("numbered", F.transform("lines", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-        .withColumn("kept", F.filter("numbered", lambda x: F.when(has_article, F.get("article", x["i"])).otherwise(~F.coalesce(F.array_contains("frame", x["i"]), F.lit(False)))))
+        .withColumn("kept", F.filter("numbered", lambda x: (~contained | (F.get("levels", x["i"]) > 0)) & ~F.coalesce(F.array_contains("frame", x["i"]), F.lit(False))))
     )
     text = F.array_join(F.transform("kept", lambda x: x["t"]), "\n")
     return kept.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.coalesce(F.size("frame"), F.lit(0)).alias("n_frame"))

@@ -62,3 +62,12 @@ def test_pairs_across_task_borders(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert all(r.text.count("\n") == 1 for r in got)
+
+
+def test_frames_in_containers_go_and_lower_containers_stay(spark):
+    body = ["<div>Menu of the site</div><p>Words of page {i} that are all its own</p>", "<h1>Head {i} of a page</h1><p>Words of page {i} that are all its own</p><article>Card {i}</article>"]
+    rows = [(i, f"https://c.com/{i}", f'<div id="main-content">{body[0].format(i=i)}</div>') for i in range(4)]
+    rows += [(10 + i, f"https://m.com/{i}", f"<div>out</div><main>{body[1].format(i=i)}</main>") for i in range(4)]
+    got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == f"Words of page {i} that are all its own" for i in range(4))
+    assert all(got[10 + i] == f"Head {i} of a page\nWords of page {i} that are all its own\nCard {i}" for i in range(4))
