@@ -6,13 +6,13 @@ neighbours. A pair's lines are aligned by longest common subsequence (of lines n
 so that the alignment is an increasing subsequence and takes n log n), and lines shared by both are the
 site's frame and are deleted, inside main elements and containers named as content too. Only lines inside
 an article element are never frame: a paragraph that two articles quote stays. On pages that have such
-elements or containers, lines outside all of them are no text. A neighbour that shares most of a page's lines is a copy of it and gives
-no evidence; equal pages of a host are one page in the ordering, so that a run of copies has real
-neighbours.
+elements or containers, lines outside all of them are no text. A neighbour beside which almost nothing of a page is left is a copy of it and gives
+no evidence, however much the frame alone makes them share; beyond a run of copies the nearest page on each
+side that is none takes its place. Equal pages of a host are one page in the ordering.
 
 The order within a host is made by a range partitioning of line hashes, so a host with a third of all
 pages spreads over many tasks; the pairs across task borders are made from the first and last page of
-each task. Texts are parsed once and aren't shuffled by the pairing.
+each task, and from those pages of it whose run of copies reaches a border. Texts are parsed once and aren't shuffled by the pairing.
 
 Defined cases: null html is an empty page; a null URL is host "" and path ""; repeated rows give a row
 each; a page without a neighbour, or with copies as neighbours only, keeps all lines that its markup
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import materialize, ship_package
 
-COPY = 0.5  # a neighbour that shares this part of a page's unframed lines is a copy
+LEFT, LEFT_PART = 32, 0.02  # a neighbour beside which fewer characters, or a smaller part, of a page are left is a copy
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -157,12 +157,12 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def frame_of(a: dict, b: dict) -> list[int]:
-    """The lines of page a that page b has too, in order, outside a's article elements; none if b is a copy."""
+def frame_of(a: dict, b: dict) -> list[int] | None:
+    """The lines of page a that page b has too, in order, outside a's article elements; None if b is a copy."""
     pairs = shared_lines(a["hashes"], b["hashes"])
     size = sum(a["sizes"])
-    if not size or sum(a["sizes"][i] for i, _ in pairs) >= COPY * size:
-        return []
+    if size - sum(a["sizes"][i] for i, _ in pairs) < max(LEFT, LEFT_PART * size):
+        return None
     return [i for i, _ in pairs if a["levels"][i] < 3]
 
 
@@ -204,6 +204,43 @@ def frames(parsed: DataFrame) -> DataFrame:
                 if any(v < 3 for v in x["levels"]) and (f := frame_of(x, y)):
                     yield x["host"], x["signature"], f
 
+    class Walk:
+        """Pages of a task in order; deletions by the nearest page on each side that is no copy."""
+
+        def __init__(self):
+            self.first = self.turn = None  # the task's first page, and the first one of its host that is no copy of those before
+            self.last = self.other = None  # the page before, and the nearest one before it that is no copy of it
+            self.waiting: list[tuple[dict, bool]] = []  # a run of copies up to the last page; has it a page before that is none?
+            self.unsettled: list[dict] = []  # pages with copies only in this task, of a host that other tasks may hold
+
+        def settle_elsewhere(self) -> None:
+            self.unsettled += [p for p, before in self.waiting if not before and any(v < 3 for v in p["levels"])]
+
+        def step(self, page: dict) -> Iterator[tuple[str, int, list[int]]]:
+            last, self.last = self.last, page
+            if last is None or last["host"] != page["host"]:
+                if last is None:
+                    self.first = page
+                elif last["host"] == self.first["host"]:
+                    self.settle_elsewhere()
+                self.other, self.waiting = None, [(page, False)]
+                return
+            before = frame_of(page, last)
+            if before is not None:
+                self.other = last
+            elif self.other is not None:
+                before = frame_of(page, self.other)
+            if before:
+                yield page["host"], page["signature"], before
+            if frame_of(last, page) is not None:
+                if page["host"] == self.first["host"] and self.turn is None:
+                    self.turn = page
+                for p, _ in self.waiting:
+                    if f := frame_of(p, page):
+                        yield p["host"], p["signature"], f
+                self.waiting = []
+            self.waiting.append((page, before is not None))
+
     page = pa.struct([("host", pa.string()), ("path", pa.string()), ("signature", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("levels", pa.list_(pa.int32()))])
 
     def batch(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
@@ -211,30 +248,44 @@ def frames(parsed: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), page])], names=["host", "signature", "frame", "place", "page"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, last = TaskContext.get().partitionId(), None, None
+        part, walk = TaskContext.get().partitionId(), Walk()
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                if last is None:
-                    first = r
-                else:
-                    rows += deletions(last, r)
-                last = r
-            yield batch(rows, [])
-        if first is not None:
-            yield batch([], [(2 * part, first), (2 * part + 1, last)])
+            yield batch([d for r in b.to_pylist() for d in walk.step(r)], [])
+        if walk.first is not None:
+            ends = [walk.first, walk.turn, walk.other, walk.last]
+            walk.settle_elsewhere()
+            yield batch([], [(5 * part + k, p) for k, p in enumerate(ends) if p is not None] + [(5 * part + 4, p) for p in walk.unsettled])
 
     out = materialize(ordered.select("host", "path", "signature", "hashes", "sizes", "levels").mapInArrow(run, f"host string, signature long, frame array<int>, place long, page struct<{_PAGE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>"))
-    # The first and last page of each task; a border lies between a last and the next first. Two rows a task.
-    edges = out.where("place is not null").select("place", "page").withColumn("next", F.lead("page").over(Window.orderBy("place"))).where("place % 2 = 1 and next is not null")
+    # The first and last page of each task, and next to its borders the first that is no copy; a border lies
+    # between a last and the next first. Four rows a task at most.
+    ends = out.where("place is not null and place % 5 < 4").select("place", "page")
+    edges = ends.where("place % 5 in (0, 3)").withColumn("next", F.lead("page").over(Window.orderBy("place"))).where("place % 5 = 3 and next is not null")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [d for a, n in zip(b.column("page").to_pylist(), b.column("next").to_pylist()) for d in deletions(a, n)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.int64(), pa.list_(pa.int32())])], names=["host", "signature", "frame"])
 
+    # Runs of copies that fill a task look for a page beyond it, among the ends of tasks that hold the host.
+    unsettled = out.where("place % 5 = 4").select("place", "page")
+    hosts = unsettled.select("page.host").distinct()
+    near = spark.sparkContext.broadcast([(r.place, r.page.asDict()) for r in ends.join(hosts, F.col("page.host") == F.col("host"), "left_semi").orderBy("place").collect()])
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for place, p in zip(b.column("place").to_pylist(), b.column("page").to_pylist()):
+                sides = [q for at, q in reversed(near.value) if at < place - 4], [q for at, q in near.value if at > place]
+                for side in sides:
+                    f = next((f for q in side if q["host"] == p["host"] and (f := frame_of(p, q)) is not None), None)
+                    if f:
+                        rows.append((p["host"], p["signature"], f))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.int64(), pa.list_(pa.int32())])], names=["host", "signature", "frame"])
+
     within = out.where("place is null").select("host", "signature", "frame")
-    return within.unionByName(edges.mapInArrow(across, within.schema)).groupBy("host", "signature").agg(F.array_distinct(F.flatten(F.collect_list("frame"))).alias("frame"))
+    found = within.unionByName(edges.mapInArrow(across, within.schema)).unionByName(unsettled.mapInArrow(beyond, within.schema))
+    return found.groupBy("host", "signature").agg(F.array_distinct(F.flatten(F.collect_list("frame"))).alias("frame"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -71,3 +71,20 @@ def test_frames_in_containers_go_and_lower_containers_stay(spark):
     got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i] == f"Words of page {i} that are all its own" for i in range(4))
     assert all(got[10 + i] == f"Head {i} of a page\nWords of page {i} that are all its own\nCard {i}" for i in range(4))
+
+
+def test_long_frames_and_runs_of_copies(spark):
+    menu = "".join(f"<div>Entry {k} of a long menu</div>" for k in range(20))
+    rows = [(i, f"https://l.com/{i}", f"{menu}<p>Short article number {i}, all its own words</p>") for i in range(4)]
+    page = "<div>Site</div><p>{text}</p><p>{date}</p><div>(c) all</div>"
+    rows += [(100 + i, f"https://r.com/b{i:02}", page.format(text="The same words on many pages " * 4, date=f"May {i}")) for i in range(30)]
+    rows += [(200, "https://r.com/z", page.format(text="Words that are on no other page of the site", date="June"))]
+    for parts in ("8", "20"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert all(got[i] == f"Short article number {i}, all its own words" for i in range(4))
+        assert all(got[100 + i] == ("The same words on many pages " * 4).strip() + f"\nMay {i}" for i in range(30))
+        assert got[200] == "Words that are on no other page of the site\nJune"
