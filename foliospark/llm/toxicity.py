@@ -3,14 +3,15 @@
 Terms of a text are its lower-cased words, their starts of 4 and 5 letters and marks stripped off
 (the starts catch families of inflected words), each once a text, hashed by crc32 into BINS. From the
 labelled training rows the FEATURES bins with the largest chi-square against the label become the
-inputs; the machine has a weight for each and a vector of FACTORS numbers for each, whose dot products
+inputs, and with them all of the PAIRED most frequent bins that tell only in pairs: two that occur together
+have a chi-square over the sum of their own by more than PAIR. The machine has a weight for each and a vector of FACTORS numbers for each, whose dot products
 weigh the pairs that occur together (an insult with a group's mention, say) where the sum of single
 weights can't.
 
 The training sample is bounded: of each label at most SAMPLE rows, those with the smallest hash of
 their doc_id and text, which is all of them in small tables. Hashed terms of these rows (and not texts)
-go to the driver, at most 2 * SAMPLE * MOST_TERMS integers in blocks of arrays. The model is FEATURES * (1 + FACTORS)
-numbers whatever the input, and is what the scoring tasks get. Scoring reads every whole text.
+go to the driver, at most 2 * SAMPLE * MOST_TERMS integers in blocks of arrays. The model is (FEATURES + PAIRED) * (1 + FACTORS)
+numbers at most whatever the input, and is what the scoring tasks get. Scoring reads every whole text.
 
 Defined cases: a null or empty text is scored by the bias alone; rows without a doc_id or with a null
 or other label than 0 and 1 aren't learned from; a doc_id labelled more than once is learned from once
@@ -34,6 +35,7 @@ from foliospark.session import ship_package
 
 BINS = 1 << 20
 FEATURES = 4096
+PAIRED, PAIR = 4096, 40.0  # about one pair in 4e9 passes by chance
 FACTORS = 4
 SAMPLE = 6_000
 MOST_TERMS = 4_000  # of a training row: the driver's bound; longer rows keep the smallest bins of a fixed hash
@@ -90,6 +92,33 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
 
+def _chi(a: np.ndarray, seen: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """Chi-square against the label of what is seen in so many rows, a of them toxic."""
+    b = seen - a
+    c, d = pos - a, (n - pos) - b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * pos * (n - pos)))
+
+
+def paired_bins(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, chi: np.ndarray) -> np.ndarray:
+    """The frequent bins that tell with another one what neither tells alone."""
+    often = np.argsort(-seen, kind="stable")[:PAIRED]
+    often = often[seen[often] >= 2]
+    number = np.full(BINS, -1)
+    number[often] = np.arange(len(often))
+    x = np.zeros((len(rows), len(often)), np.float32)
+    for i, r in enumerate(rows):
+        k = number[r]
+        x[i, k[k >= 0]] = 1
+    toxic, own, tells = x[y > 0], chi[often], np.zeros(len(often), bool)
+    for at in range(0, len(often), 512):
+        both, bad = (m[:, at : at + 512].T @ m for m in (x, toxic))
+        more = _chi(bad.astype(float), both.astype(float), len(y), y.sum()) - own[at : at + 512, None] - own
+        more[np.arange(len(more)), at + np.arange(len(more))] = 0
+        tells[at : at + 512] |= (more > PAIR).any(1)
+    return often[tells]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Machine:
     """AdaGrad on the logistic loss over rows of distinct bins."""
     y = np.asarray(labels, float)
@@ -102,12 +131,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Machine
     seen = np.bincount(every, minlength=BINS).astype(float)
     toxic = np.bincount(every, y[of], BINS)
     n, pos = len(y), y.sum()
-    a, b, c, d = toxic, seen - toxic, pos - toxic, (n - pos) - (seen - toxic)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * pos * (n - pos)))
+    chi = _chi(toxic, seen, n, pos)
+    pairs = paired_bins(rows, y, seen, chi)
     chi[seen < 2] = 0
     top = np.argsort(-chi, kind="stable")[:FEATURES]
-    bins = np.sort(top[chi[top] > 10])  # about one input in 600 passes by chance
+    bins = np.union1d(top[chi[top] > 10], pairs)  # about one input in 600 passes by chance
     number = np.full(BINS, -1)
     number[bins] = np.arange(len(bins))
     rows = [(x := number[r])[x >= 0] for r in rows]

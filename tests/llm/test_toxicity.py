@@ -20,6 +20,21 @@ def test_interactions_are_learned():
     assert np.isfinite(m.weights).all()
 
 
+def test_the_fitted_machine_tells_interactions():
+    """As above, of the machine that fit() makes: no term tells alone, so all come in by their pairs."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.unique(np.concatenate([[10] if a else [11], [20] if b else [21], rng.integers(100, 160, 8)])).astype(int))
+        y.append(int(a == b))
+    m = X.fit(rows[:1500], np.array(y[:1500]))
+    assert {10, 11, 20, 21} <= set(m.bins.tolist())
+    number = dict(zip(m.bins.tolist(), range(len(m.bins))))
+    scores = m.score([np.array([number[k] for k in r if k in number], int) for r in rows[1500:]])
+    assert ((scores >= 0.5) == np.array(y[1500:])).mean() > 0.97
+
+
 def test_pairs_formula_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = X.Machine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, X.FACTORS)))
