@@ -7,10 +7,12 @@ shard, robustly pruned (a node closer to a kept neighbour than to the node, by A
 Adjacency lists of a node from all its shards are united. Then every node searches in its first shard,
 whose nodes come with their united lists and the vectors those lists name: a greedy search from the
 shard's medoid, and the node's own list, with a beam of WIDTH, then from all that is in range outwards
-as long as neighbours are within SLACK of the range. Links are verified in double precision.
+as long as neighbours are within SLACK of the range. Links are verified in double precision. A node's links
+are counted in its first shard: a query that has a node of another first shard in range goes on there, where
+it meets all the shard's nodes and those they name, until no shard is new to it.
 
 Recall is audited against brute force for a bounded sample of nodes against all rows; below
-LEAST_RECALL the beam doubles and the search is repeated. A task joins links by union and find and
+LEAST_RECALL the beam doubles and the search is repeated, and at last every query goes to every shard. A task joins links by union and find and
 hands on a spanning forest, so no group is expanded to pairs outside the task; counts are per node.
 
 Bounds on the driver and in broadcasts: SAMPLE vectors for the first clustering, SAMPLE_AGAIN for each
@@ -174,10 +176,11 @@ class Forest:
 
 def search_shard(pdf: pd.DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slack: float = SLACK) -> pd.DataFrame:
     """pdf: a shard's nodes with lists, and nodes that lists name (no list of their own): node, unit,
-    weight, neighbours, first. Returns (node, links, to): counts of the nodes that are first here, and
-    forest edges as rows with links null."""
+    weight, neighbours, first, home. Returns (node, links, to, shard): counts of links to nodes at home here,
+    for nodes that are first here; forest edges as rows with `to`; shards to go on in as rows with `shard`."""
     pdf = pdf.sort_values("node").reset_index(drop=True)
-    x, names, weight = _stack(pdf["unit"]), pdf["node"].to_numpy(), pdf["weight"].to_numpy()
+    x, names, weight, home = _stack(pdf["unit"]), pdf["node"].to_numpy(), pdf["weight"].to_numpy(), pdf["home"].to_numpy()
+    here = home == pdf["shard"].to_numpy()
     place = {v: i for i, v in enumerate(names.tolist())}
     lists = [np.array([place[v] for v in (ns if ns is not None else ()) if v in place], np.int64) for ns in pdf["neighbours"]]
     full = np.array([len(a) > 0 for a in lists])
@@ -205,21 +208,89 @@ def search_shard(pdf: pd.DataFrame, threshold: float = THRESHOLD, width: int = W
             seen.update(new.tolist())
             found_at, found_s = np.concatenate([found_at, new]), np.concatenate([found_s, x[new] @ x[q]])
         hit = found_at[(found_s >= threshold) & (found_at != q)]
-        rows.append((int(names[q]), int(weight[hit].sum() + weight[q] - 1), None))
+        rows.append((int(names[q]), int(weight[hit[here[hit]]].sum() + weight[q] - 1), None, None))
+        rows += [(int(names[q]), None, None, s) for s in set(home[hit[~here[hit]]].tolist())]
         for j in hit.tolist():
             if forest.join(int(names[q]), int(names[j])):
-                rows.append((int(names[q]), None, int(names[j])))
-    return pd.DataFrame(rows, columns=["node", "links", "to"]).astype({"node": "int64", "links": "Int64", "to": "Int64"})
+                rows.append((int(names[q]), None, int(names[j]), None))
+    return _found(rows)
 
 
-def search(nodes: DataFrame, shards: DataFrame, graph: DataFrame, width: int) -> DataFrame:
-    """(node, links, to) of all nodes."""
+def _found(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["node", "links", "to", "shard"]).astype({"node": "int64", "links": "Int64", "to": "Int64", "shard": "object"})
+
+
+def visit_shard(pdf: pd.DataFrame, asked: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Queries from other shards (node, vector) against all rows of a shard, as search_shard returns them."""
+    if not len(pdf) or not len(asked):
+        return _found([])
+    x, names, weight, home = _stack(pdf["unit"]), pdf["node"].to_numpy(), pdf["weight"].to_numpy(), pdf["home"].to_numpy()
+    here = home == pdf["shard"].to_numpy()
+    forest, rows = Forest(), []
+    queries = asked["node"].to_numpy()
+    for at in range(0, len(asked), 512):
+        near = _stack(asked["vector"].iloc[at : at + 512]) @ x.T >= threshold
+        for q, row in zip(queries[at : at + 512].tolist(), near):
+            hit = np.flatnonzero(row)
+            own = hit[here[hit]]
+            rows.append((q, int(weight[own].sum() - (names[own] == q).sum()), None, None))
+            rows += [(q, None, None, s) for s in set(home[hit[~here[hit]]].tolist())]
+            for j in names[hit].tolist():
+                if forest.join(q, j):
+                    rows.append((q, None, j, None))
+    return _found(rows)
+
+
+FOUND = "node long, links long, to long, shard string"
+ASKED_AT_ONCE = 10_000  # queries in a task
+
+
+def _with_halo(nodes: DataFrame, shards: DataFrame, graph: DataFrame) -> DataFrame:
+    """(shard, node, neighbours, first, unit, weight, home): shards' nodes, and those that their lists name."""
     lists = shards.join(graph, "node")
     halo = lists.select("shard", F.explode("neighbours").alias("node")).distinct().join(shards, ["shard", "node"], "left_anti")
     null = F.lit(None).cast("array<bigint>")
     rows = lists.select("shard", "node", "neighbours", "first").unionByName(halo.select("shard", "node", null.alias("neighbours"), F.lit(False).alias("first")))
-    whole = rows.join(nodes.select("node", "unit", "weight"), "node")
-    return whole.groupBy("shard").applyInPandas(lambda pdf: search_shard(pdf, width=width), "node long, links long, to long")
+    return rows.join(nodes.select("node", "unit", "weight"), "node").join(homes_of(shards).withColumnRenamed("shard", "home"), "node")
+
+
+def homes_of(shards: DataFrame) -> DataFrame:
+    """(node, shard) of each node's first shard."""
+    return shards.where("first").select("node", "shard")
+
+
+def visit(nodes: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """FOUND of the queries asked (node, shard); a shard that many ask is dealt to several tasks."""
+    parts = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED_AT_ONCE)).cast("int").alias("parts"))
+    shard_rows = rows.join(parts, "shard").select("shard", "node", "unit", "weight", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    queries = asked.join(parts, "shard").join(nodes.select("node", "unit"), "node").select("shard", "node", F.col("unit").alias("vector"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    return shard_rows.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInPandas(lambda a, b: visit_shard(a, b), FOUND)
+
+
+def search(nodes: DataFrame, shards: DataFrame, graph: DataFrame, width: int) -> DataFrame:
+    """(node, links, to) of all nodes: the search in the first shards, then in all that queries reach."""
+    rows = _with_halo(nodes, shards, graph)
+    found = materialize(rows.groupBy("shard").applyInPandas(lambda pdf: search_shard(pdf, width=width), FOUND))
+    every, done = found, homes_of(shards)
+    while True:
+        asked = materialize(found.where("shard is not null").select("node", "shard").distinct().join(done, ["node", "shard"], "left_anti"))
+        if asked.isEmpty():
+            return _sums(every)
+        found = materialize(visit(nodes, rows.select("shard", "node", "unit", "weight", "home"), asked))
+        every, done = every.unionByName(found), done.unionByName(asked)
+
+
+def search_everywhere(nodes: DataFrame, shards: DataFrame) -> DataFrame:
+    """As search, but exact: every node against every shard."""
+    home = homes_of(shards)
+    rows = nodes.select("node", "unit", "weight").join(home, "node").withColumn("home", F.col("shard"))
+    asked = materialize(nodes.select("node").crossJoin(F.broadcast(home.select("shard").distinct())))
+    return _sums(materialize(visit(nodes, rows, asked)))
+
+
+def _sums(found: DataFrame) -> DataFrame:
+    links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links")).withColumn("to", F.lit(None).cast("long"))
+    return links.unionByName(found.where("to is not null").select("node", F.lit(None).cast("long").alias("links"), "to"))
 
 
 def audit_recall(nodes: DataFrame, found: DataFrame, audited: int = AUDITED, threshold: float = THRESHOLD) -> float:
@@ -251,7 +322,11 @@ def near_duplicates(vectors: DataFrame, width: int = WIDTH) -> tuple[DataFrame,
     while True:
         found = materialize(search(nodes, shards, graph, width))
         recall = audit_recall(nodes, found)
-        if recall >= LEAST_RECALL or width >= 8 * WIDTH:
+        if recall >= LEAST_RECALL:
+            break
+        if width >= 8 * WIDTH:
+            found = materialize(search_everywhere(nodes, shards))
+            recall = audit_recall(nodes, found)
             break
         width *= 2
     roots = components(found.where("to is not null").select(F.col("node").alias("u"), F.col("to").alias("v")))

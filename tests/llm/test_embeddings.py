@@ -33,6 +33,23 @@ def test_links_and_components(spark, monkeypatch):
     assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.95
 
 
+def test_a_group_over_many_shards_is_counted_whole(spark, monkeypatch):
+    """A group of near, not equal, vectors much larger than a shard; and the exact search."""
+    monkeypatch.setattr(E, "IN_SHARD", 20)
+    monkeypatch.setattr(E, "MOST_IN_SHARD", 40)
+    rng = np.random.default_rng(9)
+    crowd = rng.normal(size=16) * 2 + rng.normal(size=(500, 16)) * 0.15
+    rows = list(enumerate(np.concatenate([rng.normal(size=(300, 16)), crowd]).astype(np.float32).tolist()))
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    want = sum(n for n, _ in brute(rows).values())
+    out, figures = E.near_duplicates(table)
+    assert figures["width"] == E.WIDTH and figures["recall"] >= 0.99
+    assert 0.99 * want <= sum(r.n_links for r in out.collect()) <= want
+    nodes = E.nodes_of(table)[1]
+    exact = E.search_everywhere(nodes, E.materialize(E.shards_of(nodes)))
+    assert sum(r.links for r in exact.where("links is not null").collect()) == want
+
+
 def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0], 1), (4, None, 0), (5, [], 0), (6, [0.0, 0.0], 0), (7, [nan, 1.0], 0), (8, [1.0, None], 0), (9, [inf, 1.0], 0), (10, [1.0, 0.0, 0.0], 0), (11, [0.0, -1.0], None), (3, [1.0, 0.1], 0), (None, [0.0, -1.0], 0)]
