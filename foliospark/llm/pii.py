@@ -3,9 +3,9 @@
 Base patterns find e-mail, IP, card and phone spans in one pass over the whole texts. These are the
 seeds. The words around a seed make lexical patterns; other tokens that could be an identifier
 (candidates) in the same contexts are the other side of a graph of patterns and instances. Spark scores
-it in ROUNDS: a pattern's confidence for a kind is the share of its instances (distinct surfaces) that
+it in rounds, ROUNDS at least and until none accepts anything new: a pattern's confidence for a kind is the share of its instances (distinct surfaces) that
 are of the kind, an instance's score is the noisy-or of its patterns' confidences. Candidates whose
-score reaches ACCEPT and whose shape suits the kind are new spans. They never overlap a base span.
+score reaches ACCEPT and whose shape suits the kind are new spans, and seeds in the next round. They never overlap a base span.
 
 The texts are read once; what is shuffled are identifiers and their contexts, keyed by pattern or
 instance and aggregated before the shuffle, and nothing goes to the driver.
@@ -174,30 +174,36 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 def score_graph(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """mentions: (instance, kind or null, possible, patterns) to accepted instances (instance, kind, score)."""
-    edges = materialize(mentions.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct())
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("open"))
-    # only patterns with enough seeds can gain confidence, and only those with a candidate matter
-    live = edges.join(sizes.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("open") > 0)), "pattern")
-    live = materialize(live.select("pattern", "instance", "kind", "n"))
+    edges = materialize(mentions.select("instance", "kind", "possible", F.explode("patterns").alias("pattern")).distinct())
+    sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.count_if(F.col("kind").isNull()).alias("open"))
+    # only patterns with a candidate matter; which have enough seeds changes with each round
+    live = materialize(edges.join(sizes.where("open > 0"), "pattern").select("pattern", "instance", "kind", "possible", "n"))
     seeds = live.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed")).distinct()
-    known = seeds
-    for _ in range(rounds):
+    accepted = seeds.limit(0).select("instance", "kind", "score")
+    known, n_accepted = seeds, 0
+    while True:
         patterns = (
             live.select("pattern", "instance", "n").distinct().join(known, "instance")
             .groupBy("pattern", "kind").agg((F.sum("score") / (F.first("n") + 0.5)).alias("confidence"), F.sum("seed").alias("seeds"))
             .where((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT))
         )
-        new = (
-            live.where("kind is null").select("pattern", "instance").join(patterns, "pattern")
-            .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+        new = materialize(
+            live.where("kind is null").select("pattern", "instance", "possible").join(patterns, "pattern")
+            .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"), F.first("possible").alias("possible"))
+            .withColumn("passes", (F.col("score") >= ACCEPT) & F.array_contains("possible", F.col("kind")))
         )
-        known = materialize(seeds.unionByName(new.withColumn("seed", F.lit(0))))
-    return known.where((F.col("seed") == 0) & (F.col("score") >= ACCEPT)).select("instance", "kind", "score")
+        # what was accepted stays, so the rounds end
+        accepted = materialize(accepted.unionByName(new.where("passes").select("instance", "kind", "score")).groupBy("instance", "kind").agg(F.max("score").alias("score")))
+        rest = new.select("instance", "kind", "score").join(accepted.select("instance", "kind"), ["instance", "kind"], "left_anti")
+        known = seeds.unionByName(accepted.withColumn("seed", F.lit(1))).unionByName(rest.withColumn("seed", F.lit(0)))
+        rounds, before, n_accepted = rounds - 1, n_accepted, accepted.count()
+        if rounds <= 0 and n_accepted == before:
+            return accepted
 
 
 def discover(found: DataFrame) -> DataFrame:
     """found: FOUND and row, a table. Spans that the method adds: row, added array<(start, end, kind)>."""
-    accepted = score_graph(found.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", "m.patterns"))
+    accepted = score_graph(found.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", "m.possible", "m.patterns"))
     open_ = found.select("row", F.explode("mentions").alias("m")).where("m.kind is null").select("row", "m.instance", "m.possible", "m.start", "m.end")
     return (
         open_.join(accepted, "instance").where(F.array_contains("possible", F.col("kind")))

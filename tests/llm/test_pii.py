@@ -59,5 +59,16 @@ def test_contexts_find_unseen_identifiers(spark, odd):
     assert P.find_personal_data(odd).count() == odd.count() and P.find_personal_data(odd.limit(0)).count() == 0
 
 
+def test_found_identifiers_teach_further_contexts(spark):
+    """'call me on _' occurs with no base phone, only with phones that 'phone number is _' finds."""
+    rows = [(i, f"My phone number is +1 (555) 0{i}0-12{i}4 today") for i in range(10, 30)]
+    rows += [(100 + i, f"the phone number is 555-77{i}-1234 ok") for i in range(10, 16)]
+    rows += [(200 + i, f"please call me on 555-77{i}-1234 soon") for i in range(10, 16)]
+    rows += [(300, "please call me on 555-881-9876 soon"), (302, "order 555-883-9876 was sent")]
+    got = {r.doc_id: r for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300].spans == "phone:18:30" and got[302].spans == ""
+    assert all(got[200 + i].spans == "phone:18:31" for i in range(10, 16))
+
+
 def test_overlapping_spans_mask_together():
     assert P.masked("ab 12 cd", [(3, 5, "card"), (3, 4, "ip")]) == "ab [IP] cd"
