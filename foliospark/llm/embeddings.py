@@ -19,8 +19,8 @@ Bounds on the driver and in broadcasts: SAMPLE vectors for the first clustering,
 cluster split again, CENTRES centroids a level, AUDITED vectors.
 
 Defined cases: null, empty, zero vectors and such with null, NaN or infinite components link with
-nothing and are their own component, as are vectors of another length than most; equal vectors link with one another; repeated vec_ids are
-rows of their own; a null vec_id takes part but names a component only if all others there are null;
+nothing and are their own component; vectors link with those of their length only, in shards of their own;
+equal vectors link with one another; repeated vec_ids are rows of their own; a null vec_id takes part but names a component only if all others there are null;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -52,10 +52,8 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(v.isNull() | usable | ~(norm > 0) | (norm == float("inf")), None).otherwise(F.transform(v, lambda x: x / norm)).alias("unit"),
     )
     rows = materialize(rows)
-    width = rows.where("unit is not null").groupBy(F.size("unit").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    fits = F.col("unit").isNotNull() & (F.size("unit") == (width.w if width else 0))
-    nodes = rows.where(fits).groupBy("unit").agg(F.min("rid").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
-    return rows.withColumn("unit", F.when(fits, F.col("unit"))), materialize(nodes.select("node", "least", "weight", "unit"))
+    nodes = rows.where("unit is not null").groupBy("unit").agg(F.min("rid").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    return rows, materialize(nodes.select("node", "least", "weight", "unit"))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -79,9 +77,8 @@ def shards_of(nodes: DataFrame) -> DataFrame:
     """(node, shard, first): each node's shards, `first` for the nearest."""
     spark = nodes.sparkSession
     ship_package(spark)
-    total = nodes.count()
-    placed = nodes.select("node", "unit", F.lit("").alias("shard"), F.lit(True).alias("first"))
-    crowded = {"": total} if total > MOST_IN_SHARD else {}
+    placed = nodes.select("node", "unit", F.size("unit").cast("string").alias("shard"), F.lit(True).alias("first"))
+    crowded = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_SHARD).orderBy(F.desc("n")).limit(CENTRES).collect()}
     for level in range(LEVELS):
         if not crowded:
             break
@@ -281,10 +278,11 @@ def search(nodes: DataFrame, shards: DataFrame, graph: DataFrame, width: int) ->
 
 
 def search_everywhere(nodes: DataFrame, shards: DataFrame) -> DataFrame:
-    """As search, but exact: every node against every shard."""
+    """As search, but exact: every node against every shard of its length."""
     home = homes_of(shards)
     rows = nodes.select("node", "unit", "weight").join(home, "node").withColumn("home", F.col("shard"))
-    asked = materialize(nodes.select("node").crossJoin(F.broadcast(home.select("shard").distinct())))
+    own = F.split_part(F.col("shard"), F.lit("/"), F.lit(1)) == F.size("unit").cast("string")
+    asked = materialize(nodes.select("node", "unit").crossJoin(F.broadcast(home.select("shard").distinct())).where(own).select("node", "shard"))
     return _sums(materialize(visit(nodes, rows, asked)))
 
 
@@ -299,14 +297,15 @@ def audit_recall(nodes: DataFrame, found: DataFrame, audited: int = AUDITED, thr
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(audited).select("node", "unit", "weight").toPandas()
     if not len(sample):
         return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast((sample["node"].to_numpy(), _stack(sample["unit"])))
+    shared = nodes.sparkSession.sparkContext.broadcast([(part["node"].to_numpy(), _stack(part["unit"])) for _, part in sample.groupby(sample["unit"].map(len))])
 
     def count(batches):
-        names, q = shared.value
         for pdf in batches:
-            if len(pdf):
-                w = pdf["weight"].to_numpy()
-                yield pd.DataFrame({"node": names, "n": ((q @ _stack(pdf["unit"]).T >= threshold) * w).sum(1)})
+            size = pdf["unit"].map(len)
+            for names, q in shared.value:
+                same = pdf[size == q.shape[1]]
+                if len(same):
+                    yield pd.DataFrame({"node": names, "n": ((q @ _stack(same["unit"]).T >= threshold) * same["weight"].to_numpy()).sum(1)})
 
     truth = nodes.mapInPandas(count, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("n"))
     r = truth.join(found.where("links is not null"), "node").agg(F.sum("n").alias("all"), F.sum(F.least("n", "links")).alias("hit")).first()

@@ -61,6 +61,12 @@ def test_defined_cases(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA))[0].count() == 0
 
 
+def test_each_length_links_with_its_own(spark):
+    rows = [(i, [1.0, 0.01 * i], 0) for i in range(6)] + [(10, [1.0, 0.0, 0.0], 0), (11, [2.0, 0.0, 0.0], 0), (12, [1.0, 0.1, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    assert all(got[i] == (5, 0) for i in range(6)) and all(got[i] == (2, 10) for i in (10, 11, 12))
+
+
 def test_pruning_keeps_the_nearest():
     x = np.array([[1, 0], [0.99, 0.14], [0.98, 0.199], [0, 1]], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
