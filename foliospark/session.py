@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,16 +66,56 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{sc._foliospark_dir}"
 
 
+_OWNED: dict[str, list[str]] = {}  # tables by owner, see owned()
+_OWNER: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: the lineage ends there, so a lost
-    executor costs a re-read and not a recomputation. The file system deletes it when the driver ends."""
+    executor costs a re-read and not a recomputation. discard() deletes it once nothing reads it any
+    more; else the file system does when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliospark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OWNER:
+        _OWNED.setdefault(_OWNER[-1], []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliospark_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for t in tables:
+        if t is not None:
+            _delete(t.sparkSession, t._foliospark_path)
+
+
+@contextmanager
+def owned(spark: SparkSession, owner: str, source: DataFrame) -> Iterator[None]:
+    """Tables made within belong to owner. Those that it made before, and source doesn't read, are deleted:
+    for steps of which each is written out before the next begins."""
+    reads = {f.rpartition("/")[0].rpartition("/")[2] for f in source.inputFiles()}
+    kept = []
+    for path in _OWNED.pop(owner, []):
+        if path.rpartition("/")[2] in reads:
+            kept.append(path)
+        else:
+            _delete(spark, path)
+    _OWNED[owner] = kept
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
 def drop_dead_shuffles(spark: SparkSession) -> None:
