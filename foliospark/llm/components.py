@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import materialize
+from foliospark.session import discard, materialize
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (u, v) of longs to (node, root): every node that has a link, root the least in its component."""
+    """links (u, v) of longs or binaries to (node, root): every node that has a link, root the least in its component."""
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     state = None
     while True:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours get the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u > v").distinct())
+        before, edges = edges, materialize(small.where("u > v").distinct())
+        discard(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.count_distinct("u")).first()
         if now == state:
             break

@@ -1,27 +1,35 @@
 """Operator 8: n-gram Jaccard self-join by universe-partition pigeonhole.
 
-Sets that are equal are one node. Nodes fall into bands by size, each a factor 10/9 wide, so a pair
-with Jaccard >= 0.9 lies in one band or two neighbouring ones; scheme b serves pairs whose smaller set
-is in band b. Such a pair differs in at most H_b = floor((r + s) / 19) shingles for the largest sizes
-r, s allowed. Scheme b hashes the universe of shingles into H_b + 1 segments: by the pigeonhole the two
-sets agree on a whole segment, so the sub-set of each segment is an index entry (a signature).
+Sets that are equal are one node, named by 128 bits of its hashes. Nodes fall into bands by size, each a
+factor 10/9 wide, so a pair with Jaccard >= 0.9 lies in one band or two neighbouring ones; scheme b serves
+pairs whose smaller set is in band b. Such a pair differs in at most H_b = floor((r + s) / 19) shingles for
+the largest sizes r, s allowed. Scheme b hashes the universe of shingles into H_b + 1 segments: by the
+pigeonhole the two sets agree on a whole segment, so the sub-set of each segment is an index entry.
 
 Allocation by cost: an entry costs the bucket it lands in. All segments have about 9 shingles, which
 makes their sub-sets selective, save empty ones, whose buckets grow with the table. An empty segment is
 given no entry, and its unit of the pigeonhole goes to the next segment, which then also gets its
-one-deletion neighbourhood: the pair still can't differ in all of them (H_b + 1 units are met). Giving
-neighbourhoods to more segments would cost an entry for every shingle and save one for each segment.
+one-deletion neighbourhood: if the sets agree on g segments, the others hold g - 1 differences beyond one
+each, so one of the g segments that follow an agreeing one differs in one shingle at most. The cost of all
+other entries is counted: buckets of up to FEW nodes pay their pairs; larger ones pay a comparison with one
+hub for each node and are indexed anew by the differences to it (difference_entries). A pair costs less beside
+further rounds the more of them were needed, so each round pays pairs of buckets four times as large, and rounds end.
 
-Buckets of up to FEW nodes give their pairs. Larger ones aren't expanded: those that share nodes are one
-group, a round compares its hub (the node that shares most entries) with all others, and what is left,
-pairs of others in different components, is indexed anew by the differences to the hub, where unlike
-sets rarely meet (difference_entries), and goes to the next round; what MOST_ROUNDS leave is compared by
-pairs. Verification is exact, on the shingles of whole texts. All pairs that could link two components
-are verified, so components are exact; only links inside a component are skipped.
+Counting also prunes exactly. A pair with d differences agrees on all but d segments, so it shares at least
+(segments - H of its own sizes - empty ones) entries; pairs and nodes that share fewer link with nothing.
+
+The index is never stored nor expanded to rows: tasks send their entries sorted, in packed blocks by range
+of the entry, one shuffle brings equal entries together, and only pairs of small buckets, rows of larger
+ones and counts come out of it. Entries that many nodes of one task have go out as rows at once, so a block
+holds a bounded number of nodes an entry and task however hot it is.
+
+Verification is exact, on the shingles of whole texts. All pairs that could link two components are
+verified, so components are exact; only links inside a component are skipped.
 
 Defined cases: null or empty text has no shingles and is its own component; repeated rows and doc_ids
 are rows of one node or of two; a null doc_id takes part but never names a component unless all its
-component's are null; an empty table gives no rows; other columns are ignored or, by keep_one(), kept.
+component's are null; very long texts are one set as any other; an empty table gives no rows; other columns
+are ignored or, by keep_one(), kept.
 """
 
 from __future__ import annotations
@@ -30,18 +38,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.session import drop_dead_shuffles, materialize, ship_package
+from foliospark.session import discard, materialize, ship_package
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # the threshold as a fraction
 FEW = 6  # nodes of a bucket whose pairs are all compared
-MOST_ROUNDS = 5  # after which the pairs of what is left are all compared
+HOT = 32  # nodes of a task's block with one entry that go out as rows
+GROWTH = 4  # of FEW from round to round
+PAIRS_AT_ONCE = 4_000_000  # of buckets, in memory
+BLOCK = 2_000_000  # entries of a task's block
+PART = 1_000_000  # entries in a part of the shuffle, about
 CACHED_WORDS = 400_000
+FEW_ROWS = 1_000_000  # of (long, long) that are broadcast; more are joined by shuffle
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = np.uint64(29), np.uint64(32)
@@ -52,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[1])
 
 
-_NONE = np.empty(0, np.int64)
+_NONE = np.empty(0, np.uint64)
 
 
 class _WordHashes(dict):
@@ -110,14 +125,15 @@ class Bands:
         return (r + r * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1
 
 
-def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """The index entries of a set, for its own band's scheme and the one below."""
-    n, out = len(hashes), []
+def signatures(hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
+    """The index entries of a set for its own band's scheme and the one below, 48 bits of which the lowest is
+    the scheme's parity and the second is free; and the empty segments of either scheme."""
+    n, out, empty = len(hashes), [], [0, 0]
     if n == 0:
-        return np.empty(0, np.int64)
+        return _NONE, 0, 0
     own = bands.band(n)
     value, dealt = _mix(hashes * _M3), _mix(hashes + _M1)
-    for band in (own - 1, own):
+    for band in (own, own - 1):
         m = bands.segments(band) if band >= 0 else 1
         if m < 2:  # a linked pair of this scheme is an equal pair
             continue
@@ -128,198 +144,411 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         sums, counts = total[edge[1:]] - total[edge[:-1]], np.diff(edge).astype(np.uint64)
         salt = np.full(m, band + 1, np.uint64) * _M1 + np.arange(m, dtype=np.uint64) * _M2
         full = counts > 0
-        out.append(_mix(sums[full] + _mix(salt[full]) + counts[full]))
+        found = [_mix(sums[full] + _mix(salt[full]) + counts[full])]
+        empty[own - band] = int((~full).sum())
         for i in np.flatnonzero(~full).tolist():
             j = (i + 1) % m
             mark = _mix(salt[j : j + 1] + np.full(1, i + 1, np.uint64) * _M3)
             part = value[order[edge[j] : edge[j + 1]]]
             variants = np.concatenate([[sums[j]], sums[j] - part])
             sizes = np.array([len(part)] + [len(part) - 1] * len(part), np.uint64)
-            out.append(_mix(variants + mark + sizes))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+            found.append(_mix(variants + mark + sizes))
+        out.append(_entries(np.concatenate(found), band & 1))
+    return (np.unique(np.concatenate(out)) if out else _NONE), empty[0], empty[1]
 
 
-ROWS = "doc_id long, text_hash long, n_shingles long, node binary, entries array<long>"
+def _entries(hashes: np.ndarray, mark: int) -> np.ndarray:
+    return (hashes >> np.uint64(18)) << np.uint64(2) | np.uint64(mark)
 
 
-def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, entries: bool = True) -> DataFrame:
-    """ROWS for every row of docs: its set's size, name (128 bits of its hashes) and index
-    entries; of equal sets in a task only the first has entries."""
+def difference_entries(hub: np.ndarray, other: np.ndarray, linked: bool, hub_key: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
+    """Index entries of a set among those compared with one hub, from its differences D to the hub.
+
+    For two such sets |i ^ j| = |D_i ^ D_j|, so a link needs |D_i & D_j| >= t = (|D_i| + |D_j| - H) / 2, and the
+    first |D| - t + 1 differences of both share one (prefix filtering), t the least such overlap with any
+    partner. Shingles that the hub lacks come first, as they are the rare ones. Sets that aren't linked to the
+    hub have |D_j| > (|j| + |hub|) / 19, so t > (|D_i| + (|hub| - |i|) / 19) / 2 for partners of theirs. Two sets
+    that are both linked to the hub need no entry: the linked ones (class A) have entries marked 0 and the
+    others (class B) such for partners of class A, and others marked 1 for those of their own.
+    """
+    new = other[~np.isin(other, hub, assume_unique=True)]
+    lost = hub[~np.isin(hub, other, assume_unique=True)]
+    k, n = len(new) + len(lost), len(other)
+    less, more = den - num, den + num
+    most = (n + n * den // num) * less // more
+    value = _mix(np.concatenate([new, lost]) * _M1 + np.full(1, hub_key, np.uint64))
+    against_b = max(1, (k * more + (len(hub) - n) * less) // (2 * more) + 1)  # the least overlap with a partner of class B
+    out = []
+    if linked:
+        out.append(_entries(value[: max(0, k - against_b + 1)], 0))
+    else:
+        if k - most <= (n * den // num + len(hub)) * less // more:  # else no set of class A is near enough
+            out.append(_entries(value[: min(k, k - max(1, k - most) + 1)], 0))
+        out.append(_entries(value[: max(0, k - max(against_b, k - most) + 1)], 1))
+    return np.unique(np.concatenate(out)) if out else _NONE
+
+
+# Rows that come out of the shuffle. kind 0: a row of docs (a node, x doc_id, entry text hash, y set size);
+# 1: a pair of nodes (a, b, x entries shared, y entries needed, z scheme's parity); 2: a node a in a large
+# bucket (entry); 3: a node's counts in a scheme (a, z parity, x entries shared, y needed, w in large buckets);
+# 4: a link (a, b).
+OUT = "kind int, a binary, b binary, entry long, x long, y long, z long, w long"
+SENT = f"part long, data binary, {OUT}"
+_TYPES = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5]
+_NAMES = ["kind", "a", "b", "entry", "x", "y", "z", "w"]
+
+
+def _rows(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)) if c == "kind" else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES)], names=_NAMES)
+
+
+def _sent(rows: pa.RecordBatch, parts: int, at: int) -> pa.RecordBatch:
+    """Rows that pass the shuffle as they are, dealt evenly."""
+    part = parts + (at + np.arange(len(rows))) % parts
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(rows), pa.binary()), *rows.columns], names=["part", "data", *_NAMES])
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+class Packer:
+    """Index entries of a task, sent in blocks: nodes (name, size, two small numbers) with their entries."""
+
+    def __init__(self, parts: int, stats=None):
+        self.parts, self.stats = parts, stats
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.sizes, self.marks, self.entries, self.n, self.seen = [], [], [], [], 0, set()
+
+    def add(self, name: bytes, size: int, marks: tuple[int, int], entries: np.ndarray) -> None:
+        self.names.append(name)
+        self.sizes.append(size)
+        self.marks.append([min(m, 65_535) for m in marks])
+        self.entries.append(entries)
+        self.n += len(entries)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            entries = np.concatenate(self.entries)
+            node = np.repeat(np.arange(len(self.names)), [len(e) for e in self.entries])
+            order = np.argsort(entries, kind="stable")
+            entries, node = entries[order], node[order]
+            edge = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1], [True]]))
+            counts = np.diff(edge)
+            names = np.array(self.names, object)
+            if (counts >= HOT).any():
+                hot = np.repeat(counts >= HOT, counts)
+                yield _sent(_rows(2, a=names[node[hot]], entry=entries[hot].view(np.int64)), self.parts, 0)
+                if self.stats:
+                    yield _sent(self.stats(names, np.array(self.sizes), np.array(self.marks), node[hot], entries[hot], np.ones(int(hot.sum()), bool)), self.parts, 0)
+                first = np.zeros(len(entries), bool)
+                first[edge[:-1]] = True
+                entries = np.where(hot, entries | np.uint64(2), entries)
+                entries, node = entries[first | ~hot], node[first | ~hot]
+            bound = np.searchsorted((entries >> np.uint64(16)) * np.uint64(self.parts) >> np.uint64(32), np.arange(self.parts + 1))
+            parts, blocks = [], []
+            for p, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
+                if a == b:
+                    continue
+                used, place = np.unique(node[a:b], return_inverse=True)
+                raw = b"".join([
+                    np.array([b - a, len(used)], "<u4").tobytes(), b"".join(names[used].tolist()), np.array(self.sizes, "<u4")[used].tobytes(),
+                    np.array(self.marks, "<u2").reshape(-1, 2)[used].tobytes(), _planes(np.diff(entries[a:b], prepend=np.uint64(0)), 6), _planes(place, 4),
+                ])
+                parts.append(p)
+                blocks.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blocks, pa.binary()), *_rows(-1, entry=np.zeros(len(parts), np.int64)).columns], names=["part", "data", *_NAMES])
+        self.clear()
+
+
+def _unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Names (two numbers), sizes, marks of distinct nodes in order of their names; (entry, node) rows."""
+    names, sizes, marks, entries, nodes, at = [], [], [], [], [], 0
+    for block in blocks:
+        raw = pa.decompress(block[4:], decompressed_size=int.from_bytes(block[:4], "little"), codec="zstd", asbytes=True)
+        n, k = np.frombuffer(raw, "<u4", 2).tolist()
+        names.append(np.frombuffer(raw, ">u8", 2 * k, 8).reshape(k, 2))
+        sizes.append(np.frombuffer(raw, "<u4", k, 8 + 16 * k).astype(np.int64))
+        marks.append(np.frombuffer(raw, "<u2", 2 * k, 8 + 20 * k).reshape(k, 2).astype(np.int64))
+        entries.append(np.cumsum(_numbers(raw[8 + 24 * k : 8 + 24 * k + 6 * n], n, 6)))
+        nodes.append(_numbers(raw[8 + 24 * k + 6 * n :], n, 4).astype(np.int64) + at)
+        at += k
+    names, nodes = np.concatenate(names).astype(np.uint64), np.concatenate(nodes)
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    new = np.concatenate([[True], (np.diff(names[order], axis=0) != 0).any(1)])
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    first = order[new]
+    return names[first], np.concatenate(sizes)[first], np.concatenate(marks)[first], np.concatenate(entries), rank[nodes]
+
+
+class Sizes:
+    """What the sizes of sets say, by arrays. first: empty segments in the own scheme and the one below."""
+
+    def __init__(self, sizes: np.ndarray, marks: np.ndarray, num: int, den: int):
+        bands = Bands(num, den)
+        bands._grow(int(sizes.max(initial=1)))
+        self.num, self.den, self.sizes, self.marks = num, den, sizes, marks
+        self.low = np.array(bands.low)
+        self.own = np.searchsorted(self.low, sizes, side="right") - 1
+        self.segments = np.array([bands.segments(b) for b in range(int(self.own.max(initial=0)) + 1)])
+
+    def differ(self, total: np.ndarray) -> np.ndarray:
+        return total * (self.den - self.num) // (self.den + self.num)
+
+    def pair_needs(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that a linked pair shares at least, and its scheme."""
+        b = np.minimum(self.own[u], self.own[v])
+        empty = np.minimum(self.marks[u, self.own[u] - b], self.marks[v, self.own[v] - b])
+        return self.segments[b] - self.differ(self.sizes[u] + self.sizes[v]) - empty, b
+
+    def node_needs(self, u: np.ndarray, parity: np.ndarray) -> np.ndarray:
+        """Entries of a scheme that a node shares at least if it links in it."""
+        below = (self.own[u] & 1) != parity
+        n = self.sizes[u]
+        largest = np.where(below, self.low[self.own[u]] - 1, n * self.den // self.num)
+        b = np.maximum(self.own[u] - below, 0)
+        return self.segments[b] - self.differ(n + largest) - self.marks[u, below.astype(int)]
+
+
+def _stats(num: int, den: int):
+    def stats(names, sizes, marks, node, entries, large) -> pa.RecordBatch:
+        key = node * 2 + (entries & np.uint64(1)).astype(np.int64)
+        used, place = np.unique(key, return_inverse=True)
+        u, parity = used // 2, used % 2
+        known = Sizes(sizes, marks.reshape(-1, 2), num, den)
+        return _rows(3, a=names[u], z=parity, x=np.bincount(place, minlength=len(used)), y=known.node_needs(u, parity), w=np.bincount(place, large, len(used)).astype(np.int64))
+
+    return stats
+
+
+def _bucket_pairs(start: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of each bucket, some buckets at a time."""
+    total = np.cumsum(counts * (counts - 1) // 2)
+    for lot in np.split(np.arange(len(start)), np.flatnonzero(np.diff(total // PAIRS_AT_ONCE)) + 1):
+        n = counts[lot]
+        row = np.repeat(start[lot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        later = np.repeat(start[lot] + n, n) - row - 1
+        first = np.repeat(row, later)
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+
+
+def meet(table: pa.Table, sub: bool, num: int, den: int, few: int = FEW) -> pa.Table:
+    """The rows of one part of the shuffle: those that pass, and what equal entries of its blocks give.
+    sub: entries are differences to hubs, the nodes' first mark is the class (0 linked to the hub)."""
+    out = [table.filter(pc.is_null(table.column("data"))).select(_NAMES)]
+    blocks = [x for x in table.column("data").to_pylist() if x is not None]
+    if blocks:
+        names, sizes, marks, entries, node = _unpack(blocks)
+        labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
+        flagged = (entries & np.uint64(2)) > 0
+        hot = np.unique(entries[flagged] & ~np.uint64(2))
+        entries, node = entries[~flagged], node[~flagged]
+        order = np.lexsort((node, entries))
+        entries, node = entries[order], node[order]
+        if len(entries):
+            new = np.concatenate([[True], (entries[1:] != entries[:-1]) | (node[1:] != node[:-1])])
+            entries, node = entries[new], node[new]
+            edge = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1], [True]]))
+            start, counts = edge[:-1], np.diff(edge)
+            is_hot, mark = np.isin(entries[start], hot, assume_unique=True), (entries & np.uint64(1)).astype(np.int64)
+            if sub:
+                one = marks[node, 0] == 0
+                n_one = np.add.reduceat(one, start, dtype=np.int64)
+                valid = np.where(mark[start] == 0, (n_one > 0) & (n_one < counts), counts > 1)
+            else:
+                known = Sizes(sizes, marks, num, den)
+                one = (known.own[node] & 1) == mark  # in the scheme of its own band
+                valid = (counts > 1) & (np.add.reduceat(one, start, dtype=np.int64) > 0)
+            valid |= is_hot
+            small = valid & (counts <= few) & ~is_hot
+            large = np.repeat(valid & ~small, counts)
+            found = [(np.empty((0, 2), np.int64), np.empty(0, np.int64))]
+            for a, b in _bucket_pairs(start[small], counts[small]):
+                ok = np.where(mark[a] == 0, one[a] != one[b], True) if sub else one[a] | one[b]
+                m, n = sizes[node[a]], sizes[node[b]]
+                ok &= np.minimum(m, n) * den >= np.maximum(m, n) * num
+                found.append(np.unique(np.stack([node[a][ok], node[b][ok]], 1), axis=0, return_counts=True))
+            pairs, place = np.unique(np.concatenate([x for x, _ in found]), axis=0, return_inverse=True)
+            times = np.bincount(place.ravel(), np.concatenate([n for _, n in found]), len(pairs)).astype(np.int64)
+            if len(pairs):
+                u, v = pairs[:, 0], pairs[:, 1]
+                needs, scheme = (np.zeros(len(u), np.int64),) * 2 if sub else known.pair_needs(u, v)
+                out.append(pa.Table.from_batches([_rows(1, a=labels[u], b=labels[v], x=times, y=needs, z=scheme & 1)]))
+            if large.any():
+                out.append(pa.Table.from_batches([_rows(2, a=labels[node[large]], entry=entries[large].view(np.int64))]))
+            some = np.repeat(valid, counts)
+            if some.any() and not sub:
+                out.append(pa.Table.from_batches([_stats(num, den)(labels, sizes, marks, node[some], entries[some], large[some])]))
+    return pa.concat_tables([t.cast(pa.schema(list(zip(_NAMES, _TYPES)))) for t in out])
+
+
+def index_rows(docs: DataFrame, parts: int, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """OUT: a row for every row of docs, and what their entries have in common."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
+        bands, packer, at = Bands(num, den), Packer(parts, _stats(num, den)), TaskContext.get().partitionId()
         for b in batches:
-            sizes, nodes, found = [], [], []
+            sizes, nodes = [], []
             for text in b.column("text").to_pylist():
                 h = shingle_hashes(text, words)
+                name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
                 sizes.append(len(h))
-                nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                if entries:
-                    found.append(_NONE if nodes[-1] in seen else signatures(h, bands))
-                    seen.add(nodes[-1])
-                else:
-                    found.append(_NONE)
-            flat = np.concatenate([_NONE, *found])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(e) for e in found]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "text_hash", "n_shingles", "node", "entries"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, ROWS)
-
-
-def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """The pairs (u, v) whose sets have den * intersection >= num * union, on the shingles themselves."""
-
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, last, x = [], None, set()
-        for s, t in zip(a, b):
-            s, t = s.as_py(), t.as_py()
-            if s != last:
-                last, x = s, shingle_set(s, words)
-            y = shingle_set(t, words)
-            both = len(x & y)
-            out.append(den * both >= num * (len(x) + len(y) - both) > 0)
-        return pa.array(out, pa.bool_())
-
-    test = F.arrow_udf(linked, "boolean")
-    full = (
-        pairs.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")), "v")
-        .join(texts.select(F.col("rid").alias("u"), F.col("text").alias("a")), "u")
-    )
-    return full.select("u", "v", test("a", "b").alias("linked")).where("linked").select("u", "v")
-
+                nodes.append(name)
+                if name is not None and name not in packer.seen:
+                    entries, own, below = signatures(h, bands)
+                    packer.seen.add(name)
+                    if len(entries):
+                        packer.add(name, len(h), (own, below), entries)
+                    if packer.n > BLOCK:
+                        yield from packer.flush()
+            rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int32)), pa.array(nodes, pa.binary()), pa.nulls(len(b), pa.binary()), b.column("text_hash"), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=_NAMES)
+            yield _sent(rows, parts, at)
+            at += len(b)
+        yield from packer.flush()
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, SENT).groupBy("part").applyInArrow(lambda t: meet(t, False, num, den), OUT)
+
+
+def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """OUT of pairs (u, v, hub): links, and what the differences to hubs have in common, where u is one."""
 
-def difference_entries(hub: np.ndarray, other: np.ndarray, name: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
-    """Index entries of a set among those compared with one hub, from its differences D to the hub.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, at, last = Packer(parts), TaskContext.get().partitionId(), None
+        hashes, exact = _NONE, None
+        for batch in batches:
+            links: list[tuple[bytes, bytes]] = []
+            for u, v, hub, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "hub", "a", "b"))):
+                if u != last:
+                    last, hashes, exact = u, shingle_hashes(a, words), None
+                other = shingle_hashes(b, words)
+                both = int(np.isin(other, hashes, assume_unique=True).sum())
+                linked = den * both >= num * (len(hashes) + len(other) - both) > 0
+                if linked:
+                    exact = exact or shingle_set(a, words)
+                    y = shingle_set(b, words)
+                    both = len(exact & y)
+                    linked = den * both >= num * (len(exact) + len(y) - both)
+                if linked:
+                    links.append((u, v))
+                if hub:
+                    packer.add(v, len(other), (int(not linked), 0), difference_entries(hashes, other, linked, xxhash.xxh64_intdigest(u), num, den))
+                    if packer.n > BLOCK:
+                        yield from packer.flush()
+            if links:
+                yield _sent(_rows(4, a=[x for x, _ in links], b=[y for _, y in links]), parts, at)
+                at += len(links)
+        yield from packer.flush()
 
-    For two such sets |i ^ j| = |D_i ^ D_j|, so a link needs |D_i & D_j| >= (|D_i| + |D_j| - H) / 2, which
-    is 1 or more unless both are linked to the hub. Sets are dealt to bands by |D|; for each band that a
-    partner can be in, the first |D| - t + 1 differences are entries, t the least overlap with such a
-    partner (prefix filtering). Shingles that the hub lacks come first, as they are the rare ones: with
-    narrow bands, shingles that many sets have lost are entries of a few borderline sets only. Two sets
-    that are both linked to the hub need no entry.
-    """
-    new = other[~np.isin(other, hub, assume_unique=True)]
-    lost = hub[~np.isin(hub, other, assume_unique=True)]
-    differences = np.concatenate([new, lost])
-    k = len(differences)
-    most = lambda n: (n + n * den // num) * (den - num) // (den + num)
-    h, width = most(len(other)), max(1, most(len(hub)) // 8)
-    # a set that isn't linked to the hub has more differences than this
-    linked = (len(hub) + len(hub) * num // den) * (den - num) // (den + num) - 1
-    own, out = k // width, []
-    value = _mix(differences * _M1 + np.full(1, name & (1 << 64) - 1, np.uint64))
-    for b in range(max(1, k - h) // width, (k + h) // width + 1):
-        if max(k, b * width + width - 1) < linked:
-            continue
-        t = max(1, -(-(k + max(1, b * width) - h) // 2))
-        if t <= k:
-            out.append(_mix(value[: k - t + 1] + np.full(1, min(own, b) * 1_000_003 + max(own, b), np.uint64) * _M3))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else _NONE
-
-
-def compare_with_hubs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """pairs (u a hub, v) to (u, v, linked, entries)."""
-    kind = pa.struct([("linked", pa.bool_()), ("entries", pa.list_(pa.int64()))])
-
-    def compare(u: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        linked, entries, last, x, hub = [], [], None, set(), _NONE
-        for name, s, t in zip(u, a, b):
-            name, t = name.as_py(), t.as_py()
-            if name != last:
-                s = s.as_py()
-                last, x, hub = name, shingle_set(s, words), shingle_hashes(s, words)
-            y = shingle_set(t, words)
-            both = len(x & y)
-            linked.append(den * both >= num * (len(x) + len(y) - both) > 0)
-            entries.append(difference_entries(hub, shingle_hashes(t, words), name, num, den))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(e) for e in entries]), pa.int32()), pa.array(np.concatenate([_NONE, *entries]), pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(linked, pa.bool_()), lists], fields=list(kind))
-
-    test = F.arrow_udf(compare, "struct<linked:boolean,entries:array<long>>")
     full = (
-        pairs.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")), "v")
-        .join(texts.select(F.col("rid").alias("u"), F.col("text").alias("a")), "u")
+        pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        .join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     )
-    return full.select("u", "v", test("u", "a", "b").alias("r")).select("u", "v", "r.linked", "r.entries")
-
-
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """A table of the rows (entry, rid) whose entry more than one node has. One shuffle serves both
-    sides of the join, and most entries, which one node has alone, end there."""
-    dealt = entries.select("entry", "rid").repartition("entry")
-    shared = dealt.groupBy("entry").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("entry")
-    return materialize(dealt.join(shared, "entry", "left_semi").distinct())
-
-
-def link_nodes(buckets: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
-    """buckets: (entry, rid) of entries with two nodes or more. (node, root) of all linked nodes, or None."""
-    links, roots, rest, done = None, None, buckets, 0
-    while rest is not None:
-        labelled = rest if roots is None else rest.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
-        labelled = labelled.select("entry", "rid", (F.coalesce("root", "rid") if roots is not None else F.col("rid")).alias("root"))
-        mixed = labelled.groupBy("entry").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-        live = materialize(labelled.join(mixed.select("entry", "n"), "entry"))
-        if not live.head(1):
-            break
-        done += 1
-        few = live if done > MOST_ROUNDS else live.where(F.col("n") <= FEW)
-        other = few.select("entry", F.col("rid").alias("v"), F.col("root").alias("root_v"))
-        pairs = few.select("entry", F.col("rid").alias("u"), "root").join(other, "entry").where("u < v and root != root_v")
-        found, rest = verify(pairs.select("u", "v").distinct(), texts, **kind), None
-        many = live.where(F.col("n") > FEW).select("entry", "rid", "n")
-        if done <= MOST_ROUNDS and many.head(1):
-            # Buckets that share nodes are one group, with one hub: the node that shares most entries,
-            # in a group of copies the one they are made from. So each node is compared once a round.
-            centre = many.groupBy("entry").agg(F.min("rid").alias("v"))
-            groups = components(many.join(centre, "entry").select(F.col("rid").alias("u"), "v").distinct())
-            weighed = materialize(many.groupBy("rid").agg(F.sum("n").alias("w")).join(groups.select(F.col("node").alias("rid"), F.col("root").alias("group")), "rid"))
-            hubs = weighed.groupBy("group").agg(F.max(F.struct("w", "rid")).alias("hub"))
-            star = weighed.join(hubs, "group").where("rid != hub.rid").select(F.col("hub.rid").alias("u"), F.col("rid").alias("v"))
-            compared = materialize(compare_with_hubs(star, texts, **kind))
-            found = found.unionByName(compared.where("linked").select("u", "v"))
-            rest = shared_entries(compared.select(F.explode("entries").alias("entry"), F.col("v").alias("rid")))
-        found = materialize(found)
-        if found.head(1):
-            links = found if links is None else links.unionByName(found)
-            roots = materialize(components(links))
-            links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u > v")
-    return roots
-
-
-def _salted(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """nodes with a 64-bit number `id` of the 128-bit name, under a salt for which no two names share one."""
-    for salt in range(64):
-        out = nodes.withColumn("id", F.xxhash64("node", F.lit(salt)))
-        if not out.groupBy("id").count().where("count > 1").head(1):
-            return out, salt
-    raise ValueError("no salt without collisions")
+    return full.mapInArrow(run, SENT).groupBy("part").applyInArrow(lambda t: meet(t, True, num, den, few), OUT)
+
+
+PAIRS = "u binary, v binary, hub boolean"
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """PAIRS of each bucket's hub and the other nodes of rows (entry, a, weight): the hub is the node of
+    largest weight, so buckets that one family of copies fills have the same."""
+    hubs = rows.groupBy("entry").agg(F.max(F.struct("weight", "a")).alias("hub")).select("entry", F.col("hub.a").alias("u"))
+    return rows.join(hubs, "entry").where("a != u").select("u", F.col("a").alias("v"), F.lit(True).alias("hub")).distinct()
+
+
+def first_pairs(index: DataFrame) -> DataFrame:
+    """PAIRS that the index leaves after counting."""
+    counted = index.where("kind = 3").groupBy("a", "z").agg(F.sum("x").alias("x"), F.max("y").alias("y"), F.sum("w").alias("weight")).where("x >= y").select("a", "z", "weight")
+    alive = materialize(counted)
+    pairs = index.where("kind = 1").groupBy("a", "b", "z").agg(F.sum("x").alias("x"), F.max("y").alias("y"))
+    first, second = (alive.select(F.col("a").alias(c), "z", F.col("weight").alias(f"w{c}")) for c in ("a", "b"))
+    pairs = pairs.join(first, ["a", "z"]).join(second, ["b", "z"]).where(F.col("x") + F.least("wa", "wb") >= F.col("y"))
+    rows = index.where("kind = 2").select("entry", "a", F.col("entry").bitwiseAND(1).alias("z")).distinct().join(alive, ["a", "z"])
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(False).alias("hub")).unionByName(hub_pairs(rows))
+
+
+def next_pairs(found: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """PAIRS of nodes in different components that the last round's differences leave."""
+    def rooted(df: DataFrame, c: str) -> DataFrame:
+        if roots is None:
+            return df.withColumn(f"root_{c}", F.col(c))
+        return df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+
+    pairs = rooted(rooted(found.where("kind = 1").select("a", "b").distinct(), "a"), "b").where("root_a != root_b")
+    rows = rooted(found.where("kind = 2").select("entry", "a").distinct(), "a")
+    mixed = rows.groupBy("entry").agg(F.min("root_a").alias("least"), F.max("root_a").alias("most")).where("least != most").select("entry")
+    rows = materialize(rows.join(mixed, "entry", "left_semi").select("entry", "a"))
+    weighed = rows.join(rows.groupBy("a").agg(F.count(F.lit(1)).alias("weight")), "a")
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(False).alias("hub")).unionByName(hub_pairs(weighed))
+
+
+def link_nodes(pairs: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
+    """(node, root) of all linked nodes, or None. pairs: a table of PAIRS of the first round."""
+    roots, few = None, FEW
+    while True:
+        n = pairs.count()
+        if not n:
+            discard(pairs)
+            return roots
+        few *= GROWTH
+        found = materialize(compare(pairs, texts, max(64, n * 20 // PART), few, **kind))
+        discard(pairs)
+        links = found.where("kind = 4").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if links.head(1):
+            if roots is not None:
+                links = links.unionByName(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+            before, roots = roots, materialize(components(links))
+            discard(before)
+        if not found.where("kind in (1, 2)").head(1):
+            discard(found)
+            return roots
+        pairs = materialize(next_pairs(found, roots))
+        discard(found)
 
 
 def near_duplicate_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """A row for every row of docs: doc_id, text_hash, n_shingles, component_id, root (a node of the
     component, the same for all of it; null without shingles)."""
-    # stored, as Spark makes entries twice for the two sides of the join below where they come from Python
-    indexed = materialize(index_rows(docs, words, num, den))
-    rows = materialize(indexed.drop("entries"))
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("place"))
-    nodes, salt = _salted(materialize(named))
-    buckets = shared_entries(indexed.where("size(entries) > 0").select(F.xxhash64("node", F.lit(salt)).alias("rid"), F.explode("entries").alias("entry")))
-    drop_dead_shuffles(docs.sparkSession)
-    place = nodes.join(buckets.select(F.col("rid").alias("id")).distinct(), "id", "left_semi").select("id", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
-    texts = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-        .withColumn("text_hash", F.xxhash64("text"))
-        .join(place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-        .select(F.col("id").alias("rid"), F.col("text").cast("binary").alias("text"))
-    )
-    texts = materialize(texts.dropDuplicates(["rid"]))
-    roots = link_nodes(buckets, texts, words=words, num=num, den=den)
-    labels = nodes.select("node", "id", "least")
+    text = F.col("text").cast("string")
+    chars = docs.agg(F.sum(F.length(text).cast("double"))).first()[0] or 0.0
+    # about 6 characters a word, and two schemes' segments
+    parts = max(64, int(chars / 6 * 4 * (den - num) / (den + num) / PART))
+    index = materialize(index_rows(docs, parts, words, num, den))
+    rows = index.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("entry").alias("text_hash"), F.col("y").alias("n_shingles"), F.col("a").alias("node"))
+    pairs = materialize(first_pairs(index))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("place"))
+    roots = None
+    if pairs.head(1):
+        needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        place = materialize(nodes.join(needed, "node").select("node", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h")))
+        count = place.count()
+        keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+        found = F.broadcast(place) if count <= FEW_ROWS else place
+        texts = materialize(keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", F.col("text").cast("binary").alias("text")))
+        if texts.count() > count:  # rows that are repeated
+            once = materialize(texts.dropDuplicates(["node"]))
+            discard(texts)
+            texts = once
+        discard(place)
+        roots = link_nodes(pairs, texts, words=words, num=num, den=den)
+        discard(texts)
+    labels = nodes.select("node", "least")
     if roots is None:
-        labels = labels.select("node", F.col("id").alias("root"), F.col("least").alias("name"))
+        labels = labels.select("node", F.col("node").alias("root"), F.col("least").alias("name"))
     else:
-        labels = labels.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        labels = labels.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         names = labels.groupBy("root").agg(F.min("least").alias("name"))
         labels = labels.select("node", "root").join(names, "root")
     return rows.join(labels, "node", "left").select(

@@ -80,7 +80,7 @@ def test_pigeonhole_finds_every_linked_pair():
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 60, int(rng.integers(0, 4))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 10 * both >= 9 * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
-            assert len(np.intersect1d(J.signatures(a, bands), J.signatures(b, bands)))
+            assert len(np.intersect1d(J.signatures(a, bands)[0], J.signatures(b, bands)[0]))
 
 
 def test_defined_cases(spark, odd):
