@@ -50,7 +50,7 @@ from foliospark.session import discard, materialize, ship_package
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # the threshold as a fraction
 FEW = 6  # nodes of a bucket whose pairs are all compared
-HOT = 32  # nodes of a task's block with one entry that go out as rows
+HOT = 8  # times the bound on small buckets: nodes of a task's block with one entry that go out as rows
 GROWTH = 4  # of FEW from round to round
 PAIRS_AT_ONCE = 4_000_000  # of buckets, in memory
 BLOCK = 2_000_000  # entries of a task's block
@@ -222,8 +222,8 @@ def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
 class Packer:
     """Index entries of a task, sent in blocks: nodes (name, size, two small numbers) with their entries."""
 
-    def __init__(self, parts: int, stats=None):
-        self.parts, self.stats = parts, stats
+    def __init__(self, parts: int, few: int = FEW, stats=None):
+        self.parts, self.hot, self.stats = parts, HOT * few, stats
         self.clear()
 
     def clear(self) -> None:
@@ -245,8 +245,8 @@ class Packer:
             edge = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1], [True]]))
             counts = np.diff(edge)
             names = np.array(self.names, object)
-            if (counts >= HOT).any():
-                hot = np.repeat(counts >= HOT, counts)
+            if (counts >= self.hot).any():
+                hot = np.repeat(counts >= self.hot, counts)
                 yield _sent(_rows(2, a=names[node[hot]], entry=entries[hot].view(np.int64)), self.parts, 0)
                 if self.stats:
                     yield _sent(self.stats(names, np.array(self.sizes), np.array(self.marks), node[hot], entries[hot], np.ones(int(hot.sum()), bool)), self.parts, 0)
@@ -397,7 +397,7 @@ def index_rows(docs: DataFrame, parts: int, words: int = WORDS, num: int = NUMER
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, packer, at = Bands(num, den), Packer(parts, _stats(num, den)), TaskContext.get().partitionId()
+        bands, packer, at = Bands(num, den), Packer(parts, FEW, _stats(num, den)), TaskContext.get().partitionId()
         for b in batches:
             sizes, nodes = [], []
             for text in b.column("text").to_pylist():
@@ -425,7 +425,7 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
     """OUT of pairs (u, v, hub): links, and what the differences to hubs have in common, where u is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, at, last = Packer(parts), TaskContext.get().partitionId(), None
+        packer, at, last = Packer(parts, few), TaskContext.get().partitionId(), None
         hashes, exact = _NONE, None
         for batch in batches:
             links: list[tuple[bytes, bytes]] = []
