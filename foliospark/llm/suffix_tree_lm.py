@@ -1,12 +1,14 @@
 """Operator 4: language-model scores by a probabilistic suffix tree.
 
 A text is its words (bytes, ASCII lower-cased) and one end. Each position (a word or the end) is predicted
-from the words before it: contexts of 1 to WORDS preceding words, text starts included, are counted over
-all training positions and retained where their next-word distribution diverges from that of the context
-one word shorter by more than its symbols cost: N * KL > k * (SLACK / 2 * ln N + ln(n + v)) for N
-occurrences and k symbols, where ln(n + v) names a symbol among n tokens of v kinds. (Without it every
-context that occurs once would pass, and cost half of each unseen word's probability.) Distributions are smoothed into that of the longest retained suffix (Witten and Bell), so a
-position is scored by the longest retained suffix state of the words before it.
+from the words before it. The tree grows level by level: contexts of one word, then of one word more
+before each retained context, text starts included, until a level retains none; nothing bounds its depth or
+the number of its states. A context is retained where its next-word distribution diverges from that of the
+context one word shorter by more than its symbols cost: (N - 1) * KL > k * (SLACK / 2 * ln N + NAMING * ln(n + v))
+for N occurrences and k symbols, where ln(n + v) names a symbol among n tokens of v kinds and one
+occurrence tells nothing. Distributions are
+smoothed into that of the next shorter state (Witten and Bell), so a position is scored by the longest
+retained suffix of the words before it.
 
 The state without words is the distribution over training tokens, smoothed into their spelling with as much
 weight for that as there are distinct tokens, so frequent words are scored as words and unseen ones by how
@@ -15,15 +17,18 @@ terminator (a space) or, at a word's start, the end of the text (a newline) from
 it, back to the space before the word, counted over all training tokens (each distinct token once, weighted),
 retained where N * KL > SLACK * k/2 * ln N and smoothed alike, down to the uniform distribution, so every text has a probability.
 
-Token counts, which the base score needs too, and word contexts cover all training documents and grow with
-them; contexts are joined by key and never gathered. The byte tree has at most STATES contexts (those of
-largest N * KL), its size bound in memory. Texts are read once for tokens, contexts and postings each: tasks turn blocks of
-documents into postings (context and word, places), which meet the scores and go back to their block.
+Counts cover all training documents. Bigrams are sent in packed blocks by their context, so one shuffle
+brings each context's successors together; contexts that can't pass the test, with the counts of the TOP
+tokens and bounds for others, end there. Deeper levels only send what follows retained contexts. Token counts
+are joined by key: tasks turn blocks of documents into postings (word, places), which meet the scores and go
+back to their block. What retained contexts change is summed in the block itself, from the tree in slices of
+SLICE states, of which a task holds one at a time. The byte tree is held whole; its contexts lie within words of
+DEPTH bytes, so they become ever fewer new ones as the corpus grows.
 Words and contexts are keyed by 64-bit hashes.
 
 Defined cases: null or empty text is the end alone; a null doc_id is a training row; repeated rows
-count and score one by one; an empty table gives no rows; without training rows the tree is uniform;
-other columns are ignored.
+count and score one by one; very long texts are whole blocks; an empty table gives no rows; without training
+rows the tree is uniform; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,23 +41,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import materialize, ship_package
+from foliospark.session import discard, drop_dead_shuffles, materialize, ship_package
 
-WORDS = 2
 DEPTH = 6
-STATES = 1 << 17
-SLACK = 1.0
-BLOCK_WORDS, BLOCK_DOCS = 5_000_000, 60_000  # places in a block are unsigned 16-bit numbers, counts 8-bit ones
+SLACK, NAMING = 1.0, 0.4
+TOP = 100_000  # most frequent tokens, whose counts prune bigrams where they meet
+PART = 1_000_000  # bigrams in a part of their shuffle, about
+SLICE = 4_000_000  # rows of the tree that a task holds at once
+BLOCK_WORDS, BLOCK_DOCS = 2_500_000, 60_000  # places in a block are unsigned 16-bit numbers, counts 8-bit ones
 CHUNK = 100_000  # distinct tokens worked on at once
 CHUNK_BYTES = 4_000_000
 END = b"\n"
+ROOT = np.uint64(0x2545F4914F6CDD1D)  # the context without words, in hashes
 
 TOKENS = "token binary, c long"
-GRAMS = f"gram long, {', '.join(f'c{d} long' for d in range(1, WORDS + 1))}, symbol long, n long"
-POSTINGS = "gram long, block long, places binary, counts binary"
+POSTINGS = "symbol long, block long, places binary, counts binary, change binary"
+GRAMS = "context long, above long, word long, symbol long, n long"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,16 +93,18 @@ def symbol_of(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
-def word_contexts(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The contexts of 1 to WORDS words before each of the symbols of texts of the given sizes."""
-    at = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, context = [], np.zeros(len(symbols), np.uint64)
-    for d in range(1, WORDS + 1):
-        before = np.zeros(len(symbols), np.uint64)  # 0 stands before a text
-        before[d:] = symbols[:-d]
-        context = _mix(context, np.where(at >= d, before, np.uint64(0)))
-        out.append(context)
-    return out
+class Contexts:
+    """Contexts of the positions of some texts, one word longer with each step."""
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
+        self.symbols, self.depth = symbols, 0
+        self.at = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def longer(self, places: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The contexts at places, one word longer than those given; 0 stands before a text."""
+        self.depth += 1
+        before = np.where(self.at[places] >= self.depth, self.symbols[np.maximum(places - self.depth, 0)], np.uint64(0))
+        return _mix(contexts, before)
 
 
 def _blocks(docs: DataFrame, rows_of, schema: str) -> DataFrame:
@@ -134,13 +143,6 @@ def _learned(docs: list, ids: list[np.ndarray]) -> np.ndarray:
     return np.repeat(np.array([not h for _, h in docs]).astype(np.int64), [len(x) for x in ids])
 
 
-def _block_grams(vocabulary: dict, ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """The gram (longest context and word), the contexts and the symbol of each position."""
-    symbols = symbol_of(list(vocabulary))[np.concatenate(ids)]
-    contexts = word_contexts(symbols, np.array([len(x) for x in ids]))
-    return _mix(contexts[-1], symbols), contexts, symbols
-
-
 def words_of(docs: DataFrame) -> DataFrame:
     """TOKENS: each token of a block with its count in training documents."""
 
@@ -151,73 +153,207 @@ def words_of(docs: DataFrame) -> DataFrame:
     return _blocks(docs, rows, TOKENS)
 
 
-def grams_of(docs: DataFrame) -> DataFrame:
-    """GRAMS: each gram of a block with its contexts, its symbol and its count in training documents."""
+def _numbers(data: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, which compress where they are alike."""
+    return np.ascontiguousarray(data.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def bigrams(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, data): the bigrams of each block's training documents with their counts, packed, by context."""
 
     def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        gram, contexts, symbols = _block_grams(vocabulary, ids)
-        order = np.argsort(gram)
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(gram[order])) + 1])
-        first = order[edge]
-        n = np.add.reduceat(_learned(docs, ids)[order], edge)
-        columns = [pa.array(x[first].view(np.int64)) for x in (gram, *contexts, symbols)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["gram", *[f"c{d}" for d in range(1, WORDS + 1)], "symbol", "n"])
+        names = symbol_of(list(vocabulary))
+        first = np.concatenate([[np.uint64(0)], names])  # what stands before a text, then the vocabulary
+        learn = [x for (_, held), x in zip(docs, ids) if not held]
+        here = np.concatenate([np.empty(0, np.int64), *learn]).astype(np.int64)
+        before = np.concatenate([np.empty(0, np.int64), *[np.concatenate([[0], x[:-1] + 1]) for x in learn]]).astype(np.int64)
+        keys, n = np.unique(before * len(names) + here, return_counts=True)
+        context, symbol = _mix(np.full(len(first), ROOT), first)[keys // len(names)], names[keys % len(names)]
+        order = np.lexsort((symbol, context))
+        context, symbol, n = context[order], symbol[order], n[order]
+        bound = np.searchsorted(((context >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1)).tolist()
+        part, data = [], []
+        for p, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
+            if a < b:
+                raw = np.array([b - a], "<u8").tobytes() + _numbers(np.diff(context[a:b], prepend=np.uint64(0))) + _numbers(symbol[a:b]) + _numbers(n[a:b])
+                part.append(p)
+                data.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+
+    return _blocks(docs, rows, "part long, data binary")
+
+
+def first_grams(docs: DataFrame, tokens: DataFrame, n: int, v: int) -> DataFrame:
+    """GRAMS of one-word contexts that may pass the test."""
+    top = tokens.select("token", "c").orderBy(F.desc("c"), "token").limit(TOP).toArrow()
+    names = symbol_of(top.column("token").to_pylist())
+    order = np.argsort(names)
+    shared = docs.sparkSession.sparkContext.broadcast((names[order], top.column("c").to_numpy()[order]))
+    parts = max(64, n // 2 // PART)
+
+    def meet(table: pa.Table) -> pa.Table:
+        columns: list[list[np.ndarray]] = [[], [], []]
+        for blob in table.column("data").to_pylist():
+            raw = pa.decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+            size = int(np.frombuffer(raw, "<u8", 1)[0])
+            for k, out in enumerate(columns):
+                out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, 8 + 8 * size * k).reshape(8, size).T).view("<u8").ravel())
+        context, symbol, times = np.concatenate([np.cumsum(x) for x in columns[0]]), np.concatenate(columns[1]), np.concatenate(columns[2]).astype(np.int64)
+        order = np.lexsort((symbol, context))
+        context, symbol = context[order], symbol[order]
+        edge = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
+        times, context, symbol = np.add.reduceat(times[order], edge), context[edge], symbol[edge]
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        of, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        total, kinds = np.add.reduceat(times, start), np.diff(np.append(start, len(times)))
+        known, counts = shared.value
+        at = np.minimum(np.searchsorted(known, symbol), max(len(known) - 1, 0))
+        least = np.where(known[at] == symbol, counts[at], times)  # a token occurs as often as the bigram at least
+        gain = np.add.reduceat(times * (np.log(times / total[of]) - np.log(least / n)), start)
+        kept = (gain * (total - 1) / total > kinds * (SLACK * 0.5 * np.log(total) + NAMING * np.log(n + v)) - 1e-6)[of]
+        context = pa.array(context[kept].view(np.int64))
+        return pa.table({"context": context, "above": pa.array(np.zeros(len(context), np.int64)), "word": context, "symbol": pa.array(symbol[kept].view(np.int64)), "n": pa.array(times[kept])})
+
+    return bigrams(docs, parts).groupBy("part").applyInArrow(meet, GRAMS)
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted in known numbers, -1 where there is none."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+class Slice:
+    """States and grams of a part of the tree, all that extend some words: sorted keys with values."""
+
+    def __init__(self, table: pa.Table):
+        is_state = table.column("symbol").is_null().to_numpy()
+        context = table.column("context").to_numpy().view(np.uint64)
+        symbol = table.column("symbol").fill_null(0).to_numpy().view(np.uint64)
+        value = table.column("value").to_numpy()
+        self.states, self.back = self._sorted(context[is_state], value[is_state])
+        self.grams, self.change = self._sorted(_mix(context[~is_state], symbol[~is_state]), value[~is_state])
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    def walk(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level, the places in a retained state with their contexts, its number and first word."""
+        contexts, places = Contexts(symbols, sizes), np.arange(len(symbols))
+        above = word = np.full(len(symbols), ROOT)
+        while len(places):
+            longer = contexts.longer(places, above)
+            word = word if contexts.depth > 1 else longer
+            state = _find(self.states, longer)
+            some = state >= 0
+            places, above, word = places[some], longer[some], word[some]
+            yield places, above, state[some], word
+
+    def changes(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What the retained contexts add to the log10 probability of each position."""
+        out = np.zeros(len(symbols))
+        for places, context, state, _ in self.walk(symbols, sizes):
+            gram = _find(self.grams, _mix(context, symbols[places]))
+            out[places] += np.where(gram >= 0, self.change[gram] if len(self.change) else 0.0, self.back[state])
+        return out
+
+
+class Tree:
+    """The retained contexts, to be held by tasks a slice at a time."""
+
+    def __init__(self, table: DataFrame):
+        """table: word, context, symbol (null: the state itself), value."""
+        n = table.count()
+        number = max(1, -(-n // SLICE))
+        sc = table.sparkSession.sparkContext
+        self.slices = [sc.broadcast(table.where(F.pmod("word", F.lit(number)) == i).select("context", "symbol", "value").toArrow()) for i in range(number)]
 
-    return _blocks(docs, rows, GRAMS)
+    def __iter__(self) -> Iterator[Slice]:
+        for x in self.slices:
+            yield Slice(x.value)
+            if len(self.slices) > 1:
+                del x._value  # it is read again from the worker's disk
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """POSTINGS by block; one row of each block has a null gram and names its documents."""
+def next_grams(docs: DataFrame, tree: Tree) -> DataFrame:
+    """GRAMS, by block, of contexts one word longer than the tree's deepest."""
 
     def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        gram = _block_grams(vocabulary, ids)[0]
-        place = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        order = np.lexsort((place, gram))
-        gram, place = gram[order], place[order]
-        edge = np.concatenate([[0], np.flatnonzero((np.diff(gram) != 0) | (np.diff(place) != 0)) + 1])
-        counts = np.diff(np.concatenate([edge, [len(gram)]]))
+        learn = [x for (_, held), x in zip(docs, ids) if not held]
+        out = [np.empty((0, 5), np.int64)]
+        if learn:
+            symbols, sizes = symbol_of(list(vocabulary))[np.concatenate(learn)], np.array([len(x) for x in learn])
+            for part in tree:
+                for depth, (places, context, _, word) in enumerate(part.walk(symbols, sizes), 1):
+                    if depth == tree.depth and len(places):
+                        contexts = Contexts(symbols, sizes)
+                        contexts.depth = depth
+                        longer, symbol = contexts.longer(places, context), symbols[places]
+                        order = np.argsort(key := _mix(longer, symbol))
+                        edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+                        first = order[edge]
+                        n = np.diff(np.append(edge, len(order)))
+                        out.append(np.stack([x[first].view(np.int64) for x in (longer, context, word, symbol)] + [n], 1))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=[c.split()[0] for c in GRAMS.split(", ")])
+
+    return _blocks(docs, rows, GRAMS).groupBy("context", "above", "word", "symbol").agg(F.sum("n").alias("n"))
+
+
+def postings(docs: DataFrame, tree: Tree | None) -> DataFrame:
+    """POSTINGS by block; one row of each block has a null symbol, names its documents and what the tree changes in them."""
+
+    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
+        names, sizes = symbol_of(list(vocabulary)), np.array([len(x) for x in ids])
+        place = np.repeat(np.arange(len(ids)), sizes)
+        every = np.concatenate(ids).astype(np.int64)
+        change = np.zeros(len(ids))
+        for part in tree or ():
+            change += np.bincount(place, part.changes(names[every], sizes), len(ids))
+        keys, counts = np.unique(every * 65_536 + place, return_counts=True)
         # a count over 255 is several entries
         times = -(-counts // 255)
-        key, last = np.repeat(edge, times), np.cumsum(times) - 1
-        small = np.full(len(key), 255)
+        keys, last = np.repeat(keys, times), np.cumsum(times) - 1
+        small = np.full(len(keys), 255)
         small[last] = counts - 255 * (times - 1)
-        gram, place = gram[key], place[key]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]])
-        names = np.array([0 if d is None else d for d, _ in docs], "<i8")
+        token, place = keys >> 16, keys & 65_535
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+        doc_ids = np.array([0 if d is None else d for d, _ in docs], "<i8")
         flags = np.array([(d is None) * 2 + bool(h) for d, h in docs], "<u1")
+        n = len(edges) - 1
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([pa.array(gram[edges[:-1]].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.full(len(edges), block)),
-                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([names.tobytes()], pa.binary())]),
+                pa.concat_arrays([pa.array(names[token[edges[:-1]]].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.full(n + 1, block)),
+                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([doc_ids.tobytes()], pa.binary())]),
                 pa.concat_arrays([_binary(small.astype("<u1"), edges), pa.array([flags.tobytes()], pa.binary())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([change.astype("<f8").tobytes()], pa.binary())]),
             ],
-            names=["gram", "block", "places", "counts"],
+            names=["symbol", "block", "places", "counts", "change"],
         )
 
     return _blocks(docs, rows, POSTINGS)
 
 
-def deepen(entries: DataFrame, shorter: DataFrame, naming: float = 0.0, slack: float = SLACK) -> DataFrame:
-    """entries (context, above, symbol, n, ...) of one depth with log_q, the log of the symbol's share in
-    the context, and lp, its log10 probability smoothed into those that shorter (context, symbol, log_q,
-    lp) gives for the contexts above; naming is the cost of each symbol of a context. Only contexts that pass the divergence test change lp."""
+def retained_contexts(entries: DataFrame, shorter: DataFrame, naming: float = 0.0, slack: float = SLACK) -> DataFrame:
+    """entries: GRAMS of one depth; shorter: (context, symbol, log_q, lp) of all symbols of the contexts above, lp
+    the log10 probability there. The grams of contexts that pass the divergence test, with log_q (the log of
+    the symbol's share), lp, change (lp less that of the context above) and back (the change of symbols never
+    seen there). naming is the cost of each symbol of a context."""
     above = shorter.select(F.col("context").alias("above"), "symbol", F.col("log_q").alias("log_q0"), F.col("lp").alias("lp0"))
-    of = Window.partitionBy("context")
-    seen, n = F.col("n") > 0, F.col("n").cast("double")
-    totals = (
-        entries.join(above, ["above", "symbol"])
-        .withColumn("total", F.sum(n).over(of)).withColumn("k", F.sum(seen.cast("double")).over(of))
-        .withColumn("log_q", F.when(seen, F.log(n / F.col("total"))))
-        .withColumn("gain", F.sum(F.when(seen, n * (F.col("log_q") - F.col("log_q0")))).over(of))
-    )
-    kept = F.coalesce(F.col("gain") > F.col("k") * (slack * 0.5 * F.log("total") + naming), F.lit(False))
-    # an unseen symbol's is apart, as 10 ** lp0 of a long word is 0
-    lp = (
-        F.when(~kept, F.col("lp0"))
-        .when(seen, F.log10((n + F.col("k") * F.pow(F.lit(10.0), "lp0")) / (F.col("total") + F.col("k"))))
-        .otherwise(F.log10(F.col("k") / (F.col("total") + F.col("k"))) + F.col("lp0"))
+    n = F.col("n").cast("double")
+    rows = entries.join(above, ["above", "symbol"])
+    # a hot context's rows aren't gathered: sums by context, then a join
+    sums = rows.groupBy("context").agg(F.sum(n).alias("total"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(n * (F.log(n) - F.col("log_q0"))).alias("part"))
+    kept = sums.where((F.col("part") - F.col("total") * F.log("total")) * (F.col("total") - 1) / F.col("total") > F.col("k") * (slack * 0.5 * F.log("total") + naming)).select("context", "total", "k")
+    return (
+        rows.join(kept, "context")
+        .withColumn("log_q", F.log(n / F.col("total")))
+        .withColumn("lp", F.log10((n + F.col("k") * F.pow(F.lit(10.0), "lp0")) / (F.col("total") + F.col("k"))))
+        .select("context", "word", "symbol", "log_q", "lp", (F.col("lp") - F.col("lp0")).alias("change"), F.log10(F.col("k") / (F.col("total") + F.col("k"))).alias("back"))
     )
-    return totals.withColumn("lp", lp).drop("above", "total", "k", "gain", "log_q0", "lp0")
 
 
 class Symbols:
@@ -281,25 +417,23 @@ def count_contexts(tokens: DataFrame) -> DataFrame:
     return tokens.where("c > 0").select("token", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def retained(counts: DataFrame, states: int = STATES, slack: float = SLACK) -> DataFrame:
+def retained(counts: DataFrame, slack: float = SLACK) -> DataFrame:
     """(key, n) of the root and the contexts that pass the divergence test."""
     table = materialize(counts.withColumn("node", F.shiftright("key", 8)).withColumn("symbol", F.col("key").bitwiseAND(255)))
     depth = F.shiftright("node", 48)
     sizes = table.groupBy("node").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-    # a context that passes has N ln 256 > k/2 ln N at least, and single occurrences tell nothing
-    some = sizes.where("total >= 8 or node = 0")
     masks = F.element_at(F.array(*[F.lit(_mask(d)).cast("long") for d in range(DEPTH)]), depth.cast("int"))
     child = (
-        table.join(some, "node").where("node > 0")
+        table.join(sizes, "node").where("node > 0")
         .withColumn("above", F.shiftleft(depth - 1, 48).bitwiseOR(F.col("node").bitwiseAND(masks)))
     )
-    above = table.join(some, "node").select(F.col("node").alias("above"), "symbol", F.log(F.col("n") / F.col("total")).alias("log_q"))
+    above = table.join(sizes, "node").select(F.col("node").alias("above"), "symbol", F.log(F.col("n") / F.col("total")).alias("log_q"))
     gain = (
         child.join(above, ["above", "symbol"])
         .groupBy("node", "total", "k").agg(F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("log_q"))).alias("gain"))
         .where(F.col("gain") > slack * 0.5 * F.col("k") * F.log("total"))
     )
-    best = gain.orderBy(F.desc("gain"), "node").limit(states).select("node").unionByName(counts.sparkSession.range(1).select(F.col("id").alias("node")))
+    best = gain.select("node").unionByName(counts.sparkSession.range(1).select(F.col("id").alias("node")))
     return table.join(best, "node").select("key", "n")
 
 
@@ -353,18 +487,38 @@ class SuffixTree:
         return np.bincount(s.of, self.log10(s.context, s.known, s.symbol), len(tokens))
 
 
-def learn(tokens: DataFrame, states: int = STATES) -> SuffixTree:
-    table = retained(count_contexts(tokens), states).toArrow()
+def learn(tokens: DataFrame) -> SuffixTree:
+    table = retained(count_contexts(tokens)).toArrow()
     return SuffixTree(table.column("key").to_numpy(), table.column("n").to_numpy())
 
 
-def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
+def grow(docs: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -> Tree | None:
+    """The tree of retained contexts, level by level."""
+    naming = NAMING * float(np.log(max(n + v, 1)))
+    shorter = rated.where("c > 0").select(F.lit(0).cast("long").alias("context"), "symbol", F.log(F.col("c") / F.lit(float(max(n, 1)))).alias("log_q"), "lp")
+    entries, levels, tree = first_grams(docs, tokens, n, v), [], None
+    while True:
+        level = materialize(retained_contexts(entries, shorter, naming))
+        if not level.head(1):
+            return tree
+        levels.append(level)
+        rows = [x.select("word", "context", "symbol", F.col("change").alias("value")).unionByName(x.select("word", "context", F.lit(None).cast("long").alias("symbol"), F.col("back").alias("value")).distinct()) for x in levels]
+        every = rows[0]
+        for x in rows[1:]:
+            every = every.unionByName(x)
+        tree = Tree(every)
+        tree.depth = len(levels)
+        drop_dead_shuffles(docs.sparkSession)
+        entries, shorter = next_grams(docs, tree), level
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     tokens = materialize(words_of(docs).groupBy("token").agg(F.sum("c").alias("c")))
     size = tokens.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(size.n), int(size.v)
-    shared = spark.sparkContext.broadcast(learn(tokens, states))
+    shared = spark.sparkContext.broadcast(learn(tokens))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts in _chunks(batches):
@@ -375,7 +529,7 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         is_head = table.column("is_head")
         head, table = table.filter(is_head), table.filter(pc.invert(is_head)).combine_chunks()
-        ids, flags = np.frombuffer(head.column("places")[0].as_py(), "<i8"), np.frombuffer(head.column("counts")[0].as_py(), "<u1")
+        ids, flags, change = (np.frombuffer(head.column(k)[0].as_py(), t) for k, t in (("places", "<i8"), ("counts", "<u1"), ("change", "<f8")))
         of, times = (_joined(table.column(k), t) for k, t in (("places", "<u2"), ("counts", "<u1")))
         row = np.repeat(np.arange(len(table)), pc.binary_length(table.column("counts")).to_numpy())
         c, lp = table.column("c").to_numpy().astype(float), table.column("lp").to_numpy()
@@ -384,25 +538,18 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=flags >= 2), "held_out": pa.array((flags & 1).astype(bool)),
             "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3]),
+            "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3] + change),
         })
 
     rated = materialize(tokens.mapInArrow(rate, "symbol long, c long, lp double"))
-    longest = [f"c{d}" for d in range(1, WORDS + 1)]
-    grams = materialize(grams_of(docs).groupBy("gram").agg(*[F.first(x).alias(x) for x in (*longest, "symbol")], F.sum("n").alias("n")))
-    scores = rated.select(F.lit(0).cast("long").alias("context"), "symbol", F.when(F.col("c") > 0, F.log(F.col("c") / F.lit(float(max(n, 1))))).alias("log_q"), "lp")
-    for d in range(1, WORDS):
-        above = F.col(f"c{d - 1}") if d > 1 else F.lit(0).cast("long")
-        entries = grams.select(F.col(f"c{d}").alias("context"), above.alias("above"), "symbol", "n").groupBy("context", "above", "symbol").agg(F.sum("n").alias("n"))
-        scores = materialize(deepen(entries, scores, float(np.log(max(n + v, 1)))).select("context", "symbol", "log_q", "lp"))
-    above = F.col(longest[-2]) if WORDS > 1 else F.lit(0).cast("long")
-    entries = grams.select("gram", F.col(longest[-1]).alias("context"), above.alias("above"), "symbol", "n")
-    scored = deepen(entries, scores, float(np.log(max(n + v, 1)))).select("gram", "symbol", "lp").join(rated.select("symbol", "c"), "symbol")
-    blocks = materialize(postings(docs))
-    joined = blocks.where("gram is not null").join(scored.select("gram", "c", "lp"), "gram")
-    columns = ["block", "places", "counts", "c", "lp"]
-    heads = blocks.where("gram is null").select("block", "places", "counts", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), F.lit(True).alias("is_head"))
-    rows = joined.select(*columns, F.lit(False).alias("is_head")).unionByName(heads)
+    tree = grow(docs, tokens.where("c > 0"), rated, n, v) if n else None
+    discard(tokens)
+    drop_dead_shuffles(spark)
+    blocks = materialize(postings(docs, tree))
+    joined = blocks.where("symbol is not null").select("symbol", "block", "places", "counts").join(rated, "symbol")
+    columns = ["block", "places", "counts", "change", "c", "lp"]
+    heads = blocks.where("symbol is null").select("block", "places", "counts", "change", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), F.lit(True).alias("is_head"))
+    rows = joined.withColumn("change", F.lit(None).cast("binary")).select(*columns, F.lit(False).alias("is_head")).unionByName(heads)
     return rows.groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -76,28 +76,37 @@ def test_positions_are_scored_by_the_longest_retained_words(spark):
             words.append(str(rng.choice(["a", "b", "c", "d"], p=[0.85, 0.05, 0.05, 0.05] if words[-2:] == ["a", "b"] else [0.1, 0.5, 0.2, 0.2] if words[-1] == "a" else [0.4, 0.2, 0.2, 0.2])))
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows + [(250, "a b zz a b")], "doc_id long, text string")
-    counts = [collections.defaultdict(collections.Counter) for _ in range(L.WORDS + 1)]
+    deepest = 4
+    counts = [collections.defaultdict(collections.Counter) for _ in range(deepest + 1)]
     positions = {}
     for i, text in rows + [(250, "a b zz a b")]:
-        t = [None] * L.WORDS + tokens(text)
-        positions[i] = [(tuple(t[k - L.WORDS : k]), t[k]) for k in range(L.WORDS, len(t))]
+        t = [None] * deepest + tokens(text)
+        positions[i] = [(tuple(t[k - deepest : k]), t[k]) for k in range(deepest, len(t))]
         if zlib.crc32(str(i).encode()) % 10:
             for c, w in positions[i]:
-                for d in range(L.WORDS + 1):
-                    counts[d][c[L.WORDS - d :]][w] += 1
+                for d in range(deepest + 1):
+                    counts[d][c[deepest - d :]][w] += 1
     root = counts[0][()]
     tree = L.learn(spark.createDataFrame([(w, c) for w, c in root.items()], L.TOKENS))
     n, v = sum(root.values()), len(root)
     spelled = {w: 10 ** tree.score([w])[0] for _, w in {p for x in positions.values() for p in x}}
 
-    def p(c, w):
+    def retained(c):
         if not c:
-            return (root[w] + v * spelled[w]) / (n + v)
+            return True
         here, above = counts[len(c)].get(c, {}), counts[len(c) - 1].get(c[1:], {})
         total, k = sum(here.values()), len(here)
         gain = sum(m * math.log(m / total / (above[s] / sum(above.values()))) for s, m in here.items())
-        return (here.get(w, 0) + k * p(c[1:], w)) / (total + k) if total and gain > k * (0.5 * math.log(total) + math.log(n + v)) else p(c[1:], w)
+        return total and gain * (total - 1) / total > k * (0.5 * math.log(total) + L.NAMING * math.log(n + v)) and retained(c[1:])
+
+    def p(c, w):
+        if not c:
+            return (root[w] + v * spelled[w]) / (n + v)
+        here = counts[len(c)].get(c, {})
+        total, k = sum(here.values()), len(here)
+        return (here.get(w, 0) + k * p(c[1:], w)) / (total + k) if retained(c) else p(c[1:], w)
 
+    assert retained((b"a",)) and not retained((b"zz",))
     got = {r.doc_id: r.score for r in L.score_documents(docs).collect()}
     assert all(abs(got[i] - sum(math.log10(p(c, w)) for c, w in x)) < 1e-6 for i, x in positions.items())
 
