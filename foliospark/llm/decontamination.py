@@ -1,19 +1,20 @@
 """Operator 7: benchmark decontamination by suffix arrays over shards of the training documents.
 
-Each shard of documents (a bounded number of words) becomes one array of word numbers, numbered by the
-words of the benchmark; other words, and document ends, are breaks. Its suffix array holds the suffixes
-that start at benchmark words (no other can match a test suffix) and is sorted by prefix doubling.
-Every test suffix is binary-searched in it: the range with its window gives the hits, the neighbours of
-its place give the longest verbatim match and where it is. Documents never leave their task.
+A shard is some whole documents, as bytes. Its words and a hash of each come from array operations over the
+bytes, and so do hashes of all runs of as many words as a window. Runs whose hash no window of the benchmark
+has can't be an occurrence; the words of the others, numbered by the words of the benchmark (the words
+themselves are compared, not their hashes), are the shard's text, with breaks between them. Its suffix array
+is sorted by prefix doubling, and test suffixes are binary-searched in it: the range with a suffix's window
+gives the hits, the neighbours of its place give the longest verbatim match and where it is. Documents
+never leave their task.
 
-Only the benchmark is sent to the tasks, in blocks of at most BLOCK_WORDS words, each block a pass
-over the shard's arrays, so a benchmark of any size is handled in bounded memory: blocks beyond the
-first are read by the tasks from the broadcast of one block at a time.
+Only the benchmark is sent to the tasks, in blocks of at most BLOCK_WORDS words. One block, the usual case,
+is one pass without a shuffle; of several, each is a pass whose hits are stored before the next is sent.
 
 Defined cases: null text has no words; an item without words has no windows; an item of fewer words
 than a window is one window; repeated items count by distinct item_id, a null item_id is skipped;
-repeated documents give a row each; an empty table on either side gives rows without hits or no rows;
-other columns are ignored.
+repeated documents give a row each; a text longer than a shard is a shard of its own; an empty table on
+either side gives rows without hits or no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from foliospark.session import materialize, ship_package
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_BYTES, BYTES_AT_ONCE = 16_000_000, 1 << 18
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -114,18 +115,76 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
     yield block
 
 
+_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+_CLASSES = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 0 for c in range(256)], np.uint8)
+_POWERS: list[np.ndarray] = []  # of _BASE and its inverse modulo 2 ** 64, of this worker
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, by sums over some whole words at a time."""
+    out = (end - start).astype(np.uint64) * _STEP
+    bounds = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(data), BYTES_AT_ONCE)), [len(start)]])).tolist()
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        a, b, low = start[i:j] - start[i], end[i:j] - start[i], int(start[i])
+        power, inverse = _powers(int(b[-1]))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(data[low : low + int(b[-1])] * power[: int(b[-1])])])
+        out[i:j] += (total[b] - total[a]) * inverse[a]
+    return out
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive words, by doubling."""
+    out, known, width, power = None, words, 1, _STEP
+    done, shift = 0, np.uint64(1)
+    while n:
+        if n & 1:
+            size = len(known) - done
+            if size <= 0:
+                return np.empty(0, np.uint64)
+            out = known if out is None else out[:size] + known[done:] * shift
+            done, shift = done + width, np.uint64(int(shift) * int(power) & (1 << 64) - 1)
+        n >>= 1
+        if n:
+            if len(known) <= width:
+                return np.empty(0, np.uint64)
+            known = known[:-width] + known[width:] * power
+            width, power = 2 * width, np.uint64(int(power) ** 2 & (1 << 64) - 1)
+    return out
+
+
+class Shard:
+    """Words of some texts (UTF-8), as places in bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = _CLASSES[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)] if texts else np.zeros(1, np.uint8)
+        is_word = np.concatenate([[False], self.data != 0])
+        edge = np.flatnonzero(is_word[1:] != is_word[:-1])
+        self.start, self.end = edge[::2], edge[1::2]  # each text ends with a byte that is no word's
+        borders = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.first = np.searchsorted(self.start, borders)  # the first word of each text
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
+
+
 class Matcher:
     """The benchmark of one block, ready to search shards."""
 
     def __init__(self, block: list[tuple[str, list[str]]], window: int):
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         self.vocabulary, self.window = vocabulary, window
         self.suffixes: list[np.ndarray] = []  # test suffixes that start a window, equal windows once
         self.sizes: list[int] = []
         self.items: list[list[str]] = []
         place: dict[tuple[int, ...], int] = {}
         for item, ws in block:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws]
+            ids = [vocabulary.setdefault(w.encode(), len(vocabulary) + 1) for w in ws]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
                 k = place.setdefault(tuple(ids[i : i + size]), len(self.suffixes))
@@ -135,44 +194,62 @@ class Matcher:
                     self.items.append([])
                 self.items[k].append(item)
         self.items = [sorted(set(x)) for x in self.items]
-        self.least = min(self.sizes, default=window)
-
-    def numbers(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The words of documents as numbers, a break after each, and where each begins."""
+        # the hashes of windows by size, in order, with the windows that have them
+        known = Shard([b" ".join(vocabulary)])
+        hashes = np.concatenate([[np.uint64(0)], word_hashes(known.data, known.start, known.end)]) if vocabulary else np.zeros(1, np.uint64)
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.array(self.sizes, np.int64)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            h = np.concatenate([run_hashes(hashes[self.suffixes[k][:size]], size) for k in own.tolist()])
+            order = np.argsort(h, kind="stable")
+            self.hashes[size] = h[order], own[order]
+
+    def occurrences(self, shard: Shard) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(window number, its words, its first words' places) of every window that occurs in the shard."""
+        n = len(shard.start)
+        if not n or not self.hashes:
+            return
+        hashes = word_hashes(shard.data, shard.start, shard.end)
+        last = shard.first[np.searchsorted(shard.first, np.arange(n), side="right")]  # the word behind each one's text
+        covered, windows = np.zeros(n + 1, np.int64), []
+        for size, (known, numbers) in self.hashes.items():
+            runs = run_hashes(hashes, size)
+            at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+            at = np.flatnonzero((known[at] == runs) & (np.arange(len(runs)) + size <= last[: len(runs)]))
+            if len(at):
+                np.add.at(covered, at, 1)
+                np.add.at(covered, at + size, -1)
+                found = np.unique(runs[at])
+                low, high = np.searchsorted(known, found), np.searchsorted(known, found, side="right")
+                windows += [numbers[a:b] for a, b in zip(low, high)]
+        if not windows:
+            return
+        places = np.flatnonzero(np.cumsum(covered)[:n] > 0)
         get = self.vocabulary.get
-        starts = np.cumsum([0] + [len(d) + 1 for d in docs])
-        out = np.zeros(starts[-1], np.int64)
-        for d, s in zip(docs, starts):
-            out[s : s + len(d)] = [get(w, 0) for w in d]
-        return out, starts
-
-    def shard(self, docs: list[list[str]]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(window number, its words, places) of every window that occurs, and the starts of docs via numbers()."""
-        tokens, _ = self.numbers(docs)
-        # runs of benchmark words shorter than every window hold no window
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (tokens > 0).astype(np.int8), [0]])))
-        short = [np.arange(a, b) for a, b in zip(edge[::2], edge[1::2]) if b - a < self.least]
-        if short:
-            tokens[np.concatenate(short)] = 0
+        ids = np.fromiter((get(shard.word(i), 0) for i in places.tolist()), np.int64, len(places))
+        # a break between words that aren't neighbours, or of two texts
+        apart = np.flatnonzero((np.diff(places) > 1) | (last[places][1:] != last[places][:-1])) + 1
+        tokens, places = np.insert(ids, apart, 0), np.insert(places, apart, -1)
         suffixes = Suffixes(tokens)
-        if len(suffixes.array):
-            for k, (s, size) in enumerate(zip(self.suffixes, self.sizes)):
-                low, high = suffixes.search(s[:size])
-                if low < high:
-                    yield k, size, suffixes.array[low:high]
+        for k in np.sort(np.concatenate(windows)).tolist():
+            size = self.sizes[k]
+            low, high = suffixes.search(self.suffixes[k][:size])
+            if low < high:
+                yield k, size, places[suffixes.array[low:high]]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int):
-    """Rows and their words, some whole documents at a time."""
+    """Some whole rows at a time, texts as UTF-8."""
     rows, n = [], 0
     for b in batches:
-        for row, d, text in zip(*(c.to_pylist() for c in b.columns)):
-            w = words(text)
-            if rows and n + len(w) > most:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            text = row[-1] or b""
+            if rows and n + len(text) > most:
                 yield rows
                 rows, n = [], 0
-            rows.append((row, d, w))
-            n += len(w) + 1
+            rows.append((*row[:-1], text))
+            n += len(text) + 1
     if rows:
         yield rows
 
@@ -184,27 +261,26 @@ def find_hits(docs: DataFrame, block: list[tuple[str, list[str]]], window: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value, window)
-        for rows in _shards(batches, SHARD_WORDS):
-            texts = [w for _, _, w in rows]
-            starts = np.cumsum([0] + [len(w) + 1 for w in texts])
-            change = np.zeros(starts[-1] + 1, np.int64)
+        for rows in _shards(batches, SHARD_BYTES):
+            shard = Shard([r[2] for r in rows])
+            change = np.zeros(len(shard.start) + 1, np.int64)
             items: dict[int, set[str]] = {}
-            for k, size, places in m.shard(texts):
+            for k, size, places in m.occurrences(shard):
                 np.add.at(change, places, 1)
                 np.add.at(change, places + size, -1)
-                for d in np.unique(np.searchsorted(starts, places, side="right") - 1).tolist():
+                for d in np.unique(np.searchsorted(shard.first, places, side="right") - 1).tolist():
                     items.setdefault(d, set()).update(m.items[k])
             hit = (np.cumsum(change) > 0).astype(np.int8)
-            spans = []
-            for d in range(len(rows)):
-                e = np.flatnonzero(np.diff(np.concatenate([[0], hit[starts[d] : starts[d + 1] - 1], [0]]))) if d in items else np.empty(0)
-                spans.append(e.astype("<i8").tobytes())
+            spans = [b""] * len(rows)
+            for d in items:
+                own = hit[shard.first[d] : shard.first[d + 1]]
+                spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]))).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(w) for w in texts], pa.int64()), pa.array(spans, pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(len(rows))], pa.list_(pa.string()))],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.diff(shard.first), pa.int64()), pa.array(spans, pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(len(rows))], pa.list_(pa.string()))],
                 names=["row", "doc_id", "n_words", "spans", "items"],
             )
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, HITS)
+    return docs.select("row", "doc_id", F.col("text").cast("binary")).mapInArrow(run, HITS)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,20 +294,23 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, 1)
-            for rows in _shards(batches, SHARD_WORDS):
-                tokens, starts = m.numbers([w for _, _, w in rows])
+            for rows in _shards(batches, SHARD_BYTES):
+                shard = Shard([r[1] for r in rows])
+                ids = np.fromiter((m.vocabulary.get(shard.word(i), 0) for i in range(len(shard.start))), np.int64, len(shard.start))
+                tokens = np.insert(ids, shard.first[1:], 0)
+                starts = shard.first + np.arange(len(shard.first))
                 suffixes, found = Suffixes(tokens), []
                 for item, ws in shared.value:
-                    ids = np.asarray([m.vocabulary[w] for w in ws], np.int64)
+                    ids = np.asarray([m.vocabulary[w.encode()] for w in ws], np.int64)
                     for i in range(len(ids)):
                         n, at = suffixes.longest(ids[i:])
                         if n:
                             d = int(np.searchsorted(starts, at, side="right") - 1)
-                            found.append((item, i, rows[d][1], at - int(starts[d]), n))
+                            found.append((item, i, rows[d][0], at - int(starts[d]), n))
                 cols = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] + [pa.int64()] * 4)], names=["item_id", "item_word", "doc_id", "doc_word", "n_words"])
 
-        part = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, n_words long")
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, n_words long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -250,15 +329,17 @@ def _digest(docs_hits: DataFrame) -> DataFrame:
     return docs_hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _merge(spans: list[bytes]) -> bytes:
-    pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans])
-    out: list[list[int]] = []
-    for a, b in sorted(map(tuple, pairs.tolist())):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return np.asarray(out, "<i8").tobytes()
+def _merge(rows: pa.Array) -> pa.Array:
+    """Lists of spans, as from several blocks, to the spans of their union."""
+    out = []
+    for spans in rows.to_pylist():
+        pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans])
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(pairs[:, 1])
+        new = np.concatenate([[True] * bool(len(pairs)), pairs[1:, 0] > reach[:-1]]).astype(bool)
+        last = np.roll(new, -1)  # where a new one begins, the one before ends; the first begins one
+        out.append(np.stack([pairs[new, 0], reach[last]], 1).astype("<i8").tobytes())
+    return pa.array(out, pa.binary())
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -270,11 +351,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     if second is None:
         return find_hits(rows, first, window)
     rows = materialize(rows)
-    union = find_hits(rows, first, window)
+    every = materialize(find_hits(rows, first, window))
     while second is not None:
-        union, second = union.unionByName(find_hits(rows, second, window)), next(blocks, None)
-    merge = F.udf(_merge, "binary")
-    return union.groupBy("row", "doc_id", "n_words").agg(merge(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("row", "doc_id", "n_words", "spans", "items")
+        part = materialize(find_hits(rows, second, window).where("size(items) > 0"))
+        every, second = every.unionByName(part), next(blocks, None)
+    merge = F.arrow_udf(_merge, "binary")
+    merged = every.groupBy("row", "doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select("row", "doc_id", "n_words", merge("spans").alias("spans"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -293,11 +376,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, window)
             for b in batches:
-                texts = [words(t) for t in b.column(at).to_pylist()]
-                starts = np.cumsum([0] + [len(w) + 1 for w in texts])
-                clean = np.ones(len(texts), bool)
-                for _, _, places in m.shard(texts):
-                    clean[np.searchsorted(starts, places, side="right") - 1] = False
+                shard = Shard([(t or "").encode() for t in b.column(at).to_pylist()])
+                clean = np.ones(len(b), bool)
+                for _, _, places in m.occurrences(shard):
+                    clean[np.searchsorted(shard.first, places, side="right") - 1] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
