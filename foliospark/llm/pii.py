@@ -1,11 +1,13 @@
 """Operator 3: personal data by base patterns and bootstrapped contextual extraction.
 
-Base patterns find e-mail, IP, card and phone spans in one pass over the whole texts. These are the
-seeds. The words around a seed make lexical patterns; other tokens that could be an identifier
-(candidates) in the same contexts are the other side of a graph of patterns and instances. Spark scores
-it in rounds, ROUNDS at least and until none accepts anything new: a pattern's confidence for a kind is the share of its instances (distinct surfaces) that
+Base patterns find e-mail, IP, card and phone spans in one pass over the whole texts; strings that look drawn at
+random (random_strings) are secrets, a fifth kind that the base doesn't have. These are the seeds. The words
+around a seed, and the name that it is assigned to, make lexical patterns; other tokens that could be an identifier
+(candidates), for secrets any value that is assigned, in the same contexts are the other side of a graph of
+patterns and instances. Spark scores it in rounds, ROUNDS at least and until none accepts anything new: a pattern's confidence for a kind is the share of its instances (distinct surfaces) that
 are of the kind, an instance's score is the noisy-or of its patterns' confidences. Candidates whose
-score reaches ACCEPT and whose shape suits the kind are new spans, and seeds in the next round. They never overlap a base span.
+score reaches ACCEPT and whose shape suits the kind are new spans, and seeds in the next round. They never overlap
+a base span or a seed.
 
 The texts are read once; what is shuffled are identifiers and their contexts, keyed by pattern or
 instance and aggregated before the shuffle, and nothing goes to the driver.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from foliospark.session import materialize, ship_package
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone")  # of the base
+SECRET = "secret"
 ROUNDS = 3
 LEAST_SEEDS = 3  # distinct seeds of a kind that a pattern needs
 CONFIDENT = 0.7  # of a pattern
@@ -40,6 +43,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{24,}={0,2}(?![A-Za-z0-9_/+=-])")
+_TURN = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+_ASSIGNED = re.compile(r"\b\w+\s*[=:]\s*(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"']{4,}))")
+_TO = re.compile(r"[=:]\s*[\"']?\Z")
 _TOKEN = re.compile(r"(?<!\S)\S*?[0-9@]\S*")
 _EDGE = "\"'.,;:!?()[]{}<>|*#$%&="
 _WORD_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -88,6 +95,15 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def random_strings(text: str, taken: list[Span]) -> list[Span]:
+    """Strings of 24 characters or more, outside spans, in which letters and digits take turns at least six times."""
+    out = []
+    for m in _RANDOM.finditer(text):
+        if len(_TURN.findall(m[0])) >= 6 and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+            out.append((m.start(), m.end(), SECRET))
+    return out
+
+
 def possible_kinds(surface: str) -> list[str]:
     """The kinds that a candidate's shape allows."""
     digits = len(_DIGIT.findall(surface))
@@ -111,7 +127,7 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int, list[st
         raw = m[0]
         start = m.start() + len(raw) - len(raw.lstrip(_EDGE.replace("(", "")))
         end = m.end() - (len(raw) - len(raw.rstrip(_EDGE)))
-        if start >= end or end - start > 254:
+        if start >= end:
             continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
@@ -120,15 +136,25 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int, list[st
         kinds = possible_kinds(text[start:end])
         if kinds:
             yield start, end, kinds
+    k = 0
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if not any(a < end and start < b for a, b, _ in taken[k : k + 4]):
+            yield start, end, [SECRET]
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span."""
     clean = lambda w: _DIGIT.sub("9", _WORD_EDGE.sub("", w.lower()))
-    left = [w for w in map(clean, text[max(0, start - CONTEXT) : start].split()[-2:]) if w]
+    before = text[max(0, start - CONTEXT) : start]
+    left = [w for w in map(clean, before.split()[-4:]) if w][-2:]
     right = [w for w in map(clean, text[end : end + CONTEXT].split()[:1]) if w]
     out = []
-    if left:
+    if left and _TO.search(before):
+        out.append(f"{left[-1]} = _")
+    elif left:
         out.append(f"{left[-1]} _")
         if len(left) == 2:
             out.append(f"{left[0]} {left[1]} _")
@@ -140,7 +166,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 _MENTIONS = "array<struct<instance:string,kind:string,possible:array<string>,start:long,end:long,patterns:array<string>>>"
-FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,end:long,kind:string>>, mentions {_MENTIONS}"
+FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,end:long,kind:string>>, secrets array<struct<start:long,end:long,kind:string>>, mentions {_MENTIONS}"
 
 
 def written(spans: list[Span]) -> str:
@@ -155,18 +181,21 @@ def find_base(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, mentions = [], []
+            spans, secrets, mentions = [], [], []
             for text in b.column("text").to_pylist():
                 found = base_spans(text)
                 spans.append(found)
+                some = text and _SPARSE.search(text)
+                secrets.append(random_strings(text, found) if some else [])
+                found = sorted(found + secrets[-1])
                 some = [dict(instance=text[a:e].lower(), kind=k, possible=[], start=a, end=e, patterns=contexts(text, a, e)) for a, e, k in found]
-                if text and _SPARSE.search(text):
+                if text and (_SPARSE.search(text) or "=" in text or ":" in text):
                     some += [dict(instance=text[a:e].lower(), kind=None, possible=p, start=a, end=e, patterns=contexts(text, a, e)) for a, e, p in candidates(text, found)]
                 mentions.append(some)
             counts = [pa.array([sum(s[2] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in spans])
-            listed = pa.array([[dict(start=a, end=e, kind=k) for a, e, k in x] for x in spans], span)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *counts, sha, listed, pa.array(mentions, mention)], names=["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"])
+            listed = [pa.array([[dict(start=a, end=e, kind=k) for a, e, k in x] for x in y], span) for y in (spans, secrets)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *counts, sha, *listed, pa.array(mentions, mention)], names=["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "secrets", "mentions"])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, FOUND)
@@ -213,10 +242,11 @@ def discover(found: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text), found (spans as rows), n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text), n_spans, found (spans as rows), n_added
+    (spans that aren't of the base)."""
     found = materialize(find_base(docs).withColumn("row", F.monotonically_increasing_id()))
-    order = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:long,end:long,kind:string>>")))
+    order = F.array(*[F.lit(k) for k in (*KINDS, SECRET)])
+    spans = F.concat("base", "secrets", F.coalesce("added", F.array().cast("array<struct<start:long,end:long,kind:string>>")))
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return (
         found.drop("mentions").join(discover(found), "row", "left")
@@ -224,7 +254,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         .select(
             "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
             F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
-            F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"), "found",
+            F.size("found").cast("long").alias("n_spans"), (F.size("found") - F.size("base")).cast("long").alias("n_added"), "found",
         )
     )
 
@@ -255,7 +285,9 @@ def redact(docs: DataFrame) -> DataFrame:
     def mask(texts: pa.Array, added: pa.Array) -> pa.Array:
         out = []
         for text, more in zip(texts.to_pylist(), added.to_pylist()):
-            spans = base_spans(text) + [(s["start"], s["end"], s["kind"]) for s in more or ()]
+            spans = base_spans(text)
+            spans += random_strings(text, spans) if text else []
+            spans += [(s["start"], s["end"], s["kind"]) for s in more or ()]
             out.append(masked(text, spans) if spans else text)
         return pa.array(out, pa.string())
 

@@ -1,4 +1,7 @@
+import collections
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -72,3 +75,60 @@ def test_found_identifiers_teach_further_contexts(spark):
 
 def test_overlapping_spans_mask_together():
     assert P.masked("ab 12 cd", [(3, 5, "card"), (3, 4, "ip")]) == "ab [IP] cd"
+
+
+def test_secrets_and_what_their_contexts_find(spark):
+    """Random strings are seeds; other values assigned to the same names are found by them, others aren't."""
+    rows = [(i, f'then token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and words') for i in range(12)]
+    rows += [(100, 'then token = "hunter-two" and words'), (101, "color = blue-green and words"), (102, 'TOKEN: "Open Sesame now" words')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in P.find_personal_data(docs).collect()}
+    assert all(got[i].spans == "secret:14:54" and got[i].n_spans == got[i].n_added == 1 for i in range(12))
+    assert got[100].spans == "secret:14:24" and got[101].spans == "" and got[102].spans == "secret:8:23"
+    assert {r.doc_id: r.text for r in P.redact(docs).collect()}[100] == 'then token = "[SECRET]" and words'
+
+
+def test_rounds_equal_brute_force(spark):
+    """The graph's rounds in plain Python, over mentions drawn at random."""
+    r = random.Random(6)
+    mentions = set()
+    for i in range(400):
+        seed = i < 330
+        own = r.choices(["call _", "phone _", "fax _", "id _", "ref _", "no _", "tel _"], weights=[9, 9, 1, 0.2, 0.2, 0.2, 1] if i % 2 else [0.2, 0.2, 1, 6, 6, 6, 0.2], k=r.randint(1, 3))
+        kind = ("phone" if i % 2 else "card") if seed else None
+        for p in set(own):
+            mentions.add((f"x{i}", kind, () if seed else r.choice([("phone",), ("card", "phone"), ("card",)]) if p == sorted(own)[0] else ("phone", "card"), p))
+    edges = sorted(mentions, key=repr)
+    possible = {}
+    for i, k, o, p in edges:
+        possible.setdefault(i, set()).update(o)
+    rows = [(i, k, sorted(possible[i]), [p]) for i, k, _, p in edges]
+    got = {(x.instance, x.kind): x.score for x in P.score_graph(spark.createDataFrame(rows, "instance string, kind string, possible array<string>, patterns array<string>")).collect()}
+    of = collections.defaultdict(set)
+    for i, _, _, p in edges:
+        of[p].add(i)
+    of = {p: x for p, x in of.items() if any(k is None for i, k, _, q in edges if q == p)}
+    seeds = {(i, k): 1.0 for i, k, _, p in edges if k and p in of}
+    open_ = {i for i, k, _, p in edges if k is None}
+    accepted, known, left, before = {}, {k: (1.0, 1) for k in seeds}, P.ROUNDS, 0
+    while True:
+        confidence = {}
+        for p, x in of.items():
+            for k in ("phone", "card"):
+                some = [known[i, k] for i in x if (i, k) in known]
+                if sum(n for _, n in some) >= P.LEAST_SEEDS and sum(s for s, _ in some) / (len(x) + 0.5) >= P.CONFIDENT:
+                    confidence[p, k] = sum(s for s, _ in some) / (len(x) + 0.5)
+        new = {}
+        for i in open_:
+            for k in ("phone", "card"):
+                c = [min(v, 0.999) for (p, q), v in confidence.items() if q == k and i in of[p]]
+                if c:
+                    new[i, k] = 1 - math.prod(1 - v for v in c)
+        for (i, k), v in new.items():
+            if v >= P.ACCEPT and k in possible[i]:
+                accepted[i, k] = max(v, accepted.get((i, k), 0))
+        known = {k: (1.0, 1) for k in seeds} | {k: (v, 1) for k, v in accepted.items()} | {k: (v, 0) for k, v in new.items() if k not in accepted}
+        left, before, n = left - 1, len(accepted), before
+        if left <= 0 and before == n:
+            break
+    assert accepted and got.keys() == accepted.keys() and all(abs(got[k] - v) < 1e-9 for k, v in accepted.items())
