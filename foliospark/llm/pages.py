@@ -1,14 +1,17 @@
 """Operator 2: main text of web pages by nearest-URL page differencing.
 
-A page becomes text lines, one a block, in page order; lines of menus, forms, scripts and the like are
-out by their markup. Pages are ordered by URL path within each host and each is paired with its nearest
-neighbours. A pair's lines are aligned by longest common subsequence (of lines numbered by occurrence,
-so that the alignment is an increasing subsequence and takes n log n), and lines shared by both are the
-site's frame and are deleted, inside main elements and containers named as content too. Only lines inside
-an article element are never frame: a paragraph that two articles quote stays. On pages that have such
-elements or containers, lines outside all of them are no text. A neighbour beside which almost nothing of a page is left is a copy of it and gives
-no evidence, however much the frame alone makes them share; beyond a run of copies the nearest page on each
-side that is none takes its place. Equal pages of a host are one page in the ordering.
+A page becomes text lines, one a block, in page order. Pages are ordered by URL path within each host and
+each is paired with its nearest neighbours. A pair's lines are aligned by longest common subsequence (of lines
+numbered by occurrence, so that the alignment is an increasing subsequence and takes n log n), and lines
+shared by both are the site's frame and are deleted, wherever they stand: menus, headers, footers, notices
+and whatever main elements repeat. Only lines inside an article element are never frame: a paragraph that two
+articles quote stays. A neighbour beside which almost nothing of a page is left is a copy of it and gives no
+evidence, however much the frame alone makes them share; beyond a run of copies the nearest page on each side
+that is none takes its place. Equal pages of a host are one page in the ordering.
+
+Markup decides what pages don't share: lines of menus, forms, comments and adverts that are a page's own are
+no text, nor are lines outside of article and main elements and containers named as content on pages that
+have such. Scripts, styles and the like are never lines.
 
 The order within a host is made by a range partitioning of line hashes, so a host with a third of all
 pages spreads over many tasks; the pairs across task borders are made from the first and last page of
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import materialize, ship_package
 
-LEFT, LEFT_PART = 32, 0.02  # a neighbour beside which fewer characters, or a smaller part, of a page are left is a copy
+LEFT, LEFT_PART = 8, 0.05  # a neighbour beside which fewer characters, or a smaller part, of a page are left is a copy
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -50,10 +53,11 @@ MAIN_NAMES = frozenset("article articlebody content entry main post story".split
 NEVER_MAIN = frozenset("ad ads advert adverts advertisement comment comments disqus related reply respond sidebar widget".split())
 
 
-def _part(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
-    """Is the element a page part that is no article text? How surely is it the article (0 to 3)?"""
+def _part(tag: str, attributes: str, inside: bool, named: bool = True) -> tuple[bool, int]:
+    """Is the element a page part that is no article text? How surely is it the article (0 to 3)? Without
+    named, the names that sites give to elements don't count."""
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    names = {p.lower() for k in ("id", "class") if k in found for p in _PARTS.split(found[k])} if found else set()
+    names = {p.lower() for k in ("id", "class") if k in found for p in _PARTS.split(found[k])} if found and named else set()
     role = found.get("role", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in PART_ROLES:
         return True, 0
@@ -69,8 +73,13 @@ def _part(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """The lines of a page that its markup doesn't rule out, in order, each with how surely it is the
-    article's: 3 in an article element, 2 in a main one, 1 in a container named as content, else 0."""
+    """The lines of a page that its markup doesn't rule out, in order, with their levels."""
+    return [x for x in block_lines(html) if x[1] >= 0]
+
+
+def block_lines(html: str | None, named: bool = True) -> list[tuple[str, int]]:
+    """The lines of a page, in order, each with how surely it is the article's: 3 in an article element, 2 in
+    a main one, 1 in a container named as content, else 0, and -1 in a part that is no article text."""
     if not html:
         return []
     out: list[tuple[str, int]] = []
@@ -83,11 +92,11 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             line = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if line:
-                out.append((line, level))
+                out.append((line, -1 if dropped else level))
 
     while True:
         m = _TAG.search(html, at)
-        if not dropped and (m is None or m.start() > at):
+        if m is None or m.start() > at:
             buffer.append(html[at : m.start() if m else len(html)])
         if m is None:
             break
@@ -98,7 +107,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         tag = tag.lower()
         if tag not in INLINE:
             flush()
-        elif tag in ("br", "td", "th") and not dropped:
+        elif tag in ("br", "td", "th"):
             buffer.append(" ")
         if slash:
             for k in range(len(stack) - 1, -1, -1):
@@ -113,7 +122,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
                 at = len(html) if end is None else end.start()
         elif tag not in VOID:
-            part, surely = _part(tag, attributes, level > 0)
+            part, surely = _part(tag, attributes, level > 0, named)
             if surely >= 2 and not part:  # an unclosed menu or header ends where the article begins
                 for k, s in enumerate(stack):
                     if s[0] in ("nav", "header"):
@@ -160,8 +169,9 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def frame_of(a: dict, b: dict) -> list[int] | None:
     """The lines of page a that page b has too, in order, outside a's article elements; None if b is a copy."""
     pairs = shared_lines(a["hashes"], b["hashes"])
-    size = sum(a["sizes"])
-    if size - sum(a["sizes"][i] for i, _ in pairs) < max(LEFT, LEFT_PART * size):
+    text = [n if v >= 0 else 0 for n, v in zip(a["sizes"], a["levels"])]  # menus and the like don't tell copies apart
+    size = sum(text)
+    if size - sum(text[i] for i, _ in pairs) < max(LEFT, LEFT_PART * size):
         return None
     return [i for i, _ in pairs if a["levels"][i] < 3]
 
@@ -170,7 +180,7 @@ _LINES = "page_id long, url string, host string, path string, signature long, li
 _PAGE = "host string, path string, signature long, hashes array<long>, sizes array<int>, levels array<int>"
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, named: bool = True) -> DataFrame:
     ship_package(pages.sparkSession)
     types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     address = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
@@ -179,7 +189,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
-                lines = page_lines(html)
+                lines = block_lines(html, named)
                 m = address.match(url or "")
                 hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
                 levels = [v for _, v in lines]
@@ -288,14 +298,14 @@ def frames(parsed: DataFrame) -> DataFrame:
     return found.groupBy("host", "signature").agg(F.array_distinct(F.flatten(F.collect_list("frame"))).alias("frame"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, named: bool = True) -> DataFrame:
     """page_id, url, text, n_chars, n_frame (lines deleted by differencing) for every row of pages."""
-    parsed = materialize(parse_pages(pages))
+    parsed = materialize(parse_pages(pages, named))
     contained = F.exists("levels", lambda v: v > 0)
     kept = (
         parsed.select("page_id", "url", "host", "signature", "lines", "levels").join(frames(parsed), ["host", "signature"], "left")
         .withColumn("numbered", F.transform("lines", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-        .withColumn("kept", F.filter("numbered", lambda x: (~contained | (F.get("levels", x["i"]) > 0)) & ~F.coalesce(F.array_contains("frame", x["i"]), F.lit(False))))
+        .withColumn("kept", F.filter("numbered", lambda x: (F.get("levels", x["i"]) >= F.when(contained, 1).otherwise(0)) & ~F.coalesce(F.array_contains("frame", x["i"]), F.lit(False))))
     )
     text = F.array_join(F.transform("kept", lambda x: x["t"]), "\n")
     return kept.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.coalesce(F.size("frame"), F.lit(0)).alias("n_frame"))

@@ -1,5 +1,9 @@
+import os
+import random
 from itertools import combinations
 
+import pytest
+
 from foliospark.llm import pages as P
 
 SCHEMA = "page_id long, url string, html string"
@@ -88,3 +92,53 @@ def test_long_frames_and_runs_of_copies(spark):
         assert all(got[i] == f"Short article number {i}, all its own words" for i in range(4))
         assert all(got[100 + i] == ("The same words on many pages " * 4).strip() + f"\nMay {i}" for i in range(30))
         assert got[200] == "Words that are on no other page of the site\nJune"
+
+
+def brute_extract(rows):
+    """Whole page sets in plain Python: distinct pages of a host in order, each against the nearest on both sides that is no copy."""
+    pages = {}
+    for i, url, html in rows:
+        lines = P.block_lines(html)
+        host, _, path = url.removeprefix("https://").partition("/")
+        pages.setdefault((host, str(lines)), [path, lines, []])[2].append(i)
+        pages[host, str(lines)][0] = min(pages[host, str(lines)][0], path)
+    out = {}
+    for host in {h for h, _ in pages}:
+        order = sorted((x for (h, _), x in pages.items() if h == host), key=lambda x: x[0])
+        as_page = lambda x: {"hashes": [t for t, _ in x[1]], "sizes": [len(t) for t, _ in x[1]], "levels": [v for _, v in x[1]]}
+        for k, page in enumerate(order):
+            frame = set()
+            for side in (reversed(order[:k]), order[k + 1 :]):
+                frame |= set(next((f for q in side if (f := P.frame_of(as_page(page), as_page(q))) is not None), ()))
+            inside = any(v > 0 for _, v in page[1])
+            text = "\n".join(t for j, (t, v) in enumerate(page[1]) if j not in frame and v >= (1 if inside else 0))
+            out.update({i: (text, len(frame)) for i in page[2]})
+    return out
+
+
+def test_page_sets_equal_brute_force(spark):
+    r = random.Random(2)
+    words = "one two three four five six seven".split()
+    rows = []
+    for i in range(120):
+        host = r.choice(["a.com", "b.com", "b.com"])
+        own = [" ".join(r.choices(words, k=9)) + f" {i}" for _ in range(r.randint(1, 4))]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        wrap = r.choice(["{}", "<main>{}</main>", "<article>{}</article>", "<div class=content><div>Often here</div>{}</div>"])
+        rows.append((i, f"https://{host}/{i:03}", f"<nav><li>Home</li><li>{host}</li></nav><div>Welcome to {host}</div>{wrap.format(body)}<div class=comments><p>reply {i}</p></div><footer>(c) {host}</footer>"))
+    rows += [(500 + k, "https://b.com/050x", rows[50][2]) for k in range(3)]
+    got = {x.page_id: (x.text, x.n_frame) for x in P.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_extract(rows) and sum(n for _, n in got.values()) > 300
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_names_of_elements_hardly_matter(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got, bare = ({x.page_id: x.text for x in P.extract(pages, named).collect()} for named in (True, False))
+    assert sum(got[i] == bare[i] for i in got) >= 0.95 * len(got)
+
+
+def test_short_texts_in_long_frames(spark):
+    frame = ["A menu of the site that is longer than the text of it", "A foot of the site that is much longer than the text is"]
+    rows = [(i, f"https://s.com/{i}", f"<div>{frame[0]}</div><p>Own text {i:03}</p><div>{frame[1]}</div>") for i in range(4)]
+    assert all(x.text == f"Own text {x.page_id:03}" and x.n_frame == 2 for x in P.extract(spark.createDataFrame(rows, SCHEMA)).collect())
