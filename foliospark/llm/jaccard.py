@@ -12,8 +12,10 @@ given no entry, and its unit of the pigeonhole goes to the next segment, which t
 one-deletion neighbourhood: if the sets agree on g segments, the others hold g - 1 differences beyond one
 each, so one of the g segments that follow an agreeing one differs in one shingle at most. The cost of all
 other entries is counted: buckets of up to FEW nodes pay their pairs; larger ones pay a comparison with one
-hub for each node and are indexed anew by the differences to it (difference_entries). A pair costs less beside
-further rounds the more of them were needed, so each round pays pairs of buckets four times as large, and rounds end.
+hub for each node and are indexed anew by the differences to it (difference_entries). Up to FAMILY
+nodes of one hub go to one task, where the differences that a pair shares are counted over all its buckets and
+only pairs that can be linked come out; larger families are spread by entry and have hubs again. From round
+LATER on each round pays pairs of buckets four times as large, so rounds end whatever the sets.
 
 Counting also prunes exactly. A pair with d differences agrees on all but d segments, so it shares at least
 (segments - H of its own sizes - empty ones) entries; pairs and nodes that share fewer link with nothing.
@@ -51,8 +53,9 @@ WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # the threshold as a fraction
 FEW = 6  # nodes of a bucket whose pairs are all compared
 HOT = 8  # times the bound on small buckets: nodes of a task's block with one entry that go out as rows
-GROWTH = 4  # of FEW from round to round
-PAIRS_AT_ONCE = 4_000_000  # of buckets, in memory
+LATER, GROWTH = 3, 4  # of FEW from round to round
+FAMILY = 4_096  # nodes of one hub that are compared in one task
+PAIRS_AT_ONCE = 500_000  # of buckets, in memory
 BLOCK = 2_000_000  # entries of a task's block
 PART = 1_000_000  # entries in a part of the shuffle, about
 CACHED_WORDS = 400_000
@@ -161,8 +164,9 @@ def _entries(hashes: np.ndarray, mark: int) -> np.ndarray:
     return (hashes >> np.uint64(18)) << np.uint64(2) | np.uint64(mark)
 
 
-def difference_entries(hub: np.ndarray, other: np.ndarray, linked: bool, hub_key: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
-    """Index entries of a set among those compared with one hub, from its differences D to the hub.
+def difference_entries(hub: np.ndarray, other: np.ndarray, linked: bool, hub_key: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[np.ndarray, tuple[int, int, int, int]]:
+    """Index entries of a set among those compared with one hub, from its differences D to the hub; and its
+    class, |D| and least overlaps t with partners of the other class and of its own.
 
     For two such sets |i ^ j| = |D_i ^ D_j|, so a link needs |D_i & D_j| >= t = (|D_i| + |D_j| - H) / 2, and the
     first |D| - t + 1 differences of both share one (prefix filtering), t the least such overlap with any
@@ -178,14 +182,15 @@ def difference_entries(hub: np.ndarray, other: np.ndarray, linked: bool, hub_key
     most = (n + n * den // num) * less // more
     value = _mix(np.concatenate([new, lost]) * _M1 + np.full(1, hub_key, np.uint64))
     against_b = max(1, (k * more + (len(hub) - n) * less) // (2 * more) + 1)  # the least overlap with a partner of class B
-    out = []
+    out, against_a = [], max(1, k - most)
     if linked:
         out.append(_entries(value[: max(0, k - against_b + 1)], 0))
-    else:
-        if k - most <= (n * den // num + len(hub)) * less // more:  # else no set of class A is near enough
-            out.append(_entries(value[: min(k, k - max(1, k - most) + 1)], 0))
-        out.append(_entries(value[: max(0, k - max(against_b, k - most) + 1)], 1))
-    return np.unique(np.concatenate(out)) if out else _NONE
+        return np.unique(np.concatenate(out)), (0, k, against_b, 0)
+    if k - most <= (n * den // num + len(hub)) * less // more:  # else no set of class A is near enough
+        out.append(_entries(value[: k - against_a + 1], 0))
+    own = max(against_b, k - most)
+    out.append(_entries(value[: max(0, k - own + 1)], 1))
+    return np.unique(np.concatenate(out)), (1, k, against_a, own)
 
 
 # Rows that come out of the shuffle. kind 0: a row of docs (a node, x doc_id, entry text hash, y set size);
@@ -219,8 +224,17 @@ def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _pack(names: list[bytes], sizes: np.ndarray, marks: np.ndarray, entries: np.ndarray, place: np.ndarray) -> bytes:
+    """A block of nodes and of rows (entry, node) in order of the entries."""
+    raw = b"".join([
+        np.array([len(entries), len(names)], "<u4").tobytes(), b"".join(names), np.asarray(sizes, "<u4").tobytes(), np.asarray(marks, "<u4").tobytes(),
+        _planes(np.diff(entries, prepend=np.uint64(0)), 6), _planes(place, 4),
+    ])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
 class Packer:
-    """Index entries of a task, sent in blocks: nodes (name, size, two small numbers) with their entries."""
+    """Index entries of a task, sent in blocks: nodes (name, size, four numbers) with their entries."""
 
     def __init__(self, parts: int, few: int = FEW, stats=None):
         self.parts, self.hot, self.stats = parts, HOT * few, stats
@@ -229,10 +243,10 @@ class Packer:
     def clear(self) -> None:
         self.names, self.sizes, self.marks, self.entries, self.n, self.seen = [], [], [], [], 0, set()
 
-    def add(self, name: bytes, size: int, marks: tuple[int, int], entries: np.ndarray) -> None:
+    def add(self, name: bytes, size: int, marks: tuple[int, ...], entries: np.ndarray) -> None:
         self.names.append(name)
         self.sizes.append(size)
-        self.marks.append([min(m, 65_535) for m in marks])
+        self.marks.append(marks)
         self.entries.append(entries)
         self.n += len(entries)
 
@@ -260,16 +274,36 @@ class Packer:
                 if a == b:
                     continue
                 used, place = np.unique(node[a:b], return_inverse=True)
-                raw = b"".join([
-                    np.array([b - a, len(used)], "<u4").tobytes(), b"".join(names[used].tolist()), np.array(self.sizes, "<u4")[used].tobytes(),
-                    np.array(self.marks, "<u2").reshape(-1, 2)[used].tobytes(), _planes(np.diff(entries[a:b], prepend=np.uint64(0)), 6), _planes(place, 4),
-                ])
                 parts.append(p)
-                blocks.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+                blocks.append(_pack(names[used].tolist(), np.array(self.sizes)[used], np.array(self.marks)[used], entries[a:b], place))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blocks, pa.binary()), *_rows(-1, entry=np.zeros(len(parts), np.int64)).columns], names=["part", "data", *_NAMES])
         self.clear()
 
 
+class Families:
+    """Entries of the nodes of hubs, sent in a block for each hub."""
+
+    def __init__(self, parts: int):
+        self.parts, self.of, self.n = parts, {}, 0
+
+    def add(self, hub: bytes, *node) -> None:
+        self.of.setdefault(hub, Packer(1)).add(*node)
+        self.n += len(node[-1])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        keys, blocks = [], []
+        for hub, p in self.of.items():
+            if p.n:
+                entries, node = np.concatenate(p.entries), np.repeat(np.arange(len(p.names)), [len(e) for e in p.entries])
+                order = np.argsort(entries, kind="stable")
+                keys.append(xxhash.xxh64_intdigest(hub) >> 1)
+                blocks.append(_pack(p.names, np.array(p.sizes), np.array(p.marks), entries[order], node[order]))
+        if keys:
+            part = -1 - np.array(keys) % self.parts
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(blocks, pa.binary()), *_rows(-1, entry=np.array(keys)).columns], names=["part", "data", *_NAMES])
+        self.of, self.n = {}, 0
+
+
 def _unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
     """Names (two numbers), sizes, marks of distinct nodes in order of their names; (entry, node) rows."""
     names, sizes, marks, entries, nodes, at = [], [], [], [], [], 0
@@ -278,9 +312,9 @@ def _unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
         n, k = np.frombuffer(raw, "<u4", 2).tolist()
         names.append(np.frombuffer(raw, ">u8", 2 * k, 8).reshape(k, 2))
         sizes.append(np.frombuffer(raw, "<u4", k, 8 + 16 * k).astype(np.int64))
-        marks.append(np.frombuffer(raw, "<u2", 2 * k, 8 + 20 * k).reshape(k, 2).astype(np.int64))
-        entries.append(np.cumsum(_numbers(raw[8 + 24 * k : 8 + 24 * k + 6 * n], n, 6)))
-        nodes.append(_numbers(raw[8 + 24 * k + 6 * n :], n, 4).astype(np.int64) + at)
+        marks.append(np.frombuffer(raw, "<u4", 4 * k, 8 + 20 * k).reshape(k, 4).astype(np.int64))
+        entries.append(np.cumsum(_numbers(raw[8 + 36 * k : 8 + 36 * k + 6 * n], n, 6)))
+        nodes.append(_numbers(raw[8 + 36 * k + 6 * n :], n, 4).astype(np.int64) + at)
         at += k
     names, nodes = np.concatenate(names).astype(np.uint64), np.concatenate(nodes)
     order = np.lexsort((names[:, 1], names[:, 0]))
@@ -325,7 +359,7 @@ def _stats(num: int, den: int):
         key = node * 2 + (entries & np.uint64(1)).astype(np.int64)
         used, place = np.unique(key, return_inverse=True)
         u, parity = used // 2, used % 2
-        known = Sizes(sizes, marks.reshape(-1, 2), num, den)
+        known = Sizes(sizes, marks.reshape(-1, 4), num, den)
         return _rows(3, a=names[u], z=parity, x=np.bincount(place, minlength=len(used)), y=known.node_needs(u, parity), w=np.bincount(place, large, len(used)).astype(np.int64))
 
     return stats
@@ -342,12 +376,73 @@ def _bucket_pairs(start: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.nd
         yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
 
 
+def _counted(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below n, and how often each occurs."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    lots: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> None:
+        nonlocal keys, counts
+        every = np.concatenate([keys, *[k for k, _ in lots]])
+        keys, place = np.unique(every, return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, *[c for _, c in lots]]), len(keys)).astype(np.int64)
+        lots.clear()
+
+    for a, b in pairs:
+        lots.append(np.unique(a * n + b, return_counts=True))
+        if len(lots) == 16:
+            merge()
+    merge()
+    return keys // n, keys % n, counts
+
+
+def meet_family(blocks: list[bytes], num: int, den: int) -> pa.RecordBatch:
+    """The pairs of one hub's nodes that share enough differences to be linked.
+
+    What a pair shares beyond its two prefixes lies behind the one that ends first, so its overlap is
+    at most the shared entries and the larger of its t, less 1."""
+    names, sizes, marks, entries, node = _unpack(blocks)
+    order = np.lexsort((node, entries))
+    entries, node = entries[order], node[order]
+    new = np.concatenate([[True], (entries[1:] != entries[:-1]) | (node[1:] != node[:-1])])
+    entries, node = entries[new], node[new]
+    edge = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1], [True]]))
+    start, counts = edge[:-1], np.diff(edge)
+    own = (entries[start] & np.uint64(1)) > 0
+    found = []
+    for among_own in (False, True):
+        some = (own == among_own) & (counts > 1)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in _bucket_pairs(start[some], counts[some]):
+                a, b = node[a], node[b]
+                ok = np.minimum(sizes[a], sizes[b]) * den >= np.maximum(sizes[a], sizes[b]) * num
+                if not among_own:
+                    ok &= marks[a, 0] != marks[b, 0]
+                yield a[ok], b[ok]
+
+        u, v, times = _counted(pairs(), len(names))
+        differ = (sizes[u] + sizes[v]) * (den - num) // (den + num)
+        overlap = (marks[u, 1] + marks[v, 1] - differ + 1) // 2
+        t = 3 if among_own else 2
+        kept = times + np.maximum(marks[u, t], marks[v, t]) - 1 >= overlap
+        found.append(np.stack([u[kept], v[kept]], 1))
+    u, v = np.unique(np.concatenate(found), axis=0).T
+    labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
+    return _rows(1, a=labels[u], b=labels[v], x=np.ones(len(u), np.int64), y=np.zeros(len(u), np.int64), z=np.zeros(len(u), np.int64))
+
+
 def meet(table: pa.Table, sub: bool, num: int, den: int, few: int = FEW) -> pa.Table:
     """The rows of one part of the shuffle: those that pass, and what equal entries of its blocks give.
     sub: entries are differences to hubs, the nodes' first mark is the class (0 linked to the hub)."""
     out = [table.filter(pc.is_null(table.column("data"))).select(_NAMES)]
     blocks = [x for x in table.column("data").to_pylist() if x is not None]
-    if blocks:
+    if blocks and table.column("part")[0].as_py() < 0:
+        families: dict[int, list[bytes]] = {}
+        for key, block in zip(table.column("entry").to_pylist(), blocks):
+            families.setdefault(key, []).append(block)
+        out += [pa.Table.from_batches([meet_family(x, num, den)]) for x in families.values()]
+    elif blocks:
         names, sizes, marks, entries, node = _unpack(blocks)
         labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
         flagged = (entries & np.uint64(2)) > 0
@@ -372,16 +467,16 @@ def meet(table: pa.Table, sub: bool, num: int, den: int, few: int = FEW) -> pa.T
             valid |= is_hot
             small = valid & (counts <= few) & ~is_hot
             large = np.repeat(valid & ~small, counts)
-            found = [(np.empty((0, 2), np.int64), np.empty(0, np.int64))]
-            for a, b in _bucket_pairs(start[small], counts[small]):
-                ok = np.where(mark[a] == 0, one[a] != one[b], True) if sub else one[a] | one[b]
-                m, n = sizes[node[a]], sizes[node[b]]
-                ok &= np.minimum(m, n) * den >= np.maximum(m, n) * num
-                found.append(np.unique(np.stack([node[a][ok], node[b][ok]], 1), axis=0, return_counts=True))
-            pairs, place = np.unique(np.concatenate([x for x, _ in found]), axis=0, return_inverse=True)
-            times = np.bincount(place.ravel(), np.concatenate([n for _, n in found]), len(pairs)).astype(np.int64)
-            if len(pairs):
-                u, v = pairs[:, 0], pairs[:, 1]
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a, b in _bucket_pairs(start[small], counts[small]):
+                    ok = np.where(mark[a] == 0, one[a] != one[b], True) if sub else one[a] | one[b]
+                    m, n = sizes[node[a]], sizes[node[b]]
+                    ok &= np.minimum(m, n) * den >= np.maximum(m, n) * num
+                    yield node[a][ok], node[b][ok]
+
+            u, v, times = _counted(pairs(), len(names))
+            if len(u):
                 needs, scheme = (np.zeros(len(u), np.int64),) * 2 if sub else known.pair_needs(u, v)
                 out.append(pa.Table.from_batches([_rows(1, a=labels[u], b=labels[v], x=times, y=needs, z=scheme & 1)]))
             if large.any():
@@ -409,7 +504,7 @@ def index_rows(docs: DataFrame, parts: int, words: int = WORDS, num: int = NUMER
                     entries, own, below = signatures(h, bands)
                     packer.seen.add(name)
                     if len(entries):
-                        packer.add(name, len(h), (own, below), entries)
+                        packer.add(name, len(h), (own, below, 0, 0), entries)
                     if packer.n > BLOCK:
                         yield from packer.flush()
             rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int32)), pa.array(nodes, pa.binary()), pa.nulls(len(b), pa.binary()), b.column("text_hash"), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=_NAMES)
@@ -425,7 +520,7 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
     """OUT of pairs (u, v, hub): links, and what the differences to hubs have in common, where u is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, at, last = Packer(parts, few), TaskContext.get().partitionId(), None
+        packer, families, at, last = Packer(parts, few), Families(parts), TaskContext.get().partitionId(), None
         hashes, exact = _NONE, None
         for batch in batches:
             links: list[tuple[bytes, bytes]] = []
@@ -443,13 +538,19 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
                 if linked:
                     links.append((u, v))
                 if hub:
-                    packer.add(v, len(other), (int(not linked), 0), difference_entries(hashes, other, linked, xxhash.xxh64_intdigest(u), num, den))
-                    if packer.n > BLOCK:
+                    entries, marks = difference_entries(hashes, other, linked, xxhash.xxh64_intdigest(u), num, den)
+                    if hub == 2:
+                        families.add(u, v, len(other), marks, entries)
+                    else:
+                        packer.add(v, len(other), marks, entries)
+                    if packer.n + families.n > BLOCK:
                         yield from packer.flush()
+                        yield from families.flush()
             if links:
                 yield _sent(_rows(4, a=[x for x, _ in links], b=[y for _, y in links]), parts, at)
                 at += len(links)
         yield from packer.flush()
+        yield from families.flush()
 
     full = (
         pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
@@ -458,14 +559,16 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
     return full.mapInArrow(run, SENT).groupBy("part").applyInArrow(lambda t: meet(t, True, num, den, few), OUT)
 
 
-PAIRS = "u binary, v binary, hub boolean"
+PAIRS = "u binary, v binary, hub int"  # hub: 0 u is none, 1 it has more nodes than FAMILY, 2 it has fewer
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
     """PAIRS of each bucket's hub and the other nodes of rows (entry, a, weight): the hub is the node of
     largest weight, so buckets that one family of copies fills have the same."""
     hubs = rows.groupBy("entry").agg(F.max(F.struct("weight", "a")).alias("hub")).select("entry", F.col("hub.a").alias("u"))
-    return rows.join(hubs, "entry").where("a != u").select("u", F.col("a").alias("v"), F.lit(True).alias("hub")).distinct()
+    star = materialize(rows.join(hubs, "entry").where("a != u").select("u", F.col("a").alias("v")).distinct())
+    sizes = star.groupBy("u").agg(F.when(F.count(F.lit(1)) > FAMILY, 1).otherwise(2).alias("hub"))
+    return star.join(sizes, "u").select("u", "v", "hub")
 
 
 def first_pairs(index: DataFrame) -> DataFrame:
@@ -476,7 +579,7 @@ def first_pairs(index: DataFrame) -> DataFrame:
     first, second = (alive.select(F.col("a").alias(c), "z", F.col("weight").alias(f"w{c}")) for c in ("a", "b"))
     pairs = pairs.join(first, ["a", "z"]).join(second, ["b", "z"]).where(F.col("x") + F.least("wa", "wb") >= F.col("y"))
     rows = index.where("kind = 2").select("entry", "a", F.col("entry").bitwiseAND(1).alias("z")).distinct().join(alive, ["a", "z"])
-    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(False).alias("hub")).unionByName(hub_pairs(rows))
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("hub")).unionByName(hub_pairs(rows))
 
 
 def next_pairs(found: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -491,18 +594,19 @@ def next_pairs(found: DataFrame, roots: DataFrame | None) -> DataFrame:
     mixed = rows.groupBy("entry").agg(F.min("root_a").alias("least"), F.max("root_a").alias("most")).where("least != most").select("entry")
     rows = materialize(rows.join(mixed, "entry", "left_semi").select("entry", "a"))
     weighed = rows.join(rows.groupBy("a").agg(F.count(F.lit(1)).alias("weight")), "a")
-    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(False).alias("hub")).unionByName(hub_pairs(weighed))
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("hub")).unionByName(hub_pairs(weighed))
 
 
 def link_nodes(pairs: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
     """(node, root) of all linked nodes, or None. pairs: a table of PAIRS of the first round."""
-    roots, few = None, FEW
+    roots, level = None, 0
     while True:
         n = pairs.count()
         if not n:
             discard(pairs)
             return roots
-        few *= GROWTH
+        level += 1
+        few = FEW * GROWTH ** max(0, level - LATER + 1)
         found = materialize(compare(pairs, texts, max(64, n * 20 // PART), few, **kind))
         discard(pairs)
         links = found.where("kind = 4").select(F.col("a").alias("u"), F.col("b").alias("v"))
