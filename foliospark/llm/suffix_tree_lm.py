@@ -2,8 +2,8 @@
 
 A text is its words (bytes, ASCII lower-cased) and one end. Each position (a word or the end) is predicted
 from the words before it. The tree grows level by level: contexts of one word, then of one word more
-before each retained context, text starts included, until a level retains none; nothing bounds its depth or
-the number of its states. A context is retained where its next-word distribution diverges from that of the
+before each retained context, text starts included, until a level adds less than LEAST_LEVEL of the tree's
+states; nothing else bounds its depth or the number of its states. A context is retained where its next-word distribution diverges from that of the
 context one word shorter by more than its symbols cost: (N - 1) * KL > k * (SLACK / 2 * ln N + NAMING * ln(n + v))
 for N occurrences and k symbols, where ln(n + v) names a symbol among n tokens of v kinds and one
 occurrence tells nothing. Distributions are
@@ -46,9 +46,10 @@ from pyspark.sql import functions as F
 
 from foliospark.session import discard, drop_dead_shuffles, materialize, ship_package
 
-DEPTH = 6
-SLACK, NAMING = 1.0, 0.4
-TOP = 100_000  # most frequent tokens, whose counts prune bigrams where they meet
+DEPTH = 4
+SLACK, NAMING = 1.0, 0.6
+LEAST_LEVEL = 0.05  # of the tree's states: a level that adds a smaller part is the last one
+TOP = 1_000_000  # most frequent tokens, whose counts prune bigrams where they meet
 PART = 1_000_000  # bigrams in a part of their shuffle, about
 SLICE = 4_000_000  # rows of the tree that a task holds at once
 BLOCK_WORDS, BLOCK_DOCS = 2_500_000, 60_000  # places in a block are unsigned 16-bit numbers, counts 8-bit ones
@@ -163,14 +164,16 @@ def bigrams(docs: DataFrame, parts: int) -> DataFrame:
 
     def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
         names = symbol_of(list(vocabulary))
-        first = np.concatenate([[np.uint64(0)], names])  # what stands before a text, then the vocabulary
+        first = _mix(np.full(len(names) + 1, ROOT), np.concatenate([[np.uint64(0)], names]))  # of what stands before a text, then the vocabulary
         learn = [x for (_, held), x in zip(docs, ids) if not held]
         here = np.concatenate([np.empty(0, np.int64), *learn]).astype(np.int64)
         before = np.concatenate([np.empty(0, np.int64), *[np.concatenate([[0], x[:-1] + 1]) for x in learn]]).astype(np.int64)
-        keys, n = np.unique(before * len(names) + here, return_counts=True)
-        context, symbol = _mix(np.full(len(first), ROOT), first)[keys // len(names)], names[keys % len(names)]
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order], symbol[order], n[order]
+        # numbered in order of the hashes, so that one sort leaves both in order
+        order, place = (np.argsort(first), np.argsort(names)), [np.empty(len(x), np.int64) for x in (first, names)]
+        for x, o in zip(place, order):
+            x[o] = np.arange(len(o))
+        keys, n = np.unique(place[0][before] * len(names) + place[1][here], return_counts=True)
+        context, symbol = first[order[0]][keys // len(names)], names[order[1]][keys % len(names)]
         bound = np.searchsorted(((context >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1)).tolist()
         part, data = [], []
         for p, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
@@ -496,10 +499,14 @@ def grow(docs: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -
     """The tree of retained contexts, level by level."""
     naming = NAMING * float(np.log(max(n + v, 1)))
     shorter = rated.where("c > 0").select(F.lit(0).cast("long").alias("context"), "symbol", F.log(F.col("c") / F.lit(float(max(n, 1)))).alias("log_q"), "lp")
-    entries, levels, tree = first_grams(docs, tokens, n, v), [], None
+    entries, levels, states, tree = first_grams(docs, tokens, n, v), [], [], None
     while True:
+        entries = materialize(entries)
+        drop_dead_shuffles(docs.sparkSession)
         level = materialize(retained_contexts(entries, shorter, naming))
-        if not level.head(1):
+        discard(entries)
+        states.append(level.select("context").distinct().count())
+        if not states[-1]:
             return tree
         levels.append(level)
         rows = [x.select("word", "context", "symbol", F.col("change").alias("value")).unionByName(x.select("word", "context", F.lit(None).cast("long").alias("symbol"), F.col("back").alias("value")).distinct()) for x in levels]
@@ -508,6 +515,8 @@ def grow(docs: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -
             every = every.unionByName(x)
         tree = Tree(every)
         tree.depth = len(levels)
+        if states[-1] < LEAST_LEVEL * sum(states):
+            return tree
         drop_dead_shuffles(docs.sparkSession)
         entries, shorter = next_grams(docs, tree), level
 
