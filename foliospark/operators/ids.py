@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.session import materialize
+
 
 def column_at(df: DataFrame, ordinal: int, name: str = "id") -> DataFrame:
     """One column by its place."""
@@ -59,17 +61,18 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int, order: str) -> DataFrame:
-    """batch_no of fixed-size batches in total order. Row numbers come from ordered buckets and their
-    counts, so no task sees all rows: quantiles cut the order into buckets, a window numbers each."""
-    cuts = df.agg(F.percentile_approx(order, [i / 16 for i in range(1, 16)], 1000).alias("p")).first().p or []
-    points = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else None
-    bucket = F.size(F.filter(points, lambda p: p < F.col(order))) if cuts else F.lit(0)
-    cut = df.withColumn("__bucket", F.when(F.col(order).isNull(), -1).otherwise(bucket))
-    counts = cut.groupBy("__bucket").count()
-    before = counts.select("__bucket", F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    number = F.row_number().over(Window.partitionBy("__bucket").orderBy(order)) - 1
-    numbered = cut.withColumn("__number", number).join(F.broadcast(before), "__bucket")  # 17 rows
-    return numbered.withColumn("batch_no", F.floor((F.col("__number") + F.col("__before")) / size).cast("long")).drop("__bucket", "__before", "__number")
+    """batch_no of fixed-size batches in total order, of keys of any type that has one. Rows are dealt by ranges
+    of the key (and of a hash, so that equal keys spread) to as many tasks as a shuffle has; numbers within a
+    task and the tasks' counts give row numbers, so no task sees all rows. The dealt rows are a table, as both need the same ranges."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    dealt = materialize(keyed.repartitionByRange(parts, order, "__tie").sortWithinPartitions(order, "__tie").withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)  # such an id is the task, and the row in it in 33 bits
+    counts = dealt.groupBy(part.alias("__part")).count()
+    before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    numbered = dealt.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row a task
+    number = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)
+    return numbered.withColumn("batch_no", F.floor(number / size).cast("long")).drop("__part", "__before", "__id", "__tie")
 
 
 def multiplicity(mapping: DataFrame, gene: str, model: str, prediction: str) -> DataFrame:

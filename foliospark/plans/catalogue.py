@@ -230,24 +230,51 @@ def text_lookup(t):
     return articles.with_text(t("labels").select(F.col("doc_id").alias("pmcid")), found, "ncbi").select(F.col("pmcid").alias("doc_id"), "source")
 
 
+@query("select page_id, '<b>Note</b> of &lt;p&gt; &beta;-x &#8217;q&#8217; ' || page_id as html, 'Note of <p> β-x ’q’ ' || page_id as plain from pages")
+def notes_html(t):
+    """Pages as curator notes: tokens with text, with a caption, with neither, and what isn't an object."""
+    tokens = F.array(
+        F.to_json(F.struct(F.lit("<b>Note</b> of &lt;p&gt; ").alias("text"))), F.to_json(F.struct(F.lit("&beta;-x &#8217;q&#8217; ").alias("caption"))),
+        F.lit('{"other": 1}'), F.lit('"bare"'), F.to_json(F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.col("page_id"), F.lit(" ")).alias("caption"))),
+    )
+    made = F.concat(F.lit('[{"items": [{"content": [{"items": ["title", {"content": [{"items": ['), F.array_join(tokens, ", "), F.lit("]}]}]}]}]}]"))
+    found = t("pages").select("page_id", notes.notes_html(made).alias("html"))
+    return found.select("page_id", "html", html.html_parser_text("html").alias("plain"))
+
+
 def _xml(c):
     return F.replace(F.replace(F.regexp_replace(c, "[^\\x09\\x0A\\x20-\\uD7FF\\uE000-\\uFFFD]", " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-@query()
+@query(
+    "with l as (select doc_id, pos, trim(regexp_replace(p, '\\s+', ' ', 'g')) as para from (select doc_id, unnest(string_split(text, E'\\n')) p, generate_subscripts(string_split(text, E'\\n'), 1) pos from documents)) "
+    "select doc_id, 'Part ' || ((pos - 1) % 3) as section, count(*) as n_paras, string_agg(para, E'\\n' order by pos) as body from l where para <> '' group by all "
+    "union all select doc_id, 'Title', 1, source from documents"
+)
 def jats_sections(t):
-    """Documents as JATS articles, a section a line, back to merged sections."""
-    body = F.array_join(F.transform(F.split("text", "\n"), lambda p: F.concat(F.lit("<sec><title>"), F.upper(F.substring(_xml(p), 1, 0)), F.lit("S</title><p>"), _xml(p), F.lit("</p></sec>"))), "")
+    """Documents as JATS articles, a section a line with titles that come again, back to merged sections."""
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda p, i: F.concat(F.lit("<sec><title>Part "), i % 3, F.lit("</title><p>"), _xml(p), F.lit("</p></sec>"))), "")
     made = t("documents").select("doc_id", F.concat(F.lit("<article><front><article-meta><title-group><article-title>"), _xml(F.col("source")), F.lit("</article-title></title-group></article-meta></front><body>"), body, F.lit("</body></article>")).alias("xml"))
-    return sections.merge_sections(jats.jats_paragraphs(made, "doc_id", "xml"), "doc_id")
+    found = sections.merge_sections(jats.jats_paragraphs(made, "doc_id", "xml"), "doc_id").select("doc_id", F.explode("text_sections").alias("s"))
+    return found.select("doc_id", "s.section", F.size("s.paragraphs").cast("long").alias("n_paras"), F.array_join("s.paragraphs", "\n").alias("body"))
 
 
-@query()
+@query(
+    "with p as (select *, o_orderkey % 4 as n, year(o_orderdate) as y from orders) "
+    "select o_orderkey, case n when 0 then '' when 1 then 'C, X.' when 2 then 'C, X., & D, Y.' else 'C, X., D, Y., & E, Z.' end || ' (' || y || '). Order of ' || o_orderkey || '. *' || o_orderpriority || '*, ' || o_custkey "
+    "|| case when o_orderkey % 3 = 0 then '(2)' else '' end || case when o_orderkey % 2 = 0 then ', 1-9' else '' end || case when o_orderkey % 5 = 0 then '. https://doi.org/10.1/' || o_orderkey else '.' end as apa, "
+    "'(' || case n when 0 then o_orderpriority when 1 then 'C' when 2 then 'C & D' else 'C et al.' end || ', ' || y || ')' as apa_short from p"
+)
 def citation_from_xml(t):
-    """Orders as PubMed records, cited."""
+    """Orders as PubMed records with up to three authors, cited."""
+    key = F.col("o_orderkey")
+    people = [F.lit(f"<Author><LastName>{a}</LastName><Initials>{b}</Initials></Author>") for a, b in ("CX", "DY", "EZ")]
+    authors = F.concat(F.lit("<Author><CollectiveName>G</CollectiveName></Author>"), *[F.when(key % 4 > i, p).otherwise("") for i, p in enumerate(people)])
+    optional = lambda test, *parts: F.when(test, F.concat(*parts)).otherwise("")
     made = t("orders").select("o_orderkey", F.concat(
-        F.lit("<PubmedArticleSet><PubmedArticle><Article><ArticleTitle>Order "), F.col("o_orderkey"), F.lit("</ArticleTitle><Journal><Title>"), F.col("o_orderpriority"), F.lit("</Title><JournalIssue><Volume>"), F.col("o_custkey"),
-        F.lit("</Volume><PubDate><Year>"), F.year("o_orderdate"), F.lit("</Year></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>C</LastName><Initials>X</Initials></Author></AuthorList></Article></PubmedArticle></PubmedArticleSet>")).alias("xml"))
+        F.lit("<PubmedArticleSet><PubmedArticle><Article><ArticleTitle>Order <i>of</i> "), key, F.lit("</ArticleTitle><Journal><Title>"), F.col("o_orderpriority"), F.lit("</Title><JournalIssue><Volume>"), F.col("o_custkey"), F.lit("</Volume>"),
+        optional(key % 3 == 0, F.lit("<Issue>2</Issue>")), F.lit("<PubDate><Year>"), F.year("o_orderdate"), F.lit("</Year></PubDate></JournalIssue></Journal>"), optional(key % 2 == 0, F.lit("<Pagination><MedlinePgn>1-9</MedlinePgn></Pagination>")),
+        F.lit("<AuthorList>"), authors, F.lit("</AuthorList></Article><PubmedData><ArticleIdList>"), optional(key % 5 == 0, F.lit('<ArticleId IdType="doi">10.1/'), key, F.lit("</ArticleId>")), F.lit("</ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>")).alias("xml"))
     return made.select("o_orderkey", citation.apa(citation.pubmed_fields("xml")).alias("c")).select("o_orderkey", "c.apa", "c.apa_short")
 
 
@@ -256,7 +283,7 @@ def html_parser_text(t):
     return t("pages").select("page_id", F.trim(F.regexp_replace(html.html_parser_text("html"), "\\s+", " ")).alias("plain"))
 
 
-for _name in ("jats_sections", "citation_from_xml", "html_parser_text"):
+for _name in ("notes_html", "jats_sections", "citation_from_xml", "html_parser_text"):
     def _shipped(spark, sf_dir, run=QUERIES[_name]):
         ship_package(spark)
         return run(spark, sf_dir)

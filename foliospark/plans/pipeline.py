@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.citation import apa, pubmed_fields
-from foliospark.functions.html import html_to_text
+from foliospark.functions.html import html_parser_text
 from foliospark.functions.jats import jats_paragraphs
 from foliospark.functions.notes import bioc_passages, notes_html
 from foliospark.functions.text import label_missing
 from foliospark.operators import articles as A
-from foliospark.operators.ids import column_at, nonempty, pending, retry
+from foliospark.operators.ids import column_at, latest, nonempty, pending, retry
 from foliospark.operators.reports import coverage, shares
 from foliospark.operators.sections import merge_sections
 from foliospark.sources import files, landed
@@ -65,10 +65,16 @@ def notes(ids: DataFrame, responses: DataFrame, done: DataFrame | None = None, l
     todo = ids if done is None else pending(ids, retry(done), "gene_id", limit)
     html = notes_html(F.col("body"))
     return todo.join(responses, todo.gene_id == responses.key, "left").select(
-        "gene_id", html.alias("curator_notes_html"), html_to_text(html).alias("curator_notes_plain"), landed.outcome(F.col("status"), F.col("error")).alias("status")
+        "gene_id", html.alias("curator_notes_html"), html_parser_text(html).alias("curator_notes_plain"), landed.outcome(F.col("status"), F.col("error")).alias("status")
     )
 
 
+def current_notes(notes: DataFrame) -> DataFrame:
+    """One row a gene of runs appended one after the other: what is done for good before an error, which a later run retries."""
+    done = (F.col("status") != "error").cast("int")
+    return latest(notes, "gene_id", done, F.coalesce("curator_notes_html", F.lit("")))
+
+
 def report(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coverage of text and abstract, and license shares with labels for display."""
     licenses = shares(articles, "license")
@@ -102,6 +108,7 @@ def main(argv: list[str] | None = None) -> None:
     n.add_argument("--url")
     n.add_argument("--out", default="output/curator_notes.parquet")
     n.add_argument("--limit", type=int, default=10)
+    n.add_argument("--batch-size", type=int, default=200)
     n.add_argument("--timeout", type=float, default=15.0)
     n.add_argument("--sleep-base", type=float, default=0.15)
     n.add_argument("--sleep-jitter", type=float, default=0.10)
@@ -120,7 +127,7 @@ def main(argv: list[str] | None = None) -> None:
         good, bad = files.read_articles(spark, o.input_path)
         for table in report(good):
             table.show(1000, truncate=False)
-        print(f"{bad.count()} malformed files")
+        print(f"{bad.agg(F.count(F.lit(1)), F.max('id')).first()[0]} malformed files")  # Spark wants a parsed column to be read
     else:
         ids = column_at(nonempty(files.read_status(spark, o.ids), "column_1"), 0, "gene_id").distinct()
         place = spark._jvm.org.apache.hadoop.fs.Path(o.out)
@@ -128,7 +135,7 @@ def main(argv: list[str] | None = None) -> None:
         done = spark.read.parquet(o.out) if exists else None
         todo = pending(ids, retry(done), "gene_id", o.limit) if exists else (ids.orderBy("gene_id").limit(o.limit) if o.limit else ids)
         responses = landed.read_landed(spark, o.landed) if o.landed else landed.fetch(todo, "gene_id", o.url, o.timeout, o.sleep_base, o.sleep_jitter)
-        files.append_parquet(notes(todo, responses), o.out)
+        files.append_parquet(notes(todo, responses), o.out, o.batch_size)
 
 
 if __name__ == "__main__":

@@ -32,14 +32,18 @@ def read_articles(spark: SparkSession, path: str, schema: str = ARTICLE) -> tupl
     which has several shapes, stays JSON: null where it is JSON null. The id of a malformed file is what
     could be read of it (Spark wants a parsed column beside the corrupt record)."""
     full = f"{schema}, _corrupt_record string"
-    rows = spark.read.schema(full).json(path, multiLine=True, pathGlobFilter="*.json", mode="PERMISSIVE").select("*", F.col("_metadata.file_name").alias("file_name"))
+    def read(glob: str, whole: bool) -> DataFrame:
+        return spark.read.schema(full).json(path, multiLine=whole, pathGlobFilter=glob, mode="PERMISSIVE").select("*", F.col("_metadata.file_name").alias("file_name"))
+
+    # what write_articles left has an article a line, any other file is one article
+    rows = read("*.json", True).where("file_name not like 'part-%'").unionByName(read("part-*.json", False))
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("file_name", F.col("_corrupt_record").alias("content"), "id")
 
 
-def append_parquet(rows: DataFrame, path: str, schema: str = NOTES) -> None:
-    """Adds a batch; the fixed schema lets a batch of nulls stand beside others."""
+def append_parquet(rows: DataFrame, path: str, batch: int = 0, schema: str = NOTES) -> None:
+    """Adds rows, at most `batch` a file if that isn't 0; the fixed schema lets a batch of nulls stand beside others."""
     kinds = rows.sparkSession.createDataFrame([], schema).schema
-    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]).write.mode("append").parquet(path)
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]).write.mode("append").option("maxRecordsPerFile", batch).parquet(path)
 
 
 def write_articles(articles: DataFrame, path: str, gzip: bool = False) -> None:

@@ -1,9 +1,9 @@
 """A paged search as a Spark data source, for batch and streaming.
 
 Pages come from a folder of landed responses (page-0000.json, ...: {hitCount, nextCursorMark,
-resultList: {result: [...]}}) or, with option url, from a search service. A cursor chain can only be
-walked in order, so a batch read is one task; its rows are strings of JSON that Spark parses in
-parallel after a repartition. Errors surface; a cap is strict.
+resultList: {result: [...]}}) or, with option url, from a search service. Landed pages are read by Spark
+itself, in parallel and from any store it knows; a service's cursor chain can only be walked in order, so
+that batch read is one task, after which rows are dealt out to be parsed. Errors surface; a cap is strict.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import urllib.parse
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -139,8 +139,24 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 def read_search(spark: SparkSession, **options) -> DataFrame:
     """Results of a search: path= or url= and query=, maxrecords=, synonym=, sleepbase=, sleepjitter=."""
+    if "path" in options and "url" not in options:
+        return parsed(landed_results(spark, options["path"], int(options.get("maxrecords", 0))))
     spark.dataSource.register(PagedSearch)
-    return parsed(spark.read.format("paged_search").options(**{k: str(v) for k, v in options.items()}).load())
+    return parsed(spark.read.format("paged_search").options(**{k: str(v) for k, v in options.items()}).load().repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def landed_results(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
+    """(ord, result) of landed pages, in order of their names up to the first one without results, at most
+    `most` if that isn't 0. A page that is no JSON is an error."""
+    page = F.from_json("value", "hitCount long, nextCursorMark string, resultList struct<result:array<string>>", {"mode": "FAILFAST"})
+    files = spark.read.text(f"{path.rstrip('/')}/*.json", wholetext=True)
+    pages = files.select(F.col("_metadata.file_name").alias("file"), page["resultList"]["result"].alias("results"))
+    sizes = pages.select("file", F.greatest(F.coalesce(F.size("results"), F.lit(0)), F.lit(0)).alias("n"))
+    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a page, not a record
+    starts = sizes.select("file", (F.sum("n").over(order) - F.col("n")).alias("start"), F.max((F.col("n") == 0).cast("int")).over(order).alias("over"))
+    rows = pages.join(starts.where("over = 0"), "file").select("start", F.posexplode("results").alias("pos", "result"))
+    out = rows.select((F.col("start") + F.col("pos")).cast("long").alias("ord"), "result")
+    return out.where(F.col("ord") < most) if most > 0 else out
 
 
 def stream_search(spark: SparkSession, **options) -> DataFrame:

@@ -114,3 +114,59 @@ def test_notes_run(spark, tmp_path):
 def test_batches_are_a_total_order(spark):
     got = ids.batches(spark.range(1000).toDF("k"), 200, "k").collect()
     assert all(r.batch_no == r.k // 200 for r in got)
+
+
+def test_batches_of_strings_and_equal_keys(spark):
+    keys = [f"g{i:04d}" for i in range(500)] + ["same"] * 300 + [None] * 3
+    got = ids.batches(spark.createDataFrame([(k,) for k in keys], "k string"), 100, "k").collect()
+    assert sorted(r.batch_no for r in got) == [i // 100 for i in range(len(keys))]
+    ordered = sorted(got, key=lambda r: r.batch_no)
+    assert all((a.k or "") <= (b.k or "") for a, b in zip(ordered, ordered[1:]) if a.batch_no < b.batch_no)
+    assert ids.batches(spark.createDataFrame([], "k string"), 100, "k").count() == 0
+
+
+def test_landed_pages_are_read_in_parallel(spark, tmp_path):
+    path = pages(tmp_path / "p", sizes=(3, 2, 4))
+    (tmp_path / "p" / "page-0009.json").write_text(json.dumps({"resultList": {"result": [{"id": "after the end"}]}}))
+    got = paged.read_search(spark, path=path).orderBy("ord").collect()
+    assert [(r.ord, r.id) for r in got] == [(i, f"i{i}") for i in range(9)] and got[1].license == "CC BY-ND"
+    assert [r.id for r in paged.read_search(spark, path=path, maxrecords=4).orderBy("ord").collect()] == ["i0", "i1", "i2", "i3"]
+    (tmp_path / "p" / "page-0000.json").write_text("{broken")
+    with pytest.raises(Exception):
+        paged.read_search(spark, path=path).collect()
+
+
+def test_landed_results_equal_the_cursor_walk(spark, tmp_path):
+    path = pages(tmp_path / "p", sizes=(2, 5, 1))
+    walked = [r["id"] for _, results, _ in paged.Client({"path": path}).walk() for r in results]
+    assert [r.id for r in paged.read_search(spark, path=path).orderBy("ord").collect()] == walked
+
+
+def test_citations_are_looked_up(spark, tmp_path):
+    xml = "<PubmedArticleSet><PubmedArticle><Article><ArticleTitle>T</ArticleTitle><Journal><Title>J</Title></Journal><AuthorList><Author><LastName>Doe</LastName><Initials>J</Initials></Author></AuthorList></Article></PubmedArticle></PubmedArticleSet>"
+    responses = spark.createDataFrame([("1", 200, xml, None), ("3", 500, None, "HTTP 500")], landed.RESPONSE)
+    out = {r.file_id: r.citation and tuple(r.citation) for r in pipeline.fetch(paged.read_search(spark, path=pages(tmp_path / "p")), citations=pipeline.citations_of(responses)).collect()}
+    assert out["1"] == ("Doe, J. (n.d.). T. *J*.", "(Doe, n.d.)") and out["PMC3"] is None and out["PMC0"] is None and len(out) == 5
+
+
+def test_command_line(spark, tmp_path, capsys):
+    out, kept = str(tmp_path / "out"), str(tmp_path / "kept")
+    pipeline.main(["fetch", "--path", pages(tmp_path / "p"), "--output_path", out])
+    assert sorted(r.id for r in files.read_articles(spark, out)[0].collect()) == ["i0", "i1", "i2", "i3", "i4"]
+    pipeline.main(["filter", "--input_path", out, "--output_path", kept])
+    assert sorted(r.id for r in files.read_articles(spark, kept)[0].collect()) == ["i0", "i2", "i4"]
+    pipeline.main(["analyse", "--input_path", out])
+    assert "CC BY-ND" in (said := capsys.readouterr().out) and "0 malformed files" in said
+    (tmp_path / "s.tsv").write_text("".join(f"g{i}\tcurated\n" for i in range(5)) + "g9\t\n")
+    (tmp_path / "landed").mkdir()
+    body = json.dumps([{"items": [{"content": [{"items": ["t", {"content": [{"items": [{"text": "&beta;-actin <a title='a > b'>k</a>"}]}]}]}]}]}])
+    for i in range(3):
+        (tmp_path / "landed" / f"g{i}.json").write_text(body)
+    run = ["notes", "--ids", str(tmp_path / "s.tsv"), "--landed", str(tmp_path / "landed"), "--out", str(tmp_path / "n"), "--limit", "0", "--batch-size", "2"]
+    pipeline.main(run)
+    (tmp_path / "landed" / "g3.json").write_text(body)
+    pipeline.main(run)
+    rows = spark.read.parquet(str(tmp_path / "n"))
+    assert rows.where("gene_id = 'g3'").count() == 2
+    got = {r.gene_id: (r.curator_notes_plain, r.status) for r in pipeline.current_notes(rows).collect()}
+    assert got == {f"g{i}": ("β-actin k", "ok") for i in range(4)} | {"g4": (None, "error"), "g9": (None, "error")}
