@@ -2,10 +2,12 @@
 
 Tokenised documents (ids, then an end id) longer than a sequence are cut into full pieces and a rest.
 Pieces are dealt by hash to partitions of a bounded number of pieces; each runs best-fit decreasing and
-computes lower bounds of its bin count from dual feasible functions. Bins that are full stay. A
-partition whose count exceeds its bound has a gap, and so has the whole when its count exceeds the
-bound of all lengths: documents in bins that aren't full are then exchanged (dealt anew to fewer
-partitions) and packed again, and the round stands only if it saves bins.
+computes lower bounds of its bin count from dual feasible functions. A partition whose count equals its
+bound is certified; one whose count exceeds it has a gap. Partitions with gaps exchange documents: those in
+their bins that aren't full are dealt anew to fewer partitions and packed again, and the round stands only if
+it saves bins. When partitions with gaps save no more and the count of all bins still exceeds the bound of all
+lengths (each certified partition may be a part of a bin short of its bound), all partitions exchange
+documents. Rounds end when such a one saves nothing or the bound is met.
 
 Defined cases: null and empty text is the end id alone; equal rows and equal doc_ids are packed
 one by one; an empty table gives no rows; ties in length are decided by (doc_id, piece, ids_crc32);
@@ -30,7 +32,7 @@ from foliospark.session import materialize, ship_package
 CAPACITY = 4096
 END_ID = 1
 PIECES_A_PARTITION = 200_000
-MOST_ROUNDS = 8
+WIDER = 4  # times that are in a partition of later rounds
 CACHED_WORDS = 500_000  # of a worker; beyond it the cache starts anew, results stay the same
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,10 +62,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *(re.escape(t) for t, _ in _added(self.tokenizer))]))
+        self.whole = ["\x1c", "\x1d", "\x1e", "\x1f", *(t for t, _ in _added(self.tokenizer))]
 
     def __call__(self, text: str) -> bytes:
-        if self.whole.search(text):
+        if any(t in text for t in self.whole):
             return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.split()
         try:
@@ -202,19 +204,24 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, a_partition: int =
     bins = F.count_if(F.col("offset") == 0)
     packed = materialize(_pack_round(pieces, max(1, -(-n // a_partition)), 0, capacity))
     figures = {"pieces": n, "bound": bound, "rounds": [int(packed.agg(bins).first()[0])]}
-    for level in range(1, MOST_ROUNDS):
-        total = figures["rounds"][-1]
-        if total <= bound:
-            break
-        open_, full = packed.where("slack > 0"), packed.where("slack = 0")
-        loose = open_.agg(F.count(F.lit(1)).alias("n"), bins.alias("bins")).first()
-        parts = max(1, -(-loose.n // a_partition))
-        again = materialize(_pack_round(open_, parts, level, capacity))
-        saved = loose.bins - int(again.agg(bins).first()[0])
-        if saved <= 0:
+    level, gaps = 0, True
+    while figures["rounds"][-1] > bound:
+        level += 1
+        loose = F.col("slack") > 0
+        some = loose & ~F.col("certified") if gaps else loose
+        open_ = packed.where(some)
+        size = open_.agg(F.count(F.lit(1)).alias("n"), bins.alias("bins")).first()
+        saved = 0
+        if size.bins > 1:
+            again = materialize(_pack_round(open_, max(1, -(-size.n // (a_partition * min(WIDER, 2**level)))), level, capacity))
+            saved = size.bins - int(again.agg(bins).first()[0])
+        if saved > 0:
+            packed = packed.where(~some).unionByName(again)
+            figures["rounds"].append(figures["rounds"][-1] - saved)
+        elif gaps:
+            gaps = False
+        else:
             break
-        packed = full.unionByName(again)
-        figures["rounds"].append(total - saved)
     figures["bins"] = figures["rounds"][-1]
     return packed, figures
 

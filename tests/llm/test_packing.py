@@ -53,6 +53,16 @@ def test_exchange_between_partitions(spark):
     assert len(got) == figures["bins"] and all(r[1] <= 4096 for r in got) and packed.count() == 400
 
 
+def test_exchange_saves_bins(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(300, 2000, 600))]
+    packed, figures = K.pack_pieces(spark.createDataFrame(rows, K.PIECES), a_partition=20)
+    assert figures["bins"] < figures["rounds"][0] and figures["bins"] <= 1.08 * figures["bound"]
+    got = packed.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert len(got) == figures["bins"] and all(r[1] <= 4096 for r in got)
+    assert sorted(r.doc_id for r in packed.collect()) == list(range(600))
+
+
 def test_pieces_and_places(spark, odd):
     packed, _ = K.pack_documents(odd)
     rows = packed.collect()
