@@ -2,7 +2,8 @@
 
 Valid vectors are scaled to length 1 and equal ones become one node with a weight. Nodes are clustered
 (k-means on a bounded sample) and each goes to its OVERLAP nearest clusters; a cluster of more than
-MOST_IN_SHARD nodes is clustered again. Each shard builds a graph: for a node its nearest nodes of the
+MOST_IN_SHARD nodes is clustered again, CENTRES centroids at a time, until none is left. There only a node's
+nearest cluster deals it to several, so its copies grow by one a level. Each shard builds a graph: for a node its nearest nodes of the
 shard, robustly pruned (a node closer to a kept neighbour than to the node, by ALPHA, is dropped).
 Adjacency lists of a node from all its shards are united. Then every node searches in its first shard,
 whose nodes come with their united lists and the vectors those lists name: a greedy search from the
@@ -11,7 +12,8 @@ as long as neighbours are within SLACK of the range. Links are verified in doubl
 are counted in its first shard: a query that has a node of another first shard in range goes on there, where
 it meets all the shard's nodes and those they name, until no shard is new to it.
 
-Recall is audited against brute force for a bounded sample of nodes against all rows; below
+Recall is audited against brute force for a bounded sample of nodes against all rows, half of them nodes with
+links, so that the figure isn't of pairs that don't exist; below
 LEAST_RECALL the beam doubles and the search is repeated, and at last every query goes to every shard. A task joins links by union and find and
 hands on a spanning forest, so no group is expanded to pairs outside the task; counts are per node.
 
@@ -38,7 +40,7 @@ THRESHOLD = 0.9
 IN_SHARD, MOST_IN_SHARD, OVERLAP = 1_000, 4_000, 2
 DEGREE, NEAREST, ALPHA = 24, 64, 1.2
 WIDTH, SLACK = 16, 0.08
-SAMPLE, SAMPLE_AGAIN, CENTRES, LEVELS = 20_000, 4_000, 4_096, 4
+SAMPLE, SAMPLE_AGAIN, CENTRES = 20_000, 4_000, 4_096
 AUDITED, LEAST_RECALL = 200, 0.9
 
 
@@ -79,13 +81,12 @@ def shards_of(nodes: DataFrame) -> DataFrame:
     ship_package(spark)
     placed = nodes.select("node", "unit", F.size("unit").cast("string").alias("shard"), F.lit(True).alias("first"))
     crowded = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_SHARD).orderBy(F.desc("n")).limit(CENTRES).collect()}
-    for level in range(LEVELS):
-        if not crowded:
-            break
+    level, whole = 0, set()  # whole: shards that clustering didn't split
+    while crowded:
         centres: dict[str, np.ndarray] = {}
         left = CENTRES
         for name, n in sorted(crowded.items(), key=lambda x: -x[1]):
-            k = min(left, -(-n // IN_SHARD))
+            k = min(left, -(-n // IN_SHARD)) if left >= 2 else 0
             if k < 2:
                 continue
             most = SAMPLE if level == 0 else SAMPLE_AGAIN
@@ -93,8 +94,6 @@ def shards_of(nodes: DataFrame) -> DataFrame:
             rows = placed.where((F.col("shard") == name) & (place < int(1_000_003 * min(1.0, 1.1 * most / n)) + 1)).orderBy(place, "node").limit(most).select("node", "unit").toPandas()
             centres[name] = kmeans(_stack(rows.sort_values("node")["unit"]), k)
             left -= k
-        if not centres:
-            break
         shared = spark.sparkContext.broadcast(centres)
 
         def deal(batches, shared=shared):
@@ -105,11 +104,16 @@ def shards_of(nodes: DataFrame) -> DataFrame:
                         yield part
                         continue
                     near = np.argsort(-(_stack(part["unit"]) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+                    first = part["first"].to_numpy().astype(bool)
                     for j in range(near.shape[1]):
-                        yield part.assign(shard=[f"{name}/{i}" for i in near[:, j]], first=part["first"] & (j == 0))
+                        some = first | (j == 0)
+                        if some.any():
+                            yield part[some].reset_index(drop=True).assign(shard=[f"{name}/{i}" for i in near[some, j]], first=first[some] & (j == 0))
 
         placed = materialize(placed.mapInPandas(deal, placed.schema).groupBy("node", "shard").agg(F.max("first").alias("first"), F.first("unit").alias("unit")).select("node", "unit", "shard", "first"))
-        crowded = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_SHARD).orderBy(F.desc("n")).limit(CENTRES).collect()}
+        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > MOST_IN_SHARD) & ~F.col("shard").isin(*whole)).orderBy(F.desc("n")).limit(CENTRES).collect()
+        whole |= {r.shard for r in sizes if r.n >= crowded.get(r.shard.rpartition("/")[0], r.n + 1)}
+        crowded, level = {r.shard: r.n for r in sizes if r.shard not in whole}, level + 1
     return placed.select("node", "shard", "first")
 
 
@@ -154,21 +158,19 @@ def build_graph(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": names, "neighbours": [names[list(dict.fromkeys(a + b))].tolist() for a, b in zip(out, back)]})
 
 
-class Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
+class Groups:
+    """Rows that links have joined so far, by a number each: a query looks at its links by arrays, and only
+    at groups that aren't joined yet one by one."""
 
-    def root(self, a: int) -> int:
-        up = self.up
-        while up.setdefault(a, a) != a:
-            up[a] = a = up[up[a]]
-        return a
+    def __init__(self, names: np.ndarray):
+        self.names, self.of = names, np.arange(len(names))
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+    def join(self, name: int, hit: np.ndarray) -> list[tuple[int, int]]:
+        """Edges from a node to one row of each group among those hit; they are one group from now on."""
+        groups = np.unique(self.of[hit])
+        if len(groups) > 1:
+            self.of[np.isin(self.of, groups)] = groups[0]
+        return [(name, int(self.names[g])) for g in groups.tolist() if self.names[g] != name]
 
 
 def search_shard(pdf: pd.DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slack: float = SLACK) -> pd.DataFrame:
@@ -183,7 +185,7 @@ def search_shard(pdf: pd.DataFrame, threshold: float = THRESHOLD, width: int = W
     full = np.array([len(a) > 0 for a in lists])
     centre = x[full].sum(0) if full.any() else x.sum(0)
     medoid = int(np.argmax(np.where(full, x @ centre, -np.inf))) if full.any() else 0
-    forest, rows = Forest(), []
+    groups, rows = Groups(names), []
     for q in np.flatnonzero(pdf["first"].to_numpy().astype(bool)).tolist():
         seen = {q, medoid}
         frontier = np.array([q, medoid] if q != medoid else [q])
@@ -207,9 +209,8 @@ def search_shard(pdf: pd.DataFrame, threshold: float = THRESHOLD, width: int = W
         hit = found_at[(found_s >= threshold) & (found_at != q)]
         rows.append((int(names[q]), int(weight[hit[here[hit]]].sum() + weight[q] - 1), None, None))
         rows += [(int(names[q]), None, None, s) for s in set(home[hit[~here[hit]]].tolist())]
-        for j in hit.tolist():
-            if forest.join(int(names[q]), int(names[j])):
-                rows.append((int(names[q]), None, int(names[j]), None))
+        if len(np.unique(groups.of[hit])) > 1 or len(hit) and groups.of[hit[0]] != groups.of[q]:
+            rows += [(a, None, b, None) for a, b in groups.join(int(names[q]), np.append(hit, q))]
     return _found(rows)
 
 
@@ -223,7 +224,7 @@ def visit_shard(pdf: pd.DataFrame, asked: pd.DataFrame, threshold: float = THRES
         return _found([])
     x, names, weight, home = _stack(pdf["unit"]), pdf["node"].to_numpy(), pdf["weight"].to_numpy(), pdf["home"].to_numpy()
     here = home == pdf["shard"].to_numpy()
-    forest, rows = Forest(), []
+    groups, rows = Groups(names), []
     queries = asked["node"].to_numpy()
     for at in range(0, len(asked), 512):
         near = _stack(asked["vector"].iloc[at : at + 512]) @ x.T >= threshold
@@ -232,9 +233,7 @@ def visit_shard(pdf: pd.DataFrame, asked: pd.DataFrame, threshold: float = THRES
             own = hit[here[hit]]
             rows.append((q, int(weight[own].sum() - (names[own] == q).sum()), None, None))
             rows += [(q, None, None, s) for s in set(home[hit[~here[hit]]].tolist())]
-            for j in names[hit].tolist():
-                if forest.join(q, j):
-                    rows.append((q, None, j, None))
+            rows += [(a, None, b, None) for a, b in groups.join(q, hit)]
     return _found(rows)
 
 
@@ -294,7 +293,9 @@ def _sums(found: DataFrame) -> DataFrame:
 def audit_recall(nodes: DataFrame, found: DataFrame, audited: int = AUDITED, threshold: float = THRESHOLD) -> float:
     """Found links over all links, by brute force of some nodes (the least hashes) against all."""
     ship_package(nodes.sparkSession)
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(audited).select("node", "unit", "weight").toPandas()
+    place, half = (F.xxhash64("node"), "node"), max(1, audited // 2)
+    linked = nodes.join(found.where("links > 0").select("node"), "node", "left_semi").orderBy(*place).limit(half)
+    sample = nodes.orderBy(*place).limit(half).unionByName(linked).select("node", "unit", "weight").toPandas().drop_duplicates("node")
     if not len(sample):
         return 1.0
     shared = nodes.sparkSession.sparkContext.broadcast([(part["node"].to_numpy(), _stack(part["unit"])) for _, part in sample.groupby(sample["unit"].map(len))])

@@ -5,12 +5,26 @@ from foliospark.llm import embeddings as E
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
+class Forest:
+    def __init__(self):
+        self.up = {}
+
+    def root(self, a):
+        while self.up.setdefault(a, a) != a:
+            a = self.up[a]
+        return a
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
 def brute(rows):
     ok = [(i, np.asarray(v, float) / np.linalg.norm(v)) for i, v in rows]
     x = np.stack([v for _, v in ok])
     link = x @ x.T >= 0.9
     np.fill_diagonal(link, False)
-    forest = E.Forest()
+    forest = Forest()
     for a, b in zip(*np.nonzero(link)):
         forest.join(ok[a][0], ok[b][0])
     return {i: (int(link[k].sum()), forest.root(i)) for k, (i, _) in enumerate(ok)}
@@ -72,3 +86,17 @@ def test_pruning_keeps_the_nearest():
     x /= np.linalg.norm(x, axis=1)[:, None]
     kept = E.prune(x, 0, np.array([1, 2, 3]), x[[1, 2, 3]] @ x[0])
     assert kept[0] == 1 and 2 not in kept
+
+
+def test_groups_span_what_is_linked():
+    """Edges of Groups join the same rows as all links do."""
+    rng = np.random.default_rng(4)
+    names = np.arange(100, 160)
+    groups, edges, every = E.Groups(names), Forest(), Forest()
+    for q in rng.permutation(60)[:40]:
+        hit = rng.choice(60, rng.integers(0, 4), replace=False)
+        for a, b in groups.join(int(names[q]), np.append(hit, q)):
+            edges.join(a, b)
+        for j in hit:
+            every.join(int(names[q]), int(names[j]))
+    assert all((edges.root(a) == edges.root(b)) == (every.root(a) == every.root(b)) for a in names.tolist() for b in names.tolist())
