@@ -106,13 +106,19 @@ def paired_bins(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, chi: np
     often = often[seen[often] >= 2]
     number = np.full(BINS, -1)
     number[often] = np.arange(len(often))
-    x = np.zeros((len(rows), len(often)), np.float32)
-    for i, r in enumerate(rows):
-        k = number[r]
-        x[i, k[k >= 0]] = 1
-    toxic, own, tells = x[y > 0], chi[often], np.zeros(len(often), bool)
+    own, tells = chi[often], np.zeros(len(often), bool)
     for at in range(0, len(often), 512):
-        both, bad = (m[:, at : at + 512].T @ m for m in (x, toxic))
+        # a block of rows at a time, so that memory doesn't follow the sample
+        both, bad = (np.zeros((min(512, len(often) - at), len(often)), np.float32) for _ in range(2))
+        for low in range(0, len(rows), 512):
+            some = rows[low : low + 512]
+            x = np.zeros((len(some), len(often)), np.float32)
+            for i, r in enumerate(some):
+                k = number[r]
+                x[i, k[k >= 0]] = 1
+            both += x[:, at : at + 512].T @ x
+            x = x[y[low : low + 512] > 0]
+            bad += x[:, at : at + 512].T @ x
         more = _chi(bad.astype(float), both.astype(float), len(y), y.sum()) - own[at : at + 512, None] - own
         more[np.arange(len(more)), at + np.arange(len(more))] = 0
         tells[at : at + 512] |= (more > PAIR).any(1)
@@ -126,10 +132,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Machine
     if not 0 < share < 1:
         odds = -30.0 if share == 0 else 30.0
         return Machine(np.empty(0, np.int64), odds, np.empty(0), np.empty((0, FACTORS)))
-    every = np.concatenate(rows).astype(np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    seen = np.bincount(every, minlength=BINS).astype(float)
-    toxic = np.bincount(every, y[of], BINS)
+    seen, toxic = np.zeros(BINS), np.zeros(BINS)
+    for r, label in zip(rows, y):
+        seen[r] += 1
+        toxic[r] += label
     n, pos = len(y), y.sum()
     chi = _chi(toxic, seen, n, pos)
     pairs = paired_bins(rows, y, seen, chi)
@@ -188,11 +194,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "bins"])
 
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
-    if len(chosen) < 2 * sample:
-        known = known.select("doc_id", "text", "y")
     data = known.select("y", "text").mapInArrow(terms, "y int, bins array<int>").toArrow()
     y = data.column("y").to_numpy()
     rows = [np.asarray(x, np.int32) for x in data.column("bins").to_numpy()]
+    del data
     order = sorted(range(len(rows)), key=lambda i: (int(y[i]), zlib.crc32(rows[i].tobytes())))  # whatever order tasks end in
     return fit([rows[i] for i in order], y[order])
 
