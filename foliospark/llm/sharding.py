@@ -74,7 +74,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     hot = sorted({c for c in points if cuts.count(c) > 1})
     points_col, hot_col = (F.array(*[F.lit(v) for v in x]).cast("array<bigint>") for x in (points, hot))
     is_hot = F.array_contains(hot_col, F.col("doc_id")) if hot else F.lit(False)
-    below = F.size(F.filter(points_col, lambda v: v < F.col("doc_id"))) if points else F.lit(0)
+    # how many points lie below, by binary search: steps of falling powers of two
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(points).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(points_col, n + step - 1) < F.col("doc_id"), n + step).otherwise(n)) if points else F.lit(0)
     sub = F.shiftright("text_crc32", SUB_BITS).cast("int")
     grouped = (
         base.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
