@@ -90,3 +90,27 @@ def test_defined_cases(spark, odd):
     kept = J.keep_one(odd)
     assert kept.schema.names == odd.schema.names and kept.count() == odd.count() - 1  # one repeated row
     assert J.near_duplicate_components(odd.limit(0)).count() == 0 and J.keep_one(odd.limit(0)).count() == 0
+
+
+def test_rows_of_large_families_stay_in_proportion(spark, monkeypatch):
+    """Copies of one text with one to ten words of their own: rows out of the index and of each round are
+    bounded by the number of copies, not its square."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for c in range(1500):
+        z = list(base)
+        for k in r.sample(range(len(z)), r.choice([1, 1, 2, 3, 4, 6, 10])):
+            z[k] = f"c{c}.{k}"
+        texts.append((c, " ".join(z)))
+    rows = []
+    for name in ("index_rows", "compare"):
+        def counted(*a, made=getattr(J, name), **k):
+            out = J.materialize(made(*a, **k))
+            rows.append(out.count())
+            return out
+
+        monkeypatch.setattr(J, name, counted)
+    got = J.near_duplicate_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(rows) >= 2 and rows[0] < 60 * len(texts) and all(n < 10 * len(texts) for n in rows[1:])
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(texts)
