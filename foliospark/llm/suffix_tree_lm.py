@@ -21,7 +21,7 @@ Counts cover all training documents. Bigrams are sent in packed blocks by their
 brings each context's successors together; contexts that can't pass the test, with the counts of the TOP
 tokens and bounds for others, end there. Deeper levels only send what follows retained contexts. Token counts
 are joined by key: tasks turn blocks of documents into postings (word, places), which meet the scores and go
-back to their block. What retained contexts change is summed in the block itself, from the tree in slices of
+back to their block. Texts are read once, into coded blocks that all these steps take. What retained contexts change is summed in the block itself, from the tree in slices of
 SLICE states, of which a task holds one at a time. The byte tree is held whole; its contexts lie within words of
 DEPTH bytes, so they become ever fewer new ones as the corpus grows.
 Words and contexts are keyed by 64-bit hashes.
@@ -48,10 +48,10 @@ from foliospark.session import discard, drop_dead_shuffles, materialize, ship_pa
 
 DEPTH = 4
 SLACK, NAMING = 1.0, 0.6
-LEAST_LEVEL = 0.05  # of the tree's states: a level that adds a smaller part is the last one
+LEAST_LEVEL = 0.1  # of the tree's states: a level that adds a smaller part is the last one
 TOP = 1_000_000  # most frequent tokens, whose counts prune bigrams where they meet
 PART = 1_000_000  # bigrams in a part of their shuffle, about
-SLICE = 4_000_000  # rows of the tree that a task holds at once
+SLICE = 1_000_000  # rows of the tree that a task holds at once, about
 BLOCK_WORDS, BLOCK_DOCS = 2_500_000, 60_000  # places in a block are unsigned 16-bit numbers, counts 8-bit ones
 CHUNK = 100_000  # distinct tokens worked on at once
 CHUNK_BYTES = 4_000_000
@@ -59,6 +59,7 @@ END = b"\n"
 ROOT = np.uint64(0x2545F4914F6CDD1D)  # the context without words, in hashes
 
 TOKENS = "token binary, c long"
+CODED = f"{TOKENS}, block long, data binary"
 POSTINGS = "symbol long, block long, places binary, counts binary, change binary"
 GRAMS = "context long, above long, word long, symbol long, n long"
 
@@ -108,10 +109,27 @@ class Contexts:
         return _mix(contexts, before)
 
 
-def _blocks(docs: DataFrame, rows_of, schema: str) -> DataFrame:
-    """rows_of(block, docs, vocabulary, ids) of blocks of documents."""
+def code(docs: DataFrame) -> DataFrame:
+    """CODED: texts read once. For each block a row of coded documents, and a row (token, c) for each of its
+    tokens with the count in training documents."""
     ship_package(docs.sparkSession)
 
+    def rows_of(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
+        every, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
+        c = np.bincount(every, _learned(docs, ids), len(vocabulary)).astype(np.int64)
+        head = [
+            np.array([len(docs), len(every), len(vocabulary)], "<u8").tobytes(), np.array([0 if d is None else d for d, _ in docs], "<i8").tobytes(),
+            np.array([(d is None) * 2 + bool(h) for d, h in docs], "<u1").tobytes(), sizes.astype("<u4").tobytes(),
+            np.ascontiguousarray(every.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), symbol_of(list(vocabulary)).tobytes(),
+        ]
+        raw = b"".join(head)
+        data = len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+        n = len(vocabulary)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*vocabulary, None], pa.binary()), pa.array([*c.tolist(), None], pa.int64()), pa.array([None] * n + [block], pa.int64()), pa.array([None] * n + [data], pa.binary())],
+            names=["token", "c", "block", "data"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         state: list = [[], None, [], 0]
@@ -136,22 +154,42 @@ def _blocks(docs: DataFrame, rows_of, schema: str) -> DataFrame:
             yield rows_of(block, *state[:3])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, CODED)
 
 
-def _learned(docs: list, ids: list[np.ndarray]) -> np.ndarray:
-    """1 for each position of a training document."""
-    return np.repeat(np.array([not h for _, h in docs]).astype(np.int64), [len(x) for x in ids])
+class Block:
+    """Some coded documents: their doc_ids and flags (1 held out, 2 no doc_id), sizes in tokens, the tokens as
+    numbers in the block's vocabulary, and the vocabulary's symbols."""
+
+    def __init__(self, data: bytes):
+        raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+        d, n, v = np.frombuffer(raw, "<u8", 3).tolist()
+        at = 24
+        self.doc_ids, at = np.frombuffer(raw, "<i8", d, at), at + 8 * d
+        self.flags, at = np.frombuffer(raw, "<u1", d, at), at + d
+        self.sizes, at = np.frombuffer(raw, "<u4", d, at).astype(np.int64), at + 4 * d
+        self.ids, at = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64), at + 4 * n
+        self.names = np.frombuffer(raw, "<u8", v, at)
 
+    def training(self) -> np.ndarray:
+        """The places of training documents' tokens."""
+        return np.flatnonzero(np.repeat((self.flags & 1) == 0, self.sizes))
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """TOKENS: each token of a block with its count in training documents."""
 
-    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        c = np.bincount(np.concatenate(ids), _learned(docs, ids), len(vocabulary)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(list(vocabulary), pa.binary()), pa.array(c)], names=["token", "c"])
+def _blocks(coded: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(block number, Block) of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
+                yield rows_of(number, Block(data))
+
+    return coded.where("block is not null").select("block", "data").mapInArrow(run, schema)
 
-    return _blocks(docs, rows, TOKENS)
+
+def _learned(docs: list, ids: list[np.ndarray]) -> np.ndarray:
+    """1 for each position of a training document."""
+    return np.repeat(np.array([not h for _, h in docs]).astype(np.int64), [len(x) for x in ids])
 
 
 def _numbers(data: np.ndarray) -> bytes:
@@ -159,15 +197,16 @@ def _numbers(data: np.ndarray) -> bytes:
     return np.ascontiguousarray(data.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def bigrams(docs: DataFrame, parts: int) -> DataFrame:
+def bigrams(coded: DataFrame, parts: int) -> DataFrame:
     """(part, data): the bigrams of each block's training documents with their counts, packed, by context."""
 
-    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        names = symbol_of(list(vocabulary))
+    def rows(_, block: Block) -> pa.RecordBatch:
+        names = block.names
         first = _mix(np.full(len(names) + 1, ROOT), np.concatenate([[np.uint64(0)], names]))  # of what stands before a text, then the vocabulary
-        learn = [x for (_, held), x in zip(docs, ids) if not held]
-        here = np.concatenate([np.empty(0, np.int64), *learn]).astype(np.int64)
-        before = np.concatenate([np.empty(0, np.int64), *[np.concatenate([[0], x[:-1] + 1]) for x in learn]]).astype(np.int64)
+        learn = block.training()
+        before = np.concatenate([[0], block.ids[:-1] + 1])
+        before[np.cumsum(block.sizes) - block.sizes] = 0
+        before, here = before[learn], block.ids[learn]
         # numbered in order of the hashes, so that one sort leaves both in order
         order, place = (np.argsort(first), np.argsort(names)), [np.empty(len(x), np.int64) for x in (first, names)]
         for x, o in zip(place, order):
@@ -183,15 +222,15 @@ def bigrams(docs: DataFrame, parts: int) -> DataFrame:
                 data.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
 
-    return _blocks(docs, rows, "part long, data binary")
+    return _blocks(coded, rows, "part long, data binary")
 
 
-def first_grams(docs: DataFrame, tokens: DataFrame, n: int, v: int) -> DataFrame:
+def first_grams(coded: DataFrame, tokens: DataFrame, n: int, v: int) -> DataFrame:
     """GRAMS of one-word contexts that may pass the test."""
     top = tokens.select("token", "c").orderBy(F.desc("c"), "token").limit(TOP).toArrow()
     names = symbol_of(top.column("token").to_pylist())
     order = np.argsort(names)
-    shared = docs.sparkSession.sparkContext.broadcast((names[order], top.column("c").to_numpy()[order]))
+    shared = coded.sparkSession.sparkContext.broadcast((names[order], top.column("c").to_numpy()[order]))
     parts = max(64, n // 2 // PART)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -217,7 +256,7 @@ def first_grams(docs: DataFrame, tokens: DataFrame, n: int, v: int) -> DataFrame
         context = pa.array(context[kept].view(np.int64))
         return pa.table({"context": context, "above": pa.array(np.zeros(len(context), np.int64)), "word": context, "symbol": pa.array(symbol[kept].view(np.int64)), "n": pa.array(times[kept])})
 
-    return bigrams(docs, parts).groupBy("part").applyInArrow(meet, GRAMS)
+    return bigrams(coded, parts).groupBy("part").applyInArrow(meet, GRAMS)
 
 
 def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -242,80 +281,93 @@ class Slice:
     @staticmethod
     def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        return keys[order], values[order]
+        return keys[order], values[order].astype(np.float32)
 
-    def walk(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Level by level, the places in a retained state with their contexts, its number and first word."""
-        contexts, places = Contexts(symbols, sizes), np.arange(len(symbols))
-        above = word = np.full(len(symbols), ROOT)
+    def walk(self, contexts: Contexts, places: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level, the places in a retained state, with their contexts, its number and the context of
+        one word; from places whose contexts of one word, given, belong to this slice."""
+        longer, contexts.depth = words, 1
         while len(places):
-            longer = contexts.longer(places, above)
-            word = word if contexts.depth > 1 else longer
             state = _find(self.states, longer)
             some = state >= 0
-            places, above, word = places[some], longer[some], word[some]
-            yield places, above, state[some], word
-
-    def changes(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """What the retained contexts add to the log10 probability of each position."""
-        out = np.zeros(len(symbols))
-        for places, context, state, _ in self.walk(symbols, sizes):
-            gram = _find(self.grams, _mix(context, symbols[places]))
-            out[places] += np.where(gram >= 0, self.change[gram] if len(self.change) else 0.0, self.back[state])
-        return out
+            places, longer, words = places[some], longer[some], words[some]
+            yield places, longer, state[some], words
+            longer = contexts.longer(places, longer)
 
 
 class Tree:
     """The retained contexts, to be held by tasks a slice at a time."""
 
-    def __init__(self, table: DataFrame):
+    def __init__(self, table: DataFrame, depth: int):
         """table: word, context, symbol (null: the state itself), value."""
-        n = table.count()
-        number = max(1, -(-n // SLICE))
+        self.depth, n = depth, table.count()
+        self.number = 1 << max(0, -(-n // SLICE) - 1).bit_length()
+        table = materialize(table.withColumn("slice", F.col("word").bitwiseAND(self.number - 1)).select("slice", "context", "symbol", "value"))
         sc = table.sparkSession.sparkContext
-        self.slices = [sc.broadcast(table.where(F.pmod("word", F.lit(number)) == i).select("context", "symbol", "value").toArrow()) for i in range(number)]
-
-    def __iter__(self) -> Iterator[Slice]:
-        for x in self.slices:
-            yield Slice(x.value)
-            if len(self.slices) > 1:
+        self.slices = []
+        for i in range(self.number):
+            part = Slice(table.where(F.col("slice") == i).select("context", "symbol", "value").toArrow())
+            self.slices.append(sc.broadcast(part))
+            del part
+        discard(table)
+
+    def walk(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[Slice, Iterator]]:
+        """Each slice with its walk over the positions of texts."""
+        contexts = Contexts(symbols, sizes)
+        places = np.arange(len(symbols))
+        words = contexts.longer(places, np.full(len(symbols), ROOT))
+        own = words & np.uint64(self.number - 1)
+        for i, x in enumerate(self.slices):
+            some = np.flatnonzero(own == i) if self.number > 1 else places
+            part = x.value
+            yield part, part.walk(contexts, some, words[some])
+            if self.number > 1:
+                x._value = None
                 del x._value  # it is read again from the worker's disk
 
+    def changes(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What the retained contexts add to the log10 probability of each position."""
+        out = np.zeros(len(symbols))
+        for part, levels in self.walk(symbols, sizes):
+            for places, context, state, _ in levels:
+                gram = _find(part.grams, _mix(context, symbols[places]))
+                out[places] += np.where(gram >= 0, part.change[gram] if len(part.change) else 0.0, part.back[state])
+        return out
+
 
-def next_grams(docs: DataFrame, tree: Tree) -> DataFrame:
+def next_grams(coded: DataFrame, tree: Tree) -> DataFrame:
     """GRAMS, by block, of contexts one word longer than the tree's deepest."""
 
-    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        learn = [x for (_, held), x in zip(docs, ids) if not held]
+    def rows(_, block: Block) -> pa.RecordBatch:
         out = [np.empty((0, 5), np.int64)]
-        if learn:
-            symbols, sizes = symbol_of(list(vocabulary))[np.concatenate(learn)], np.array([len(x) for x in learn])
-            for part in tree:
-                for depth, (places, context, _, word) in enumerate(part.walk(symbols, sizes), 1):
-                    if depth == tree.depth and len(places):
-                        contexts = Contexts(symbols, sizes)
-                        contexts.depth = depth
-                        longer, symbol = contexts.longer(places, context), symbols[places]
-                        order = np.argsort(key := _mix(longer, symbol))
-                        edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-                        first = order[edge]
-                        n = np.diff(np.append(edge, len(order)))
-                        out.append(np.stack([x[first].view(np.int64) for x in (longer, context, word, symbol)] + [n], 1))
+        symbols = block.names[block.ids]
+        learn = np.repeat((block.flags & 1) == 0, block.sizes)
+        for _, levels in tree.walk(symbols, block.sizes):
+            for depth, (places, context, _, word) in enumerate(levels, 1):
+                some = learn[places]
+                if depth == tree.depth and some.any():
+                    contexts = Contexts(symbols, block.sizes)
+                    contexts.depth = depth
+                    longer, symbol, word = contexts.longer(places[some], context[some]), symbols[places[some]], word[some]
+                    key = _mix(longer, symbol)
+                    order = np.argsort(key)
+                    edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+                    first = order[edge]
+                    n = np.diff(np.append(edge, len(order)))
+                    out.append(np.stack([x[first].view(np.int64) for x in (longer, context[some], word, symbol)] + [n], 1))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=[c.split()[0] for c in GRAMS.split(", ")])
 
-    return _blocks(docs, rows, GRAMS).groupBy("context", "above", "word", "symbol").agg(F.sum("n").alias("n"))
+    grams = _blocks(coded, rows, GRAMS).groupBy("context", "symbol").agg(F.first("above").alias("above"), F.first("word").alias("word"), F.sum("n").alias("n"))
+    return grams.select("context", "above", "word", "symbol", "n")
 
 
-def postings(docs: DataFrame, tree: Tree | None) -> DataFrame:
+def postings(coded: DataFrame, tree: Tree | None) -> DataFrame:
     """POSTINGS by block; one row of each block has a null symbol, names its documents and what the tree changes in them."""
 
-    def rows(block: int, docs: list, vocabulary: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
-        names, sizes = symbol_of(list(vocabulary)), np.array([len(x) for x in ids])
-        place = np.repeat(np.arange(len(ids)), sizes)
-        every = np.concatenate(ids).astype(np.int64)
-        change = np.zeros(len(ids))
-        for part in tree or ():
-            change += np.bincount(place, part.changes(names[every], sizes), len(ids))
+    def rows(number: int, block: Block) -> pa.RecordBatch:
+        names, sizes, every = block.names, block.sizes, block.ids
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        change = np.bincount(place, tree.changes(names[every], sizes), len(sizes)) if tree else np.zeros(len(sizes))
         keys, counts = np.unique(every * 65_536 + place, return_counts=True)
         # a count over 255 is several entries
         times = -(-counts // 255)
@@ -324,20 +376,18 @@ def postings(docs: DataFrame, tree: Tree | None) -> DataFrame:
         small[last] = counts - 255 * (times - 1)
         token, place = keys >> 16, keys & 65_535
         edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        doc_ids = np.array([0 if d is None else d for d, _ in docs], "<i8")
-        flags = np.array([(d is None) * 2 + bool(h) for d, h in docs], "<u1")
         n = len(edges) - 1
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([pa.array(names[token[edges[:-1]]].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.full(n + 1, block)),
-                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([doc_ids.tobytes()], pa.binary())]),
-                pa.concat_arrays([_binary(small.astype("<u1"), edges), pa.array([flags.tobytes()], pa.binary())]),
+                pa.concat_arrays([pa.array(names[token[edges[:-1]]].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.full(n + 1, number)),
+                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([block.doc_ids.tobytes()], pa.binary())]),
+                pa.concat_arrays([_binary(small.astype("<u1"), edges), pa.array([block.flags.tobytes()], pa.binary())]),
                 pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([change.astype("<f8").tobytes()], pa.binary())]),
             ],
             names=["symbol", "block", "places", "counts", "change"],
         )
 
-    return _blocks(docs, rows, POSTINGS)
+    return _blocks(coded, rows, POSTINGS)
 
 
 def retained_contexts(entries: DataFrame, shorter: DataFrame, naming: float = 0.0, slack: float = SLACK) -> DataFrame:
@@ -495,14 +545,14 @@ def learn(tokens: DataFrame) -> SuffixTree:
     return SuffixTree(table.column("key").to_numpy(), table.column("n").to_numpy())
 
 
-def grow(docs: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -> Tree | None:
+def grow(coded: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -> Tree | None:
     """The tree of retained contexts, level by level."""
     naming = NAMING * float(np.log(max(n + v, 1)))
     shorter = rated.where("c > 0").select(F.lit(0).cast("long").alias("context"), "symbol", F.log(F.col("c") / F.lit(float(max(n, 1)))).alias("log_q"), "lp")
-    entries, levels, states, tree = first_grams(docs, tokens, n, v), [], [], None
+    entries, levels, states, tree = first_grams(coded, tokens, n, v), [], [], None
     while True:
         entries = materialize(entries)
-        drop_dead_shuffles(docs.sparkSession)
+        drop_dead_shuffles(coded.sparkSession)
         level = materialize(retained_contexts(entries, shorter, naming))
         discard(entries)
         states.append(level.select("context").distinct().count())
@@ -513,18 +563,18 @@ def grow(docs: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -
         every = rows[0]
         for x in rows[1:]:
             every = every.unionByName(x)
-        tree = Tree(every)
-        tree.depth = len(levels)
+        tree = Tree(every, len(levels))
         if states[-1] < LEAST_LEVEL * sum(states):
             return tree
-        drop_dead_shuffles(docs.sparkSession)
-        entries, shorter = next_grams(docs, tree), level
+        drop_dead_shuffles(coded.sparkSession)
+        entries, shorter = next_grams(coded, tree), level
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
-    tokens = materialize(words_of(docs).groupBy("token").agg(F.sum("c").alias("c")))
+    coded = materialize(code(docs))
+    tokens = materialize(coded.where("token is not null").groupBy("token").agg(F.sum("c").alias("c")))
     size = tokens.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(size.n), int(size.v)
     shared = spark.sparkContext.broadcast(learn(tokens))
@@ -551,10 +601,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
         })
 
     rated = materialize(tokens.mapInArrow(rate, "symbol long, c long, lp double"))
-    tree = grow(docs, tokens.where("c > 0"), rated, n, v) if n else None
+    tree = grow(coded, tokens.where("c > 0"), rated, n, v) if n else None
     discard(tokens)
     drop_dead_shuffles(spark)
-    blocks = materialize(postings(docs, tree))
+    blocks = materialize(postings(coded, tree))
+    discard(coded)
+    drop_dead_shuffles(spark)
     joined = blocks.where("symbol is not null").select("symbol", "block", "places", "counts").join(rated, "symbol")
     columns = ["block", "places", "counts", "change", "c", "lp"]
     heads = blocks.where("symbol is null").select("block", "places", "counts", "change", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), F.lit(True).alias("is_head"))
