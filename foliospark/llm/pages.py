@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import materialize, ship_package
 
+FEW_PAGES = 200_000  # with deleted lines, whose numbers are broadcast; more meet the texts by shuffle
 LEFT, LEFT_PART = 8, 0.05  # a neighbour beside which fewer characters, or a smaller part, of a page are left is a copy
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
@@ -193,8 +194,9 @@ def parse_pages(pages: DataFrame, named: bool = True) -> DataFrame:
                 m = address.match(url or "")
                 hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
                 levels = [v for _, v in lines]
+                least = 1 if any(v > 0 for v in levels) else 0  # lines below are no text whatever neighbours share
                 key = xxhash.xxh64_intdigest(repr((hashes, levels))) - (1 << 63)
-                rows.append(((m[1].rpartition("@")[2].lower() if m else ""), (m[2].rstrip("/") if m else url or ""), key, [t for t, _ in lines], hashes, [len(t) for t, _ in lines], levels))
+                rows.append(((m[1].rpartition("@")[2].lower() if m else ""), (m[2].rstrip("/") if m else url or ""), key, [t if v >= least else None for t, v in lines], hashes, [len(t) for t, _ in lines], levels))
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["page_id", "url", "host", "path", "signature", "lines", "hashes", "sizes", "levels"])
 
@@ -301,11 +303,12 @@ def frames(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, named: bool = True) -> DataFrame:
     """page_id, url, text, n_chars, n_frame (lines deleted by differencing) for every row of pages."""
     parsed = materialize(parse_pages(pages, named))
-    contained = F.exists("levels", lambda v: v > 0)
+    found = materialize(frames(parsed))
+    found = F.broadcast(found) if found.count() <= FEW_PAGES else found
     kept = (
-        parsed.select("page_id", "url", "host", "signature", "lines", "levels").join(frames(parsed), ["host", "signature"], "left")
+        parsed.select("page_id", "url", "host", "signature", "lines").join(found, ["host", "signature"], "left")
         .withColumn("numbered", F.transform("lines", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-        .withColumn("kept", F.filter("numbered", lambda x: (F.get("levels", x["i"]) >= F.when(contained, 1).otherwise(0)) & ~F.coalesce(F.array_contains("frame", x["i"]), F.lit(False))))
+        .withColumn("kept", F.filter("numbered", lambda x: x["t"].isNotNull() & ~F.coalesce(F.array_contains("frame", x["i"]), F.lit(False))))
     )
     text = F.array_join(F.transform("kept", lambda x: x["t"]), "\n")
     return kept.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.coalesce(F.size("frame"), F.lit(0)).alias("n_frame"))
