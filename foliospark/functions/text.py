@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +56,3 @@ def head_of(c: Column, separator: str = ",") -> Column:
 def label_missing(c: Column, label: str = "None") -> Column:
     """For display only, after grouping: null and empty are different groups."""
     return F.coalesce(usable(c), F.lit(label))
-
-
-def search_text(c: Column, *words: str) -> Column:
-    """All words occur in c, upper or lower case: the local form of a keyword search."""
-    return reduce(lambda a, b: a & b, [F.contains(F.lower(c), F.lit(w.lower())) for w in words])

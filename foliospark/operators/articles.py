@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import search
 from foliospark.functions.text import first_usable, flag, join_list, url_of, usable
 from foliospark.operators.ids import latest
 
@@ -67,6 +68,13 @@ def flat_table(results: DataFrame) -> DataFrame:
     )
 
 
+def found_by(query: str) -> Column:
+    """What a search of the service's language finds, on results: their source, license, language, year, journal
+    and publication types as fields, title and abstract as text."""
+    fields = {"SRC": F.col("source"), "LICENSE": F.col("license"), "LANG": F.col("language"), "PUB_YEAR": F.col("pubYear"), "JOURNAL": F.col("journalInfo.journal.title"), "PUB_TYPE": F.col("pubTypeList.pubType"), "OPEN_ACCESS": F.col("isOpenAccess")}
+    return search.condition(query, fields, [F.col("title"), F.col("abstractText")], lists=("PUB_TYPE",))
+
+
 def capped(results: DataFrame, most: int, *order: Column) -> DataFrame:
     """At most `most` records, strictly; 0 or less means all."""
     return results.orderBy(*order).limit(most) if most > 0 else results

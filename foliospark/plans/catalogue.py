@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions import citation, html, jats, notes, text
+from foliospark.functions import citation, html, jats, notes, search, text
 from foliospark.operators import articles, ids, reports, sections
 from foliospark.session import ship_package
 
@@ -230,6 +230,17 @@ def text_lookup(t):
     return articles.with_text(t("labels").select(F.col("doc_id").alias("pmcid")), found, "ncbi").select(F.col("pmcid").alias("doc_id"), "source")
 
 
+@query(
+    "select doc_id from documents where (contains(lower(text), 'license') or contains(lower(text), 'the in')) and (lower(lang) = 'en' or lower(lang) = 'de') "
+    "and n_chars between 200 and 20000 and not (lower(source) = 'src3' or lower(source) = 'src4')"
+)
+def search_filter(t):
+    """The service's search language on documents."""
+    docs = t("documents")
+    words = '((license OR "the in") AND (LANG:EN OR LANG:"de") AND (N_CHARS:[200 TO 20000])) NOT (SOURCE:src3 OR SOURCE:src4)'
+    return docs.where(search.condition(words, {c: F.col(c) for c in ("lang", "source", "n_chars")}, [F.col("text")])).select("doc_id")
+
+
 @query("select page_id, '<b>Note</b> of &lt;p&gt; &beta;-x &#8217;q&#8217; ' || page_id as html, 'Note of <p> β-x ’q’ ' || page_id as plain from pages")
 def notes_html(t):
     """Pages as curator notes: tokens with text, with a caption, with neither, and what isn't an object."""

@@ -25,6 +25,7 @@ from foliospark.operators.reports import coverage, shares
 from foliospark.operators.sections import merge_sections
 from foliospark.sources import files, landed
 from foliospark.sources.paged import read_search
+from foliospark.streaming.progress import progress
 
 _SECTIONS = "array<struct<ord:int,section:string,paragraphs:array<string>>>"
 _PASSAGES = "array<struct<section_type:string,text:string>>"
@@ -92,6 +93,7 @@ def main(argv: list[str] | None = None) -> None:
     f.add_argument("--path")
     f.add_argument("--url")
     f.add_argument("--query", default="")
+    f.add_argument("--search", help="keep landed results that this search of the service's language finds")
     f.add_argument("--max_records", type=int, default=0)
     f.add_argument("--get_text_from", choices=A.TEXT_SOURCES)
     f.add_argument("--texts")
@@ -116,10 +118,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     if o.command == "fetch":
         options = {"path": o.path} if o.path else {"url": o.url, "query": o.query, "sleepbase": 0.25}
-        results = read_search(spark, maxrecords=o.max_records, **options)
+        results = read_search(spark, maxrecords=0 if o.search else o.max_records, **options)
+        if o.search:
+            results = A.capped(results.where(A.found_by(o.search)), o.max_records, F.col("ord"))
         citations = citations_of(landed.read_landed(spark, o.citations)) if o.citations else None
         texts = texts_of(landed.read_landed(spark, o.texts), o.get_text_from) if o.texts and o.get_text_from else None
-        files.write_articles(fetch(results, citations=citations, texts=texts, source=o.get_text_from), o.output_path or default_folder())
+        with progress(spark, "fetch"):
+            files.write_articles(fetch(results, citations=citations, texts=texts, source=o.get_text_from), o.output_path or default_folder())
     elif o.command == "filter":
         good, _ = files.read_articles(spark, o.input_path)
         files.write_articles(A.keep_licensed(good), o.output_path or f"{o.input_path.rstrip('/')}_filtered")
@@ -135,7 +140,8 @@ def main(argv: list[str] | None = None) -> None:
         done = spark.read.parquet(o.out) if exists else None
         todo = pending(ids, retry(done), "gene_id", o.limit) if exists else (ids.orderBy("gene_id").limit(o.limit) if o.limit else ids)
         responses = landed.read_landed(spark, o.landed) if o.landed else landed.fetch(todo, "gene_id", o.url, o.timeout, o.sleep_base, o.sleep_jitter)
-        files.append_parquet(notes(todo, responses), o.out, o.batch_size)
+        with progress(spark, "notes"):
+            files.append_parquet(notes(todo, responses), o.out, o.batch_size)
 
 
 if __name__ == "__main__":

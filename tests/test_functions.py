@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import citation, html, jats, notes, text
+from foliospark.functions import citation, html, jats, notes, search, text
 from foliospark.operators.sections import merge_sections
 
 
@@ -96,3 +96,23 @@ def test_citations(spark):
     assert [tuple(g) for g in got[2:]] == [("Article not found.",) * 2] * 3
     compat = column(spark, values[1:2], lambda c: citation.apa(citation.pubmed_fields_compat(c), compat=True))
     assert compat[0].apa == "Doe, J. (n.d.). On . *J*, None."
+
+
+@pytest.mark.parametrize(
+    "query, want",
+    [
+        ("amoeba", [1, 2]), ("amoeba yeast", [2]), ("amoeba OR yeast", [1, 2, 3]), ("NOT amoeba", [3, 4]), ("amoeba NOT yeast", [1]), ('"social amoeba"', [1]), ("(SRC:MED OR SRC:pmc) AND amoeba", [1, 2]),
+        ("YEAR:[2000 TO 2010]", [1, 3]), ('yeast NOT (TYPES:"Review")', [3]), ("TYPES:review", [2]), ("NOT SRC:MED", [2, 3, 4]), ("SRC:MED OR SRC:PMC amoeba", [1, 2]),
+    ],
+)
+def test_search_language(spark, query, want):
+    rows = [(1, "The social Amoeba", "MED", "2001", ["Article"]), (2, "yeast and amoeba", "PMC", "2011", ["Review", "Article"]), (3, "Yeast", "AGR", "2010", None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, t string, src string, year string, types array<string>")
+    c = search.condition(query, {"SRC": F.col("src"), "YEAR": F.col("year"), "TYPES": F.col("types")}, [F.col("t")], lists=["TYPES"])
+    assert sorted(r.k for r in df.where(c).collect()) == want
+
+
+@pytest.mark.parametrize("query", ["", "(a", "a)", "a AND", "OR a", "NO:b", "[1 TO 2]", "a : b"])
+def test_searches_that_cannot_be_read(spark, query):
+    with pytest.raises(ValueError):
+        search.condition(query, {"SRC": F.col("src")}, [F.col("t")])

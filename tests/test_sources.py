@@ -170,3 +170,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert rows.where("gene_id = 'g3'").count() == 2
     got = {r.gene_id: (r.curator_notes_plain, r.status) for r in pipeline.current_notes(rows).collect()}
     assert got == {f"g{i}": ("β-actin k", "ok") for i in range(4)} | {"g4": (None, "error"), "g9": (None, "error")}
+
+
+def test_a_search_of_landed_results(spark, tmp_path):
+    out = str(tmp_path / "out")
+    pipeline.main(["fetch", "--path", pages(tmp_path / "p"), "--output_path", out, "--search", '(SRC:MED OR SRC:PMC) NOT LICENSE:"CC BY-ND"', "--max_records", "5"])
+    assert sorted(r.id for r in files.read_articles(spark, out)[0].collect()) == ["i3"]
+
+
+def test_progress_is_told(spark):
+    import io
+
+    from foliospark.streaming.progress import progress
+
+    out = io.StringIO()
+    with progress(spark, "count", every=0.05, out=out):
+        spark.range(0, 40_000_000, 1, 16).selectExpr("sum(hash(id, id + 1, id + 2))").collect()
+    assert out.getvalue().endswith("stages seen\n") and "count: " in out.getvalue()
