@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from foliospark.session import materialize, ship_package
 
 WINDOW = 10
-SHARD_BYTES, BYTES_AT_ONCE = 16_000_000, 1 << 18
+SHARD_BYTES, CHUNK_BYTES, BYTES_AT_ONCE = 16_000_000, 2_000_000, 1 << 18  # a shard's words are found a chunk at a time
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -205,14 +205,14 @@ class Matcher:
             order = np.argsort(h, kind="stable")
             self.hashes[size] = h[order], own[order]
 
-    def occurrences(self, shard: Shard) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(window number, its words, its first words' places) of every window that occurs in the shard."""
+    def _candidates(self, shard: Shard) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]] | None:
+        """Words (numbers, 0 a break) and places of all runs that may be windows, and the windows that they may be."""
         n = len(shard.start)
         if not n or not self.hashes:
-            return
+            return None
         hashes = word_hashes(shard.data, shard.start, shard.end)
-        last = shard.first[np.searchsorted(shard.first, np.arange(n), side="right")]  # the word behind each one's text
-        covered, windows = np.zeros(n + 1, np.int64), []
+        last = np.repeat(shard.first[1:], np.diff(shard.first))  # the word behind each one's text
+        covered, windows = np.zeros(n + 1, np.int32), []
         for size, (known, numbers) in self.hashes.items():
             runs = run_hashes(hashes, size)
             at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
@@ -224,19 +224,46 @@ class Matcher:
                 low, high = np.searchsorted(known, found), np.searchsorted(known, found, side="right")
                 windows += [numbers[a:b] for a, b in zip(low, high)]
         if not windows:
-            return
+            return None
         places = np.flatnonzero(np.cumsum(covered)[:n] > 0)
         get = self.vocabulary.get
         ids = np.fromiter((get(shard.word(i), 0) for i in places.tolist()), np.int64, len(places))
         # a break between words that aren't neighbours, or of two texts
         apart = np.flatnonzero((np.diff(places) > 1) | (last[places][1:] != last[places][:-1])) + 1
-        tokens, places = np.insert(ids, apart, 0), np.insert(places, apart, -1)
-        suffixes = Suffixes(tokens)
-        for k in np.sort(np.concatenate(windows)).tolist():
-            size = self.sizes[k]
-            low, high = suffixes.search(self.suffixes[k][:size])
-            if low < high:
-                yield k, size, places[suffixes.array[low:high]]
+        return np.append(np.insert(ids, apart, 0), 0), np.append(np.insert(places, apart, -1), -1), windows
+
+    def occurrences(self, texts: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray]]]:
+        """Where each text's words begin, of all words of the shard; and (window number, its words, its first
+        words' places) of every window that occurs in it."""
+        first, tokens, places, windows, lot, size = [np.zeros(1, np.int64)], [], [], [], [], 0
+
+        def chunk() -> None:
+            shard, before = Shard(lot), int(first[-1][-1])
+            first.append(shard.first[1:] + before)
+            if found := self._candidates(shard):
+                tokens.append(found[0])
+                places.append(np.where(found[1] >= 0, found[1] + before, -1))
+                windows.extend(found[2])
+
+        for t in texts:
+            if lot and size + len(t) > CHUNK_BYTES:
+                chunk()
+                lot, size = [], 0
+            lot.append(t)
+            size += len(t)
+        if lot:
+            chunk()
+
+        def search() -> Iterator[tuple[int, int, np.ndarray]]:
+            if windows:
+                suffixes, at = Suffixes(np.concatenate(tokens)), np.concatenate(places)
+                for k in np.unique(np.concatenate(windows)).tolist():
+                    size = self.sizes[k]
+                    low, high = suffixes.search(self.suffixes[k][:size])
+                    if low < high:
+                        yield k, size, at[suffixes.array[low:high]]
+
+        return np.concatenate(first), search()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int):
@@ -262,21 +289,21 @@ def find_hits(docs: DataFrame, block: list[tuple[str, list[str]]], window: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value, window)
         for rows in _shards(batches, SHARD_BYTES):
-            shard = Shard([r[2] for r in rows])
-            change = np.zeros(len(shard.start) + 1, np.int64)
+            first, found = m.occurrences([r[2] for r in rows])
+            change = np.zeros(int(first[-1]) + 1, np.int32)
             items: dict[int, set[str]] = {}
-            for k, size, places in m.occurrences(shard):
+            for k, size, places in found:
                 np.add.at(change, places, 1)
                 np.add.at(change, places + size, -1)
-                for d in np.unique(np.searchsorted(shard.first, places, side="right") - 1).tolist():
+                for d in np.unique(np.searchsorted(first, places, side="right") - 1).tolist():
                     items.setdefault(d, set()).update(m.items[k])
             hit = (np.cumsum(change) > 0).astype(np.int8)
             spans = [b""] * len(rows)
             for d in items:
-                own = hit[shard.first[d] : shard.first[d + 1]]
+                own = hit[first[d] : first[d + 1]]
                 spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]))).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.diff(shard.first), pa.int64()), pa.array(spans, pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(len(rows))], pa.list_(pa.string()))],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(len(rows))], pa.list_(pa.string()))],
                 names=["row", "doc_id", "n_words", "spans", "items"],
             )
 
@@ -376,10 +403,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, window)
             for b in batches:
-                shard = Shard([(t or "").encode() for t in b.column(at).to_pylist()])
+                first, found = m.occurrences([(t or "").encode() for t in b.column(at).to_pylist()])
                 clean = np.ones(len(b), bool)
-                for _, _, places in m.occurrences(shard):
-                    clean[np.searchsorted(shard.first, places, side="right") - 1] = False
+                for _, _, places in found:
+                    clean[np.searchsorted(first, places, side="right") - 1] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -56,9 +56,9 @@ HOT = 8  # times the bound on small buckets: nodes of a task's block with one en
 LATER, GROWTH = 3, 4  # of FEW from round to round
 FAMILY = 4_096  # nodes of one hub that are compared in one task
 PAIRS_AT_ONCE = 500_000  # of buckets, in memory
-BLOCK = 2_000_000  # entries of a task's block
-PART = 1_000_000  # entries in a part of the shuffle, about
-CACHED_WORDS = 400_000
+BLOCK = 1_000_000  # entries of a task's block
+PART = 500_000  # entries in a part of the shuffle, about
+CACHED_WORDS = 200_000
 FEW_ROWS = 1_000_000  # of (long, long) that are broadcast; more are joined by shuffle
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

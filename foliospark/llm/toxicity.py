@@ -39,6 +39,7 @@ PAIRED, PAIR = 4096, 40.0  # about one pair in 4e9 passes by chance
 FACTORS = 4
 SAMPLE = 6_000
 MOST_TERMS = 4_000  # of a training row: the driver's bound; longer rows keep the smallest bins of a fixed hash
+CACHED_WORDS = 150_000
 EPOCHS, RATE, L2, BATCH, SEED = 20, 0.3, 1e-5, 64, 11
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -55,7 +56,7 @@ def term_bins(text: str | None) -> set[int]:
     out: set[int] = set()
     if not text:
         return out
-    if len(_BINS) > 400_000:
+    if len(_BINS) > CACHED_WORDS:
         _BINS.clear()
     for word in set(text.lower().split()):
         bins = _BINS.get(word)
