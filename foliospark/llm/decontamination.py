@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm import caches
 from foliospark.session import materialize, ship_package
 
 WINDOW = 10
@@ -287,6 +288,7 @@ def find_hits(docs: DataFrame, block: list[tuple[str, list[str]]], window: int =
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only()
         m = Matcher(shared.value, window)
         for rows in _shards(batches, SHARD_BYTES):
             first, found = m.occurrences([r[2] for r in rows])
@@ -401,6 +403,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            caches.only()
             m = Matcher(shared.value, window)
             for b in batches:
                 first, found = m.occurrences([(t or "").encode() for t in b.column(at).to_pylist()])

@@ -46,6 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm import caches
 from foliospark.llm.components import components
 from foliospark.session import discard, materialize, ship_package
 
@@ -80,6 +81,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()  # of this worker
+caches.register(__name__, _HASHES.clear)
 
 
 def shingle_hashes(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -492,6 +494,7 @@ def index_rows(docs: DataFrame, parts: int, words: int = WORDS, num: int = NUMER
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only(__name__)
         bands, packer, at = Bands(num, den), Packer(parts, FEW, _stats(num, den)), TaskContext.get().partitionId()
         for b in batches:
             sizes, nodes = [], []
@@ -520,6 +523,7 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
     """OUT of pairs (u, v, hub): links, and what the differences to hubs have in common, where u is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only(__name__)
         packer, families, at, last = Packer(parts, few), Families(parts), TaskContext.get().partitionId(), None
         hashes, exact = _NONE, None
         for batch in batches:

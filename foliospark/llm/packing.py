@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm import caches
 from foliospark.session import materialize, ship_package
 
 CAPACITY = 4096
@@ -89,6 +90,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}  # of this worker, from task to task
+caches.register(__name__, _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -111,6 +113,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        caches.only(__name__)
         encode, end = encoder(path or tokenizer_path()), _bytes([end_id])
         for b in batches:
             rows = []

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm import caches
 from foliospark.session import materialize, ship_package
 
 KINDS = ("email", "ip", "card", "phone")  # of the base
@@ -180,6 +181,7 @@ def find_base(docs: DataFrame) -> DataFrame:
     mention = pa.list_(pa.struct([("instance", pa.string()), ("kind", pa.string()), ("possible", pa.list_(pa.string())), ("start", pa.int64()), ("end", pa.int64()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only()
         for b in batches:
             spans, secrets, mentions = [], [], []
             for text in b.column("text").to_pylist():

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm import caches
 from foliospark.session import ship_package
 
 BINS = 1 << 20
@@ -49,6 +50,7 @@ def held_out(doc_id: Column, mod: int = 5, rest: int = 0) -> Column:
 
 
 _BINS: dict[str, tuple[int, ...]] = {}  # of this worker, by word
+caches.register(__name__, _BINS.clear)
 
 
 def term_bins(text: str | None) -> set[int]:
@@ -190,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     ids = docs.sparkSession.createDataFrame(chosen, truth.schema)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only(__name__)
         for b in batches:
             rows = [sorted(term_bins(t), key=lambda k: (k * 2_654_435_761 % (1 << 32)))[:MOST_TERMS] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "bins"])
@@ -209,6 +212,7 @@ def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only(__name__)
         m = shared.value
         number = dict(zip(m.bins.tolist(), range(len(m.bins))))
         for b in batches:
@@ -228,6 +232,7 @@ def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only(__name__)
         m = shared.value
         number = dict(zip(m.bins.tolist(), range(len(m.bins))))
         at = docs_columns.index("text")
