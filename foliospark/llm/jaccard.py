@@ -401,8 +401,8 @@ def _counted(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np
 def meet_family(blocks: list[bytes], num: int, den: int) -> pa.RecordBatch:
     """The pairs of one hub's nodes that share enough differences to be linked.
 
-    What a pair shares beyond its two prefixes lies behind the one that ends first, so its overlap is
-    at most the shared entries and the larger of its t, less 1."""
+    What a pair shares beyond its two prefixes lies behind the one that ends first, so its overlap is at most
+    the shared entries and that one's t, less 1, and never more than the differences of the other."""
     names, sizes, marks, entries, node = _unpack(blocks)
     order = np.lexsort((node, entries))
     entries, node = entries[order], node[order]
@@ -427,7 +427,8 @@ def meet_family(blocks: list[bytes], num: int, den: int) -> pa.RecordBatch:
         differ = (sizes[u] + sizes[v]) * (den - num) // (den + num)
         overlap = (marks[u, 1] + marks[v, 1] - differ + 1) // 2
         t = 3 if among_own else 2
-        kept = times + np.maximum(marks[u, t], marks[v, t]) - 1 >= overlap
+        most = np.maximum(np.minimum(times + marks[u, t] - 1, marks[v, 1]), np.minimum(times + marks[v, t] - 1, marks[u, 1]))
+        kept = most >= overlap
         found.append(np.stack([u[kept], v[kept]], 1))
     u, v = np.unique(np.concatenate(found), axis=0).T
     labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
