@@ -45,3 +45,35 @@ degree as (select u, count(*) as n from ways group by u)
 select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
 from nodes a join (select reach.u, min(vec_id) as component_id from reach join nodes on v = rid group by reach.u) c on c.u = a.rid left join degree on degree.u = a.rid
 """
+
+OP11 = """
+with e as (select distinct client_id, kind, epoch_us(arrived_at) as p from clicks where client_id is not null and kind is not null and arrived_at is not null),
+f(funnel, k1, k2, k3, k4, x) as (values ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')),
+s1 as (select f.*, client_id, p as start, p from e join f on kind = k1),
+""" + "".join(
+    f"""
+a{k} as (select s.*, n.p as nxt from s{k - 1} s asof left join e n on s.client_id = n.client_id and s.k{k} = n.kind and s.p < n.p),
+b{k} as (select a.*, n.p as bad from a{k} a asof left join e n on a.client_id = n.client_id and a.x = n.kind and a.p < n.p),
+s{k} as (select funnel, k1, k2, k3, k4, x, client_id, start, nxt as p, nxt - p as took from b{k} where nxt <= start + 1800000000 and (bad is null or bad > nxt)),
+"""
+    for k in (2, 3, 4)
+) + """
+r as (select funnel, client_id, 1 as step, null::bigint as took from s1""" + "".join(f" union all select funnel, client_id, {k}, took from s{k}" for k in (2, 3, 4)) + """),
+q as (select funnel, client_id, step, took, row_number() over w as i, count(*) over (partition by funnel, client_id, step) as n from r window w as (partition by funnel, client_id, step order by took)),
+g as (select funnel, client_id, count(*) filter (step = 1) as n1, count(*) filter (step = 2) as n2, count(*) filter (step = 3) as n3, count(*) filter (step = 4) as n4, cast(max(step) as integer) as deepest,
+""" + ", ".join(f"max(took) filter (step = {k} and i = (90 * n + 99) // 100) as t{k}" for k in (2, 3, 4)) + """
+from q group by funnel, client_id)
+select *, count(*) over (partition by funnel, deepest) as same_depth from g
+"""
+
+_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+OP13 = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') as u, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+c as (select *, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+p as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from c),
+x as (select *, coalesce(array_to_string(u[1:a], ''), '') as pre, coalesce(array_to_string(u[a + 1:b], ''), '') as mid, coalesce(array_to_string(u[b + 1:], ''), '') as suf from p)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256 from x
+"""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from foliospark.llm import oracle
 from foliospark.llm.decontamination import op7_suffix_array_decontamination
 from foliospark.llm.embeddings import op9_pruned_graph_embeddings
+from foliospark.llm.fertility import op12_tokeniser_fertility
+from foliospark.llm.fill_middle import op13_event_scan_fill_middle
+from foliospark.llm.funnels import op11_funnel_frontier
 from foliospark.llm.jaccard import op8_pigeonhole_jaccard
 from foliospark.llm.langid import op5_compression_langid
 from foliospark.llm.packing import op6_best_fit_packing
@@ -25,10 +28,15 @@ QUERIES = {
     "op8_pigeonhole_jaccard": op8_pigeonhole_jaccard,
     "op9_pruned_graph_embeddings": op9_pruned_graph_embeddings,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op11_funnel_frontier": op11_funnel_frontier,
+    "op12_tokeniser_fertility": op12_tokeniser_fertility,
+    "op13_event_scan_fill_middle": op13_event_scan_fill_middle,
 }
 
 ORACLE_SQL = {
     "op7_suffix_array_decontamination": oracle.OP7,
     "op8_pigeonhole_jaccard": oracle.OP8,
     "op9_pruned_graph_embeddings": oracle.OP9,
+    "op11_funnel_frontier": oracle.OP11,
+    "op13_event_scan_fill_middle": oracle.OP13,
 }
