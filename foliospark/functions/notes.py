@@ -13,23 +13,31 @@ TOKENS = "$[0].items[0].content[0].items[1].content[0].items"
 BIOC = "array<struct<documents:array<struct<passages:array<struct<infons:map<string,string>,text:string>>>>>>"
 
 
+def kind_of(value: Column) -> Column:
+    """What a VARIANT holds: object, array, string, boolean, null or number; null where there is no value."""
+    schema = F.schema_of_variant(value)
+    named = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string")
+    return F.when(schema.isNotNull(), named.when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").otherwise("number"))
+
+
 def notes_html(json: Column, compat: bool = False) -> Column:
     """Tokens' text, else caption, concatenated and stripped; null for a missing path or nothing.
 
-    Tokens are kept as strings up to here, so one that is no object is skipped and costs nothing else.
-    compat: a token with a null text contributes the word None instead of its caption.
+    Tokens are variants up to here, so what is no object is told apart (a string that looks like one as well) and
+    skipped. A null text goes on to the caption; numbers, lists and objects contribute their JSON.
+    compat: the key alone counts, so a null contributes the word None; booleans are spelled True and False.
     """
-    tokens = F.from_json(F.get_json_object(json, TOKENS), F.lit("array<string>"))
+    tokens = F.try_variant_get(F.try_parse_json(json), TOKENS, "array<variant>")
 
-    def text(t: Column) -> Column:
-        own = F.get_json_object(t, "$.text")
-        out = F.coalesce(own, F.get_json_object(t, "$.caption"))
+    def spelled(token: Column, path: str) -> Column:
+        value = F.try_variant_get(token, path, "variant")
+        kind, own = kind_of(value), F.try_variant_get(token, path, "string")
         if compat:
-            keys = F.json_object_keys(t)
-            null_text = F.array_contains(keys, "text") & own.isNull()
-            null_caption = F.array_contains(keys, "caption") & out.isNull()
-            out = F.when(null_text | null_caption, F.lit("None")).otherwise(out)
-        return out
+            own = F.when(kind == "boolean", F.initcap(own)).when(kind == "null", "None").otherwise(own)
+        return F.when(kind.isin("array", "object"), F.to_json(value)).otherwise(own)
+
+    def text(t: Column) -> Column:
+        return F.when(kind_of(t) == "object", F.coalesce(spelled(t, "$.text"), spelled(t, "$.caption")))
 
     return usable(strip(F.array_join(F.transform(tokens, text), "")))
 

@@ -12,7 +12,7 @@ from foliospark.operators.ids import latest
 RESULT = """id string, pmid string, pmcid string, source string, title string, authorString string, pubYear string,
 doi string, license string, abstractText string, isOpenAccess string, citedByCount string, language string,
 journalInfo struct<journal:struct<title:string,medlineAbbreviation:string>>,
-pubTypeList struct<pubType:array<string>>, keywordList struct<keyword:array<string>>"""
+pubTypeList struct<pubType:array<string>>, keywordList struct<keyword:array<string>>, inEPMC string, firstPublicationDate string"""
 
 TEXT_SOURCES = ("epmc", "epmc_my", "ncbi", "ncbi_my")
 #: Licenses without derivatives, in lower case.
@@ -68,11 +68,25 @@ def flat_table(results: DataFrame) -> DataFrame:
     )
 
 
+#: Fields of the search language and where results hold them.
+FIELDS = {
+    "SRC": "source", "LICENSE": "license", "LANG": "language", "PUB_YEAR": "pubYear", "JOURNAL": "journalInfo.journal.title", "PUB_TYPE": "pubTypeList.pubType",
+    "OPEN_ACCESS": "isOpenAccess", "HAS_FT": "inEPMC", "FIRST_PDATE": "firstPublicationDate",
+}
+
+
 def found_by(query: str) -> Column:
-    """What a search of the service's language finds, on results: their source, license, language, year, journal
-    and publication types as fields, title and abstract as text."""
-    fields = {"SRC": F.col("source"), "LICENSE": F.col("license"), "LANG": F.col("language"), "PUB_YEAR": F.col("pubYear"), "JOURNAL": F.col("journalInfo.journal.title"), "PUB_TYPE": F.col("pubTypeList.pubType"), "OPEN_ACCESS": F.col("isOpenAccess")}
-    return search.condition(query, fields, [F.col("title"), F.col("abstractText")], lists=("PUB_TYPE",))
+    """What a search of the service's language finds, on results: their source, license, language, year, journal,
+    publication types, first date and whether the service has their text as fields, title and abstract as text."""
+    fields = {name: F.col(place) for name, place in FIELDS.items()}
+    return search.condition(query, fields, [F.col("title"), F.col("abstractText")], lists=("PUB_TYPE",), dates=("FIRST_PDATE",))
+
+
+def narrowed(query: str, by: str) -> str:
+    """A search of the service that finds no less than what found_by(by) keeps of query's results: the parts of `by` that
+    hold in any case and are of fields alone go along, as the service looks for bare words in more than title and abstract."""
+    along = search.required(by, FIELDS)
+    return " AND ".join(f"({p})" for p in ([query] if query.strip() else []) + along)
 
 
 def capped(results: DataFrame, most: int, *order: Column) -> DataFrame:

@@ -79,3 +79,11 @@ def multiplicity(mapping: DataFrame, gene: str, model: str, prediction: str) ->
     """Genes with several curated models (splice variants), with their numbers of models and predictions."""
     counts = mapping.groupBy(gene).agg(F.count_distinct(model).alias("n_models"), F.count_distinct(prediction).alias("n_preds"))
     return counts.where(F.col("n_models") > 1)
+
+
+def multiplicity_classes(mapping: DataFrame, gene: str, model: str, prediction: str) -> DataFrame:
+    """Genes with several curated models (splice variants) or several predictions (merged genes), or both, with
+    their numbers and the classes. Nulls count as no model and no prediction."""
+    counts = mapping.groupBy(gene).agg(F.count_distinct(model).alias("n_models"), F.count_distinct(prediction).alias("n_preds"))
+    marked = counts.select("*", (F.col("n_models") > 1).alias("splice_variant"), (F.col("n_preds") > 1).alias("merged_gene"))
+    return marked.where("splice_variant or merged_gene")

@@ -294,7 +294,84 @@ def html_parser_text(t):
     return t("pages").select("page_id", F.trim(F.regexp_replace(html.html_parser_text("html"), "\\s+", " ")).alias("plain"))
 
 
-for _name in ("notes_html", "jats_sections", "citation_from_xml", "html_parser_text"):
+@query("select l_orderkey, count(distinct l_partkey) as n_models, count(distinct l_suppkey) as n_preds, count(distinct l_partkey) > 1 as splice_variant, count(distinct l_suppkey) > 1 as merged_gene from lineitem group by l_orderkey having n_models > 1 or n_preds > 1")
+def gene_multiplicity(t):
+    return ids.multiplicity_classes(t("lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query(
+    "select event_id, nullif(trim(case event_id % 9 when 0 then user_id || ' ' when 1 then 'text ' || event_type when 2 then 'cap' when 3 then cast(value as decimal(18, 2)) || '' when 4 then '[' || user_id || ',\"x\"]' "
+    "when 5 then '{\"deep\":' || user_id || '}' when 6 then 'true' else '' end || case when event_id % 2 = 0 then 'end' else '' end), '') as html, "
+    "case event_id % 9 when 3 then 'number' when 4 then 'array' when 5 then 'object' when 6 then 'boolean' when 2 then 'null' when 7 then null when 8 then null else 'string' end as kind from events"
+)
+def notes_tokens(t):
+    """Events as notes whose first token's text is a string, null, a number, a list, an object or a boolean, or which is
+    itself a string that looks like an object, or a list; a last token may follow."""
+    own, kind = F.col("user_id").cast("string"), F.col("event_id") % 9
+    number = F.col("value").cast("decimal(18,2)").cast("string")
+    first = (
+        F.when(kind == 0, F.concat(F.lit('{"text": "'), own, F.lit(' "}'))).when(kind == 1, F.concat(F.lit('{"caption": "c", "text": "text '), "event_type", F.lit('"}')))
+        .when(kind == 2, '{"text": null, "caption": "cap"}').when(kind == 3, F.concat(F.lit('{"text": '), number, F.lit("}"))).when(kind == 4, F.concat(F.lit('{"text": ['), own, F.lit(', "x"]}')))
+        .when(kind == 5, F.concat(F.lit('{"text": {"deep": '), own, F.lit("}}"))).when(kind == 6, '{"text": true}').when(kind == 7, '"{\\"text\\": \\"no\\"}"').otherwise('[{"text": "no"}]')
+    )
+    last = F.when(F.col("event_id") % 2 == 0, ', {"caption": "end"}').otherwise(', 5, null')
+    made = F.concat(F.lit('[{"items": [{"content": [{"items": ["title", {"content": [{"items": ['), first, last, F.lit("]}]}]}]}]}]"))
+    inner = F.try_variant_get(F.try_parse_json(first), "$.text", "variant")
+    return t("events").select("event_id", notes.notes_html(made).alias("html"), notes.kind_of(inner).alias("kind"))
+
+
+@query(
+    "with d as (select doc_id, source, lang, doc_id % 4 as k from documents), "
+    "r as (select doc_id, 0 as o, 'Title' as section, [source] as p from d where k <> 1 union all "
+    "select doc_id, 1, case k when 0 then 'Abstract' when 1 then 'Summary' else 'Abstract 1' end, ['In ' || lang || ' .'] from d union all "
+    "select doc_id, 2, 'Abstract 2', ['Translated'] from d where k >= 2 union all "
+    "select doc_id, 3, 'Abstract 2 subsection', ['Part of it'] from d where k = 3 union all "
+    "select doc_id, 4, 'Body (untitled)', ['L1', 'Before ' || source] from d where k <> 2 union all "
+    "select doc_id, 5, 'One', ['Own', 'After', 'Again'] from d union all "
+    "select doc_id, 6, 'Untitled Section', ['Inner ' || doc_id] from d union all "
+    "select doc_id, 7, 'Deep', ['x'] from d) "
+    "select doc_id, section, cast(row_number() over (partition by doc_id order by o) as integer) as place, array_to_string(p, '|') as body from r"
+)
+def jats_structure(t):
+    """Documents as articles with a blank title beside a translated one, one or more abstracts (with a title, with a section), a
+    preface with a label, nested sections, one without a title, and a title that comes again; sections in order."""
+    k = F.col("doc_id") % 4
+    title = F.concat(F.lit("<title-group><article-title>"), F.when(k != 1, _xml(F.col("source"))).otherwise(" "), F.lit("</article-title><trans-title-group><trans-title>Other</trans-title></trans-title-group></title-group>"))
+    abstract = F.concat(F.lit("<abstract>"), F.when(k == 1, "<title>Summary</title>").otherwise(""), F.lit("<p>In <i>"), F.col("lang"), F.lit("</i>.</p></abstract>"))
+    other = F.when(k == 2, "<trans-abstract><p>Translated</p></trans-abstract>").when(k == 3, "<trans-abstract><p>Translated</p><sec><p>Part of it</p></sec></trans-abstract>").otherwise("")
+    before = F.when(k != 2, F.concat(F.lit("<title>no</title><label>L1</label><p>Before "), _xml(F.col("source")), F.lit("</p>"))).otherwise("")
+    inner = F.concat(F.lit("<sec><p>Inner "), F.col("doc_id").cast("string"), F.lit("</p><sec><title>Deep</title><p>x</p></sec><sec><title>Empty</title></sec></sec>"))
+    body = F.concat(F.lit("<body>"), before, F.lit("<sec><label>1</label><title>One</title><p>Own</p>"), inner, F.lit("<p>After</p></sec><sec><title>One</title><p>Again</p></sec></body>"))
+    made = t("documents").select("doc_id", F.concat(F.lit("<article><front><article-meta>"), title, abstract, other, F.lit("</article-meta></front>"), body, F.lit("</article>")).alias("xml"))
+    found = sections.merge_sections(jats.jats_paragraphs(made, "doc_id", "xml"), "doc_id").select("doc_id", F.posexplode("text_sections").alias("pos", "s"))
+    return found.select("doc_id", "s.section", (F.col("pos") + 1).alias("place"), F.array_join("s.paragraphs", "|").alias("body"))
+
+
+def _landed(t):
+    """Events as landed search results."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return t("events").select(
+        F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "click", "MED").when(F.col("event_type") == "view", "PMC").when(F.col("event_type") == "error", "PPR").alias("source"),
+        F.concat(F.lit("About "), "event_type", F.lit(" of dictyostelium")).alias("title"), F.when(F.col("user_id") % 3 == 0, "none").alias("abstractText"), F.when(F.col("user_id") % 2 == 0, "Y").when(F.col("user_id") % 5 == 0, "N").alias("inEPMC"),
+        day.alias("firstPublicationDate"), F.struct(F.array(F.lit("research"), F.when(F.col("user_id") % 4 == 0, "Review")).alias("pubType")).alias("pubTypeList"), F.lit(None).cast("string").alias("license"), F.lit("eng").alias("language"),
+        F.lit(None).cast("string").alias("pubYear"), F.lit("Y").alias("isOpenAccess"), F.struct(F.struct(F.lit("j").alias("title")).alias("journal")).alias("journalInfo"),
+    )
+
+
+@query("select event_id as ord from events where event_type in ('click', 'view') and user_id % 2 = 0")
+def search_full_text(t):
+    """The first of the service's searches of the notebook, on results."""
+    return _landed(t).where(articles.found_by("( dictyostelium ) AND ( (HAS_FT:Y) AND (SRC:MED OR SRC:PMC ) )")).select("ord")
+
+
+@query("select event_id as ord from events where event_type in ('click', 'view') and user_id % 2 = 0 and user_id % 4 <> 0 and strftime(ts, '%Y-%m-%d') between '2000' and '2025-99'")
+def search_first_date(t):
+    """The second one: with a range of first dates and without a publication type."""
+    asked = '( dictyostelium ) AND ( (FIRST_PDATE:[2000 TO 2025]) AND (HAS_FT:Y) AND (((SRC:MED OR SRC:PMC OR SRC:AGR OR SRC:CBA) NOT (PUB_TYPE:"Review"))) )'
+    return _landed(t).where(articles.found_by(asked)).select("ord")
+
+
+for _name in ("notes_html", "jats_sections", "jats_structure", "citation_from_xml", "html_parser_text"):
     def _shipped(spark, sf_dir, run=QUERIES[_name]):
         ship_package(spark)
         return run(spark, sf_dir)

@@ -20,12 +20,12 @@ from foliospark.functions.jats import jats_paragraphs
 from foliospark.functions.notes import bioc_passages, notes_html
 from foliospark.functions.text import label_missing
 from foliospark.operators import articles as A
-from foliospark.operators.ids import column_at, latest, nonempty, pending, retry
+from foliospark.operators.ids import column_at, first_ids, latest, nonempty, pending, retry
 from foliospark.operators.reports import coverage, shares
-from foliospark.operators.sections import merge_sections
-from foliospark.sources import files, landed
+from foliospark.operators.sections import merge_sections, sentence_sections
+from foliospark.sources import article_files, files, landed
 from foliospark.sources.paged import read_search
-from foliospark.streaming.progress import progress
+from foliospark.streaming.progress import counted, progress
 
 _SECTIONS = "array<struct<ord:int,section:string,paragraphs:array<string>>>"
 _PASSAGES = "array<struct<section_type:string,text:string>>"
@@ -40,6 +40,8 @@ def texts_of(responses: DataFrame, source: str) -> DataFrame:
     """(pmcid, text_sections, text_passages, text_error) of landed full texts of a source."""
     if source not in A.TEXT_SOURCES:
         raise ValueError(f"text source {source!r} is none of {', '.join(A.TEXT_SOURCES)}")
+    if source == "epmc":
+        raise ValueError("epmc has sentences: use texts_of_sentences")
     if source == "ncbi":
         return responses.select(F.col("key").alias("pmcid"), F.lit(None).cast(_SECTIONS).alias("text_sections"), F.when(F.col("status") == 200, bioc_passages(F.col("body"))).alias("text_passages"), F.col("error").alias("text_error"))
     rows = jats_paragraphs(responses.where("status = 200"), "key", "body")
@@ -47,10 +49,19 @@ def texts_of(responses: DataFrame, source: str) -> DataFrame:
     merged = merge_sections(rows, "key")
     return (
         responses.select("key", "error").join(merged, "key", "left").join(errors, "key", "left")
-        .select(F.col("key").alias("pmcid"), F.col("text_sections").cast(_SECTIONS), F.lit(None).cast(_PASSAGES).alias("text_passages"), F.coalesce("error", "e").alias("text_error"))
+        .select(F.col("key").alias("pmcid"), F.when(F.col("e").isNull(), F.col("text_sections")).cast(_SECTIONS).alias("text_sections"), F.lit(None).cast(_PASSAGES).alias("text_passages"), F.coalesce("error", "e").alias("text_error"))
     )
 
 
+def texts_of_sentences(sentences: DataFrame) -> DataFrame:
+    """As texts_of, of a table of sentences (pmcid, section, paragraph, seq, text): sentences are joined to paragraphs in
+    their order, paragraphs follow their numbers, and sections the places of their first sentences."""
+    rows = sentence_sections(sentences, "pmcid")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "section", "paragraphs")))
+    numbered = F.transform(ordered, lambda s, i: F.struct(i.alias("ord"), s["section"].alias("section"), s["paragraphs"].alias("paragraphs")))
+    return rows.groupBy("pmcid").agg(numbered.cast(_SECTIONS).alias("text_sections")).select("pmcid", "text_sections", F.lit(None).cast(_PASSAGES).alias("text_passages"), F.lit(None).cast("string").alias("text_error"))
+
+
 def fetch(results: DataFrame, most: int = 0, citations: DataFrame | None = None, texts: DataFrame | None = None, source: str | None = None) -> DataFrame:
     """Article documents of search results (with ord): capped, normalised, enriched, last write wins."""
     out = A.last_written(A.article_records(A.capped(results, most, F.col("ord"))), "ord")
@@ -94,6 +105,7 @@ def main(argv: list[str] | None = None) -> None:
     f.add_argument("--url")
     f.add_argument("--query", default="")
     f.add_argument("--search", help="keep landed results that this search of the service's language finds")
+    f.add_argument("--synonym", choices=["Y", "N"])
     f.add_argument("--max_records", type=int, default=0)
     f.add_argument("--get_text_from", choices=A.TEXT_SOURCES)
     f.add_argument("--texts")
@@ -117,17 +129,29 @@ def main(argv: list[str] | None = None) -> None:
     o = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if o.command == "fetch":
-        options = {"path": o.path} if o.path else {"url": o.url, "query": o.query, "sleepbase": 0.25}
+        options = {"path": o.path} if o.path else {"url": o.url, "query": A.narrowed(o.query, o.search) if o.search else o.query, "sleepbase": 0.25}
+        if o.synonym:
+            options["synonym"] = o.synonym
         results = read_search(spark, maxrecords=0 if o.search else o.max_records, **options)
         if o.search:
             results = A.capped(results.where(A.found_by(o.search)), o.max_records, F.col("ord"))
         citations = citations_of(landed.read_landed(spark, o.citations)) if o.citations else None
-        texts = texts_of(landed.read_landed(spark, o.texts), o.get_text_from) if o.texts and o.get_text_from else None
+        texts = None
+        if o.texts and o.get_text_from:
+            texts = texts_of_sentences(files.read_sentences(spark, o.texts)) if o.get_text_from == "epmc" else texts_of(landed.read_landed(spark, o.texts), o.get_text_from)
+        rows, seen = counted(fetch(results, citations=citations, texts=texts, source=o.get_text_from), "fetch", with_abstract=F.col("abstract").isNotNull())
         with progress(spark, "fetch"):
-            files.write_articles(fetch(results, citations=citations, texts=texts, source=o.get_text_from), o.output_path or default_folder())
+            article_files.write_article_files(rows, o.output_path or default_folder())
+        print(f"{seen.get['rows']} articles written, {seen.get['with_abstract']} with an abstract")
     elif o.command == "filter":
         good, _ = files.read_articles(spark, o.input_path)
-        files.write_articles(A.keep_licensed(good), o.output_path or f"{o.input_path.rstrip('/')}_filtered")
+        kept, to = A.keep_licensed(good), o.output_path or f"{o.input_path.rstrip('/')}_filtered"
+        copied, seen = counted(article_files.copy_files(kept.where("file_name not like 'part-%'"), o.input_path, to), "filter")
+        copied.write.format("noop").mode("overwrite").save()
+        listed = kept.where("file_name like 'part-%'").drop("file_name").withColumn("file_id", A.file_id(F.col("pmcid"), F.col("pmid"), F.col("id")))
+        if not listed.isEmpty():  # an article a line, as write_articles leaves them
+            article_files.write_article_files(listed, to)
+        print(f"{seen.get['rows']} files copied")
     elif o.command == "analyse":
         good, bad = files.read_articles(spark, o.input_path)
         for table in report(good):
@@ -138,10 +162,15 @@ def main(argv: list[str] | None = None) -> None:
         place = spark._jvm.org.apache.hadoop.fs.Path(o.out)
         exists = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
         done = spark.read.parquet(o.out) if exists else None
-        todo = pending(ids, retry(done), "gene_id", o.limit) if exists else (ids.orderBy("gene_id").limit(o.limit) if o.limit else ids)
+        todo = pending(ids, retry(done), "gene_id", o.limit) if exists else first_ids(ids, "gene_id", o.limit)
         responses = landed.read_landed(spark, o.landed) if o.landed else landed.fetch(todo, "gene_id", o.url, o.timeout, o.sleep_base, o.sleep_jitter)
+        everything, offered = counted(first_ids(ids, "gene_id", o.limit), "offered")
+        todo = pending(everything, retry(done), "gene_id") if exists else everything
+        rows, seen = counted(notes(todo, responses), "notes", failed=F.col("status") == "error", not_found=F.col("status") == "not_found")
         with progress(spark, "notes"):
-            files.append_parquet(notes(todo, responses), o.out, o.batch_size)
+            files.append_parquet(rows, o.out, o.batch_size)
+        n, told = seen.get, offered.get
+        print(f"{n['rows']} processed, {told['rows'] - n['rows']} skipped, {n['failed']} failed, {n['not_found']} not found")
 
 
 if __name__ == "__main__":

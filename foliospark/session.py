@@ -100,17 +100,18 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 @contextmanager
-def owned(spark: SparkSession, owner: str, source: DataFrame) -> Iterator[None]:
-    """Tables made within belong to owner. Those that it made before, and source doesn't read, are deleted:
-    for steps of which each is written out before the next begins."""
+def owned(spark: SparkSession, owner: str, done: str | None, source: DataFrame) -> Iterator[None]:
+    """Tables made within belong to owner. Those of `done`, the step before, whose result has been written by now, are
+    deleted, but for what source reads. So the tables of a run's last step stay, as its result may be read at any time."""
     reads = {f.rpartition("/")[0].rpartition("/")[2] for f in source.inputFiles()}
     kept = []
-    for path in _OWNED.pop(owner, []):
+    for path in _OWNED.pop(done, []) if done else []:
         if path.rpartition("/")[2] in reads:
             kept.append(path)
         else:
             _delete(spark, path)
-    _OWNED[owner] = kept
+    if kept:
+        _OWNED[done] = kept
     _OWNER.append(owner)
     try:
         yield

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARTICLE = """id string, pmid string, pmcid string, url string, title string, authors string, journal string, year string,
 doi string, license string, citation struct<apa:string,apa_short:string>, abstract string, text string"""
 STATUS = "column_1 string, column_2 string"
+SENTENCES = "pmcid string, section string, paragraph int, seq long, text string"
 MAPPING = "gene_name string, prediction_id string, curated_model_id string, created date"
 NOTES = "gene_id string, curator_notes_html string, curator_notes_plain string, status string"
 
 
+def file_name() -> Column:
+    """The name of the file that a row was read from, as the file system has it (Spark gives names as in an address)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False, strict: bool = False) -> DataFrame:
     """Tab-separated rows, quotes being ordinary. Longer rows are cut and shorter ones filled with null,
     or, if strict, fail."""
@@ -27,13 +33,18 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, MAPPING).orderBy(F.desc("created"))
 
 
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """Sentences of full texts, a JSON object a line: pmcid, section, paragraph, seq (the place in its text), text."""
+    return spark.read.schema(SENTENCES).json(path)
+
+
 def read_articles(spark: SparkSession, path: str, schema: str = ARTICLE) -> tuple[DataFrame, DataFrame]:
     """(articles, malformed files) of a folder of indented .json files, each with file_name. The text,
     which has several shapes, stays JSON: null where it is JSON null. The id of a malformed file is what
     could be read of it (Spark wants a parsed column beside the corrupt record)."""
     full = f"{schema}, _corrupt_record string"
     def read(glob: str, whole: bool) -> DataFrame:
-        return spark.read.schema(full).json(path, multiLine=whole, pathGlobFilter=glob, mode="PERMISSIVE").select("*", F.col("_metadata.file_name").alias("file_name"))
+        return spark.read.schema(full).json(path, multiLine=whole, pathGlobFilter=glob, mode="PERMISSIVE").select("*", file_name().alias("file_name"))
 
     # what write_articles left has an article a line, any other file is one article
     rows = read("*.json", True).where("file_name not like 'part-%'").unionByName(read("part-*.json", False))
@@ -58,20 +69,3 @@ def write_csv(table: DataFrame, path: str) -> None:
 def write_abstracts(articles: DataFrame, path: str) -> None:
     """A line an article with an abstract, its line breaks as spaces."""
     articles.where("abstract is not null").select(F.regexp_replace("abstract", "[\\r\\n]+", " ").alias("value")).write.text(path)
-
-
-def export_json_files(articles: DataFrame, folder: str, name: str = "file_id") -> None:
-    """One indented .json file an article, written by the tasks to a folder that they all see."""
-    names = articles.columns
-
-    def write(rows):
-        import json
-        from pathlib import Path
-
-        top = Path(folder)
-        top.mkdir(parents=True, exist_ok=True)
-        for r in rows:
-            d = r.asDict(recursive=True)
-            (top / f"{d[name]}.json").write_text(json.dumps({k: d[k] for k in names if k != name}, ensure_ascii=False, indent=4), encoding="utf-8")
-
-    articles.foreachPartition(write)

@@ -70,6 +70,107 @@ def test_jats_sections(spark):
     assert [r.k for r in rows.where("error is not null").collect()] == [2]
 
 
+def by_tree(xml):
+    """(section, paragraphs) read from the whole tree."""
+    import xml.etree.ElementTree as ET
+
+    text = lambda n: " ".join(" ".join(n.itertext()).split())
+    root = ET.fromstring(xml)
+    top = root if root.tag.endswith("article") else root.find(".//article")
+    if top is None:
+        return []
+    out = []
+    titles = top.findall("./front/article-meta/title-group/article-title") or top.findall("./front/article-meta/title-group/trans-title-group/trans-title")
+    if titles and text(titles[0]):
+        out.append(("Title", [text(titles[0])]))
+    children = lambda n: [t for t in (text(c) for c in n if not c.tag.endswith(("title", "label", "sec"))) if t]
+    title = lambda n: text(n.find("title")) if n.find("title") is not None else ""
+    found = top.findall("./front/article-meta/abstract") + top.findall("./front/article-meta/trans-abstract")
+    for i, a in enumerate(found, 1):
+        key = title(a) or ("Abstract" if len(found) == 1 else f"Abstract {i}")
+        out.append((key, children(a)))
+        out += [(title(s) or f"{key} subsection", children(s)) for s in a.findall("sec")]
+
+    def walk(sec):
+        out.append((title(sec) or "Untitled Section", children(sec)))
+        for s in sec.findall("sec"):
+            walk(s)
+
+    body = top.find("body")
+    if body is not None:
+        before = []
+        for c in body:
+            if c.tag.endswith("sec"):
+                break
+            before += [text(c)] if not c.tag.endswith("title") and text(c) else []
+        out.append(("Body (untitled)", before))
+        for s in body.findall("sec"):
+            walk(s)
+    return [(k, p) for k, p in out if p]
+
+
+def random_article(draw):
+    def words():
+        return "".join(draw.choices(["a", "b ", "<i>c</i>", " ", "<sup>2</sup>", "&amp;", "\n", "é"], k=draw.randrange(5)))
+
+    def section(depth):
+        parts = []
+        for _ in range(draw.randrange(5)):
+            kind = draw.choice(["p", "p", "title", "label", "sec", "subtitle", "fig", "boxsec"])
+            if kind == "sec":
+                parts.append(f"<sec>{section(depth - 1)}</sec>" if depth else "")
+            else:
+                parts.append(f"<{kind}>{words()}<sec><title>in</title><p>{words()}</p></sec></{kind}>" if draw.random() < 0.15 else f"<{kind}>{words()}</{kind}>tail")
+        return "".join(parts)
+
+    title = draw.choice(["", f"<article-title>{words()}</article-title>", f"<trans-title-group><trans-title>{words()}</trans-title></trans-title-group>", f"<article-title> </article-title><trans-title-group><trans-title>{words()}</trans-title></trans-title-group>"])
+    abstracts = "".join(f"<{k}>{section(1)}</{k}>" for k in draw.choices(["abstract", "trans-abstract"], k=draw.randrange(4)))
+    front = f"<front><journal-meta><p>no</p></journal-meta><article-meta><title-group>{title}</title-group>{abstracts}</article-meta></front>"
+    back = "<back><sec><title>R</title><p>no</p></sec></back><sub-article><front><article-meta/></front><body><p>no</p></body></sub-article>"
+    article = f"<article>{front}{draw.choice(['', f'<body>{section(3)}</body>'])}{back}</article>"
+    return draw.choice([article, f"<pmc-set><other><p>x</p></other>{article}{article}</pmc-set>", article.replace("<article>", "<my-article>", 1).replace("</article>", "</my-article>")])
+
+
+def test_events_equal_the_tree(monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    for i in range(1500):
+        xml = random_article(draw)
+        monkeypatch.setattr(jats, "BLOCK", draw.choice([3, 50, 100_000]))
+        assert jats.sections(xml) == by_tree(xml), xml
+
+
+def test_long_articles_hold_a_section_at_a_time():
+    import tracemalloc
+
+    xml = "<article><body>" + "".join(f"<sec><title>S{i % 5}</title>" + "<p>" + "word " * 200 + "</p>" * 1 + "</sec>" for i in range(4000)) + "</body></article>"
+    tracemalloc.start()
+    n = sum(1 for _ in jats.paragraph_rows(xml))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and peak < len(xml) / 4
+
+
+def test_jats_table_function(spark):
+    spark.udtf.register("jats_sections", jats.JatsSections)
+    spark.createDataFrame([(1, JATS), (2, None)], "k int, x string").createOrReplaceTempView("articles_x")
+    rows = spark.sql("select k, s.section, s.paragraph from articles_x, lateral jats_sections(x) s").collect()
+    assert {r.section for r in rows} >= {"Title", "Key", "B"} and {r.k for r in rows} == {1}
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_notes_tell_kinds_of_tokens(spark, compat):
+    import json
+
+    tokens = ['{"text": "a"}', '{"text": null, "caption": "b"}', '{"text": 5}', '{"text": true}', '{"text": ["x", 1]}', '{"text": {"k": 1}}', '"{\\"text\\": \\"no\\"}"', "7", "null", '["text"]', '{"caption": "c", "text": ""}', '{"other": 1}', '{"caption": null}']
+    made = [json.dumps([{"items": [{"content": [{"items": ["t", {"content": [{"items": [json.loads(t)]}]}]}]}]}]) for t in tokens]
+    got = column(spark, made, lambda c: notes.notes_html(c, compat))
+    odd = ["None", "None"] if compat else ["b", None]
+    assert got == ["a", odd[0], "5", "True" if compat else "true", '["x",1]', '{"k":1}', None, None, None, None, None, None, odd[1]]
+    assert column(spark, tokens[:1] + ["[1", "1.5", '"s"', "[]", "null", "true", None], lambda c: notes.kind_of(F.try_parse_json(c))) == ["object", None, "number", "string", "array", "null", "boolean", None]
+
+
 @pytest.mark.parametrize(
     "n, full, short",
     [

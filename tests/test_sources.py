@@ -27,7 +27,7 @@ def test_paged_search_and_cap(spark, tmp_path):
     path = pages(tmp_path / "p")
     assert [r.id for r in paged.read_search(spark, path=path).orderBy("ord").collect()] == ["i0", "i1", "i2", "i3", "i4"]
     assert paged.read_search(spark, path=path, maxrecords=2).count() == 2
-    assert paged.hit_count(path=path) == 5
+    assert paged.landed_hit_count(spark, path) == 5
 
 
 def test_paged_stream(spark, tmp_path):
@@ -138,7 +138,14 @@ def test_landed_pages_are_read_in_parallel(spark, tmp_path):
 
 def test_landed_results_equal_the_cursor_walk(spark, tmp_path):
     path = pages(tmp_path / "p", sizes=(2, 5, 1))
-    walked = [r["id"] for _, results, _ in paged.Client({"path": path}).walk() for r in results]
+    by_cursor, mark, walked = {}, paged.FIRST, []
+    for p in sorted((tmp_path / "p").iterdir()):  # each page stands under the cursor that the one before gave
+        by_cursor[mark] = page = json.loads(p.read_text())
+        mark = page["nextCursorMark"]
+    mark = paged.FIRST
+    while by_cursor.get(mark, {}).get("resultList", {}).get("result"):
+        walked += [r["id"] for r in by_cursor[mark]["resultList"]["result"]]
+        mark = by_cursor[mark]["nextCursorMark"]
     assert [r.id for r in paged.read_search(spark, path=path).orderBy("ord").collect()] == walked
 
 
