@@ -34,6 +34,7 @@ PEERS = 100
 WIDTH = 4.0
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SKETCH = 10_000
+MOST_BANDS = 50_000  # rows of some ten numbers that are broadcast
 
 #: Characters that count as symbols, and white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -232,11 +233,13 @@ def bands(table: DataFrame) -> DataFrame:
 def judge(table: DataFrame) -> DataFrame:
     """table with base_failed, kept and reasons: the measures outside of their bands."""
     table = table.withColumn("base_failed", base_failed()).select("*", *peers())
-    all_bands = bands(table)
+    all_bands = materialize(bands(table))
+    # a hot language would go to one task of a shuffled join; few bands go to the rows instead, many are joined by key
+    dealt = F.broadcast if all_bands.count() <= MOST_BANDS else lambda t: t
     own = all_bands.where("magnitude is not null")
     wide = all_bands.where("magnitude is null").drop("magnitude")
     wide = wide.select("peer", *[F.col(c).alias(f"wide_{c}") for c in wide.columns if c != "peer"])
-    found = table.join(own, ["peer", "magnitude"], "left").join(wide, "peer", "left")
+    found = table.join(dealt(own), ["peer", "magnitude"], "left").join(dealt(wide), "peer", "left")
     outside = [F.when((F.col(m) < F.coalesce(f"low_{m}", f"wide_low_{m}")) | (F.col(m) > F.coalesce(f"high_{m}", f"wide_high_{m}")), m) for m in MEASURES]
     judged = found.withColumn("reasons", F.array_compact(F.array(*outside)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).select(*table.columns, "reasons", "kept")
