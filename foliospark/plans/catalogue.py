@@ -300,7 +300,7 @@ def gene_multiplicity(t):
 
 
 @query(
-    "select event_id, nullif(trim(case event_id % 9 when 0 then user_id || ' ' when 1 then 'text ' || event_type when 2 then 'cap' when 3 then cast(value as decimal(18, 2)) || '' when 4 then '[' || user_id || ',\"x\"]' "
+    "select event_id, nullif(trim(case event_id % 9 when 0 then user_id || ' ' when 1 then 'text ' || event_type when 2 then 'cap' when 3 then regexp_replace(regexp_replace(cast(value as decimal(18, 2)) || '', '0+$', ''), '\\.$', '') when 4 then '[' || user_id || ',\"x\"]' "
     "when 5 then '{\"deep\":' || user_id || '}' when 6 then 'true' else '' end || case when event_id % 2 = 0 then 'end' else '' end), '') as html, "
     "case event_id % 9 when 3 then 'number' when 4 then 'array' when 5 then 'object' when 6 then 'boolean' when 2 then 'null' when 7 then null when 8 then null else 'string' end as kind from events"
 )
