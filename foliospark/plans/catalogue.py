@@ -6,6 +6,7 @@ documents are article texts, conversations are passages and sentences, events ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import citation, html, jats, notes, search, text
 from foliospark.operators import articles, ids, reports, sections
-from foliospark.session import ship_package
+from foliospark.session import shared_dir, ship_package
+from foliospark.streaming import resume, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -371,9 +373,77 @@ def search_first_date(t):
     return _landed(t).where(articles.found_by(asked)).select("ord")
 
 
-for _name in ("notes_html", "jats_sections", "jats_structure", "citation_from_xml", "html_parser_text"):
+@query(
+    "with p as (select o_orderkey, o_orderkey % 10 as n, o_orderpriority as j, o_custkey as v, year(o_orderdate) as y, list_transform(range(0, o_orderkey % 10), lambda i: 'N' || i || ', ' || chr(65 + cast(i as integer)) || '.') as a from orders), "
+    "t as (select *, case when n = 0 then '' when n = 1 then a[1] when n <= 7 then array_to_string(a[1:-2], ', ') || ', & ' || a[-1] else array_to_string(a[1:6], ', ') || ', ... ' || a[-1] end as names from p) "
+    "select o_orderkey, names || ' (' || case when o_orderkey % 4 = 0 then 'n.d.' else y || '' end || '). T. *' || j || '*' || case when o_orderkey % 3 = 0 then '' else ', ' || v end || '.' as apa, "
+    "'(' || case n when 0 then j when 1 then 'N0' when 2 then 'N0 & N1' else 'N0 et al.' end || ', ' || case when o_orderkey % 4 = 0 then 'n.d.' else y || '' end || ')' as apa_short from t"
+)
+def citation_authors(t):
+    """Orders as PubMed records of up to nine authors, beside a group and one without initials; some without year or volume."""
+    key = F.col("o_orderkey")
+    person = lambda i: F.concat(F.lit("<Author><LastName>N"), i.cast("string"), F.lit("</LastName><Initials>"), F.char(i + 65), F.lit("</Initials></Author>"))
+    people = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), F.lit(1), (key % 10).cast("int")), person), "<Author><CollectiveName>G</CollectiveName></Author>")
+    year = F.when(key % 4 != 0, F.concat(F.lit("<Year>"), F.year("o_orderdate").cast("string"), F.lit("</Year>"))).otherwise("<MedlineDate>x</MedlineDate>")
+    volume = F.when(key % 3 != 0, F.concat(F.lit("<Volume>"), F.col("o_custkey").cast("string"), F.lit("</Volume>"))).otherwise("")
+    made = F.concat(
+        F.lit("<PubmedArticleSet><PubmedArticle><Article><ArticleTitle>T</ArticleTitle><Journal><Title>"), F.col("o_orderpriority"), F.lit("</Title><JournalIssue>"), volume, F.lit("<PubDate>"), year,
+        F.lit("</PubDate></JournalIssue></Journal><AuthorList><Author><LastName>Only</LastName></Author>"), people, F.lit("</AuthorList></Article></PubmedArticle></PubmedArticleSet>"),
+    )
+    return t("orders").select("o_orderkey", citation.apa(citation.pubmed_fields(made)).alias("c")).select("o_orderkey", "c.apa", "c.apa_short")
+
+
+@query(
+    "select event_id as title, case when user_id % 2 = 0 then 'PMC' || user_id end as pmcid, cast(user_id % 3 = 0 as integer) as is_open_access, case when event_id % 7 = 0 then null else cast(floor(value) as integer) end as cited_by_count, "
+    "case when event_id % 5 = 0 then null else 'eng' end as language, case event_id % 3 when 0 then null when 1 then event_type else event_type || ';' || user_id end as pub_type_list, strftime(ts, '%Y') as pub_year, "
+    "case event_id % 4 when 0 then 'J ' || event_type when 1 then 'Journal' when 2 then null else '' end as journal, case when event_id % 6 = 0 then null else event_type || ';;k' end as keywords from events where event_type in ('click', 'view')"
+)
+def literature_table(t):
+    """All nine columns of the flat table: missing and malformed counts, journals with and without an abbreviation (an empty one
+    counts), lists that are missing or hold nulls."""
+    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    journal = F.struct(F.when(event % 4 != 2, "Journal").alias("title"), F.when(event % 4 == 0, F.concat(F.lit("J "), kind)).when(event % 4 == 3, "").alias("medlineAbbreviation"))
+    results = t("events").select(
+        F.when(kind == "click", "MED").when(kind == "view", "PMC").when(kind == "error", "PPR").alias("source"), F.when(user % 2 == 0, F.concat(F.lit("PMC"), user.cast("string"))).alias("pmcid"),
+        F.when(user % 3 == 0, "Y").when(user % 3 == 1, "N").alias("isOpenAccess"), F.when(event % 7 == 0, "many").otherwise(F.floor("value").cast("string")).alias("citedByCount"), F.when(event % 5 != 0, "eng").alias("language"),
+        F.struct(journal.alias("journal")).alias("journalInfo"), F.struct(F.when(event % 3 == 1, F.array(kind)).when(event % 3 == 2, F.array(kind, user.cast("string"))).alias("pubType")).alias("pubTypeList"),
+        F.date_format("ts", "yyyy").alias("pubYear"), event.alias("title"), F.when(event % 6 != 0, F.struct(F.array(kind, F.lit(None), F.lit("k")).alias("keyword"))).alias("keywordList"),
+    )
+    return articles.flat_table(results)
+
+
+@query(
+    "with s as (select conv_id, role as section, turn as para, u.i as seq, u.s as sent from conversations, (select unnest(string_split(text, E'\\n')) s, generate_subscripts(string_split(text, E'\\n'), 1) i) u), "
+    "f as (select conv_id, section, min(turn * 1000000 + seq) as ord from (select conv_id, section, para as turn, seq from s) group by all) "
+    "select conv_id, section, cast(row_number() over (partition by conv_id order by ord) as integer) as place from f"
+)
+def section_order(t):
+    """Sections of sentence tables stand where their first sentence does."""
+    sentences = t("conversations").select("conv_id", F.col("role").alias("section"), F.col("turn").alias("paragraph"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    placed = sentences.select("conv_id", "section", "paragraph", (F.col("paragraph") * 1_000_000 + F.col("pos")).alias("seq"), "text")
+    found = sections.sentence_sections(placed, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section"))).alias("s"))
+    return found.select("conv_id", F.posexplode("s").alias("pos", "s")).select("conv_id", "s.section", (F.col("pos") + 1).alias("place"))
+
+
+for _name in ("notes_html", "jats_sections", "jats_structure", "citation_from_xml", "citation_authors", "html_parser_text"):
     def _shipped(spark, sf_dir, run=QUERIES[_name]):
         ship_package(spark)
         return run(spark, sf_dir)
 
     QUERIES[_name] = _shipped
+
+
+def client_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client changes as a stream of versions, repeated and out of order: what keyed state lets out, appended, and the
+    last of each client."""
+    path, place = f"{sf_dir}/client_changes.parquet", f"{shared_dir(spark)}/foliospark-{uuid.uuid4().hex}"
+    table = spark.read.parquet(path)
+    single = any(f.endswith("/client_changes.parquet") for f in table.inputFiles())  # a stream reads folders
+    reader = spark.readStream.schema(table.schema)
+    changes = reader.option("pathGlobFilter", "client_changes.parquet").parquet(sf_dir) if single else reader.parquet(path)
+    upsert.upsert_to(changes, lambda batch, _: batch.write.mode("append").parquet(f"{place}/table"), f"{place}/checkpoint", "client_id", "change_id").awaitTermination()
+    return resume.current(spark.read.schema(changes.schema).parquet(f"{place}/table"), "client_id", "change_id")
+
+
+QUERIES["client_upserts"] = client_upserts
+ORACLE_SQL["client_upserts"] = "select * from (select distinct * from client_changes where client_id is not null and change_id is not null) qualify row_number() over (partition by client_id order by change_id desc) = 1"

@@ -87,6 +87,11 @@ def current_notes(notes: DataFrame) -> DataFrame:
     return latest(notes, "gene_id", done, F.coalesce("curator_notes_html", F.lit("")))
 
 
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """What the `notes` command left at path, one row a gene: its runs append, and a gene that failed comes again."""
+    return current_notes(spark.read.schema(files.NOTES).parquet(path))
+
+
 def report(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coverage of text and abstract, and license shares with labels for display."""
     licenses = shares(articles, "license")
@@ -161,7 +166,7 @@ def main(argv: list[str] | None = None) -> None:
         ids = column_at(nonempty(files.read_status(spark, o.ids), "column_1"), 0, "gene_id").distinct()
         place = spark._jvm.org.apache.hadoop.fs.Path(o.out)
         exists = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-        done = spark.read.parquet(o.out) if exists else None
+        done = read_notes(spark, o.out) if exists else None
         todo = pending(ids, retry(done), "gene_id", o.limit) if exists else first_ids(ids, "gene_id", o.limit)
         responses = landed.read_landed(spark, o.landed) if o.landed else landed.fetch(todo, "gene_id", o.url, o.timeout, o.sleep_base, o.sleep_jitter)
         everything, offered = counted(first_ids(ids, "gene_id", o.limit), "offered")

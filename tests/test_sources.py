@@ -175,7 +175,7 @@ def test_command_line(spark, tmp_path, capsys):
     pipeline.main(run)
     rows = spark.read.parquet(str(tmp_path / "n"))
     assert rows.where("gene_id = 'g3'").count() == 2
-    got = {r.gene_id: (r.curator_notes_plain, r.status) for r in pipeline.current_notes(rows).collect()}
+    got = {r.gene_id: (r.curator_notes_plain, r.status) for r in pipeline.read_notes(spark, str(tmp_path / "n")).collect()}
     assert got == {f"g{i}": ("β-actin k", "ok") for i in range(4)} | {"g4": (None, "error"), "g9": (None, "error")}
 
 

@@ -124,6 +124,27 @@ def test_state_has_a_row_a_key(spark, tmp_path):
     assert sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) == 7
 
 
+def test_new_keys_are_appended_without_reading_the_table_again(spark, tmp_path, monkeypatch):
+    from foliospark.streaming import resume
+
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("old", "by another run", [], 0)], SCHEMA).write.parquet(out)
+    for i in range(4):
+        feed(spark, path, [(f"k{i}", "a", [], 1), (f"k{i}", "b", [], 2), ("k0", "c", [], 3), ("old", "d", [], 4), (None, "e", [], 5)])
+    reads, parquet = [], type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p, **o: reads.append(p) or parquet(self, *p, **o))
+    run = lambda: resume.append_new(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path), out, "file_id", str(tmp_path / "ck"), rows_a_file=1)
+    query = run()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 3 and [p for p in reads if p == (out,)] == [(out,)] * 2  # at the start, and with the first batch
+    monkeypatch.undo()
+    keys = lambda: sorted(r.file_id for r in spark.read.parquet(out).collect())
+    assert keys() == ["k0", "k1", "k2", "k3", "old"]
+    feed(spark, path, [("k9", "a", [], 1), ("k3", "a", [], 1)])
+    run().awaitTermination()
+    assert keys() == ["k0", "k1", "k2", "k3", "k9", "old"]
+
+
 def test_upserts_land_in_article_files(spark, tmp_path):
     path, out = str(tmp_path / "in"), tmp_path / "out"
     for rows in ([("a", "1", [], 1), ("b", "1", [], 2)], [("a", "2", [], 3)]):
