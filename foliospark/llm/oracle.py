@@ -77,3 +77,32 @@ x as (select *, coalesce(array_to_string(u[1:a], ''), '') as pre, coalesce(array
 select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
 sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256 from x
 """
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+PII_BASE = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as (select doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as ip,
+list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as card,
+list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) as phone from d),
+luhn as (select doc_id, email, ip, phone, list_filter(card, lambda x: length(x) between 12 and 19 and
+list_sum(list_transform(range(1, length(x) + 1), lambda i: case when i % 2 = 1 then cast(x[length(x) + 1 - i] as integer) else (2 * cast(x[length(x) + 1 - i] as integer)) // 10 + (2 * cast(x[length(x) + 1 - i] as integer)) % 10 end)) % 10 = 0) as card from m)
+select doc_id, cast(len(email) as bigint) as n_email,
+cast(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || right(p, 4) as integer) > 255)) = 0)) as bigint) as n_ip,
+cast(len(card) as bigint) as n_card, cast(len(list_filter(phone, lambda n: n between 9 and 15)) as bigint) as n_phone from luhn
+"""
+
+SHARD_SIZES = """
+with n as (select count(*) as n from documents)
+select cast(k as integer) as shard, cast((n + 7 - k) // 8 as bigint) as n_rows, cast((n + 7 - k) // 8 - 1 as bigint) as last_slot, 'rows' as law from n, (select unnest(range(0, 8)) as k) where n > k
+"""
+
+FERTILITY_BASE = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as l from documents),
+g as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as x from (select rid, w, unnest(range(1, len(w) - 1)) as i from d where len(w) > 2)),
+h as (select rid, i from g qualify count(*) over (partition by rid, x) > 1),
+r as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 3)) as p from h) group by rid),
+c as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words from d left join r using (rid))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c
+"""

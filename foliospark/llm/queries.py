@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from foliospark.llm import oracle
 from foliospark.llm.decontamination import op7_suffix_array_decontamination
 from foliospark.llm.embeddings import op9_pruned_graph_embeddings
@@ -17,6 +20,23 @@ from foliospark.llm.sharding import op10_feistel_sharding
 from foliospark.llm.suffix_tree_lm import op4_suffix_tree_lm
 from foliospark.llm.toxicity import op1_factorization_toxicity
 
+
+
+def pii_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The counts of base spans that op3 gives."""
+    return op3_bootstrapped_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def shard_sizes(spark, sf_dir: str) -> DataFrame:
+    """Rows and last slot of each shard of op10."""
+    return op10_feistel_sharding(spark, sf_dir).groupBy("shard", "law").agg(F.count(F.lit(1)).alias("n_rows"), F.max("slot").alias("last_slot"))
+
+
+def fertility_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The plain counts and rules of op12."""
+    return op12_tokeniser_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     "op1_factorization_toxicity": op1_factorization_toxicity,
     "op2_page_differencing": op2_page_differencing,
@@ -31,6 +51,9 @@ QUERIES = {
     "op11_funnel_frontier": op11_funnel_frontier,
     "op12_tokeniser_fertility": op12_tokeniser_fertility,
     "op13_event_scan_fill_middle": op13_event_scan_fill_middle,
+    "pii_base_counts": pii_base_counts,
+    "shard_sizes": shard_sizes,
+    "fertility_base_counts": fertility_base_counts,
 }
 
 ORACLE_SQL = {
@@ -39,4 +62,7 @@ ORACLE_SQL = {
     "op9_pruned_graph_embeddings": oracle.OP9,
     "op11_funnel_frontier": oracle.OP11,
     "op13_event_scan_fill_middle": oracle.OP13,
+    "pii_base_counts": oracle.PII_BASE,
+    "shard_sizes": oracle.SHARD_SIZES,
+    "fertility_base_counts": oracle.FERTILITY_BASE,
 }
