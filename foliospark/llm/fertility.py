@@ -69,7 +69,8 @@ def repeated_words(codes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndar
     windows, most = text[:-2], int(codes.max()) + 1
     for k in range(3):  # numbered anew each time, so products stay small
         windows = np.unique(windows * most + codes[k : len(codes) - 2 + k], return_inverse=True)[1].ravel()
-    again = (np.bincount(windows)[windows] > 1) & (text[:-2] == text[2:])
+    inside = text[:-2] == text[2:]  # the others reach into the next text
+    again = inside & (np.bincount(windows[inside], minlength=int(windows.max()) + 1)[windows] > 1)
     hit = np.zeros(len(codes), bool)
     for k in range(3):
         hit[k : len(codes) - 2 + k] |= again

@@ -59,6 +59,12 @@ def test_chunks_do_not_matter():
     pd.testing.assert_frame_equal(one, each, check_dtype=False)
 
 
+def test_windows_end_with_their_text():
+    """The last words of a text and the first of the next one are no window, though they look like an earlier one."""
+    ts = ["a b c x a", "b c d", "a b c x a b", "c a b c", "", "a b c a b c"]
+    assert list(M.Measurer()(ts).n_repeat_words) == [brute(t)[4] for t in ts] == [0, 0, 0, 0, 0, 6]
+
+
 def test_scripts():
     assert [M.script_of(t) for t in ("abc é", "привет мир a", "漢字かな漢", "123 ...", "", "שלום")] == ["latin", "cyrillic", "han", "none", "none", "hebrew"]
 
