@@ -2,8 +2,8 @@
 
 A text is its words (bytes, ASCII lower-cased) and one end. Each position (a word or the end) is predicted
 from the words before it. The tree grows level by level: contexts of one word, then of one word more
-before each retained context, text starts included, until a level adds less than LEAST_LEVEL of the tree's
-states; nothing else bounds its depth or the number of its states. A context is retained where its next-word distribution diverges from that of the
+before each retained context, text starts included, until a level adds none; nothing else bounds its depth
+or the number of its states. A context is retained where its next-word distribution diverges from that of the
 context one word shorter by more than its symbols cost: (N - 1) * KL > k * (SLACK / 2 * ln N + NAMING * ln(n + v))
 for N occurrences and k symbols, where ln(n + v) names a symbol among n tokens of v kinds and one
 occurrence tells nothing. Distributions are
@@ -17,13 +17,13 @@ terminator (a space) or, at a word's start, the end of the text (a newline) from
 it, back to the space before the word, counted over all training tokens (each distinct token once, weighted),
 retained where N * KL > SLACK * k/2 * ln N and smoothed alike, down to the uniform distribution, so every text has a probability.
 
-Counts cover all training documents. Bigrams are sent in packed blocks by their context, so one shuffle
-brings each context's successors together; contexts that can't pass the test, with the counts of the TOP
-tokens and bounds for others, end there. Deeper levels only send what follows retained contexts. Token counts
-are joined by key: tasks turn blocks of documents into postings (word, places), which meet the scores and go
-back to their block. Texts are read once, into coded blocks that all these steps take. What retained contexts change is summed in the block itself, from the tree in slices of
-SLICE states, of which a task holds one at a time. The byte tree is held whole; its contexts lie within words of
-DEPTH bytes, so they become ever fewer new ones as the corpus grows.
+Counts cover all training documents. Texts are read once, into coded blocks that all steps take. N-grams are
+sent in packed blocks by their context, so one shuffle a level brings each context's successors together.
+One-word contexts that can't pass the test, with the counts of the TOP tokens and bounds for others, end there;
+deeper ones, sent only behind retained contexts and with the distribution above, are tested there. Blocks ask for
+their tokens' counts by key and are scored with the answers and the tree, which comes in slices of SLICE rows, of
+which a task holds one at a time. The byte tree is held whole; its contexts lie within words of DEPTH bytes, so
+they become ever fewer new ones as the corpus grows.
 Words and contexts are keyed by 64-bit hashes.
 
 Defined cases: null or empty text is the end alone; a null doc_id is a training row; repeated rows
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,10 @@ from foliospark.session import discard, drop_dead_shuffles, materialize, ship_pa
 
 DEPTH = 4
 SLACK, NAMING = 1.0, 0.6
-LEAST_LEVEL = 0.1  # of the tree's states: a level that adds a smaller part is the last one
 TOP = 1_000_000  # most frequent tokens, whose counts prune bigrams where they meet
 PART = 1_000_000  # bigrams in a part of their shuffle, about
 SLICE = 1_000_000  # rows of the tree that a task holds at once, about
-BLOCK_WORDS, BLOCK_DOCS = 2_500_000, 60_000  # places in a block are unsigned 16-bit numbers, counts 8-bit ones
+BLOCK_WORDS, BLOCK_DOCS = 2_500_000, 60_000
 CHUNK = 100_000  # distinct tokens worked on at once
 CHUNK_BYTES = 4_000_000
 END = b"\n"
@@ -60,29 +60,16 @@ ROOT = np.uint64(0x2545F4914F6CDD1D)  # the context without words, in hashes
 
 TOKENS = "token binary, c long"
 CODED = f"{TOKENS}, block long, data binary"
-POSTINGS = "symbol long, block long, places binary, counts binary, change binary"
-GRAMS = "context long, above long, word long, symbol long, n long"
+PARTS = "part long, data binary"
+GRAMS = "context long, word long, symbol long, n long"
+LEVEL = "context long, word long, symbol long, total long, log_q double, lp double, change double, back double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """Rows of bytes: data cut at edges."""
-    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer((edges * data.itemsize).astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-
-
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    """The numbers in all rows of bytes, one after the other."""
-    out = []
-    for chunk in column.chunks:
-        edges = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
-        if len(chunk) and edges[-1] > edges[0]:
-            out.append(np.frombuffer(chunk.buffers()[2], kind, int(edges[-1] - edges[0]) // np.dtype(kind).itemsize, int(edges[0])))
-    return np.concatenate(out) if out else np.empty(0, kind)
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two 64-bit numbers, in this order."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
@@ -171,6 +158,13 @@ class Block:
         self.ids, at = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64), at + 4 * n
         self.names = np.frombuffer(raw, "<u8", v, at)
 
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of one word, of what stands before a text, then of the vocabulary, and each position's one as a number."""
+        first = _mix(np.full(len(self.names) + 1, ROOT), np.concatenate([[np.uint64(0)], self.names]))
+        before = np.concatenate([[0], self.ids[:-1] + 1])
+        before[np.cumsum(self.sizes) - self.sizes] = 0
+        return first, before
+
     def training(self) -> np.ndarray:
         """The places of training documents' tokens."""
         return np.flatnonzero(np.repeat((self.flags & 1) == 0, self.sizes))
@@ -197,66 +191,86 @@ def _numbers(data: np.ndarray) -> bytes:
     return np.ascontiguousarray(data.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
+def _packed(parts: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rows, in order of their first column, a context, cut by it in parts: the parts' numbers and data."""
+    context = columns[0]
+    bound = np.searchsorted(((context >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1)).tolist()
+    part, data = [], []
+    for p, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
+        if a < b:
+            raw = np.array([b - a], "<u8").tobytes() + _numbers(np.diff(context[a:b], prepend=np.uint64(0))) + b"".join(_numbers(c[a:b]) for c in columns[1:])
+            part.append(p)
+            data.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+    return part, data
+
+
+def _merged(table: pa.Table, k: int) -> list[np.ndarray]:
+    """The k columns of a part's rows, of all blocks, by context and symbol, which are the first two; the third, counts, summed."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(k)]
+    for blob in table.column("data").to_pylist():
+        raw = pa.decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+        size = int(np.frombuffer(raw, "<u8", 1)[0])
+        for i, out in enumerate(columns):
+            x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, 8 + 8 * size * i).reshape(8, size).T).view("<u8").ravel()
+            out.append(x if i else np.cumsum(x))
+    context, symbol, n, *others = map(np.concatenate, columns)
+    order = np.lexsort((symbol, context))
+    context, symbol = context[order], symbol[order]
+    edge = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
+    return [context[edge], symbol[edge], np.add.reduceat(n[order].astype(np.int64), edge), *(x[order[edge]] for x in others)]
+
+
+def _sizes(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's context as a number, and each context's first row, occurrences and symbols."""
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    start = np.flatnonzero(new)
+    return np.cumsum(new) - 1, start, np.add.reduceat(n, start), np.diff(np.append(start, len(n)))
+
+
+def _passes(gain: np.ndarray, total: np.ndarray, kinds: np.ndarray, naming: float) -> np.ndarray:
+    """The divergence test, by an upper bound of each context's gain."""
+    return gain * (total - 1) / total > kinds * (SLACK * 0.5 * np.log(total) + naming) - 1e-6
+
+
 def bigrams(coded: DataFrame, parts: int) -> DataFrame:
     """(part, data): the bigrams of each block's training documents with their counts, packed, by context."""
 
     def rows(_, block: Block) -> pa.RecordBatch:
         names = block.names
-        first = _mix(np.full(len(names) + 1, ROOT), np.concatenate([[np.uint64(0)], names]))  # of what stands before a text, then the vocabulary
+        first, before = block.before()
         learn = block.training()
-        before = np.concatenate([[0], block.ids[:-1] + 1])
-        before[np.cumsum(block.sizes) - block.sizes] = 0
         before, here = before[learn], block.ids[learn]
         # numbered in order of the hashes, so that one sort leaves both in order
         order, place = (np.argsort(first), np.argsort(names)), [np.empty(len(x), np.int64) for x in (first, names)]
         for x, o in zip(place, order):
             x[o] = np.arange(len(o))
         keys, n = np.unique(place[0][before] * len(names) + place[1][here], return_counts=True)
-        context, symbol = first[order[0]][keys // len(names)], names[order[1]][keys % len(names)]
-        bound = np.searchsorted(((context >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1)).tolist()
-        part, data = [], []
-        for p, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
-            if a < b:
-                raw = np.array([b - a], "<u8").tobytes() + _numbers(np.diff(context[a:b], prepend=np.uint64(0))) + _numbers(symbol[a:b]) + _numbers(n[a:b])
-                part.append(p)
-                data.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+        part, data = _packed(parts, first[order[0]][keys // len(names)], names[order[1]][keys % len(names)], n)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
 
-    return _blocks(coded, rows, "part long, data binary")
+    return _blocks(coded, rows, PARTS)
 
 
-def first_grams(coded: DataFrame, tokens: DataFrame, n: int, v: int) -> DataFrame:
+def first_grams(coded: DataFrame, rated: DataFrame, n: int, v: int) -> DataFrame:
     """GRAMS of one-word contexts that may pass the test."""
-    top = tokens.select("token", "c").orderBy(F.desc("c"), "token").limit(TOP).toArrow()
-    names = symbol_of(top.column("token").to_pylist())
+    top = rated.where("c > 0").select("symbol", "c").orderBy(F.desc("c"), "symbol").limit(TOP).toArrow()
+    names = top.column("symbol").to_numpy().view(np.uint64)
     order = np.argsort(names)
     shared = coded.sparkSession.sparkContext.broadcast((names[order], top.column("c").to_numpy()[order]))
-    parts = max(64, n // 2 // PART)
+    naming = NAMING * float(np.log(n + v))
 
     def meet(table: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[], [], []]
-        for blob in table.column("data").to_pylist():
-            raw = pa.decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
-            size = int(np.frombuffer(raw, "<u8", 1)[0])
-            for k, out in enumerate(columns):
-                out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, 8 + 8 * size * k).reshape(8, size).T).view("<u8").ravel())
-        context, symbol, times = np.concatenate([np.cumsum(x) for x in columns[0]]), np.concatenate(columns[1]), np.concatenate(columns[2]).astype(np.int64)
-        order = np.lexsort((symbol, context))
-        context, symbol = context[order], symbol[order]
-        edge = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
-        times, context, symbol = np.add.reduceat(times[order], edge), context[edge], symbol[edge]
-        new = np.concatenate([[True], context[1:] != context[:-1]])
-        of, start = np.cumsum(new) - 1, np.flatnonzero(new)
-        total, kinds = np.add.reduceat(times, start), np.diff(np.append(start, len(times)))
+        context, symbol, times = _merged(table, 3)
+        of, start, total, kinds = _sizes(context, times)
         known, counts = shared.value
         at = np.minimum(np.searchsorted(known, symbol), max(len(known) - 1, 0))
         least = np.where(known[at] == symbol, counts[at], times)  # a token occurs as often as the bigram at least
         gain = np.add.reduceat(times * (np.log(times / total[of]) - np.log(least / n)), start)
-        kept = (gain * (total - 1) / total > kinds * (SLACK * 0.5 * np.log(total) + NAMING * np.log(n + v)) - 1e-6)[of]
+        kept = _passes(gain, total, kinds, naming)[of]
         context = pa.array(context[kept].view(np.int64))
-        return pa.table({"context": context, "above": pa.array(np.zeros(len(context), np.int64)), "word": context, "symbol": pa.array(symbol[kept].view(np.int64)), "n": pa.array(times[kept])})
+        return pa.table({"context": context, "word": context, "symbol": pa.array(symbol[kept].view(np.int64)), "n": pa.array(times[kept])})
 
-    return bigrams(coded, parts).groupBy("part").applyInArrow(meet, GRAMS)
+    return bigrams(coded, max(64, n // 2 // PART)).groupBy("part").applyInArrow(meet, GRAMS)
 
 
 def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -267,145 +281,146 @@ def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-class Slice:
-    """States and grams of a part of the tree, all that extend some words: sorted keys with values."""
+class Level:
+    """States and grams of contexts of one length: sorted keys with values."""
 
     def __init__(self, table: pa.Table):
         is_state = table.column("symbol").is_null().to_numpy()
-        context = table.column("context").to_numpy().view(np.uint64)
+        context, value, lp = (table.column(c).to_numpy() for c in ("context", "value", "lp"))
+        context = context.view(np.uint64)
         symbol = table.column("symbol").fill_null(0).to_numpy().view(np.uint64)
-        value = table.column("value").to_numpy()
-        self.states, self.back = self._sorted(context[is_state], value[is_state])
-        self.grams, self.change = self._sorted(_mix(context[~is_state], symbol[~is_state]), value[~is_state])
+        order = np.argsort(context[is_state])
+        self.states, self.back = context[is_state][order], value[is_state][order].astype(np.float32)
+        self.grams = _mix(context[~is_state], symbol[~is_state])
+        order = np.argsort(self.grams)
+        self.grams, value, lp = self.grams[order], value[~is_state][order], lp[~is_state][order]
+        growing = len(lp) > 0 and not np.isnan(lp[0])
+        self.change = value.astype(np.float32)
+        self.log_q, self.lp = (value, lp) if growing else (None, None)
 
-    @staticmethod
-    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], values[order].astype(np.float32)
 
-    def walk(self, contexts: Contexts, places: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+class Slice:
+    """A part of the tree, all contexts that extend some words, by length."""
+
+    def __init__(self, table: pa.Table, depth: int):
+        self.levels = [Level(table.filter(pc.equal(table.column("depth"), d))) for d in range(1, depth + 1)]
+
+    def walk(self, contexts: Contexts, first: np.ndarray, before: np.ndarray, state: np.ndarray) -> Iterator[tuple[Level, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Level by level, the places in a retained state, with their contexts, its number and the context of
-        one word; from places whose contexts of one word, given, belong to this slice."""
+        one word. first: contexts of one word, state: their numbers in this slice or -1, before: each place's one."""
+        places = np.flatnonzero(state[before] >= 0)
+        words, state = first[before[places]], state[before[places]]
         longer, contexts.depth = words, 1
-        while len(places):
-            state = _find(self.states, longer)
-            some = state >= 0
-            places, longer, words = places[some], longer[some], words[some]
-            yield places, longer, state[some], words
-            longer = contexts.longer(places, longer)
+        for depth, level in enumerate(self.levels, 1):
+            if depth > 1:
+                longer = contexts.longer(places, longer)
+                state = _find(level.states, longer)
+                some = state >= 0
+                places, longer, words, state = places[some], longer[some], words[some], state[some]
+            yield level, places, longer, state, words
 
 
 class Tree:
     """The retained contexts, to be held by tasks a slice at a time."""
 
     def __init__(self, table: DataFrame, depth: int):
-        """table: word, context, symbol (null: the state itself), value."""
+        """table: depth, word, context, symbol (null: the state itself), value, lp (null but while the tree grows)."""
         self.depth, n = depth, table.count()
         self.number = 1 << max(0, -(-n // SLICE) - 1).bit_length()
-        table = materialize(table.withColumn("slice", F.col("word").bitwiseAND(self.number - 1)).select("slice", "context", "symbol", "value"))
+        columns = ["depth", "context", "symbol", "value", "lp"]
+        table = materialize(table.withColumn("slice", F.col("word").bitwiseAND(self.number - 1)).select("slice", *columns))
         sc = table.sparkSession.sparkContext
         self.slices = []
         for i in range(self.number):
-            part = Slice(table.where(F.col("slice") == i).select("context", "symbol", "value").toArrow())
+            part = Slice(table.where(F.col("slice") == i).select(*columns).toArrow(), depth)
             self.slices.append(sc.broadcast(part))
             del part
+            pa.default_memory_pool().release_unused()
         discard(table)
 
-    def walk(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[Slice, Iterator]]:
-        """Each slice with its walk over the positions of texts."""
-        contexts = Contexts(symbols, sizes)
-        places = np.arange(len(symbols))
-        words = contexts.longer(places, np.full(len(symbols), ROOT))
-        own = words & np.uint64(self.number - 1)
+    def destroy(self) -> None:
+        for x in self.slices:
+            x.destroy()
+
+    def walk(self, block: Block, symbols: np.ndarray) -> Iterator[Iterator]:
+        """Each slice's walk over the positions of a block."""
+        contexts = Contexts(symbols, block.sizes)
+        first, before = block.before()
+        own = first & np.uint64(self.number - 1)
         for i, x in enumerate(self.slices):
-            some = np.flatnonzero(own == i) if self.number > 1 else places
-            part = x.value
-            yield part, part.walk(contexts, some, words[some])
+            mine = np.flatnonzero(own == i)
+            state = np.full(len(first), -1)
+            state[mine] = _find(x.value.levels[0].states, first[mine])
+            yield x.value.walk(contexts, first, before, state)
             if self.number > 1:
                 x._value = None
                 del x._value  # it is read again from the worker's disk
 
-    def changes(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def changes(self, block: Block) -> np.ndarray:
         """What the retained contexts add to the log10 probability of each position."""
+        symbols = block.names[block.ids]
         out = np.zeros(len(symbols))
-        for part, levels in self.walk(symbols, sizes):
-            for places, context, state, _ in levels:
-                gram = _find(part.grams, _mix(context, symbols[places]))
-                out[places] += np.where(gram >= 0, part.change[gram] if len(part.change) else 0.0, part.back[state])
+        for levels in self.walk(block, symbols):
+            for level, places, context, state, _ in levels:
+                gram = _find(level.grams, _mix(context, symbols[places]))
+                out[places] += np.where(gram >= 0, level.change[gram] if len(level.change) else 0.0, level.back[state])
         return out
 
 
-def next_grams(coded: DataFrame, tree: Tree) -> DataFrame:
-    """GRAMS, by block, of contexts one word longer than the tree's deepest."""
+def next_level(coded: DataFrame, tree: Tree, occurrences: int, naming: float) -> DataFrame:
+    """LEVEL of the contexts one word longer than the tree's deepest that pass the test. occurrences: of the deepest, in all."""
+    parts = max(64, occurrences // 2 // PART)
 
     def rows(_, block: Block) -> pa.RecordBatch:
-        out = [np.empty((0, 5), np.int64)]
+        part, data = [], []
         symbols = block.names[block.ids]
         learn = np.repeat((block.flags & 1) == 0, block.sizes)
-        for _, levels in tree.walk(symbols, block.sizes):
-            for depth, (places, context, _, word) in enumerate(levels, 1):
-                some = learn[places]
-                if depth == tree.depth and some.any():
-                    contexts = Contexts(symbols, block.sizes)
-                    contexts.depth = depth
-                    longer, symbol, word = contexts.longer(places[some], context[some]), symbols[places[some]], word[some]
-                    key = _mix(longer, symbol)
-                    order = np.argsort(key)
-                    edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-                    first = order[edge]
-                    n = np.diff(np.append(edge, len(order)))
-                    out.append(np.stack([x[first].view(np.int64) for x in (longer, context[some], word, symbol)] + [n], 1))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=[c.split()[0] for c in GRAMS.split(", ")])
-
-    grams = _blocks(coded, rows, GRAMS).groupBy("context", "symbol").agg(F.first("above").alias("above"), F.first("word").alias("word"), F.sum("n").alias("n"))
-    return grams.select("context", "above", "word", "symbol", "n")
-
-
-def postings(coded: DataFrame, tree: Tree | None) -> DataFrame:
-    """POSTINGS by block; one row of each block has a null symbol, names its documents and what the tree changes in them."""
-
-    def rows(number: int, block: Block) -> pa.RecordBatch:
-        names, sizes, every = block.names, block.sizes, block.ids
-        place = np.repeat(np.arange(len(sizes)), sizes)
-        change = np.bincount(place, tree.changes(names[every], sizes), len(sizes)) if tree else np.zeros(len(sizes))
-        keys, counts = np.unique(every * 65_536 + place, return_counts=True)
-        # a count over 255 is several entries
-        times = -(-counts // 255)
-        keys, last = np.repeat(keys, times), np.cumsum(times) - 1
-        small = np.full(len(keys), 255)
-        small[last] = counts - 255 * (times - 1)
-        token, place = keys >> 16, keys & 65_535
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        n = len(edges) - 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(names[token[edges[:-1]]].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.full(n + 1, number)),
-                pa.concat_arrays([_binary(place.astype("<u2"), edges), pa.array([block.doc_ids.tobytes()], pa.binary())]),
-                pa.concat_arrays([_binary(small.astype("<u1"), edges), pa.array([block.flags.tobytes()], pa.binary())]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([change.astype("<f8").tobytes()], pa.binary())]),
-            ],
-            names=["symbol", "block", "places", "counts", "change"],
-        )
-
-    return _blocks(coded, rows, POSTINGS)
-
+        for levels in tree.walk(block, symbols):
+            *_, (level, places, context, _, word) = levels
+            some = learn[places]
+            if some.any():
+                contexts = Contexts(symbols, block.sizes)
+                contexts.depth = tree.depth
+                places, context, word = places[some], context[some], word[some]
+                longer, symbol = contexts.longer(places, context), symbols[places]
+                order = np.lexsort((symbol, longer))
+                edge = np.flatnonzero(np.concatenate([[True], (np.diff(longer[order]) != 0) | (np.diff(symbol[order]) != 0)]))
+                at, n = order[edge], np.diff(np.append(edge, len(order)))
+                gram = _find(level.grams, _mix(context[at], symbol[at]))
+                for out, x in zip((part, data), _packed(parts, longer[at], symbol[at], n, word[at], level.log_q[gram].view("<u8"), level.lp[gram].view("<u8"))):
+                    out += x
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
 
-def retained_contexts(entries: DataFrame, shorter: DataFrame, naming: float = 0.0, slack: float = SLACK) -> DataFrame:
-    """entries: GRAMS of one depth; shorter: (context, symbol, log_q, lp) of all symbols of the contexts above, lp
-    the log10 probability there. The grams of contexts that pass the divergence test, with log_q (the log of
-    the symbol's share), lp, change (lp less that of the context above) and back (the change of symbols never
-    seen there). naming is the cost of each symbol of a context."""
-    above = shorter.select(F.col("context").alias("above"), "symbol", F.col("log_q").alias("log_q0"), F.col("lp").alias("lp0"))
+    def meet(table: pa.Table) -> pa.Table:
+        context, symbol, times, word, log_q0, lp0 = _merged(table, 6)
+        log_q0, lp0 = log_q0.view("<f8"), lp0.view("<f8")
+        of, start, total, kinds = _sizes(context, times)
+        log_q = np.log(times / total[of])
+        kept = _passes(np.add.reduceat(times * (log_q - log_q0), start), total, kinds, naming)[of]
+        context, word, symbol, times, log_q, lp0, of = (x[kept] for x in (context, word, symbol, times, log_q, lp0, of))
+        total, kinds = total[of], kinds[of]
+        lp = np.log10((times + kinds * 10**lp0) / (total + kinds))
+        columns = [context.view(np.int64), word.view(np.int64), symbol.view(np.int64), total, log_q, lp, lp - lp0, np.log10(kinds / (total + kinds))]
+        return pa.table(dict(zip((c.split()[0] for c in LEVEL.split(", ")), map(pa.array, columns))))
+
+    return _blocks(coded, rows, PARTS).groupBy("part").applyInArrow(meet, LEVEL)
+
+
+def first_level(entries: DataFrame, rated: DataFrame, n: int, naming: float) -> DataFrame:
+    """entries: GRAMS; rated: the root's symbols with c and lp. LEVEL of the contexts that pass the divergence test: their
+    grams with log_q (the log of the symbol's share), lp, change (lp less that of the context above) and back (the
+    change of symbols never seen there)."""
+    above = rated.where("c > 0").select("symbol", F.log(F.col("c") / F.lit(float(max(n, 1)))).alias("log_q0"), F.col("lp").alias("lp0"))
     n = F.col("n").cast("double")
-    rows = entries.join(above, ["above", "symbol"])
+    rows = entries.join(above, "symbol")
     # a hot context's rows aren't gathered: sums by context, then a join
     sums = rows.groupBy("context").agg(F.sum(n).alias("total"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(n * (F.log(n) - F.col("log_q0"))).alias("part"))
-    kept = sums.where((F.col("part") - F.col("total") * F.log("total")) * (F.col("total") - 1) / F.col("total") > F.col("k") * (slack * 0.5 * F.log("total") + naming)).select("context", "total", "k")
+    kept = sums.where((F.col("part") - F.col("total") * F.log("total")) * (F.col("total") - 1) / F.col("total") > F.col("k") * (SLACK * 0.5 * F.log("total") + naming)).select("context", "total", "k")
     return (
         rows.join(kept, "context")
         .withColumn("log_q", F.log(n / F.col("total")))
         .withColumn("lp", F.log10((n + F.col("k") * F.pow(F.lit(10.0), "lp0")) / (F.col("total") + F.col("k"))))
-        .select("context", "word", "symbol", "log_q", "lp", (F.col("lp") - F.col("lp0")).alias("change"), F.log10(F.col("k") / (F.col("total") + F.col("k"))).alias("back"))
+        .select("context", "word", "symbol", F.col("total").cast("long").alias("total"), "log_q", "lp", (F.col("lp") - F.col("lp0")).alias("change"), F.log10(F.col("k") / (F.col("total") + F.col("k"))).alias("back"))
     )
 
 
@@ -545,29 +560,38 @@ def learn(tokens: DataFrame) -> SuffixTree:
     return SuffixTree(table.column("key").to_numpy(), table.column("n").to_numpy())
 
 
-def grow(coded: DataFrame, tokens: DataFrame, rated: DataFrame, n: int, v: int) -> Tree | None:
-    """The tree of retained contexts, level by level."""
+def tree_of(levels: list[DataFrame], growing: bool) -> Tree:
+    """The tree of LEVEL for each length; while it grows, the states and the distributions of the last length."""
+    rows = []
+    for d, x in enumerate(levels, 1):
+        depth, none = F.lit(d).alias("depth"), F.lit(None)
+        rows.append(x.select(depth, "word", "context", none.cast("long").alias("symbol"), F.col("back").alias("value"), none.cast("double").alias("lp")).distinct())
+        if not growing:
+            rows.append(x.select(depth, "word", "context", "symbol", F.col("change").alias("value"), none.cast("double").alias("lp")))
+    if growing:
+        rows.append(x.select(depth, "word", "context", "symbol", F.col("log_q").alias("value"), "lp"))
+    return Tree(reduce(DataFrame.unionByName, rows), len(levels))
+
+
+def grow(coded: DataFrame, rated: DataFrame, n: int, v: int) -> Tree | None:
+    """The tree of retained contexts, level by level until none is retained."""
     naming = NAMING * float(np.log(max(n + v, 1)))
-    shorter = rated.where("c > 0").select(F.lit(0).cast("long").alias("context"), "symbol", F.log(F.col("c") / F.lit(float(max(n, 1)))).alias("log_q"), "lp")
-    entries, levels, states, tree = first_grams(coded, tokens, n, v), [], [], None
+    entries = materialize(first_grams(coded, rated, n, v))
+    drop_dead_shuffles(coded.sparkSession)
+    levels, tree = [materialize(first_level(entries, rated, n, naming))], None
+    discard(entries)
     while True:
-        entries = materialize(entries)
+        if tree:
+            tree.destroy()
         drop_dead_shuffles(coded.sparkSession)
-        level = materialize(retained_contexts(entries, shorter, naming))
-        discard(entries)
-        states.append(level.select("context").distinct().count())
-        if not states[-1]:
-            return tree
-        levels.append(level)
-        rows = [x.select("word", "context", "symbol", F.col("change").alias("value")).unionByName(x.select("word", "context", F.lit(None).cast("long").alias("symbol"), F.col("back").alias("value")).distinct()) for x in levels]
-        every = rows[0]
-        for x in rows[1:]:
-            every = every.unionByName(x)
-        tree = Tree(every, len(levels))
-        if states[-1] < LEAST_LEVEL * sum(states):
-            return tree
-        drop_dead_shuffles(coded.sparkSession)
-        entries, shorter = next_grams(coded, tree), level
+        occurrences = levels[-1].select("context", "total").distinct().agg(F.sum("total")).first()[0]
+        if not occurrences:
+            break
+        tree = tree_of(levels, growing=True)
+        levels.append(materialize(next_level(coded, tree, int(occurrences), naming)))
+    whole = tree_of(levels[:-1], growing=False) if len(levels) > 1 else None
+    discard(*levels)
+    return whole
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -585,33 +609,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
             lp = np.where(counts > 0, np.log10((counts + v * 10**spelled) / max(n + v, 1)), spelled + (np.log10(v / (n + v)) if n else 0.0))
             yield pa.RecordBatch.from_arrays([pa.array(symbol_of(words).view(np.int64)), pa.array(counts), pa.array(lp)], names=["symbol", "c", "lp"])
 
-    def total(table: pa.Table) -> pa.Table:
-        is_head = table.column("is_head")
-        head, table = table.filter(is_head), table.filter(pc.invert(is_head)).combine_chunks()
-        ids, flags, change = (np.frombuffer(head.column(k)[0].as_py(), t) for k, t in (("places", "<i8"), ("counts", "<u1"), ("change", "<f8")))
-        of, times = (_joined(table.column(k), t) for k, t in (("places", "<u2"), ("counts", "<u1")))
-        row = np.repeat(np.arange(len(table)), pc.binary_length(table.column("counts")).to_numpy())
-        c, lp = table.column("c").to_numpy().astype(float), table.column("lp").to_numpy()
+    rated = materialize(tokens.mapInArrow(rate, "symbol long, c long, lp double"))
+    discard(tokens)
+    tree = grow(coded, rated, n, v) if n else None
+    drop_dead_shuffles(spark)
+
+    def ask(number: int, block: Block) -> pa.RecordBatch:
+        names = block.names.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), number)), pa.array(np.arange(len(names), dtype=np.int32))], names=["symbol", "block", "at"])
+
+    def total(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(coded.column("data")[0].as_py())
+        at = answers.column("at").to_numpy()
+        c, lp = np.zeros(len(block.names)), np.zeros(len(block.names))
+        c[at], lp[at] = answers.column("c").to_numpy(), answers.column("lp").to_numpy()
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        sums = [np.bincount(of, times * x[row], len(ids)) for x in (np.ones(len(c)), c > 0, base, lp)]
+        start = np.cumsum(block.sizes) - block.sizes  # every text has a token, its end
+        known, base, score = (np.add.reduceat(x[block.ids], start) for x in ((c > 0).astype(np.int64), base, lp))
+        if tree:
+            score += np.add.reduceat(tree.changes(block), start)
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64(), mask=flags >= 2), "held_out": pa.array((flags & 1).astype(bool)),
-            "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3] + change),
+            "doc_id": pa.array(block.doc_ids, pa.int64(), mask=block.flags >= 2), "held_out": pa.array((block.flags & 1).astype(bool)),
+            "n_tokens": pa.array(block.sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(start), n, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
         })
 
-    rated = materialize(tokens.mapInArrow(rate, "symbol long, c long, lp double"))
-    tree = grow(coded, tokens.where("c > 0"), rated, n, v) if n else None
-    discard(tokens)
-    drop_dead_shuffles(spark)
-    blocks = materialize(postings(coded, tree))
-    discard(coded)
-    drop_dead_shuffles(spark)
-    joined = blocks.where("symbol is not null").select("symbol", "block", "places", "counts").join(rated, "symbol")
-    columns = ["block", "places", "counts", "change", "c", "lp"]
-    heads = blocks.where("symbol is null").select("block", "places", "counts", "change", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), F.lit(True).alias("is_head"))
-    rows = joined.withColumn("change", F.lit(None).cast("binary")).select(*columns, F.lit(False).alias("is_head")).unionByName(heads)
-    return rows.groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = _blocks(coded, ask, "symbol long, block long, at int")
+    answers = asked.join(rated, "symbol").select("block", "at", "c", "lp")
+    return coded.where("block is not null").select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, SCORES)
 
 
 def op4_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:
