@@ -13,7 +13,7 @@ The texts are read once; what is shuffled are identifiers and their contexts, ke
 instance and aggregated before the shuffle, and nothing goes to the driver.
 
 Defined cases: null text is empty and has no spans; repeated rows, equal doc_ids and null doc_ids give
-a row each; spans count code points; counts n_* are of base spans; without seeds nothing is added; an
+a row each; spans count code points; n_email to n_phone are of base spans; without seeds nothing is added; an
 empty table gives no rows; other columns are ignored or, by redact(), kept.
 """
 
@@ -244,8 +244,8 @@ def discover(found: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text), n_spans, found (spans as rows), n_added
-    (spans that aren't of the base)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text), n_spans, n_secrets (random strings, which
+    are seeds), n_added (spans that the graph adds), found (spans as rows)."""
     found = materialize(find_base(docs).withColumn("row", F.monotonically_increasing_id()))
     order = F.array(*[F.lit(k) for k in (*KINDS, SECRET)])
     spans = F.concat("base", "secrets", F.coalesce("added", F.array().cast("array<struct<start:long,end:long,kind:string>>")))
@@ -256,7 +256,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         .select(
             "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
             F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
-            F.size("found").cast("long").alias("n_spans"), (F.size("found") - F.size("base")).cast("long").alias("n_added"), "found",
+            F.size("found").cast("long").alias("n_spans"), F.size("secrets").cast("long").alias("n_secrets"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"), "found",
         )
     )
 

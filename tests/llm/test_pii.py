@@ -83,7 +83,7 @@ def test_secrets_and_what_their_contexts_find(spark):
     rows += [(100, 'then token = "hunter-two" and words'), (101, "color = blue-green and words"), (102, 'TOKEN: "Open Sesame now" words')]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in P.find_personal_data(docs).collect()}
-    assert all(got[i].spans == "secret:14:54" and got[i].n_spans == got[i].n_added == 1 for i in range(12))
+    assert all(got[i].spans == "secret:14:54" and got[i].n_spans == got[i].n_secrets == 1 and got[i].n_added == 0 for i in range(12))
     assert got[100].spans == "secret:14:24" and got[101].spans == "" and got[102].spans == "secret:8:23"
     assert {r.doc_id: r.text for r in P.redact(docs).collect()}[100] == 'then token = "[SECRET]" and words'
 
