@@ -1,9 +1,10 @@
 """Operator 9: near-duplicate embeddings by a robust-pruned flat graph on overlapping cluster shards.
 
 Valid vectors are scaled to length 1 and equal ones become one node with a weight. Nodes are clustered
-(k-means on a bounded sample) and each goes to its OVERLAP nearest clusters; a cluster of more than
-MOST_IN_SHARD nodes is clustered again, CENTRES centroids at a time, until none is left. There only a node's
-nearest cluster deals it to several, so its copies grow by one a level. Each shard builds a graph: for a node its nearest nodes of the
+(k-means on a bounded sample) and each goes to its OVERLAP nearest clusters; clusters of more than
+MOST_IN_SHARD nodes are clustered again, all of a level at once and each by a task of its own, until none is left. There only a node's
+nearest cluster deals it to several, so its copies grow by one a level. Nodes meet their cluster's centres DEALT at a time.
+A cluster that k-means doesn't part (nodes of all but one direction) is dealt by hashes instead. Each shard builds a graph: for a node its nearest nodes of the
 shard, robustly pruned (a node closer to a kept neighbour than to the node, by ALPHA, is dropped).
 Adjacency lists of a node from all its shards are united. Then every node searches in its first shard,
 whose nodes come with their united lists and the vectors those lists name: a greedy search from the
@@ -12,16 +13,18 @@ as long as neighbours are within SLACK of the range. Links are verified in doubl
 are counted in its first shard: a query that has a node of another first shard in range goes on there, where
 it meets all the shard's nodes and those they name, until no shard is new to it.
 
-Recall is audited against brute force for a bounded sample of nodes against all rows, half of them nodes with
-links, so that the figure isn't of pairs that don't exist; below
+Recall is audited against brute force for a bounded sample of nodes, drawn by hash whatever the search found,
+against all rows. It counts links between different nodes only, as equal vectors are linked without a search,
+and is the lesser of the share of links and of the mean share of a node's links. Below
 LEAST_RECALL the beam doubles and the search is repeated, and at last every query goes to every shard. A task joins links by union and find and
 hands on a spanning forest, so no group is expanded to pairs outside the task; counts are per node.
 
-Bounds on the driver and in broadcasts: SAMPLE vectors for the first clustering, SAMPLE_AGAIN for each
-cluster split again, CENTRES centroids a level, AUDITED vectors.
+Bounds: SAMPLE vectors and CENTRES centroids for a cluster that is split, in the task that splits it; AUDITED
+vectors in the driver and in a broadcast.
 
 Defined cases: null, empty, zero vectors and such with null, NaN or infinite components link with
-nothing and are their own component; vectors link with those of their length only, in shards of their own;
+nothing and are their own component; tiny and huge components are as good as others, since a vector is divided by its largest
+before squares are taken; pairs at the threshold, as double precision has it, are links; vectors link with those of their length only, in shards of their own;
 equal vectors link with one another; repeated vec_ids are rows of their own; a null vec_id takes part but names a component only if all others there are null;
 an empty table gives no rows; other columns are ignored.
 """
@@ -34,25 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.session import materialize, ship_package
+from foliospark.session import discard, materialize, ship_package
 
 THRESHOLD = 0.9
 IN_SHARD, MOST_IN_SHARD, OVERLAP = 1_000, 4_000, 2
 DEGREE, NEAREST, ALPHA = 24, 64, 1.2
 WIDTH, SLACK = 16, 0.08
-SAMPLE, SAMPLE_AGAIN, CENTRES = 20_000, 4_000, 4_096
-AUDITED, LEAST_RECALL = 200, 0.9
+SAMPLE, CENTRES, DEALT = 20_000, 1_024, 20_000
+AUDITED, LEAST_RECALL = 1_000, 0.9
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, vec_id, unit) of all rows (unit null if it can't link), and (node, least, weight, unit) of distinct ones."""
     v = F.col("embedding").cast("array<double>")
-    usable = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"),
-        F.when(v.isNull() | usable | ~(norm > 0) | (norm == float("inf")), None).otherwise(F.transform(v, lambda x: x / norm)).alias("unit"),
-    )
+    unusable = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.when(~unusable & (largest > 0), F.transform(v, lambda x: x / largest)).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = rows.select("rid", "vec_id", F.transform("v", lambda x: x / norm).alias("unit"))
     rows = materialize(rows)
     nodes = rows.where("unit is not null").groupBy("unit").agg(F.min("rid").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     return rows, materialize(nodes.select("node", "least", "weight", "unit"))
@@ -75,46 +77,55 @@ def _stack(column) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column])
 
 
+def centres_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(shard, k, centre) of a sample (shard, k, node, unit) of one shard."""
+    pdf = pdf.sort_values("node")
+    k = int(pdf["k"].iloc[0])
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "k": [k], "centre": [[c.tolist() for c in kmeans(_stack(pdf["unit"]), k)]]})
+
+
+def deal(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one shard in shards named behind it: the nearest centres, or by hashes if there are none."""
+    out = pdf.iloc[:0][["node", "unit", "shard", "first", "above"]]
+    if not len(pdf) or not len(centres):
+        return out
+    k, centre, first = int(centres["k"].iloc[0]), centres["centre"].iloc[0], pdf["first"].to_numpy().astype(bool)
+    if centre is not None:
+        near = np.argsort(-(_stack(pdf["unit"]) @ _stack(centre).T), axis=1, kind="stable")[:, :OVERLAP]
+    else:
+        h = pd.util.hash_array(pdf["node"].to_numpy().astype("uint64"))
+        one = h % np.uint64(k)
+        near = np.stack([one, (one + 1 + h // np.uint64(k) % np.uint64(k - 1)) % np.uint64(k)], 1)
+    name = pdf["shard"].iloc[0]
+    parts = []
+    for j in range(near.shape[1]):
+        some = first | (j == 0)
+        parts.append(pdf[some].assign(shard=[f"{name}/{i}" for i in near[some, j]], first=first[some] & (j == 0))[out.columns])
+    return pd.concat(parts, ignore_index=True)
+
+
 def shards_of(nodes: DataFrame) -> DataFrame:
     """(node, shard, first): each node's shards, `first` for the nearest."""
-    spark = nodes.sparkSession
-    ship_package(spark)
-    placed = nodes.select("node", "unit", F.size("unit").cast("string").alias("shard"), F.lit(True).alias("first"))
-    crowded = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_SHARD).orderBy(F.desc("n")).limit(CENTRES).collect()}
-    level, whole = 0, set()  # whole: shards that clustering didn't split
-    while crowded:
-        centres: dict[str, np.ndarray] = {}
-        left = CENTRES
-        for name, n in sorted(crowded.items(), key=lambda x: -x[1]):
-            k = min(left, -(-n // IN_SHARD)) if left >= 2 else 0
-            if k < 2:
-                continue
-            most = SAMPLE if level == 0 else SAMPLE_AGAIN
-            place = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1_000_003))
-            rows = placed.where((F.col("shard") == name) & (place < int(1_000_003 * min(1.0, 1.1 * most / n)) + 1)).orderBy(place, "node").limit(most).select("node", "unit").toPandas()
-            centres[name] = kmeans(_stack(rows.sort_values("node")["unit"]), k)
-            left -= k
-        shared = spark.sparkContext.broadcast(centres)
-
-        def deal(batches, shared=shared):
-            for pdf in batches:
-                for name, part in pdf.groupby("shard", sort=False):
-                    c = shared.value.get(name)
-                    if c is None:
-                        yield part
-                        continue
-                    near = np.argsort(-(_stack(part["unit"]) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                    first = part["first"].to_numpy().astype(bool)
-                    for j in range(near.shape[1]):
-                        some = first | (j == 0)
-                        if some.any():
-                            yield part[some].reset_index(drop=True).assign(shard=[f"{name}/{i}" for i in near[some, j]], first=first[some] & (j == 0))
-
-        placed = materialize(placed.mapInPandas(deal, placed.schema).groupBy("node", "shard").agg(F.max("first").alias("first"), F.first("unit").alias("unit")).select("node", "unit", "shard", "first"))
-        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > MOST_IN_SHARD) & ~F.col("shard").isin(*whole)).orderBy(F.desc("n")).limit(CENTRES).collect()
-        whole |= {r.shard for r in sizes if r.n >= crowded.get(r.shard.rpartition("/")[0], r.n + 1)}
-        crowded, level = {r.shard: r.n for r in sizes if r.shard not in whole}, level + 1
-    return placed.select("node", "shard", "first")
+    ship_package(nodes.sparkSession)
+    placed = nodes.select("node", "unit", F.size("unit").cast("string").alias("shard"), F.lit(True).alias("first"), F.lit(None).cast("long").alias("above"))
+    table = None
+    while True:
+        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above")).where(F.col("n") > MOST_IN_SHARD)
+        k = F.least(F.lit(CENTRES), F.ceil(F.col("n") / IN_SHARD)).cast("int")
+        stuck = F.coalesce(F.col("n") > 0.9 * F.col("above"), F.lit(False))
+        crowded = materialize(sizes.select("shard", "n", k.alias("k"), stuck.alias("stuck"), F.ceil(F.col("n") / DEALT).cast("int").alias("parts")))
+        if crowded.isEmpty():
+            return placed.select("node", "shard", "first")
+        there = placed.drop("above").join(crowded, "shard")
+        place = F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_003)) / 1_000_003
+        sample = there.where(~F.col("stuck") & (place < SAMPLE / F.col("n"))).select("shard", "k", "node", "unit")
+        centres = sample.groupBy("shard").applyInPandas(centres_of, "shard string, k int, centre array<array<double>>").select("shard", "centre")
+        every = crowded.join(centres, "shard", "left").select("shard", "k", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = there.select("node", "unit", "shard", "first", F.col("n").alias("above"), F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part"))
+        split = dealt.groupBy("shard", "part").cogroup(every.groupBy("shard", "part")).applyInPandas(deal, placed.schema)
+        last, table = table, materialize(placed.join(crowded, "shard", "left_anti").select(placed.columns).unionByName(split))
+        placed = table
+        discard(last, crowded)
 
 
 def prune(x: np.ndarray, i: int, near: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
@@ -291,26 +302,34 @@ def _sums(found: DataFrame) -> DataFrame:
 
 
 def audit_recall(nodes: DataFrame, found: DataFrame, audited: int = AUDITED, threshold: float = THRESHOLD) -> float:
-    """Found links over all links, by brute force of some nodes (the least hashes) against all."""
+    """Found links over all links between different nodes, by brute force of some nodes (the least hashes) against all:
+    the lesser of the share of links and of the mean of the nodes' shares; 1 if there are none."""
     ship_package(nodes.sparkSession)
-    place, half = (F.xxhash64("node"), "node"), max(1, audited // 2)
-    linked = nodes.join(found.where("links > 0").select("node"), "node", "left_semi").orderBy(*place).limit(half)
-    sample = nodes.orderBy(*place).limit(half).unionByName(linked).select("node", "unit", "weight").toPandas().drop_duplicates("node")
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(audited).select("node", "unit", "weight").toPandas()
     if not len(sample):
         return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast([(part["node"].to_numpy(), _stack(part["unit"])) for _, part in sample.groupby(sample["unit"].map(len))])
+    shared = nodes.sparkSession.sparkContext.broadcast([(part["node"].to_numpy(), part["weight"].to_numpy(), _stack(part["unit"])) for _, part in sample.groupby(sample["unit"].map(len))])
 
     def count(batches):
+        sums = [np.zeros(len(names), np.int64) for names, _, _ in shared.value]
         for pdf in batches:
             size = pdf["unit"].map(len)
-            for names, q in shared.value:
+            for total, (names, _, q) in zip(sums, shared.value):
                 same = pdf[size == q.shape[1]]
-                if len(same):
-                    yield pd.DataFrame({"node": names, "n": ((q @ _stack(same["unit"]).T >= threshold) * same["weight"].to_numpy()).sum(1)})
-
-    truth = nodes.mapInPandas(count, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("n"))
-    r = truth.join(found.where("links is not null"), "node").agg(F.sum("n").alias("all"), F.sum(F.least("n", "links")).alias("hit")).first()
-    return float(r.hit / r["all"]) if r["all"] else 1.0
+                if not len(same):
+                    continue
+                x, other, weight = _stack(same["unit"]), same["node"].to_numpy(), same["weight"].to_numpy()
+                for at in range(0, len(q), 256):
+                    near = (q[at : at + 256] @ x.T >= threshold) & (names[at : at + 256, None] != other)
+                    total[at : at + 256] += near @ weight
+        for total, (names, own, _) in zip(sums, shared.value):
+            yield pd.DataFrame({"node": names, "own": own, "n": total})
+
+    truth = nodes.mapInPandas(count, "node long, own long, n long").groupBy("node").agg(F.first("own").alias("own"), F.sum("n").alias("n")).where("n > 0")
+    linked = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    hit = F.least(F.col("n"), F.coalesce("links", F.lit(0)) - F.when(F.col("links").isNotNull(), F.col("own") - 1).otherwise(0))
+    r = truth.join(linked, "node", "left").agg(F.sum("n").alias("all"), F.sum(hit).alias("hit"), F.avg(hit / F.col("n")).alias("mean")).first()
+    return float(min(r.hit / r["all"], r.mean)) if r["all"] else 1.0
 
 
 def near_duplicates(vectors: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:

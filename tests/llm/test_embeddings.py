@@ -44,7 +44,7 @@ def test_links_and_components(spark, monkeypatch):
     assert figures["recall"] >= 0.9
     assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
     assert all(got[i][0] <= want[i][0] for i in want)
-    assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.95
+    assert all(got[i][1] == want[i][1] for i in want)
 
 
 def test_a_group_over_many_shards_is_counted_whole(spark, monkeypatch):
@@ -75,6 +75,50 @@ def test_defined_cases(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA))[0].count() == 0
 
 
+def test_tiny_and_huge_vectors(spark):
+    """Squares of these underflow or overflow, cosines don't."""
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [0.0, 5e-324]), (4, [0.0, 1.0]), (5, [1e308, 1e308]), (6, [1.0, 1.0]), (7, [-1e308, 0.0])]
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 0, 7)]
+
+
+def test_pairs_at_the_threshold(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.8999, (1 - 0.8999**2) ** 0.5]), (3, [0.9001, -((1 - 0.9001**2) ** 0.5)])]
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect()) == [(1, 1, 1), (2, 0, 2), (3, 1, 1)]
+
+
+def test_the_audit_tells_a_search_that_finds_nothing(spark):
+    """Copies don't count as found links, and the sample isn't of what the search found."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16))
+    near = x[:40] + rng.normal(size=(40, 16)) * 0.05
+    rows = list(enumerate(np.concatenate([x.repeat(20, 0), near]).astype(np.float32).tolist()))
+    nodes = E.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))[1]
+    nothing = nodes.selectExpr("node", "weight - 1 as links", "cast(null as long) as to")
+    assert E.audit_recall(nodes, nothing) == 0
+    assert E.audit_recall(nodes, nodes.limit(0).selectExpr("node", "weight as links", "cast(null as long) as to")) == 0
+    shards = E.materialize(E.shards_of(nodes))
+    assert E.audit_recall(nodes, E.search_everywhere(nodes, shards)) == 1
+
+
+def test_clusters_of_one_direction_are_split(spark, monkeypatch):
+    """Nodes that k-means can't part are dealt by hashes, so no shard stays larger than the bound, and none is lost."""
+    monkeypatch.setattr(E, "IN_SHARD", 20)
+    monkeypatch.setattr(E, "MOST_IN_SHARD", 60)
+    monkeypatch.setattr(E, "DEALT", 100)
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0, *v]) for i, v in enumerate((rng.normal(size=(600, 3)) * 1e-17).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    nodes = E.nodes_of(table)[1]
+    shards = E.materialize(E.shards_of(nodes))
+    assert shards.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 60
+    firsts = shards.where("first")
+    assert firsts.count() == firsts.select("node").distinct().count() == nodes.count() == 600
+    got = E.near_duplicates(table)[0].collect()  # the search may miss a link, as anywhere; what it finds is one group
+    assert all(590 <= r.n_links <= 599 and r.component_id == 0 for r in got) and len(got) == 600
+
+
 def test_each_length_links_with_its_own(spark):
     rows = [(i, [1.0, 0.01 * i], 0) for i in range(6)] + [(10, [1.0, 0.0, 0.0], 0), (11, [2.0, 0.0, 0.0], 0), (12, [1.0, 0.1, 0.0], 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA))[0].collect()}
