@@ -1,11 +1,11 @@
-"""Citations: fields out of PubMed XML by a pandas UDF, formatting by built-in functions."""
+"""Citations: fields out of PubMed XML by an Arrow UDF, formatting by built-in functions."""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,47 +21,65 @@ FIELDS = T.StructType(
 NOT_FOUND, NO_YEAR = "Article not found.", "n.d."
 
 
-def _whole(node: ET.Element | None) -> str | None:
-    return None if node is None else "".join(node.itertext())
+def _whole(node: ET.Element) -> str:
+    return "".join(node.itertext())
+
+
+#: Fields by the element that holds them.
+_PARTS = {
+    "Journal": (("journal", "Title"),),
+    "PubDate": (("year", "Year"),),
+    "JournalIssue": (("volume", "Volume"), ("issue", "Issue")),
+    "Pagination": (("pages", "MedlinePgn"),),
+}
 
 
 def fields(xml: str | None, compat: bool = False) -> dict:
-    """compat: a title ends at its first inline element."""
-    empty = dict.fromkeys(FIELDS.names) | {"found": False, "authors": []}
+    """The fields of a record's first article, by one walk over its elements; of several elements the first that has
+    the part counts. compat: a title ends at its first inline element."""
+    out = dict.fromkeys(FIELDS.names) | {"found": False, "authors": []}
     if xml is None:
-        return empty
+        return out
     try:
         article = ET.fromstring(xml).find(".//PubmedArticle")
     except ET.ParseError as e:
-        return empty | {"error": str(e)}
+        return out | {"error": str(e)}
     if article is None:
-        return empty
-    title = article.find(".//ArticleTitle")
-    people = ((a.findtext("LastName"), a.findtext("Initials")) for a in article.iterfind(".//Author"))
-    return {
-        "found": True,
-        "title": article.findtext(".//ArticleTitle") if compat else _whole(title),
-        "journal": article.findtext(".//Journal/Title"),
-        "year": article.findtext(".//PubDate/Year") or NO_YEAR,
-        "volume": article.findtext(".//JournalIssue/Volume"),
-        "issue": article.findtext(".//JournalIssue/Issue"),
-        "pages": article.findtext(".//Pagination/MedlinePgn"),
-        "doi": article.findtext(".//ArticleId[@IdType='doi']"),
-        "authors": [f"{last}, {initials}." for last, initials in people if last and initials],
-        "error": None,
-    }
-
-
-@F.pandas_udf(FIELDS)
-def pubmed_fields(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([fields(x) for x in s], columns=FIELDS.names)
-
-
-@F.pandas_udf(FIELDS)
-def pubmed_fields_compat(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([fields(x, True) for x in s], columns=FIELDS.names)
+        return out
+    out["found"] = True
+    for node in article.iter():
+        tag = node.tag
+        if tag == "Author":
+            last, initials = node.findtext("LastName"), node.findtext("Initials")
+            if last and initials:
+                out["authors"].append(f"{last}, {initials}.")
+        elif tag == "ArticleTitle":
+            if out["title"] is None:
+                out["title"] = node.text or "" if compat else _whole(node)
+        elif tag == "ArticleId":
+            if out["doi"] is None and node.get("IdType") == "doi":
+                out["doi"] = node.text or ""
+        else:
+            for name, child in _PARTS.get(tag, ()):
+                if out[name] is None:
+                    out[name] = node.findtext(child)
+    out["year"] = out["year"] or NO_YEAR
+    return out
+
+
+_ARROW = pa.struct([(f.name, pa.bool_() if f.name == "found" else pa.list_(pa.string()) if f.name == "authors" else pa.string()) for f in FIELDS])
+
+
+@F.arrow_udf(FIELDS)
+def pubmed_fields(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in batches:
+        yield pa.array([fields(x) for x in a.to_pylist()], _ARROW)
+
+
+@F.arrow_udf(FIELDS)
+def pubmed_fields_compat(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in batches:
+        yield pa.array([fields(x, True) for x in a.to_pylist()], _ARROW)
 
 
 def author_list(authors: Column) -> Column:

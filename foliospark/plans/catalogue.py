@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import citation, html, jats, notes, search, text
 from foliospark.operators import articles, ids, reports, sections
-from foliospark.session import shared_dir, ship_package
+from foliospark.session import shared_dir, ship_package, spread
 from foliospark.streaming import resume, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,7 +267,7 @@ def _xml(c):
 def jats_sections(t):
     """Documents as JATS articles, a section a line with titles that come again, back to merged sections."""
     body = F.array_join(F.transform(F.split("text", "\n"), lambda p, i: F.concat(F.lit("<sec><title>Part "), i % 3, F.lit("</title><p>"), _xml(p), F.lit("</p></sec>"))), "")
-    made = t("documents").select("doc_id", F.concat(F.lit("<article><front><article-meta><title-group><article-title>"), _xml(F.col("source")), F.lit("</article-title></title-group></article-meta></front><body>"), body, F.lit("</body></article>")).alias("xml"))
+    made = spread(t("documents")).select("doc_id", F.concat(F.lit("<article><front><article-meta><title-group><article-title>"), _xml(F.col("source")), F.lit("</article-title></title-group></article-meta></front><body>"), body, F.lit("</body></article>")).alias("xml"))
     found = sections.merge_sections(jats.jats_paragraphs(made, "doc_id", "xml"), "doc_id").select("doc_id", F.explode("text_sections").alias("s"))
     return found.select("doc_id", "s.section", F.size("s.paragraphs").cast("long").alias("n_paras"), F.array_join("s.paragraphs", "\n").alias("body"))
 
@@ -284,7 +284,7 @@ def citation_from_xml(t):
     people = [F.lit(f"<Author><LastName>{a}</LastName><Initials>{b}</Initials></Author>") for a, b in ("CX", "DY", "EZ")]
     authors = F.concat(F.lit("<Author><CollectiveName>G</CollectiveName></Author>"), *[F.when(key % 4 > i, p).otherwise("") for i, p in enumerate(people)])
     optional = lambda test, *parts: F.when(test, F.concat(*parts)).otherwise("")
-    made = t("orders").select("o_orderkey", F.concat(
+    made = spread(t("orders")).select("o_orderkey", F.concat(
         F.lit("<PubmedArticleSet><PubmedArticle><Article><ArticleTitle>Order <i>of</i> "), key, F.lit("</ArticleTitle><Journal><Title>"), F.col("o_orderpriority"), F.lit("</Title><JournalIssue><Volume>"), F.col("o_custkey"), F.lit("</Volume>"),
         optional(key % 3 == 0, F.lit("<Issue>2</Issue>")), F.lit("<PubDate><Year>"), F.year("o_orderdate"), F.lit("</Year></PubDate></JournalIssue></Journal>"), optional(key % 2 == 0, F.lit("<Pagination><MedlinePgn>1-9</MedlinePgn></Pagination>")),
         F.lit("<AuthorList>"), authors, F.lit("</AuthorList></Article><PubmedData><ArticleIdList>"), optional(key % 5 == 0, F.lit('<ArticleId IdType="doi">10.1/'), key, F.lit("</ArticleId>")), F.lit("</ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>")).alias("xml"))
@@ -344,7 +344,7 @@ def jats_structure(t):
     before = F.when(k != 2, F.concat(F.lit("<title>no</title><label>L1</label><p>Before "), _xml(F.col("source")), F.lit("</p>"))).otherwise("")
     inner = F.concat(F.lit("<sec><p>Inner "), F.col("doc_id").cast("string"), F.lit("</p><sec><title>Deep</title><p>x</p></sec><sec><title>Empty</title></sec></sec>"))
     body = F.concat(F.lit("<body>"), before, F.lit("<sec><label>1</label><title>One</title><p>Own</p>"), inner, F.lit("<p>After</p></sec><sec><title>One</title><p>Again</p></sec></body>"))
-    made = t("documents").select("doc_id", F.concat(F.lit("<article><front><article-meta>"), title, abstract, other, F.lit("</article-meta></front>"), body, F.lit("</article>")).alias("xml"))
+    made = spread(t("documents")).select("doc_id", F.concat(F.lit("<article><front><article-meta>"), title, abstract, other, F.lit("</article-meta></front>"), body, F.lit("</article>")).alias("xml"))
     found = sections.merge_sections(jats.jats_paragraphs(made, "doc_id", "xml"), "doc_id").select("doc_id", F.posexplode("text_sections").alias("pos", "s"))
     return found.select("doc_id", "s.section", (F.col("pos") + 1).alias("place"), F.array_join("s.paragraphs", "|").alias("body"))
 
@@ -390,7 +390,7 @@ def citation_authors(t):
         F.lit("<PubmedArticleSet><PubmedArticle><Article><ArticleTitle>T</ArticleTitle><Journal><Title>"), F.col("o_orderpriority"), F.lit("</Title><JournalIssue>"), volume, F.lit("<PubDate>"), year,
         F.lit("</PubDate></JournalIssue></Journal><AuthorList><Author><LastName>Only</LastName></Author>"), people, F.lit("</AuthorList></Article></PubmedArticle></PubmedArticleSet>"),
     )
-    return t("orders").select("o_orderkey", citation.apa(citation.pubmed_fields(made)).alias("c")).select("o_orderkey", "c.apa", "c.apa_short")
+    return spread(t("orders")).select("o_orderkey", citation.apa(citation.pubmed_fields(made)).alias("c")).select("o_orderkey", "c.apa", "c.apa_short")
 
 
 @query(

@@ -1,12 +1,14 @@
 """Functions and parsers on hand-made rows."""
 
 import json
+import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import citation, html, jats, notes, search, text
 from foliospark.operators.sections import merge_sections
+from foliospark.session import spread
 
 
 def column(spark, values, f, kind="string"):
@@ -217,3 +219,28 @@ def test_search_language(spark, query, want):
 def test_searches_that_cannot_be_read(spark, query):
     with pytest.raises(ValueError):
         search.condition(query, {"SRC": F.col("src")}, [F.col("t")])
+
+
+def test_fields_are_of_the_first_element_that_has_them():
+    """One walk finds what searches by path find, for elements that come twice, are empty, or stand elsewhere."""
+    xml = (
+        '<Set><PubmedArticle><Title>not a journal</Title><ArticleId IdType="pubmed">1</ArticleId><Journal><ISOAbbreviation>x</ISOAbbreviation></Journal><Journal><Title>J</Title></Journal><Journal><Title>K</Title></Journal>'
+        "<JournalIssue><Issue/></JournalIssue><JournalIssue><Volume>3</Volume><Issue>4</Issue><PubDate><Year/></PubDate><PubDate><Year>2001</Year></PubDate></JournalIssue>"
+        "<Year>1999</Year><ArticleTitle><i>A</i> b</ArticleTitle><ArticleTitle>second</ArticleTitle>"
+        "<Author><LastName>C</LastName><Initials>D</Initials><LastName>E</LastName></Author><Author><LastName/><Initials>F</Initials></Author>"
+        '<ArticleId IdType="doi"/><ArticleId IdType="doi">10.1/2</ArticleId></PubmedArticle><PubmedArticle><Pagination><MedlinePgn>9</MedlinePgn></Pagination></PubmedArticle></Set>'
+    )
+    article = ET.fromstring(xml).find(".//PubmedArticle")
+    paths = {"journal": ".//Journal/Title", "volume": ".//JournalIssue/Volume", "issue": ".//JournalIssue/Issue", "pages": ".//Pagination/MedlinePgn", "doi": ".//ArticleId[@IdType='doi']"}
+    got = citation.fields(xml)
+    assert {n: got[n] for n in paths} == {n: article.findtext(p) for n, p in paths.items()} == {"journal": "J", "volume": "3", "issue": "", "pages": None, "doi": ""}
+    assert (got["year"], got["title"], got["authors"], got["found"]) == ("n.d.", "A b", ["C, D."], True)
+    assert citation.fields(xml, compat=True)["title"] == article.findtext(".//ArticleTitle") == ""
+    assert citation.fields("<Set><PubmedArticle/></Set>")["title"] is None and not citation.fields("<Set/>")["found"] and citation.fields("<Set>")["error"]
+
+
+def test_spread_deals_small_tables_alone(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores + 3)
+    assert spread(few).rdd.getNumPartitions() == cores and sorted(r.id for r in spread(few).collect()) == list(range(100))
+    assert spread(many) is many
