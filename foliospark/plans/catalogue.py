@@ -90,7 +90,7 @@ def tag_filter_absent(t):
 
 
 def _licensed(t) -> DataFrame:
-    return t("documents").select("doc_id", text.usable(F.regexp_extract("text", _LICENSE, 1)).alias("license"))
+    return spread(t("documents")).select("doc_id", text.usable(F.regexp_extract("text", _LICENSE, 1)).alias("license"))
 
 
 _LICENSE_SQL = f"with a as (select doc_id, nullif(regexp_extract(text, '{_LICENSE}', 1), '') as license from documents) "
@@ -150,7 +150,7 @@ def sections_from_sentences(t):
 
 @query("select doc_id, pos - 1 as pos, trim(regexp_replace(p, '\\s+', ' ', 'g')) as para from (select doc_id, unnest(string_split(text, E'\\n')) p, generate_subscripts(string_split(text, E'\\n'), 1) pos from documents) where trim(regexp_replace(p, '\\s+', ' ', 'g')) <> ''")
 def paragraphs(t):
-    return sections.paragraphs_of(t("documents"), "doc_id", "text")
+    return sections.paragraphs_of(spread(t("documents")), "doc_id", "text")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -251,7 +251,7 @@ def notes_html(t):
         F.lit('{"other": 1}'), F.lit('"bare"'), F.to_json(F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.col("page_id"), F.lit(" ")).alias("caption"))),
     )
     made = F.concat(F.lit('[{"items": [{"content": [{"items": ["title", {"content": [{"items": ['), F.array_join(tokens, ", "), F.lit("]}]}]}]}]}]"))
-    found = t("pages").select("page_id", notes.notes_html(made).alias("html"))
+    found = spread(t("pages")).select("page_id", notes.notes_html(made).alias("html"))
     return found.select("page_id", "html", html.html_parser_text("html").alias("plain"))
 
 
@@ -293,7 +293,7 @@ def citation_from_xml(t):
 
 @query(ORACLE_SQL["html_to_text"])
 def html_parser_text(t):
-    return t("pages").select("page_id", F.trim(F.regexp_replace(html.html_parser_text("html"), "\\s+", " ")).alias("plain"))
+    return spread(t("pages")).select("page_id", F.trim(F.regexp_replace(html.html_parser_text("html"), "\\s+", " ")).alias("plain"))
 
 
 @query("select l_orderkey, count(distinct l_partkey) as n_models, count(distinct l_suppkey) as n_preds, count(distinct l_partkey) > 1 as splice_variant, count(distinct l_suppkey) > 1 as merged_gene from lineitem group by l_orderkey having n_models > 1 or n_preds > 1")
