@@ -35,6 +35,13 @@ def html_to_text(c: Column) -> Column:
     return F.trim(c)
 
 
+def listed_references(c: Column) -> Column:
+    """Markup in which only the chain's references are references, for the parser, which decodes all of HTML's and those
+    without their semicolon (`&amp`) as well: any other ampersand is text."""
+    closed = "|".join(pattern for pattern, _ in REPLACEMENTS if pattern.startswith("&"))
+    return F.regexp_replace(F.regexp_replace(c, "&nbsp;", " "), f"&(?!{closed.replace('&', '')})", "&amp;")
+
+
 class _Strings(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
