@@ -23,13 +23,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import caches
 from foliospark.session import materialize, ship_package
 
-CHUNK = 4_000_000  # characters of texts measured at once; a longer text is measured alone
+CHUNK = 1_000_000  # bytes of texts measured at once; a longer text is measured alone
 PEERS = 100
 WIDTH = 4.0
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -52,7 +54,8 @@ _STARTS, _NAMES = np.array([0, *(s for s, _ in SCRIPTS)]), ["", *(n for _, n in
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy")
 _MEASURED = f"{COUNTS}, script string, {', '.join(f'{m} double' for m in MEASURES)}"
-_NAMED = [c.split()[0] for c in _MEASURED.split(", ")]
+_KINDS = dict(c.split() for c in _MEASURED.split(", "))
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
 def words_of(text: str) -> list[str]:
@@ -184,29 +187,37 @@ class Measurer:
         return np.log2(total) - np.bincount(owner, count * np.log2(count), n_texts) / total
 
 
-def _chunks(texts: pd.Series) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > CHUNK:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    yield held
+def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, whose last column is text, of CHUNK bytes of text at most, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def measure_batches(batches: Iterator[pa.RecordBatch], measure) -> Iterator[pa.RecordBatch]:
+    """The columns before the text, counts and measures. A chunk's texts become Python's one chunk at a time, so a task's
+    memory follows from CHUNK, not from a batch's or the table's size."""
+    for b in batches:
+        for c in _chunks(b):
+            m = measure([t or "" for t in c.column(c.num_columns - 1).to_pylist()])
+            named = {n: c.column(n) for n in c.schema.names[:-1]}
+            yield pa.RecordBatch.from_pydict(named | {n: pa.array(m[n], _ARROW[k], from_pandas=True) for n, k in _KINDS.items()})
 
 
 def measured(docs: DataFrame, pieces: str | None = None, bytes_: str | None = None) -> DataFrame:
     """doc_id, lang, counts, script and measures of every row of docs; the vocabularies are paths."""
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf(_MEASURED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        measure = Measurer(pieces, bytes_)
-        for texts in batches:
-            yield pd.concat(map(measure, _chunks(texts)), ignore_index=True)[_NAMED]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from measure_batches(batches, Measurer(pieces, bytes_))
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), run(text).alias("m")).select("doc_id", "lang", "m.*")
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, lang string, {_MEASURED}")
 
 
 def base_failed() -> Column:

@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,18 @@ def test_long_text_and_all_rows(spark):
     df = spark.createDataFrame([(1, long, "en")], "doc_id long, text string, lang string").unionByName(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang")))
     have = {r.doc_id: r.n_words for r in M.measured(df).where("n_words > 2").collect()}
     assert have == {1: 400_000} and M.measured(df).count() == 6
+
+
+def test_memory_of_a_batch_is_that_of_a_chunk():
+    """A batch of any size is measured in slices: every row, in order, and its whole text never lies in Python at once."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(3000)]
+    some = [" ".join(draw.choices(words, k=300)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4003)), "lang": [None] * 4003, "text": some * 4 + [None, "x " * 600_000, ""]})
+    measure = M.Measurer()
+    tracemalloc.start()
+    have = [(i, n) for out in M.measure_batches(iter([batch]), measure) for i, n in zip(out["doc_id"].to_pylist(), out["n_words"].to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert have == [(i, 300) for i in range(4000)] + [(4000, 0), (4001, 600_000), (4002, 0)]
+    assert peak < 80_000_000, peak  # 187 MB in chunks of 4,000,000
