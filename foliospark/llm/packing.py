@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 PIECES_A_PARTITION = 200_000
 WIDER = 4  # times that are in a partition of later rounds
+CHUNK = 500_000  # characters of texts encoded at once, or one text
+AT_ONCE = 100  # words of letters encoded at once
 CACHED_WORDS = 500_000  # of a worker; beyond it the cache starts anew, results stay the same
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,43 +53,63 @@ def tokenizer_path() -> str:
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes (the byte order here), by a cache of words.
+    """Ids of texts as little-endian unsigned 32-bit bytes (the byte order here), by a cache of words.
 
     A word of Latin letters with ASCII marks behind it is two pre-tokens, and its lower-cased letters
     are looked up by themselves; any other word is encoded as it is, and a text with control characters
-    that Python takes for white space, or with an added token, is encoded as a whole.
+    that Python takes for white space, or with an added token, is encoded as a whole. Lower-cased letters
+    need neither normalizer nor pattern: many are encoded at once, told apart by white space.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.whole = ["\x1c", "\x1d", "\x1e", "\x1f", *(t for t, _ in _added(self.tokenizer))]
 
     def __call__(self, text: str) -> bytes:
-        if any(t in text for t in self.whole):
-            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn({w for w in words if w not in self.words}, words)
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _learn(self, new: set[str], words: list[str]) -> None:
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if any(t in text for t in self.whole) else text.split() for text in texts]
+        self._learn(set(chain.from_iterable(filter(None, split))))
+        get = self.words.__getitem__
+        return [
+            _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if words is None else b"".join(map(get, words))
+            for text, words in zip(texts, split)
+        ]
+
+    def _learn(self, wanted: set[str]) -> None:
+        new = {w for w in wanted if w not in self.words}
+        if not new:
+            return
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-            new = set(words)
+            new = wanted
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
-        cut = {w: (m[1].lower(), m[2]) if (m := _LATIN.match(w)) else (w,) for w in new}
-        parts = list({p for c in cut.values() for p in c if p not in self.parts})
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+        plain = {w: w.lower() for w in new if w.isalpha() and w.isascii()}
+        cut = {w: (m[1].lower(), m[2]) if (m := _LATIN.match(w)) else ("", w) for w in new if w not in plain}
+        self._learn_letters([p for p in {*plain.values(), *(a for a, _ in cut.values())} if p and p not in self.parts])
+        rest = [p for p in {"", *(b for _, b in cut.values())} if p not in self.parts]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.parts[p] = _bytes(e.ids)
-        for w, c in cut.items():
-            self.words[w] = b"".join([self.parts[p] for p in c])
+        part = self.parts.__getitem__
+        self.words.update(zip(plain, map(part, plain.values())))
+        self.words.update({w: part(a) + part(b) for w, (a, b) in cut.items()})
+
+    def _learn_letters(self, new: list[str]) -> None:
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            found = self.letters.encode(" ".join(some), add_special_tokens=False)
+            ids, at = _bytes(found.ids), 0
+            for p, n in zip(some, np.bincount(found.word_ids, minlength=len(some)).tolist()):
+                self.parts[p] = ids[at : at + 4 * n]
+                at += 4 * n
 
 
 _ENCODERS: dict[str, WordEncoder] = {}  # of this worker, from task to task
@@ -105,6 +128,20 @@ def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def _chunks(keys: list, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
+    held, of, size = [], [], 0
+    for k, t in zip(keys, texts):
+        t = t.as_py() or ""
+        if held and size + len(t) > CHUNK:
+            yield of, held
+            held, of, size = [], [], 0
+        held.append(t)
+        of.append(k)
+        size += len(t)
+    if held:
+        yield of, held
+
+
 def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
     ship_package(docs.sparkSession)
@@ -114,14 +151,15 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         caches.only(__name__)
-        encode, end = encoder(path or tokenizer_path()), _bytes([end_id])
+        encode, end = encoder(path or tokenizer_path()).encode, _bytes([end_id])
         for b in batches:
             rows = []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for docs_, texts in _chunks(b.column(0).to_pylist(), b.column(1)):
+                for d, ids in zip(docs_, encode(texts)):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

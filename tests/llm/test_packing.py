@@ -79,3 +79,19 @@ def test_pieces_and_places(spark, odd):
             at += r.length
         assert at <= 4096
     assert K.pack_documents(odd.limit(0))[0].count() == 0
+
+
+def test_new_words_of_many_texts_are_encoded_together(monkeypatch):
+    """Words are learned a chunk of texts at a time, letters by few calls, and ids stay those of the tokenizer, also as caches start anew."""
+    path = K.tokenizer_path()
+    whole, draw = Tokenizer.from_file(path), np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEÀÉÎÖØÞßàéîöøþÿ")
+    texts = [" ".join("".join(draw.choice(letters, draw.integers(1, 12))) + str(draw.choice(["", "", ",", ".&&", "'s", "9"])) for _ in range(60)) for _ in range(50)]
+    texts += ["", "a\x1cB <|endoftext|>", "ſ K Å İ ﬁ"]
+    want = [K._bytes(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    encode, calls = K.WordEncoder(path), []
+    learn = encode._learn_letters
+    monkeypatch.setattr(encode, "_learn_letters", lambda new: (calls.append(len(new)), learn(new)))
+    assert encode.encode(texts) == want and len(calls) == 1 and calls[0] > 1000
+    monkeypatch.setattr(K, "CACHED_WORDS", 20)
+    assert encode.encode(texts[::-1]) == want[::-1] and [encode(t) for t in texts] == want
