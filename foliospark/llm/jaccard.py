@@ -13,9 +13,10 @@ one-deletion neighbourhood: if the sets agree on g segments, the others hold g -
 each, so one of the g segments that follow an agreeing one differs in one shingle at most. The cost of all
 other entries is counted: buckets of up to FEW nodes pay their pairs; larger ones pay a comparison with one
 hub for each node and are indexed anew by the differences to it (difference_entries). Up to FAMILY
-nodes of one hub go to one task, where the differences that a pair shares are counted over all its buckets and
-only pairs that can be linked come out; larger families are spread by entry and have hubs again. From round
-LATER on each round pays pairs of buckets four times as large, so rounds end whatever the sets.
+nodes of one hub (and FAMILY_BYTES of their texts) go to one task with all their differences, where the overlap of
+every pair is counted, a slice of the pairs at a time, and only pairs that their hashes link come out; larger families
+are spread by entry and have hubs again. From round LATER on each round pays pairs of buckets four times as large, so
+rounds end whatever the sets.
 
 Counting also prunes exactly. A pair with d differences agrees on all but d segments, so it shares at least
 (segments - H of its own sizes - empty ones) entries; pairs and nodes that share fewer link with nothing.
@@ -56,6 +57,9 @@ FEW = 6  # nodes of a bucket whose pairs are all compared
 HOT = 8  # times the bound on small buckets: nodes of a task's block with one entry that go out as rows
 LATER, GROWTH = 3, 4  # of FEW from round to round
 FAMILY = 4_096  # nodes of one hub that are compared in one task
+FAMILY_BYTES = 16_000_000  # of their texts, and an eighth of the hub's for each of them
+CELLS = 1_000_000  # pairs of a family's nodes in memory
+ROWS = 100_000  # pairs of a family that come out at once
 PAIRS_AT_ONCE = 500_000  # of buckets, in memory
 BLOCK = 1_000_000  # entries of a task's block
 PART = 500_000  # entries in a part of the shuffle, about
@@ -195,6 +199,13 @@ def difference_entries(hub: np.ndarray, other: np.ndarray, linked: bool, hub_key
     return np.unique(np.concatenate(out)), (1, k, against_a, own)
 
 
+def family_entries(hub: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """48 bits of each shingle of a set that the hub lacks, in order; and a bit for each shingle of the hub, whether the set has it."""
+    new = other[~np.isin(other, hub, assume_unique=True)]
+    bits = np.packbits(np.isin(hub, other, assume_unique=True))
+    return new >> np.uint64(16), bits.tobytes() + bytes(-len(bits) % 8)
+
+
 # Rows that come out of the shuffle. kind 0: a row of docs (a node, x doc_id, entry text hash, y set size);
 # 1: a pair of nodes (a, b, x entries shared, y entries needed, z scheme's parity); 2: a node a in a large
 # bucket (entry); 3: a node's counts in a scheme (a, z parity, x entries shared, y needed, w in large buckets);
@@ -283,31 +294,32 @@ class Packer:
 
 
 class Families:
-    """Entries of the nodes of hubs, sent in a block for each hub."""
+    """Nodes of hubs (name, size, whether it is linked to the hub, family_entries), sent in a block for each hub."""
 
     def __init__(self, parts: int):
         self.parts, self.of, self.n = parts, {}, 0
 
-    def add(self, hub: bytes, *node) -> None:
-        self.of.setdefault(hub, Packer(1)).add(*node)
-        self.n += len(node[-1])
+    def add(self, hub: bytes, name: bytes, size: int, linked: bool, entries: np.ndarray, bits: bytes) -> None:
+        packer, within = self.of.setdefault(hub, (Packer(1), []))
+        packer.add(name, size, (int(linked), 0, 0, 0), entries)
+        within.append(bits)
+        self.n += len(entries) + len(bits) // 8
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        keys, blocks = [], []
-        for hub, p in self.of.items():
-            if p.n:
-                entries, node = np.concatenate(p.entries), np.repeat(np.arange(len(p.names)), [len(e) for e in p.entries])
-                order = np.argsort(entries, kind="stable")
-                keys.append(xxhash.xxh64_intdigest(hub) >> 1)
-                blocks.append(_pack(p.names, np.array(p.sizes), np.array(p.marks), entries[order], node[order]))
-        if keys:
-            part = -1 - np.array(keys) % self.parts
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(blocks, pa.binary()), *_rows(-1, entry=np.array(keys)).columns], names=["part", "data", *_NAMES])
+        hubs, blocks = list(self.of), []
+        for p, bits in self.of.values():
+            entries, node = np.concatenate(p.entries), np.repeat(np.arange(len(p.names)), [len(e) for e in p.entries])
+            order = np.argsort(entries, kind="stable")
+            index = _pack(p.names, np.array(p.sizes), np.array(p.marks), entries[order], node[order])
+            blocks.append(np.array([len(index), len(bits[0]), len(bits)], "<u4").tobytes() + index + pa.compress(b"".join(bits), "zstd", asbytes=True))
+        if hubs:
+            part = np.array([-1 - (xxhash.xxh64_intdigest(hub) >> 1) % self.parts for hub in hubs])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(blocks, pa.binary()), *_rows(-1, a=hubs).columns], names=["part", "data", *_NAMES])
         self.of, self.n = {}, 0
 
 
 def _unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Names (two numbers), sizes, marks of distinct nodes in order of their names; (entry, node) rows."""
+    """Names (two numbers), sizes, marks of distinct nodes in order of their names; (entry, node) rows; each node's first place in the blocks."""
     names, sizes, marks, entries, nodes, at = [], [], [], [], [], 0
     for block in blocks:
         raw = pa.decompress(block[4:], decompressed_size=int.from_bytes(block[:4], "little"), codec="zstd", asbytes=True)
@@ -324,7 +336,7 @@ def _unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
     rank = np.empty(len(names), np.int64)
     rank[order] = np.cumsum(new) - 1
     first = order[new]
-    return names[first], np.concatenate(sizes)[first], np.concatenate(marks)[first], np.concatenate(entries), rank[nodes]
+    return names[first], np.concatenate(sizes)[first], np.concatenate(marks)[first], np.concatenate(entries), rank[nodes], first
 
 
 class Sizes:
@@ -398,55 +410,64 @@ def _counted(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np
     return keys // n, keys % n, counts
 
 
-def meet_family(blocks: list[bytes], num: int, den: int) -> pa.RecordBatch:
-    """The pairs of one hub's nodes that share enough differences to be linked.
+def meet_family(blocks: list[bytes], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of one hub's nodes that are linked by the hashes of their shingles, but for those that are both linked to the hub.
 
-    What a pair shares beyond its two prefixes lies behind the one that ends first, so its overlap is at most
-    the shared entries and that one's t, less 1, and never more than the differences of the other."""
-    names, sizes, marks, entries, node = _unpack(blocks)
+    Shingles that the hub lacks are counted by equal entries (equal 48 bits of unequal ones only add to the count),
+    those of the hub by bits. A slice of the nodes meets all later ones at a time, so memory follows CELLS, the nodes
+    and their entries, and not the pairs."""
+    index, within = [], []
+    for block in blocks:
+        size, width, n = np.frombuffer(block, "<u4", 3).tolist()
+        index.append(block[12 : 12 + size])
+        within.append(np.frombuffer(pa.decompress(block[12 + size :], decompressed_size=width * n, codec="zstd", asbytes=True), "<u8").reshape(n, width // 8))
+    names, sizes, marks, entries, node, first = _unpack(index)
+    bits, linked, n = np.concatenate(within)[first], marks[:, 0] > 0, len(names)
+    within_hub = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
     order = np.lexsort((node, entries))
     entries, node = entries[order], node[order]
-    new = np.concatenate([[True], (entries[1:] != entries[:-1]) | (node[1:] != node[:-1])])
-    entries, node = entries[new], node[new]
-    edge = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1], [True]]))
-    start, counts = edge[:-1], np.diff(edge)
-    own = (entries[start] & np.uint64(1)) > 0
-    found = []
-    for among_own in (False, True):
-        some = (own == among_own) & (counts > 1)
-
-        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in _bucket_pairs(start[some], counts[some]):
-                a, b = node[a], node[b]
-                ok = np.minimum(sizes[a], sizes[b]) * den >= np.maximum(sizes[a], sizes[b]) * num
-                if not among_own:
-                    ok &= marks[a, 0] != marks[b, 0]
-                yield a[ok], b[ok]
-
-        u, v, times = _counted(pairs(), len(names))
-        differ = (sizes[u] + sizes[v]) * (den - num) // (den + num)
-        overlap = (marks[u, 1] + marks[v, 1] - differ + 1) // 2
-        t = 3 if among_own else 2
-        most = np.maximum(np.minimum(times + marks[u, t] - 1, marks[v, 1]), np.minimum(times + marks[v, t] - 1, marks[u, 1]))
-        kept = most >= overlap
-        found.append(np.stack([u[kept], v[kept]], 1))
-    u, v = np.unique(np.concatenate(found), axis=0).T
-    labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
-    return _rows(1, a=labels[u], b=labels[v], x=np.ones(len(u), np.int64), y=np.zeros(len(u), np.int64), z=np.zeros(len(u), np.int64))
-
-
-def meet(table: pa.Table, sub: bool, num: int, den: int, few: int = FEW) -> pa.Table:
+    edge = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1], [True]])) if len(entries) else np.zeros(1, np.int64)
+    later = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(entries)) - 1  # rows of the same entry behind each
+    rows = np.flatnonzero(later)
+    rows = rows[np.argsort(node[rows], kind="stable")]
+    of_node = np.searchsorted(node[rows], np.arange(n + 1))
+    step = max(1, CELLS // n)
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        both = np.zeros((high - low) * n, np.int64)
+        own = rows[of_node[low] : of_node[high]]
+        for lot in np.split(own, np.flatnonzero(np.diff(np.cumsum(later[own]) // CELLS)) + 1):
+            k = later[lot]
+            partner = node[np.repeat(lot + 1 - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            both += np.bincount(np.repeat((node[lot] - low) * n, k) + partner, minlength=len(both))
+        both = both.reshape(high - low, n)
+        total = sizes[low:high, None] + sizes
+        most = both + np.minimum(within_hub[low:high, None], within_hub)
+        u, v = np.nonzero((den * most >= num * (total - most)) & (np.arange(low, high)[:, None] < np.arange(n)) & ~(linked[low:high, None] & linked))
+        some = max(1, min(ROWS, CELLS // max(1, bits.shape[1])))
+        for at in range(0, len(u), some):
+            i, j = u[at : at + some], v[at : at + some]
+            common = both[i, j] + np.bitwise_count(bits[low + i] & bits[j]).sum(1, dtype=np.int64)
+            kept = den * common >= num * (total[i, j] - common)
+            if kept.any():
+                i, j = low + i[kept], j[kept]
+                yield _rows(1, a=labels[i], b=labels[j], x=np.ones(len(i), np.int64), y=np.zeros(len(i), np.int64), z=np.zeros(len(i), np.int64))
+
+
+def meet(table: pa.Table, sub: bool, num: int, den: int, few: int = FEW) -> Iterator[pa.RecordBatch]:
     """The rows of one part of the shuffle: those that pass, and what equal entries of its blocks give.
     sub: entries are differences to hubs, the nodes' first mark is the class (0 linked to the hub)."""
-    out = [table.filter(pc.is_null(table.column("data"))).select(_NAMES)]
+    yield from table.filter(pc.is_null(table.column("data"))).select(_NAMES).to_batches()
     blocks = [x for x in table.column("data").to_pylist() if x is not None]
     if blocks and table.column("part")[0].as_py() < 0:
-        families: dict[int, list[bytes]] = {}
-        for key, block in zip(table.column("entry").to_pylist(), blocks):
-            families.setdefault(key, []).append(block)
-        out += [pa.Table.from_batches([meet_family(x, num, den)]) for x in families.values()]
+        families: dict[bytes, list[bytes]] = {}
+        for hub, block in zip(table.column("a").to_pylist(), blocks):
+            families.setdefault(hub, []).append(block)
+        for x in families.values():
+            yield from meet_family(x, num, den)
     elif blocks:
-        names, sizes, marks, entries, node = _unpack(blocks)
+        names, sizes, marks, entries, node, _ = _unpack(blocks)
         labels = np.array([w.tobytes() for w in names.astype(">u8")], object)
         flagged = (entries & np.uint64(2)) > 0
         hot = np.unique(entries[flagged] & ~np.uint64(2))
@@ -481,13 +502,12 @@ def meet(table: pa.Table, sub: bool, num: int, den: int, few: int = FEW) -> pa.T
             u, v, times = _counted(pairs(), len(names))
             if len(u):
                 needs, scheme = (np.zeros(len(u), np.int64),) * 2 if sub else known.pair_needs(u, v)
-                out.append(pa.Table.from_batches([_rows(1, a=labels[u], b=labels[v], x=times, y=needs, z=scheme & 1)]))
+                yield _rows(1, a=labels[u], b=labels[v], x=times, y=needs, z=scheme & 1)
             if large.any():
-                out.append(pa.Table.from_batches([_rows(2, a=labels[node[large]], entry=entries[large].view(np.int64))]))
+                yield _rows(2, a=labels[node[large]], entry=entries[large].view(np.int64))
             some = np.repeat(valid, counts)
             if some.any() and not sub:
-                out.append(pa.Table.from_batches([_stats(num, den)(labels, sizes, marks, node[some], entries[some], large[some])]))
-    return pa.concat_tables([t.cast(pa.schema(list(zip(_NAMES, _TYPES)))) for t in out])
+                yield _stats(num, den)(labels, sizes, marks, node[some], entries[some], large[some])
 
 
 def index_rows(docs: DataFrame, parts: int, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -516,8 +536,11 @@ def index_rows(docs: DataFrame, parts: int, words: int = WORDS, num: int = NUMER
             at += len(b)
         yield from packer.flush()
 
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return meet(pa.Table.from_batches(batches), False, num, den)
+
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, SENT).groupBy("part").applyInArrow(lambda t: meet(t, False, num, den), OUT)
+    return rows.mapInArrow(run, SENT).groupBy("part").applyInArrow(met, OUT)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -543,10 +566,10 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
                 if linked:
                     links.append((u, v))
                 if hub:
-                    entries, marks = difference_entries(hashes, other, linked, xxhash.xxh64_intdigest(u), num, den)
                     if hub == 2:
-                        families.add(u, v, len(other), marks, entries)
+                        families.add(u, v, len(other), linked, *family_entries(hashes, other))
                     else:
+                        entries, marks = difference_entries(hashes, other, linked, xxhash.xxh64_intdigest(u), num, den)
                         packer.add(v, len(other), marks, entries)
                     if packer.n + families.n > BLOCK:
                         yield from packer.flush()
@@ -557,14 +580,17 @@ def compare(pairs: DataFrame, texts: DataFrame, parts: int, few: int, words: int
         yield from packer.flush()
         yield from families.flush()
 
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return meet(pa.Table.from_batches(batches), True, num, den, few)
+
     full = (
         pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         .join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     )
-    return full.mapInArrow(run, SENT).groupBy("part").applyInArrow(lambda t: meet(t, True, num, den, few), OUT)
+    return full.mapInArrow(run, SENT).groupBy("part").applyInArrow(met, OUT)
 
 
-PAIRS = "u binary, v binary, hub int"  # hub: 0 u is none, 1 it has more nodes than FAMILY, 2 it has fewer
+PAIRS = "u binary, v binary, hub int"  # hub: 0 u is none, 1 it has more nodes than FAMILY (or longer texts than wide_families() allows), 2 it has fewer
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
@@ -602,6 +628,18 @@ def next_pairs(found: DataFrame, roots: DataFrame | None) -> DataFrame:
     return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("hub")).unionByName(hub_pairs(weighed))
 
 
+def wide_families(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """A table (u) of the hubs whose nodes don't go to one task, by their number or FAMILY_BYTES; and about how many entries those have."""
+    size = lambda c, name: texts.select(F.col("node").alias(c), F.col("bytes").alias(name))
+    hubs = (
+        pairs.where("hub > 0").join(size("v", "own"), "v").join(size("u", "hubs"), "u")
+        .groupBy("u").agg(F.min("hub").alias("hub"), F.sum(F.col("own") + F.col("hubs") / 8).alias("weight"), F.sum(F.col("own") + F.col("hubs")).alias("bytes"))
+    )
+    wide = materialize(hubs.where((F.col("hub") == 1) | (F.col("weight") > FAMILY_BYTES)).select("u", "bytes"))
+    # about 6 characters a word, and half of the differences are entries
+    return wide, int(wide.agg(F.sum("bytes")).first()[0] or 0) // 12
+
+
 def link_nodes(pairs: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
     """(node, root) of all linked nodes, or None. pairs: a table of PAIRS of the first round."""
     roots, level = None, 0
@@ -612,8 +650,10 @@ def link_nodes(pairs: DataFrame, texts: DataFrame, **kind) -> DataFrame | None:
             return roots
         level += 1
         few = FEW * GROWTH ** max(0, level - LATER + 1)
-        found = materialize(compare(pairs, texts, max(64, n * 20 // PART), few, **kind))
-        discard(pairs)
+        wide, entries = wide_families(pairs, texts)
+        split = pairs.join(wide.select("u", F.lit(True).alias("wide")), "u", "left").select("u", "v", F.when(F.col("wide") & (F.col("hub") > 0), 1).otherwise(F.col("hub")).alias("hub")) if entries else pairs
+        found = materialize(compare(split, texts, max(64, n * 20 // PART, entries // PART), few, **kind))
+        discard(pairs, wide)
         links = found.where("kind = 4").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if links.head(1):
             if roots is not None:
@@ -645,7 +685,7 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS, num: int = NU
         count = place.count()
         keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
         found = F.broadcast(place) if count <= FEW_ROWS else place
-        texts = materialize(keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", F.col("text").cast("binary").alias("text")))
+        texts = materialize(keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("bytes")))
         if texts.count() > count:  # rows that are repeated
             once = materialize(texts.dropDuplicates(["node"]))
             discard(texts)

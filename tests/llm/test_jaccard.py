@@ -1,7 +1,9 @@
 import collections
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import jaccard as J
@@ -115,3 +117,63 @@ def test_rows_of_large_families_stay_in_proportion(spark, monkeypatch):
     got = J.near_duplicate_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert len(rows) >= 2 and rows[0] < 60 * len(texts) and all(n < 10 * len(texts) for n in rows[1:])
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(texts)
+
+
+def family(seed, n, words=150):
+    """Texts that share a line with each other and one of two more lines, so they meet at a hub and aren't linked; each tenth has a near copy."""
+    r = random.Random(seed)
+    line, more = [f"line{i}" for i in range(words // 3)], [[f"more{k}.{i}" for i in range(words // 5)] for k in range(2)]
+    rows = []
+    for c in range(n):
+        rows.append(" ".join(line + more[c % 2] + [f"own{c}.{i}" for i in range(words // 3)]))
+        if c % 10 == 0:
+            rows.append(rows[-1] + f" end{c}")
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_unlinked_pairs_of_a_family_do_not_come_out(spark, monkeypatch):
+    rows, pairs = family(6, 500), []
+
+    def counted(*a, made=J.compare, **k):
+        out = J.materialize(made(*a, **k))
+        pairs.append(out.where("kind = 1").select("a", "b").distinct().count())
+        return out
+
+    monkeypatch.setattr(J, "compare", counted)
+    kind = {"words": 5, "num": 4, "den": 5}
+    got = J.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), **kind).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, **kind)
+    assert sum(pairs) <= 50
+
+
+@pytest.mark.parametrize("bound", [{"FAMILY": 8}, {"FAMILY_BYTES": 20_000}, {"CELLS": 50, "ROWS": 2}])
+def test_families_spread_or_in_small_slices_give_the_same(spark, monkeypatch, bound):
+    for name, value in bound.items():
+        monkeypatch.setattr(J, name, value)
+    rows = [(i, t) for i, (_, t) in enumerate(family(7, 120) + crowd(8, 120))]
+    kind = {"words": 5, "num": 4, "den": 5}
+    got = J.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), **kind).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, **kind)
+
+
+def test_memory_of_a_family_does_not_follow_its_pairs():
+    rng = np.random.default_rng(9)
+    hub, pool = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (300, 600))
+    sets = []
+    for c in range(1500):
+        own = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([hub[: 50 + c % 7], pool[rng.random(len(pool)) < 0.2], own])))
+    sets += [x[2:] for x in sets[:20]] + [hub[20:150], hub[25:150]]  # the last ones have nothing that the hub lacks
+    families = J.Families(1)
+    for c, x in enumerate(sets):
+        families.add(b"h" * 16, c.to_bytes(16, "big"), len(x), False, *J.family_entries(hub, x))
+    (batch,) = families.flush()
+    tracemalloc.start()
+    found = []
+    for out in J.meet(pa.Table.from_batches([batch]), True, 4, 5):
+        found += zip((int.from_bytes(x, "big") for x in out.column("a").to_pylist()), (int.from_bytes(x, "big") for x in out.column("b").to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(c, 1500 + c) for c in range(20)] + [(1520, 1521)]
+    assert peak < 150e6
